@@ -191,7 +191,8 @@ class TrieBpe:
                 rows.append([c for x in self.at_special.split(text) for c in ([x] if x in special else CHUNKS(x))])
             else:
                 rows.append(CHUNKS(text))
-        fresh = set().union(*rows).difference(known) if rows else set()
+        found = [[*map(known.get, row)] for row in rows]
+        fresh = {c for row, got in zip(rows, found, strict=True) if None in got for c, x in zip(row, got, strict=True) if x is None}
         if fresh:
             if len(known) > KEPT_WORDS:
                 known.clear()
@@ -199,7 +200,8 @@ class TrieBpe:
             for s in special:
                 known[s] = special[s].to_bytes(4, "little")
             self.learn(fresh - special.keys())
-        return [b"".join([known[c] for c in row]) for row in rows]
+            found = [[known[c] for c in row] if None in got else got for row, got in zip(rows, found, strict=True)]
+        return [b"".join(got) for got in found]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids given as little-endian uint32 bytes; bytes that aren't UTF-8 become U+FFFD."""

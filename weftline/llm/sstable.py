@@ -18,8 +18,10 @@ names them; a lost executor's task is run again and writes the same bytes.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -185,32 +187,71 @@ def unpack(value: bytes) -> np.ndarray:
 class ChunkEncoder:
     """Encodes with the tokenizers library, each distinct run between spaces and line ends once while it is kept.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are those of its runs on end.
+    The tokenizer drops white space and never joins over it, so a text's ids are those of its runs on end. Runs of
+    letters, with or without one closing mark, are one or two words for the tokenizer; many of them are encoded as
+    one text, and the ids that end a word tell them apart. All other runs are encoded one by one.
     """
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_str(spec)
-        self.wide = self.tok.get_vocab_size(with_added_tokens=True) > 65536
+        self.tok, self.bare = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
+        self.bare.normalizer = None  # its three steps are done on the joined runs at once
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.wide = max(vocab.values()) > 65535
         self.kind = "<u4" if self.wide else "<u2"
+        told = json.loads(spec)
+        mark = told["model"].get("end_of_word_suffix")
+        steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        self.joins = bool(mark) and steps == ["NFC", "Replace", "Lowercase"]
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        if self.joins:
+            self.ends_word[[i for t, i in vocab.items() if t.endswith(mark)]] = True
         self.known: dict[str, bytes] = {}
 
+    def learn(self, fresh: set[str]) -> None:
+        one = [c for c in fresh if c.isalpha()] if self.joins else []
+        two = [c for c in fresh if len(c) > 1 and c[-1] in ".,!?:;" and c[:-1].isalpha()] if self.joins else []
+        rest = fresh.difference(one, two)
+        rest.update(*(self._joined(some, words) for some, words in ((one, 1), (two, 2))))
+        left = list(rest)
+        for at in range(0, len(left), 50_000):
+            some = left[at : at + 50_000]
+            got = self.tok.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update(zip(some, (np.asarray(e.ids, self.kind).tobytes() for e in got), strict=True))
+
+    def _joined(self, chunks: list[str], words: int) -> list[str]:
+        """Encodes chunks of ``words`` words each in long texts; returns those that must go one by one."""
+        size, left = 4 if self.wide else 2, []
+        for at in range(0, len(chunks), 2000):
+            some = chunks[at : at + 2000]
+            text = unicodedata.normalize("NFC", " ".join(some))
+            # Lower-casing these two depends on what is around them, or makes a mark that is no letter.
+            if "\u03a3" in text or "\u0130" in text:
+                left += some
+                continue
+            ids = np.asarray(self.bare.encode_batch_fast([text.lower()], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends_word[ids])[words - 1 :: words] + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                left += some
+                continue
+            held, cuts = ids.tobytes(), [0, *(ends * size).tolist()]
+            self.known.update(zip(some, (held[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        return left
+
     def encode_batch(self, held: list[str]) -> list[bytes]:
         rows = [t.replace("\n", " ").split(" ") for t in held]
-        fresh = set().union(*rows).difference(self.known) if rows else set()
+        found = [[*map(self.known.get, row)] for row in rows]
+        fresh = {c for row, got in zip(rows, found, strict=True) if None in got for c, x in zip(row, got, strict=True) if x is None}
         if fresh:
             if len(self.known) > KEPT_CHUNKS:
                 self.known.clear()
                 fresh = set().union(*rows)
-            fresh = list(fresh)
-            for at in range(0, len(fresh), 50_000):
-                some = fresh[at : at + 50_000]
-                got = self.tok.encode_batch_fast(some, add_special_tokens=False)
-                self.known.update(zip(some, (np.asarray(e.ids, self.kind).tobytes() for e in got), strict=True))
-        known = self.known
-        return [b"".join([known[c] for c in row]) for row in rows]
+            self.learn(fresh)
+            known = self.known
+            found = [[known[c] for c in row] if None in got else got for row, got in zip(rows, found, strict=True)]
+        return [b"".join(got) for got in found]
 
 
 _ENCODER: dict[int, ChunkEncoder] = {}
