@@ -5,20 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
+from .chat import chat_digests, format_turns
+from .ordinal import fit_ordinal, grade_of, score_quality
 from .secrets import secret_digests
 from .shared import shared_dir, table
 from .sstable import read_shards, write_shards
 from .tokenizer_files import tokenizer_path
+from .warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).drop("payload", "url")
+
+
 def op2_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_digests(format_turns(table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)))
+
+
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return score_quality(docs, fit_ordinal(docs, labels)).withColumn("kept", F.col("tail_probability") >= 0.5)
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "shards")
     write_shards(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -30,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe_trie, op9_token_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc_shards, op2_bpe_trie, op3_chat_parts, op8_ordinal_quality, op9_token_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
