@@ -24,7 +24,7 @@ class TempFile:
         self.fs.create_dir(f"{self.folder}/_temporary", recursive=True)
         self.uri, self.to = f"{folder}/{name}", f"{self.folder}/{name}"
         self.temp = f"{self.folder}/_temporary/{name}-{uuid.uuid4().hex}"
-        self.out, self.size = self.fs.open_output_stream(self.temp), 0
+        self.out, self.size = self.fs.open_output_stream(self.temp, compression=None), 0
 
     def write(self, data: bytes) -> None:
         self.out.write(data)

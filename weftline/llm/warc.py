@@ -157,7 +157,7 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
 def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and blocks of a compressed archive's records, one at a time."""
     fs, path = opened(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         unpack, held, pending = zlib.decompressobj(31), [], b""
         while data := pending or f.read(READ_BYTES):
             pending = b""
