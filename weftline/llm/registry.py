@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .chat import chat_digests, format_turns
+from .decontaminate import find_benchmark
 from .ordinal import fit_ordinal, grade_of, score_quality
 from .parity import near_duplicates
 from .secrets import secret_digests
@@ -36,6 +37,10 @@ def op3_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_turns(table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)))
 
 
+def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_shards, op2_bpe_trie, op3_chat_parts, op5_parity_join, op8_ordinal_quality, op9_token_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc_shards, op2_bpe_trie, op3_chat_parts, op4_simhash_windows, op5_parity_join, op8_ordinal_quality, op9_token_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
