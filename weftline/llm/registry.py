@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_digests
 from .chat import chat_digests, format_turns
 from .decontaminate import find_benchmark
+from .hmm import score_lm
 from .ordinal import fit_ordinal, grade_of, score_quality
 from .parity import near_duplicates
 from .secrets import secret_digests
@@ -45,6 +46,10 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_lm(table(spark, sf_dir, "documents"))
+
+
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
@@ -62,7 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_shards, op2_bpe_trie, op3_chat_parts, op4_simhash_windows, op5_parity_join, op8_ordinal_quality, op9_token_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc_shards, op2_bpe_trie, op3_chat_parts, op4_simhash_windows, op5_parity_join, op7_hidden_markov, op8_ordinal_quality, op9_token_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
