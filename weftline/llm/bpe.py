@@ -5,7 +5,8 @@ merge loop on each. The distinct new words of a batch go into a trie of bytes.
 A depth-first walk gives every node, that is every prefix, one state: the last
 token of the prefix's encoding. It is the one token that ends the prefix and
 goes with the state of the node where it begins, so each shared prefix is worked
-out once; a word's ids are read by stepping back from its own node.
+out once. Ids are kept by chunk (a run and the space before it), which the
+pre-tokenizer never cuts across, and looked up by hash.
 
 Nulls are empty texts (no ids). Empty texts give no ids. Very long words make
 chains that are walked without recursion. Repeated rows give repeated results;
@@ -16,8 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +26,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_slices, texts
+from .chunks import ChunkStore, spaced_chunks
+from .shared import bounded_slices, raw_text, texts
 
 # Fixed value: the pre-tokenizer pattern of byte-level BPE files with use_regex.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: White space by Unicode's property, as the pattern above has it.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Chunks: runs without space, with the one space before them, and the spaces between.
-#: The pattern above never cuts across their borders, so a chunk is cut by itself.
-CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 #: Bytes beyond which a word's states are dropped once it is done.
 LONG_WORD = 4096
 
-#: Chunks kept with their ids between batches; when full, the store starts anew.
-KEPT_WORDS = 250_000
 #: Pair verdicts kept; when full, the store starts anew.
 KEPT_PAIRS = 2_000_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -77,7 +71,7 @@ class TrieBpe:
                 self.made_at[whole], self.halves[whole] = rank, (left, right)
         self.cut = regex.compile(PIECES).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
+        self.store = ChunkStore(self.learn, "<u4")
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -128,8 +122,8 @@ class TrieBpe:
             else:
                 before, b = at_b + 1, self.halves[b][0]
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Stores each chunk's ids (little-endian uint32 bytes) under the chunk.
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids as little-endian uint32 bytes.
 
         The chunks' distinct words, sorted, are a trie's leaves in depth-first
         order, and what a word shares with the one before it is the path that
@@ -139,8 +133,8 @@ class TrieBpe:
         """
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
-        cuts = {chunk: self.cut(chunk) for chunk in chunks}
-        words = dict.fromkeys(w for cut in cuts.values() for w in cut)
+        cuts = [self.cut(chunk) for chunk in chunks]
+        words = dict.fromkeys(w for cut in cuts for w in cut)
         lookup, pairs, longest, packed = self.id_of.get, self.pairs, self.longest, self.packed
         before, last, ids = b"", [-1], [b""]
         for held, word in sorted((w.encode(), w) for w in words):
@@ -171,8 +165,7 @@ class TrieBpe:
             else:  # its prefixes' ids would add up to the square of its length: step back by the states
                 words[word] = self._back(last)
                 before, last, ids = b"", [-1], [b""]
-        for chunk, cut in cuts.items():
-            self.words[chunk] = b"".join([words[w] for w in cut])
+        return [b"".join([words[w] for w in cut]) for cut in cuts]
 
     def _back(self, last: list[int]) -> bytes:
         depth, out = len(last) - 1, []
@@ -181,27 +174,24 @@ class TrieBpe:
             depth -= len(self.bytes_of[last[depth]])
         return b"".join(reversed(out))
 
-    def encode_batch(self, held: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian uint32 bytes. Special tokens' strings become their ids."""
-        special = self.special
-        known = self.words
-        rows: list[list[str]] = []
-        for text in held:
-            if self.at_special and any(s in text for s in special):
-                rows.append([c for x in self.at_special.split(text) for c in ([x] if x in special else CHUNKS(x))])
-            else:
-                rows.append(CHUNKS(text))
-        found = [[*map(known.get, row)] for row in rows]
-        fresh = {c for row, got in zip(rows, found, strict=True) if None in got for c, x in zip(row, got, strict=True) if x is None}
-        if fresh:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-                fresh = set().union(*rows)
-            for s in special:
-                known[s] = special[s].to_bytes(4, "little")
-            self.learn(fresh - special.keys())
-            found = [[known[c] for c in row] if None in got else got for row, got in zip(rows, found, strict=True)]
-        return [b"".join(got) for got in found]
+    def encode_batch(self, column: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian uint32 bytes. Special tokens' strings become their ids; null counts as empty."""
+        raw, at = raw_text(column)
+        flat, sizes = self.store.ids(raw, at, *spaced_chunks(raw, at))
+        held, cuts = flat.tobytes(), (np.concatenate([[0], np.cumsum(sizes)]) * 4).tolist()
+        out = [held[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if self.special:
+            data = raw.tobytes()
+            if any(s.encode() in data for s in self.special):
+                for i, text in enumerate(texts(column)):
+                    if any(s in text for s in self.special):
+                        out[i] = self._with_special(text)
+        return out
+
+    def _with_special(self, text: str) -> bytes:
+        parts = [x for x in self.at_special.split(text) if x]
+        plain = iter(self.encode_batch(pa.array([x for x in parts if x not in self.special], pa.string())))
+        return b"".join(self.packed[self.special[x]] if x in self.special else next(plain) for x in parts)
 
     def decode(self, ids: bytes) -> str:
         """Text of ids given as little-endian uint32 bytes; bytes that aren't UTF-8 become U+FFFD."""
@@ -227,7 +217,7 @@ def encoded(batches: Iterator[pa.RecordBatch], spec: Broadcast, key: str, text:
     for batch in batches:
         bpe = bpe or built(spec)
         for part in bounded_slices(batch, text, SLICE_BYTES):
-            yield part.column(key), bpe.encode_batch(texts(part.column(text))), bpe
+            yield part.column(key), bpe.encode_batch(part.column(text)), bpe
 
 
 def share(df: DataFrame, path: str) -> Broadcast:

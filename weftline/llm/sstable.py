@@ -33,8 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import ChunkStore, runs_between_breaks
 from .files import TempFile, opened, read_manifest, write_manifest
-from .shared import bounded_slices, partitions, texts
+from .shared import bounded_slices, partitions, raw_text
 
 MAGIC = b"WFSSTB01"
 FOOTER = struct.Struct("<QQQQQQ8s")  # filter offset, filter bytes, index offset, index bytes, entries, tokens, magic
@@ -42,8 +43,8 @@ BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
 BLOOM_BITS = 10  # a key
 BLOOM_HASHES = 7
-KEPT_CHUNKS = 400_000
-SLICE_BYTES = 8 << 20
+MARKS = list(".,!?:;")
+SLICE_BYTES = 4 << 20
 
 
 def key_bytes(key: int | None, repeat: int) -> bytes:
@@ -187,9 +188,9 @@ def unpack(value: bytes) -> np.ndarray:
 class ChunkEncoder:
     """Encodes with the tokenizers library, each distinct run between spaces and line ends once while it is kept.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are those of its runs on end. Runs of
-    letters, with or without one closing mark, are one or two words for the tokenizer; many of them are encoded as
-    one text, and the ids that end a word tell them apart. All other runs are encoded one by one.
+    The tokenizer drops white space and never joins over it, so a text's ids are those of its runs on end. A run of
+    letters is one word for the tokenizer, and a closing mark another; so many distinct lower-case words are encoded
+    as one text, and the ids that end a word tell them apart. All other runs are encoded one by one.
     """
 
     def __init__(self, spec: str) -> None:
@@ -208,50 +209,49 @@ class ChunkEncoder:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         if self.joins:
             self.ends_word[[i for t, i in vocab.items() if t.endswith(mark)]] = True
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, fresh: set[str]) -> None:
-        one = [c for c in fresh if c.isalpha()] if self.joins else []
-        two = [c for c in fresh if len(c) > 1 and c[-1] in ".,!?:;" and c[:-1].isalpha()] if self.joins else []
-        rest = fresh.difference(one, two)
-        rest.update(*(self._joined(some, words) for some, words in ((one, 1), (two, 2))))
-        left = list(rest)
-        for at in range(0, len(left), 50_000):
-            some = left[at : at + 50_000]
-            got = self.tok.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update(zip(some, (np.asarray(e.ids, self.kind).tobytes() for e in got), strict=True))
-
-    def _joined(self, chunks: list[str], words: int) -> list[str]:
-        """Encodes chunks of ``words`` words each in long texts; returns those that must go one by one."""
-        size, left = 4 if self.wide else 2, []
-        for at in range(0, len(chunks), 2000):
-            some = chunks[at : at + 2000]
-            text = unicodedata.normalize("NFC", " ".join(some))
+        self.store = ChunkStore(self.learn, self.kind)
+
+    def learn(self, fresh: list[str]) -> list[bytes]:
+        """Ids of each chunk, as bytes."""
+        known: dict[str, bytes] = {}
+        cores, rest = {}, []
+        for c in fresh:
+            core = c if c.isalpha() else c[:-1]
             # Lower-casing these two depends on what is around them, or makes a mark that is no letter.
-            if "\u03a3" in text or "\u0130" in text:
-                left += some
-                continue
-            ids = np.asarray(self.bare.encode_batch_fast([text.lower()], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(self.ends_word[ids])[words - 1 :: words] + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                left += some
-                continue
-            held, cuts = ids.tobytes(), [0, *(ends * size).tolist()]
-            self.known.update(zip(some, (held[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+            if not self.joins or not core.isalpha() or core is not c and c[-1] not in MARKS or "\u03a3" in c or "\u0130" in c:
+                rest.append(c)
+            else:
+                cores[c] = core.lower() if core.isascii() else unicodedata.normalize("NFC", core).lower()
+        rest += self._joined([*{*cores.values()}], known)
+        rest += MARKS
+        for at in range(0, len(rest), 50_000):
+            some = rest[at : at + 50_000]
+            got = self.tok.encode_batch_fast(some, add_special_tokens=False)
+            known.update(zip(some, (np.asarray(e.ids, self.kind).tobytes() for e in got), strict=True))
+        for c, core in cores.items():
+            known[c] = known[core] if c[-1] not in MARKS else known[core] + known[c[-1]]
+        return [known[c] for c in fresh]
+
+    def _joined(self, cores: list[str], known: dict[str, bytes]) -> list[str]:
+        """Encodes single words in long texts; returns those that must go one by one."""
+        size, left, texts = 4 if self.wide else 2, [], [cores[at : at + 200] for at in range(0, len(cores), 200)]
+        for at in range(0, len(texts), 100):
+            many = texts[at : at + 100]
+            for some, got in zip(many, self.bare.encode_batch_fast([" ".join(x) for x in many], add_special_tokens=False), strict=True):
+                ids = np.asarray(got.ids, self.kind)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) != len(some) or ends[-1] != len(ids):
+                    left += some
+                    continue
+                held, cuts = ids.tobytes(), [0, *(ends * size).tolist()]
+                known.update(zip(some, (held[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
         return left
 
-    def encode_batch(self, held: list[str]) -> list[bytes]:
-        rows = [t.replace("\n", " ").split(" ") for t in held]
-        found = [[*map(self.known.get, row)] for row in rows]
-        fresh = {c for row, got in zip(rows, found, strict=True) if None in got for c, x in zip(row, got, strict=True) if x is None}
-        if fresh:
-            if len(self.known) > KEPT_CHUNKS:
-                self.known.clear()
-                fresh = set().union(*rows)
-            self.learn(fresh)
-            known = self.known
-            found = [[known[c] for c in row] if None in got else got for row, got in zip(rows, found, strict=True)]
-        return [b"".join(got) for got in found]
+    def encode_batch(self, column: pa.Array) -> list[bytes]:
+        raw, at = raw_text(column)
+        flat, sizes = self.store.ids(raw, at, *runs_between_breaks(raw, at))
+        held, cuts = flat.tobytes(), (np.concatenate([[0], np.cumsum(sizes)]) * flat.itemsize).tolist()
+        return [held[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _ENCODER: dict[int, ChunkEncoder] = {}
@@ -282,7 +282,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int =
             enc = enc or chunk_encoder(spec.value)
             end = np.asarray([end_id], enc.kind).tobytes()
             for piece in bounded_slices(batch, "text", SLICE_BYTES):
-                for k, ids in zip(piece.column("key").to_pylist(), enc.encode_batch(texts(piece.column("text"))), strict=True):
+                for k, ids in zip(piece.column("key").to_pylist(), enc.encode_batch(piece.column("text")), strict=True):
                     own = key_bytes(k, 0)[:-4]
                     repeat = repeat + 1 if own == before else 0
                     before = own
