@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .bpe import bpe_digests
 from .chat import chat_digests, format_turns
 from .decontaminate import find_benchmark
 from .hmm import score_lm
 from .ordinal import fit_ordinal, grade_of, score_quality
 from .parity import near_duplicates
+from .rules import judge
 from .secrets import secret_digests
 from .shared import shared_dir, table
 from .sstable import read_shards, write_shards
@@ -46,6 +49,12 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("poor"))
+    out = judge(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_lm(table(spark, sf_dir, "documents"))
 
@@ -67,7 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_shards, op2_bpe_trie, op3_chat_parts, op4_simhash_windows, op5_parity_join, op7_hidden_markov, op8_ordinal_quality, op9_token_shards, op10_secret_scan)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_warc_shards, op2_bpe_trie, op3_chat_parts, op4_simhash_windows, op5_parity_join, op6_decision_list, op7_hidden_markov, op8_ordinal_quality, op9_token_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
