@@ -36,7 +36,7 @@ def sql_valid(code: Column) -> Column:
     return F.struct(error.isNull().alias("is_valid"), error.alias("error"))
 
 
-PYTHON_RESULT = "is_valid boolean, severity string, score double, error string"
+PYTHON_RESULT = T.StructType([T.StructField("is_valid", T.BooleanType()), T.StructField("severity", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("error", T.StringType())])
 
 
 def python_verdict(code: str | None) -> tuple[bool, str, float, str | None]:

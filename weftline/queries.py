@@ -473,7 +473,7 @@ def embedding_shape(spark, d):
 # ---- runs
 
 
-@query("SELECT g AS _row_group, CASE WHEN g = 5 THEN 50 ELSE 100 END AS n FROM (SELECT unnest(range(6)) AS g)")
+@query("SELECT g AS _row_group, CAST(CASE WHEN g = 5 THEN 50 ELSE 100 END AS BIGINT) AS n FROM (SELECT unnest(range(6)) AS g)")
 def row_group_sizes(spark, d):
     b = Builder(SEED).add_column(name="v", kind="sampler", sampler_type="uniform", params={"low": 0, "high": 1})
     return Planner(spark, b.build(), buffer_size=100).plan(550).groupBy("_row_group").agg(F.count(F.lit(1)).alias("n"))

@@ -74,8 +74,12 @@ class DirectorySource:
     recursive: bool = True
 
     def files(self, spark: SparkSession) -> DataFrame:
-        read = spark.read.format("binaryFile").option("recursiveFileLookup", str(self.recursive).lower()).option("pathGlobFilter", self.file_pattern)
-        return read.load(self.path if self.recursive else f"{self.path.rstrip('/')}/*")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", self.file_pattern).load(self.path)
+        return files if self.recursive else files.where(F.size(F.split("path", "/")) == F.size(F.split(F.lit(self.root), "/")) + F.when(F.startswith("path", F.lit("file:///")), 3).when(F.startswith("path", F.lit("file:/")), 2).otherwise(1))
+
+    @property
+    def root(self) -> str:
+        return "/" + self.path.removeprefix("file:").strip("/")
 
     def described(self, files: DataFrame) -> DataFrame:
         root = self.path.rstrip("/").removeprefix("file:").rstrip("/")
