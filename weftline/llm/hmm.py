@@ -8,9 +8,9 @@ text's symbols, plus each word's probability within its symbol.
 
 A token's symbol is its own if it is among the most frequent, else the class of
 its ending. Token counts are taken over all training documents. The most
-frequent ``TABLE`` tokens' counts (a fixed bound) are sent to all tasks; tokens
-beyond it are joined with the counts by a shuffle, so every count is exact at
-every size. For training alone, texts are read in segments.
+frequent ``TABLE`` tokens' counts (a fixed bound) are sent to all tasks; rarer
+tokens are joined with the counts by a shuffle, so every count is exact at every
+size. For training alone, texts are read in segments.
 
 Training documents are those for which ``held_out`` is false: the CRC-32 of the id's text modulo 7 is not 2 (a null id
 counts as an empty text). Null and empty texts hold the end token alone. With no training document all probabilities
@@ -36,6 +36,7 @@ OWN = 4096  # symbols of single tokens, the end token's among them
 CLASSES = 512
 SYMBOLS = OWN + CLASSES
 TABLE = 2_000_000
+RARE = 3  # tokens of fewer occurrences are never in the table, at any size
 ROUNDS = 5
 SEGMENT = 512
 SLICE_BYTES = 4 << 20
@@ -277,7 +278,7 @@ def score_lm(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: in
     sizes = counts.groupBy(F.least("c", F.lit(1000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
     least, kept = 1001, 0
     for r in sorted(sizes, key=lambda r: -r["c"]):
-        if r["c"] < 1000 and kept + r["n"] > table:
+        if r["c"] < RARE or r["c"] < 1000 and kept + r["n"] > table:
             break
         least, kept = r["c"], kept + r["n"]
     whole = kept == sum(r["n"] for r in sizes)

@@ -88,27 +88,28 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -50, 50)))
 
 
-def telling(doc: np.ndarray, feature: np.ndarray, grades: np.ndarray, levels: int, least_rows: int, least_gain: float, most_features: int) -> np.ndarray:
-    """Which features to learn: those of enough rows whose presence tells of a lower grade (likelihood ratio G^2).
+def telling(rows: list[np.ndarray], grades: np.ndarray, levels: int, least_rows: int, least_gain: float, most_features: int) -> np.ndarray:
+    """Which features to learn: those of enough rows whose presence tells against the top grade (likelihood ratio G^2).
 
     Only marks of lower grades are kept, so that the many plain words of a long text can't outweigh a few bad ones.
     """
-    seen = np.stack([np.bincount(feature[grades[doc] == k], minlength=1 << BITS) for k in range(levels)], 1).astype(float)
-    total, rows = np.bincount(grades, minlength=levels).astype(float), float(len(grades))
+    seen = np.zeros((1 << BITS, levels))
+    for r, k in zip(rows, grades, strict=True):  # a row's features are distinct
+        seen[r, k] += 1
+    total, n, found = np.bincount(grades, minlength=levels).astype(float), float(len(grades)), seen.sum(1)
     gain = np.zeros(1 << BITS)
-    for part, size in ((seen, seen.sum(1)), (total - seen, rows - seen.sum(1))):
-        expected = np.maximum(size[:, None] * total / rows, 1e-12)
+    for part, size in ((seen, found), (total - seen, n - found)):
+        expected = np.maximum(size[:, None] * total / n, 1e-12)
         gain += 2 * np.where(part > 0, part * np.log(np.maximum(part, 1e-12) / expected), 0.0).sum(1)
-    gain[(seen.sum(1) < least_rows) | (seen @ np.arange(levels) >= seen.sum(1) * grades.mean())] = 0
+    gain[(found < least_rows) | (seen[:, -1] * n >= found * total[-1])] = 0
     return gain >= max(least_gain, np.partition(gain, -most_features)[-most_features])
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = 200, rate: float = 0.1, decay: float = 1e-5, least_rows: int = 5, least_gain: float = 25.0, most_features: int = 8192) -> OrdinalModel:
     """Maximum likelihood by Adam over all rows, with the thresholds as a first value and positive gaps."""
-    lengths = np.array([len(r) for r in rows])
-    doc, feature = np.repeat(np.arange(len(rows)), lengths), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    keep = telling(doc, feature, grades, levels, least_rows, least_gain, most_features)
-    doc, feature = doc[keep[feature]], feature[keep[feature]]
+    keep = telling(rows, grades, levels, least_rows, least_gain, most_features)
+    rows = [r[keep[r]] for r in rows]
+    doc, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     used, at = np.unique(feature, return_inverse=True)
     shares = np.clip(np.array([np.mean(grades >= k) for k in range(1, levels)]), 1e-3, 1 - 1e-3)
     first = np.sort(-np.log(shares / (1 - shares)))
@@ -155,7 +156,7 @@ def fit_ordinal(docs: DataFrame, labels: DataFrame, levels: int = 3, key: str =
     ``labels`` has the key and an integer grade from 0 to levels - 1.
     """
     rated = labels.select(F.col(key).cast("long").alias("key"), F.col(grade).cast("int").alias("grade")).where(F.col("key").isNotNull() & F.col("grade").between(0, levels - 1))
-    chosen = rated.orderBy(F.xxhash64("key"), "key", "grade").limit(2 * max_rows)
+    chosen = rated.orderBy(F.xxhash64("key"), "key", "grade").limit(max_rows)
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.octet_length("text") <= max_bytes)
     joined = texts.join(F.broadcast(chosen), "key").select("key", "grade", "text")
 
@@ -167,7 +168,7 @@ def fit_ordinal(docs: DataFrame, labels: DataFrame, levels: int = 3, key: str =
                 held = feature.astype("<i4")
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("grade"), pa.array([held[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["key", "grade", "features"])
 
-    rows = sorted(joined.mapInArrow(run, "key long, grade int, features binary").collect(), key=lambda r: (r["key"], r["grade"], r["features"]))[:max_rows]
+    rows = sorted(joined.mapInArrow(run, "key long, grade int, features binary").collect(), key=lambda r: (r["key"], r["grade"], r["features"]))
     grades = np.array([r["grade"] for r in rows], np.int64)
     if len(np.unique(grades)) < 2:
         return None

@@ -6,19 +6,24 @@ sets differ in elements. Sets of sizes a and b whose Jaccard similarity is at
 least 4/5 differ in at most (a + b) / 9 elements. The sketch of a size band is
 cut into K blocks; a pair that differs in at most t bits agrees on K - t of
 them at least. So each set need only show t + 1 blocks, in one order that all
-sets share (fullest blocks first, which are the rarest), and any linked pair
-still shows a block in common. Nothing is sampled or capped: the join loses no
-link. Sets near a band's upper edge also show their blocks in the next band.
+sets share, and any linked pair still shows a block in common. Any order will
+do; the one used puts rare blocks first: those that hold a shingle that isn't
+common, then the fullest. Which shingles are common is told from every 32nd set,
+which bears on the order alone. Nothing is capped and no set is left out: the
+join loses no link. Sets near a band's upper edge also show their blocks in the
+next band.
 
 Blocks are packed by bucket in binary rows, so the shuffle carries about seven
 bytes a block and the grouping is a sort of integers in each bucket.
 
 Equal sets are one node from the start, whatever the number of their copies.
-Candidates are verified on the exact sets in three steps, so that a large group
-never becomes all its pairs: each node against the least node it shares a block
-with; then one node per component of each block; then what is left between
-different components. Nodes that are already known to be connected need no
-further pair, so components are exact.
+Candidates whose whole sketches differ too much are dropped; the rest are
+verified on the exact sets. Nodes that are known to be connected need no further
+pair, so this is done in rounds, and a large group never becomes all its pairs:
+in each round every node is held against a few nodes of other components that
+share a block with it, the same for all nodes of a block, and new ones in each
+round. When a round brings no link, what is left between different components
+is held against each other in full, so components are exact.
 
 Defined results: null and empty texts, and texts of white space alone, have no
 shingle and are linked with nothing; a text of fewer than five words has one
@@ -41,6 +46,14 @@ from .words import U, mix, shingle_sets, words_of
 
 SLICE_BYTES = 4 << 20
 PLACES = 20  # bits of a place within a block
+SLACK = 2  # blocks of a band for each that a set must show
+SKETCH_BITS = 1024  # at least
+TILE = 4096  # nodes of a block that one task compares with as many
+SAMPLE = 32  # one set in so many tells which shingles are common
+COMMON_BITS = 22
+MOST_COMMON = 500_000
+MOST_ROUNDS = 3
+EACH = 3  # pairs of a node in a round
 KEY = "key long, n_shingles long, sid long"
 
 
@@ -51,10 +64,45 @@ def set_id(elements: np.ndarray) -> int:
 
 def blocks_of(band: int) -> int:
     most = (2 * (2 ** (band + 1) - 1)) // 9
-    return most + 1 + -(-(most + 1) // 2)
+    return SLACK * (most + 1)
 
 
-def shown(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def sketch(elements: np.ndarray) -> bytes:
+    """Parity sketch for the filter: one bit flipped by each element, in four to eight bits an element."""
+    bits = max(SKETCH_BITS, 4 << len(elements).bit_length())
+    return np.packbits(np.bincount((mix(elements ^ U(5)) & U(bits - 1)).view(np.int64), minlength=bits) % 2 == 1, bitorder="little").tobytes()
+
+
+def short_sketch(blob: bytes) -> bytes:
+    """A quarter of a sketch's bits, within bounds, for comparing many at once."""
+    return folded(blob, min(max(len(blob) // 4, 64), 512)).tobytes()
+
+
+def folded(blob: bytes, size: int) -> np.ndarray:
+    """A sketch brought down to ``size`` bytes; parities of halves add up."""
+    out = np.frombuffer(blob, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
+    """A table by the shingles' upper bits of those that lie in many sets; the most common ``MOST_COMMON`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [s for part in bounded_slices(batch, "text", SLICE_BYTES) for s in shingle_sets(words_of(part.column("text"))) if len(s) and set_id(s) % SAMPLE == 0]
+            value, n = np.unique(np.concatenate([*held, np.zeros(0, U)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = found.where("n >= 3").orderBy(F.col("n").desc(), "shingle").limit(MOST_COMMON).select("shingle").toArrow()
+    out = np.zeros(1 << COMMON_BITS, bool)
+    out[(np.asarray(rows["shingle"]).astype(np.int64).view(U) >> U(64 - COMMON_BITS)).view(np.int64)] = True
+    return out
+
+
+def shown(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the sets and the blocks that each shows, as 64-bit hashes that include band and block."""
     owners, found = [], []
     for reach in (False, True):
@@ -74,17 +122,20 @@ def shown(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         node = np.repeat(np.arange(len(some)), lengths)
         bands = np.array([b for _, b, _ in some])
         count = np.array([blocks_of(b) for b in range(int(bands.max()) + 1)], U)[bands]
-        places = ((np.concatenate([sets[i] for i, _, _ in some]) >> U(32)) * count[node]) >> U(32 - PLACES)
+        elements = np.concatenate([sets[i] for i, _, _ in some])
+        rare = ~common[(elements >> U(64 - COMMON_BITS)).view(np.int64)]
+        places = ((elements >> U(32)) * count[node]) >> U(32 - PLACES)
         # Bits that are flipped an even number of times are as they were.
         begins = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (node[1:] != node[:-1])]))
         odd = begins[np.diff(begins, append=len(places)) % 2 == 1]
-        places, node = places[odd], node[odd]
+        places, node, rare = places[odd], node[odd], rare[odd]
         block = places >> U(PLACES)
         begins = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (node[1:] != node[:-1])])) if len(places) else np.zeros(0, np.int64)
         salt = mix(bands.astype(U) + U(77))
         content = mix(np.bitwise_xor.reduceat(mix(places ^ salt[node]), begins)) if len(begins) else np.zeros(0, U)
         full = np.diff(begins, append=len(places))
-        order = ((255 - np.minimum(full, 255)).astype(U) << U(56)) | (content >> U(8))
+        first = np.logical_or.reduceat(rare, begins) if len(begins) else np.zeros(0, bool)
+        order = (np.where(first, 127 - np.minimum(full, 127), 255 - np.minimum(full, 127)).astype(U) << U(56)) | (content >> U(8))
         cut = np.searchsorted(node[begins], np.arange(len(some) + 1))
         for k, (i, band, take) in enumerate(some):
             a, b = cut[k], cut[k + 1]
@@ -134,8 +185,10 @@ def shingle_keys(docs: DataFrame, key: str, text: str) -> DataFrame:
 def block_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(block, sid, least): for each block that two or more sets show, its sets, and the least of them."""
     buckets = 4 * partitions(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common_shingles(docs, text)))
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
             names, blocks, had = [], [], set()
             for part in bounded_slices(batch, "text", SLICE_BYTES):
@@ -145,7 +198,7 @@ def block_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
                     if name is not None and name not in had:
                         had.add(name)
                         sets.append((name, s))
-                owner, found = shown([s for _, s in sets])
+                owner, found = shown([s for _, s in sets], common)
                 names.append(np.array([n for n, _ in sets], np.int64)[owner])
                 blocks.append(found)
             names, blocks = np.concatenate([*names, np.zeros(0, np.int64)]), np.concatenate([*blocks, np.zeros(0, U)])
@@ -183,21 +236,36 @@ def block_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def exact_sets(docs: DataFrame, keys: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(sid, elements) of the wanted sets, from one document of each."""
+    """(sid, n, sketch, short, elements) of the wanted sets, from one document of each."""
     one = keys.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key")).select("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded_slices(batch, "text", SLICE_BYTES):
                 sets = [s for s in shingle_sets(words_of(part.column("text"))) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["sid", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(held := [sketch(s) for s in sets], pa.binary()), pa.array([short_sketch(x) for x in held], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["sid", "n", "sketch", "short", "elements"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(one, "key", "left_semi").select("text")
-    return rows.mapInArrow(run, "sid long, elements binary")
+    return rows.mapInArrow(run, "sid long, n long, sketch binary, short binary, elements binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact intersection."""
+    """The pairs (a, b) whose sets are similar enough: those whose sketches allow it, by exact intersection."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("x_sketch").to_pylist(), batch.column("y_sketch").to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                apart[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)
+            n, m = (np.asarray(batch.column(c)) for c in ("x_n", "y_n"))
+            good = (9 * apart <= n + m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    short = sets.select("sid", "n", "sketch")
+    for name, side in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(short.select(F.col("sid").alias(name), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), name)
+    pairs = pairs.select("a", "b", "x_n", "y_n", "x_sketch", "y_sketch").mapInArrow(near, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,31 +307,94 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         labels = new.select("node", "root")
 
 
+def proposals(held: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) for a round, at most ``EACH`` for each node: in each block all nodes are held against the node that
+    comes first in the round's own order, and those of its component against the first node of another one."""
+    firsts = held.groupBy("block", "root").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("at"), "sid")).alias("first"))
+    best = firsts.groupBy("block").agg(F.min(F.struct("first", "root")).alias("best"))
+    second = firsts.join(best, "block").where(F.col("root") != F.col("best.root")).groupBy("block").agg(F.min("best").alias("best"), F.min("first").alias("second"))
+    pivot = F.when(F.col("root") == F.col("best.root"), F.col("second")).otherwise(F.col("best.first"))
+    few = held.join(second, "block").select("sid", pivot.alias("pivot")).groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("pivot")), 1, EACH).alias("pivots"))
+    pairs = few.select("sid", F.explode("pivots").alias("pivot")).select(F.greatest("sid", "pivot.sid").alias("a"), F.least("sid", "pivot.sid").alias("b"))
+    return pairs.distinct()
+
+
+def across(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes that share a block, lie in different components, and whose sketches allow a link.
+
+    Sketches are compared within each block where they lie; only pairs that pass are given out. A block of more than
+    ``TILE`` nodes is dealt out as pairs of tiles, so it is spread over tasks.
+    """
+    tiles = held.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    rows = held.join(sets.select("sid", "n", F.col("short").alias("sketch")), "sid").join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "sid", "root", "n", "sketch")
+
+    def compared(group: list[dict]) -> list[tuple[int, int]]:
+        size = min(len(r["sketch"]) for r in group)
+        bits = np.stack([folded(r["sketch"], size) for r in group]).view(U)
+        sid, root, n, tile = (np.array([r[c] for r in group], np.int64) for c in ("sid", "root", "n", "tile"))
+        apart_tiles, out = group[0]["low"] != group[0]["high"], []
+        for i in range(len(group) - 1):
+            rest = slice(i + 1, None)
+            good = (root[rest] != root[i]) & (5 * np.minimum(n[rest], n[i]) >= 4 * np.maximum(n[rest], n[i]))
+            if apart_tiles:
+                good &= tile[rest] != tile[i]
+            at = np.flatnonzero(good) + i + 1
+            if len(at):
+                at = at[9 * np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[at] + n[i]]
+                out += [(max(int(sid[i]), int(sid[j])), min(int(sid[i]), int(sid[j]))) for j in at]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        found: set[tuple[int, int]] = set()
+        for batch in batches:
+            for r in batch.to_pylist():
+                where = (r["block"], r["low"], r["high"])
+                if where != at:
+                    if len(group) > 1:
+                        found.update(compared(group))
+                    group, at = [], where
+                group.append(r)
+            if len(found) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                found = set()
+        if len(group) > 1:
+            found.update(compared(group))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    keys = ["block", "low", "high"]
+    return rows.repartition(partitions(held.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its key, n_shingles and component_id (the least key that links reach)."""
     keys = materialize(shingle_keys(docs, key, text), "keys")
-    groups = materialize(block_groups(docs, key, text), "blocks")
+    groups = groups_least = materialize(block_groups(docs, key, text), "blocks")
     nodes = groups.select("sid").distinct()
     sets = materialize(exact_sets(docs, keys, nodes, key, text), "sets")
 
-    first = materialize(groups.where("sid <> least").groupBy("sid").agg(F.min("least").alias("b")).select(F.col("sid").alias("a"), "b"), "pairs")
-    links = materialize(linked(first, sets), "links")
-    labels, tested = components(links), first
-    for each_component in (True, False):
-        held = groups.select("block", "sid").join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        mixed = held.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
-        held = held.join(mixed, "block", "left_semi")
-        if each_component:
-            held = held.groupBy("block", "root").agg(F.min("sid").alias("sid"))
-        x, y = (held.select("block", F.col("sid").alias(s), F.col("root").alias(f"{s}_root")) for s in "ab")
-        pairs = x.join(y, "block").where("a > b and a_root <> b_root").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
+    nothing = keys.sparkSession.createDataFrame([], "a long, b long")
+    labels, tested = None, nothing
+    for turn in range(MOST_ROUNDS + 1):
+        held = groups.select("block", "sid")
+        if labels is not None:
+            held = held.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left")
+        held = held.withColumn("root", F.coalesce("root", "sid") if labels is not None else F.col("sid"))
+        if labels is not None:  # blocks within one component are done with
+            mixed = held.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
+            held = materialize(held.join(mixed, "block", "left_semi"), "blocks")
+            groups = held.select("block", "sid")
+        last = turn == MOST_ROUNDS
+        first = groups_least.where("sid <> least").groupBy("sid").agg(F.min("least").alias("b")).select(F.col("sid").alias("a"), "b")
+        pairs = materialize((across(held, sets) if last else proposals(held, turn) if turn else first).join(tested, ["a", "b"], "left_anti"), "pairs")
         more = materialize(linked(pairs, sets), "links")
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
             labels = components(more, labels)
+    if labels is None:
+        labels = keys.sparkSession.createDataFrame([], "node long, root long")
 
     # The least key of each component, for sets that have copies or links; all other rows stand for themselves.
     least = keys.where("sid is not null and key is not null").groupBy("sid").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,10 +33,14 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage
-    and survives the loss of executors."""
-    path = shared_dir(df.sparkSession, what)
+    and survives the loss of executors. What earlier steps shuffled is then garbage, and Spark's
+    cleaner removes those files once the driver has collected it."""
+    spark, schema, path = df.sparkSession, df.schema, shared_dir(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
