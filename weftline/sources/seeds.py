@@ -74,18 +74,14 @@ class DirectorySource:
     recursive: bool = True
 
     def files(self, spark: SparkSession) -> DataFrame:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", self.file_pattern).load(self.path)
-        return files if self.recursive else files.where(F.size(F.split("path", "/")) == F.size(F.split(F.lit(self.root), "/")) + F.when(F.startswith("path", F.lit("file:///")), 3).when(F.startswith("path", F.lit("file:/")), 2).otherwise(1))
-
-    @property
-    def root(self) -> str:
-        return "/" + self.path.removeprefix("file:").strip("/")
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", self.file_pattern).load(self.path)
 
     def described(self, files: DataFrame) -> DataFrame:
         root = self.path.rstrip("/").removeprefix("file:").rstrip("/")
         root = "/" + root.lstrip("/") if "://" not in root else root
         path = F.regexp_replace("path", "^file:/*", "/")
-        return files.withColumns({"source_kind": F.lit("directory_file"), "source_path": path, "relative_path": F.replace(path, F.lit(root + "/"), F.lit("")), "file_name": F.element_at(F.split("path", "/"), -1)})
+        out = files.withColumns({"source_kind": F.lit("directory_file"), "source_path": path, "relative_path": F.replace(path, F.lit(root + "/"), F.lit("")), "file_name": F.element_at(F.split("path", "/"), -1)})
+        return out if self.recursive else out.where(~F.contains("relative_path", F.lit("/")))
 
     def read(self, spark: SparkSession) -> DataFrame:
         out = self.described(self.files(spark)).select("source_kind", "source_path", "relative_path", "file_name")
