@@ -13,6 +13,7 @@ from .bpe import bpe_digests
 from .chat import chat_digests, format_turns
 from .decontaminate import find_benchmark
 from .hmm import score_lm
+from .oracle import SQL
 from .ordinal import fit_ordinal, grade_of, score_quality
 from .parity import near_duplicates
 from .rules import judge
@@ -80,4 +81,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
