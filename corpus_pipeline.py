@@ -16,7 +16,7 @@ from weftline.llm.decontaminate import drop_contaminated
 from weftline.llm.ordinal import fit_ordinal, grade_of, select_quality
 from weftline.llm.parity import keep_one_of_each
 from weftline.llm.secrets import redact_secrets
-from weftline.llm.shared import materialize, table
+from weftline.llm.shared import materialize, small_batches, table
 from weftline.llm.tokenizer_files import tokenizer_path
 
 
@@ -28,6 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document of the least id."""
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
@@ -38,12 +39,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; n_chars, where it is a column, follows the new text."""
+    small_batches(spark)
     out = redact_secrets(docs)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each text that is left."""
+    small_batches(spark)
     return bpe_encode(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

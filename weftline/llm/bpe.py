@@ -37,7 +37,7 @@ LONG_WORD = 4096
 
 #: Pair verdicts kept; when full, the store starts anew.
 KEPT_PAIRS = 2_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -19,11 +19,12 @@ bytes a block and the grouping is a sort of integers in each bucket.
 Equal sets are one node from the start, whatever the number of their copies.
 Candidates whose whole sketches differ too much are dropped; the rest are
 verified on the exact sets. Nodes that are known to be connected need no further
-pair, so this is done in rounds, and a large group never becomes all its pairs:
-in each round every node is held against a few nodes of other components that
-share a block with it, the same for all nodes of a block, and new ones in each
-round. When a round brings no link, what is left between different components
-is held against each other in full, so components are exact.
+pair, so this is done in steps, and a large group never becomes all its pairs:
+first every node is held against the least node of a block, then against a few
+nodes of other components that share a block with it, the same for all nodes of
+a block. What is left between different components is then compared in full, by
+sketches within the blocks, in some blocks first and then in all, so components
+are exact.
 
 Defined results: null and empty texts, and texts of white space alone, have no
 shingle and are linked with nothing; a text of fewer than five words has one
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .shared import bounded_slices, materialize, partitions
 from .words import U, mix, shingle_sets, words_of
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 PLACES = 20  # bits of a place within a block
 SLACK = 2  # blocks of a band for each that a set must show
 SKETCH_BITS = 1024  # at least
@@ -52,7 +53,9 @@ TILE = 4096  # nodes of a block that one task compares with as many
 SAMPLE = 32  # one set in so many tells which shingles are common
 COMMON_BITS = 22
 MOST_COMMON = 500_000
-MOST_ROUNDS = 3
+AT_ONCE = 500_000  # blocks that a task packs at once
+PROPOSED = 3  # rounds in which nodes are held against a few others
+WAVE = 16  # one block in so many is compared in full before all are
 EACH = 3  # pairs of a node in a round
 KEY = "key long, n_shingles long, sid long"
 
@@ -189,8 +192,17 @@ def block_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(sent.value).astype(bool)
+
+        def dealt(names: list[np.ndarray], blocks: list[np.ndarray]) -> pa.RecordBatch:
+            names, blocks = np.concatenate([*names, np.zeros(0, np.int64)]), np.concatenate([*blocks, np.zeros(0, U)])
+            bucket = (blocks >> U(48)) % U(buckets)
+            order = np.argsort(bucket, kind="stable")
+            at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
+            rows = [(i, packed(names[o], blocks[o])) for i in range(buckets) if len(o := order[at[i] : at[i + 1]])]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "packed"])
+
+        names, blocks, had, size = [], [], set(), 0
         for batch in batches:
-            names, blocks, had = [], [], set()
             for part in bounded_slices(batch, "text", SLICE_BYTES):
                 sets = []
                 for s in shingle_sets(words_of(part.column("text"))):
@@ -201,12 +213,11 @@ def block_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
                 owner, found = shown([s for _, s in sets], common)
                 names.append(np.array([n for n, _ in sets], np.int64)[owner])
                 blocks.append(found)
-            names, blocks = np.concatenate([*names, np.zeros(0, np.int64)]), np.concatenate([*blocks, np.zeros(0, U)])
-            bucket = (blocks >> U(48)) % U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
-            rows = [(i, packed(names[o], blocks[o])) for i in range(buckets) if len(o := order[at[i] : at[i + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "packed"])
+                size += len(found)
+                if size > AT_ONCE:
+                    yield dealt(names, blocks)
+                    names, blocks, had, size = [], [], set(), 0
+        yield dealt(names, blocks)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, blocks = [np.zeros(0, np.int64)], [np.zeros(0, U)]
@@ -371,24 +382,30 @@ def across(held: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its key, n_shingles and component_id (the least key that links reach)."""
     keys = materialize(shingle_keys(docs, key, text), "keys")
-    groups = groups_least = materialize(block_groups(docs, key, text), "blocks")
+    groups = materialize(block_groups(docs, key, text), "blocks")
     nodes = groups.select("sid").distinct()
     sets = materialize(exact_sets(docs, keys, nodes, key, text), "sets")
 
     nothing = keys.sparkSession.createDataFrame([], "a long, b long")
     labels, tested = None, nothing
-    for turn in range(MOST_ROUNDS + 1):
-        held = groups.select("block", "sid")
+    for turn in range(PROPOSED + 3):
+        held = groups
         if labels is not None:
             held = held.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left")
         held = held.withColumn("root", F.coalesce("root", "sid") if labels is not None else F.col("sid"))
         if labels is not None:  # blocks within one component are done with
             mixed = held.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
             held = materialize(held.join(mixed, "block", "left_semi"), "blocks")
-            groups = held.select("block", "sid")
-        last = turn == MOST_ROUNDS
-        first = groups_least.where("sid <> least").groupBy("sid").agg(F.min("least").alias("b")).select(F.col("sid").alias("a"), "b")
-        pairs = materialize((across(held, sets) if last else proposals(held, turn) if turn else first).join(tested, ["a", "b"], "left_anti"), "pairs")
+            groups = held.drop("root")
+        if turn == 0:  # against the least node of a block
+            pairs = groups.where("sid <> least").groupBy("sid").agg(F.min("least").alias("b")).select(F.col("sid").alias("a"), "b")
+        elif turn <= PROPOSED:  # against a few nodes of other components
+            pairs = proposals(held, turn)
+        elif turn == PROPOSED + 1:  # in full, in some blocks; what is linked there isn't told again by the others
+            pairs = across(held.where(F.pmod(F.xxhash64("block"), F.lit(WAVE)) == 0), sets)
+        else:
+            pairs = across(held, sets)
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = materialize(linked(pairs, sets), "links")
         tested = tested.unionByName(pairs)
         if not more.isEmpty():

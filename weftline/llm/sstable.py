@@ -44,7 +44,7 @@ SHARD_BYTES = 64 << 20
 BLOOM_BITS = 10  # a key
 BLOOM_HASHES = 7
 MARKS = list(".,!?:;")
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def key_bytes(key: int | None, repeat: int) -> bytes:
