@@ -77,8 +77,8 @@ def sketch(elements: np.ndarray) -> bytes:
 
 
 def short_sketch(blob: bytes) -> bytes:
-    """A quarter of a sketch's bits, within bounds, for comparing many at once."""
-    return folded(blob, min(max(len(blob) // 4, 64), 512)).tobytes()
+    """Half of a sketch's bits, within bounds, for comparing many at once."""
+    return folded(blob, min(max(len(blob) // 2, 128), 512)).tobytes()
 
 
 def folded(blob: bytes, size: int) -> np.ndarray:
