@@ -269,6 +269,19 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find_benchmark(d, b.limit(0)).count() == 0 and decontaminate.find_benchmark(d.limit(0), b).count() == 0
 
 
+def test_decontamination_finds_items_cut_at_an_end():
+    """Windows that keep exactly 0.8 of an item's shingles, or one less, however far their fingerprints lie."""
+    r = random.Random(12)
+    for n in (19, 24, 39, 54, 59):
+        items = [prose(r, n) for _ in range(40)]
+        index, lost = decontaminate.Index([" ".join(w) for w in items]), (n - 4) // 5
+        for gone, want in ((lost, [(i, i, 0.8) for i in range(40)]), (lost + 1, [])):
+            for front in (False, True):
+                other = [f"other{r.random()}" for _ in range(gone)]
+                docs = [" ".join(other + w[gone:] if front else w[: n - gone] + other) for w in items]
+                assert sorted(x[:3] for x in index.search(words.words_of(pa.array(docs)))) == want
+
+
 # ---- rules, models
 
 

@@ -1,16 +1,15 @@
 """Benchmark decontamination by SimHash windows.
 
 For each benchmark item of n words the documents' windows of n words, at every
-position, are compared by 64-bit SimHash of their words. Fingerprints are
-matched by multi-index hashing: cut into ``radius + 1`` blocks, two fingerprints
-within the radius agree on one block at least, so none within it is missed. The
-candidates are then verified exactly: similarity is the weighted overlap of
-five-word shingles (each with its number of occurrences), shared weight over
-the larger total. An item is found in a document where some window reaches the
-threshold.
+position, are compared with it. Similarity is the weighted overlap of five-word
+shingles (each with its number of occurrences), shared weight over the larger
+total. An item is found in a document where some window reaches the threshold.
 
-Before a window is fingerprinted, a bound that loses nothing is applied: a
-window can only reach the threshold if enough of its words occur in any item.
+Candidates lose nothing: they are the windows in which the item holds enough of
+the shingles, by place, to reach the threshold. They are verified exactly, in
+order of the distance of their 64-bit SimHash from the item's, so the best window
+mostly comes first; a later one is left out only if the number of shared places
+shows that it can't be better. No distance is too far.
 
 The benchmark is read in blocks of bounded size; each is broadcast and takes one
 pass over the documents, without a shuffle. Whole texts are read, in slices.
@@ -37,11 +36,11 @@ from .words import U, Words, ngrams, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 15
 SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 4 << 20  # of benchmark texts at once
 VOCABULARY_BITS = 20
-AT_ONCE = 1024
+AT_ONCE = 256  # windows
+WORDS_AT_ONCE = 1 << 16  # of fingerprinted windows
 
 
 def fingerprints(words: np.ndarray) -> np.ndarray:
@@ -58,43 +57,51 @@ def similarity(a: Counter, b: Counter) -> float:
     return sum((a & b).values()) / max(sum(a.values()), sum(b.values()), 1)
 
 
-def least_runs(n: int) -> int:
-    """How many of a window's runs of ``run_words(n)`` words must occur in items for it to reach the threshold
-    against one of n words: shared shingles on end share one run each, and the last one some more."""
-    k = min(SHINGLE, n)
-    return -(-int(round(100 * THRESHOLD)) * (n - k + 1) // 100) + k - run_words(n)
+def least_shared(n: int) -> int:
+    """How many of a window's shingles must occur in an item of n words for it to reach the threshold."""
+    return -(-int(round(100 * THRESHOLD)) * (n - shingle_words(n) + 1) // 100)
 
 
-def run_words(n: int) -> int:
-    return min(2, n)
+def shingle_words(n: int) -> int:
+    return min(SHINGLE, n)
+
+
+def reaching(places: np.ndarray, least: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint ranges (first, last), in order, of all starts s with ``least`` of the sorted ``places`` in s..s + span."""
+    if len(places) < least:
+        return places[:0], places[:0]
+    first, last = places[least - 1 :] - span, places[: len(places) - least + 1]
+    keep = first <= last
+    first, last = first[keep], last[keep]
+    first[1:] = np.maximum(first[1:], last[:-1] + 1)
+    keep = first <= last
+    return first[keep], last[keep]
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of disjoint ranges."""
+    sizes = last - first + 1
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 @dataclass
 class SizeIndex:
-    """Items of one number of words: their fingerprints, blocks and shingles."""
+    """Items of one number of words: their fingerprints and shingles, and which items hold a shingle."""
 
     n: int
     items: np.ndarray
     prints: np.ndarray
     shingles: list[Counter]
-    tables: list[dict[int, np.ndarray]]
-
-    def candidates(self, prints: np.ndarray, blocks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) within the radius: items that share a block, then the exact distance."""
-        near = np.zeros((len(prints), len(self.items)), bool)
-        for table, (shift, width) in zip(self.tables, blocks, strict=True):
-            value = (prints >> U(shift)) & U((1 << width) - 1)
-            for v, which in table.items():
-                near[np.ix_(np.flatnonzero(value == U(v)), which)] = True
-        w, i = np.nonzero(near)
-        close = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-        return w[close], i[close]
+    grams: np.ndarray  # sorted, one entry for each item that holds it
+    holders: np.ndarray
 
-
-def cut_blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks that cover 64 bits."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    def holding(self, at: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) for each place and item that holds its shingle, sorted."""
+        low, high = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, "right")
+        some = high > low
+        which, where = self.holders[spread(low[some], high[some] - 1)], np.repeat(at, high - low)
+        order = np.lexsort((where, which))
+        return which[order], where[order]
 
 
 class Index:
@@ -102,26 +109,34 @@ class Index:
 
     def __init__(self, texts: list[str]) -> None:
         words = words_of(pa.array(texts, pa.string()))
-        self.blocks, by_size = cut_blocks(RADIUS), defaultdict(list)
+        by_size = defaultdict(list)
         for i, (a, b) in enumerate(zip(words.ends_of[:-1], words.ends_of[1:], strict=True)):
             if b > a:
                 by_size[int(b - a)].append((i, words.hashes[a:b]))
-        self.known = {}
-        for q in {run_words(n) for n in by_size}:
-            self.known[q] = np.zeros(1 << VOCABULARY_BITS, bool)
-            self.known[q][self.places(words.hashes, q)] = True
-        self.sizes = []
+        self.sizes, grams = [], defaultdict(list)
         for n, held in sorted(by_size.items()):
-            prints = fingerprints(np.stack([h for _, h in held]))
-            tables = []
-            for shift, width in self.blocks:
-                value = (prints >> U(shift)) & U((1 << width) - 1)
-                tables.append({int(v): np.flatnonzero(value == v) for v in np.unique(value)})
-            self.sizes.append(SizeIndex(n, np.array([i for i, _ in held]), prints, [Counter(shingles(h).tolist()) for _, h in held], tables))
+            sets = [np.unique(shingles(h)) for _, h in held]
+            every, holders = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(every, kind="stable")
+            self.sizes.append(SizeIndex(n, np.array([i for i, _ in held]), fingerprints(np.stack([h for _, h in held])), [Counter(shingles(h).tolist()) for _, h in held], every[order], holders[order]))
+            grams[shingle_words(n)].append(every)
+        self.known = {}
+        for k, held in grams.items():
+            sorted_, seen = np.unique(np.concatenate(held)), np.zeros(1 << VOCABULARY_BITS, bool)
+            seen[self.slots(sorted_)] = True
+            self.known[k] = sorted_, seen
 
     @staticmethod
-    def places(hashes: np.ndarray, q: int) -> np.ndarray:
-        return (ngrams(hashes, q) >> U(64 - VOCABULARY_BITS)).view(np.int64)
+    def slots(grams: np.ndarray) -> np.ndarray:
+        return (grams >> U(64 - VOCABULARY_BITS)).view(np.int64)
+
+    def hits(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose ``k`` words are a shingle of any item, and the shingles."""
+        sorted_, seen = self.known[k]
+        grams = ngrams(hashes, k)
+        at = np.flatnonzero(seen[self.slots(grams)])
+        at = at[sorted_[np.minimum(np.searchsorted(sorted_, grams[at]), len(sorted_) - 1)] == grams[at]]
+        return at, grams[at]
 
     def search(self, words: Words) -> Iterator[tuple[int, int, float, int]]:
         """(text, item, similarity, first word of the best window), one for each text and item that is found in it."""
@@ -131,35 +146,58 @@ class Index:
             return
         counts = np.diff(ends)
         doc = np.repeat(np.arange(len(counts)), counts)
-        sums = {q: np.concatenate([[0], np.cumsum(known[self.places(hashes, q)], dtype=np.int32)]) for q, known in self.known.items()}
+        found = {k: self.hits(hashes, k) for k in self.known}
         for size in self.sizes:
-            n, need, q = size.n, least_runs(size.n), run_words(size.n)
-            seen = sums[q]
-            starts = np.zeros(0, np.int64)
-            if len(hashes) >= n:
-                starts = np.flatnonzero(seen[n - q + 1 :] - seen[: len(seen) - n + q - 1] >= need)
-                starts = starts[doc[starts] == doc[starts + n - 1]]
-            for at in range(0, len(starts), AT_ONCE):
-                some = starts[at : at + AT_ONCE]
-                self._verify(size, some, n, fingerprints(hashes[some[:, None] + np.arange(n)]), hashes, doc, ends, best)
-            short = np.flatnonzero((counts < n) & (counts >= need + q - 1) & (counts > 0))
-            for d in short[seen[np.maximum(ends[short + 1] - q + 1, ends[short])] - seen[ends[short]] >= need]:
-                a, m = ends[d], int(counts[d])
-                self._verify(size, np.array([a]), m, fingerprints(hashes[None, a : a + m]), hashes, doc, ends, best)
+            n, least, k = size.n, least_shared(size.n), shingle_words(size.n)
+            (at, grams), span = found[k], n - k
+            starts = spread(*reaching(at, least, span))
+            starts = starts[(starts >= 0) & (starts + n <= len(hashes))]
+            starts = starts[doc[starts] == doc[starts + n - 1]]
+            for part in range(0, len(starts), AT_ONCE):
+                some = starts[part : part + AT_ONCE]
+                a, b = np.searchsorted(at, [some[0], some[-1] + span + 1])
+                window = np.searchsorted(some, at[a:b], "right") - 1
+                inside = some[window] >= at[a:b] - span
+                which, where = size.holding(at[a:b][inside], grams[a:b][inside])
+                keys = which * (len(hashes) + n) + where  # places of different items lie more than a window apart
+                pairs = spread(*reaching(keys, least, span))
+                shared = np.searchsorted(keys, pairs + span, "right") - np.searchsorted(keys, pairs)
+                items, s = pairs // (len(hashes) + n), pairs % (len(hashes) + n)
+                here = np.isin(s, some)
+                self._verify(size, s[here], n, items[here], shared[here], hashes, doc, ends, best)
+            ends_at = np.searchsorted(at, ends)
+            short = (counts < n) & (np.diff(ends_at) >= least)
+            for d in np.flatnonzero(short):
+                a, b, m = ends_at[d], ends_at[d + 1], int(counts[d])
+                inside = at[a:b] + k <= ends[d + 1]
+                items, shared = np.unique(size.holding(at[a:b][inside], grams[a:b][inside])[0], return_counts=True)
+                items, shared = items[shared >= least], shared[shared >= least]
+                self._verify(size, np.full(len(items), ends[d]), m, items, shared, hashes, doc, ends, best)
         for (d, i), (score, at) in best.items():
             yield d, i, score, at
 
-    def _verify(self, size: SizeIndex, starts: np.ndarray, n: int, prints: np.ndarray, hashes: np.ndarray, doc: np.ndarray, ends: np.ndarray, best: dict) -> None:
+    def _verify(self, size: SizeIndex, starts: np.ndarray, n: int, items: np.ndarray, shared: np.ndarray, hashes: np.ndarray, doc: np.ndarray, ends: np.ndarray, best: dict) -> None:
+        """Compares windows of ``n`` words with items exactly, the nearest fingerprints first; one is left out only if
+        ``shared``, the places of the window that the item holds, shows that it can't beat the best so far."""
+        windows, of = np.unique(starts, return_inverse=True)
+        step = max(1, WORDS_AT_ONCE // n)
+        prints = [fingerprints(hashes[windows[i : i + step, None] + np.arange(n)]) for i in range(0, len(windows), step)]
+        if not prints:
+            return
+        far = np.bitwise_count(np.concatenate(prints)[of] ^ size.prints[items])
+        total = size.n - shingle_words(size.n) + 1
         made: dict[int, Counter] = {}
-        for w, i in zip(*size.candidates(prints, self.blocks), strict=True):
-            a = int(starts[w])
-            if w not in made:
-                made[w] = Counter(shingles(hashes[a : a + n]).tolist())
-            score = similarity(made[w], size.shingles[i])
-            if score >= THRESHOLD - 1e-12:
-                key = (int(doc[a]), int(size.items[i]))
-                if score > best.get(key, (0.0, 0))[0]:
-                    best[key] = (score, a - int(ends[doc[a]]))
+        for j in np.lexsort((starts, far)):
+            a, i = int(starts[j]), items[j]
+            key, first = (int(doc[a]), int(size.items[i])), a - int(ends[doc[a]])
+            score, at = best.get(key, (0.0, 0))
+            if (shared[j] / total, -first) <= (score, -at):
+                continue
+            if a not in made:
+                made[a] = Counter(shingles(hashes[a : a + n]).tolist())
+            exact = similarity(made[a], size.shingles[i])
+            if exact >= THRESHOLD - 1e-12 and (exact, -first) > (score, -at):
+                best[key] = (exact, first)
 
 
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, list[str]]]:
