@@ -407,6 +407,20 @@ def test_secrets_lexing():
     assert secrets.redact('a password="abcd1234!" b', secrets.base_spans('a password="abcd1234!" b')) == 'a password="[SECRET]!" b'
 
 
+def test_secrets_without_caps():
+    literal = lambda t: [t[s.start : s.end] for s in secrets.scan(t) if s.kind == "literal"]
+    r = random.Random(4)
+    parts = ["".join(r.choice("aB3xYz9Qw7!kLm") for _ in range(14)) + str(i) for i in range(60)]
+    joined = "x = " + " + ".join(f'"{p}"' for p in parts)
+    assert literal(f"{joined}\ndb_pwd = x\n") == parts
+    assert literal("".join(f'x = x + "{p}"\n' for p in ["", *parts]) + "db_pwd = x\n") == parts
+    assert len(literal('x = "aB3xYz9Qw7"\n' + "x = x + x\n" * 5000 + "db_pwd = x\n")) == 1
+    for n in (4096, 4500, 300_000):
+        long = "".join(r.choice("aB3xYz9Qw7/kLm") for _ in range(n))
+        for t in (f'private_key = "{long}"', f"private_key: '{long}'", f"private_key = `{long}`", f"<private_key>{long}</private_key>", f'setPassphrase("{long}")'):
+            assert literal(t) == [long] and long not in secrets.redact(t, secrets.scan(t))
+
+
 # ---- pipeline
 
 

@@ -60,10 +60,10 @@ HINTS = ("pass", "pwd", "secret", "token", "cred", "key", "auth", "bearer")
 # Literals that stand for a secret without being one.
 STAND_INS = {"changeme", "password", "passwd", "secret", "example", "placeholder", "redacted", "undefined", "required", "optional", "none", "null", "true", "false", "todo", "string", "your_password", "your_token", "username"}
 NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]{0,127}"
-LITERAL = r"\"(?:[^\"\\\n]|\\.){0,4096}\"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`"
+LITERAL = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
 PAIR = re.compile(
     rf"[\"']?(?P<name>{NAME})[\"']?\]?[ \t]*(?::=|=>|==?|:)[ \t]*(?P<value>(?:{LITERAL}|{NAME})(?:[ \t]*[+.][ \t]*(?:{LITERAL}|{NAME}))*|[^\s\"'`,;<>()\[\]{{}}]+)"
-    rf"|<(?P<tag>{NAME})>(?P<inner>[^<>\n]{{1,4096}})</(?P=tag)>"
+    rf"|<(?P<tag>{NAME})>(?P<inner>[^<>\n]++)</(?P=tag)>"
     rf"|\b(?:set|with|put|add)_?(?P<setter>[A-Za-z_]{{3,64}})\([ \t]*(?P<argument>{LITERAL})"
 )
 PART = re.compile(rf"(?P<quoted>{LITERAL})|(?P<ref>{NAME})")
@@ -135,18 +135,27 @@ def literal_spans(text: str) -> list[Span]:
     lower = text.lower()
     if not any(h in lower for h in HINTS) or not any(c in text for c in "=:<("):
         return []
-    known: dict[str, list[tuple[int, int, bool]]] = {}
+    known: dict[str, int] = {}
+    nodes: list[tuple[list[tuple[int, int, bool]], list[int]]] = []  # literals of a constant, and the constants it is made of
+    told: dict[int, float] = {}  # the highest score by which a constant's literals were judged
     found: set[tuple[int, int]] = set()
     for name, literals, refs in pairs(text):
-        through = [x for r in refs for x in known.get(r, ())]
-        reach = [x for x in literals if x[2]] + through or literals
-        if any(x[2] for x in reach):
-            known[name] = [x for x in reach if x[2]][:16]
+        through = list({known[r] for r in refs if r in known})
+        own = [x for x in literals if x[2]] if through else [x for x in literals if x[2]] or literals
+        if through or any(x[2] for x in own):
+            known[name] = len(nodes)
+            nodes.append((own, through))
         score = name_score(name)
         if score >= 2.0:
-            for start, end, quoted in reach:
-                if score + literal_score(text[start:end], quoted) >= LEAST_SCORE:
-                    found.add((start, end))
+            while True:
+                found.update(x[:2] for x in own if score + literal_score(text[x[0] : x[1]], x[2]) >= LEAST_SCORE)
+                while through and told.get(through[-1], 0.0) >= score:
+                    through.pop()
+                if not through:
+                    break
+                told[through[-1]] = score
+                own, more = nodes[through.pop()]
+                through = through + more
     return [Span(a, b, "literal", a) for a, b in sorted(found)]
 
 
