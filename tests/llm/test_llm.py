@@ -421,6 +421,18 @@ def test_secrets_without_caps():
             assert literal(t) == [long] and long not in secrets.redact(t, secrets.scan(t))
 
 
+def test_secrets_in_configuration_and_over_lines():
+    literal = lambda t: [t[s.start : s.end] for s in secrets.scan(t) if s.kind == "literal"]
+    for ref in ("$K", "${K}", '"$K"', '"${K}"', "K"):
+        assert literal(f"K=aB3xYz9Qw77\nDB_PWD={ref}\n") == ["aB3xYz9Qw77"]
+    assert literal("K=aB3xYz9Qw77\nL=${K}\ndb_pwd: $L\n") == ["aB3xYz9Qw77"]
+    key = "aB3xYz9Qw77kLmaB3xYz9Qw77kLm"
+    for t in (f'{{"db_pwd":\n  "{key}"}}', f"db_pwd =\n  '{key}'", f"db_pwd: |\n  {key}\nx: y\n", f"db_pwd: >-\n\n   {key}", f'db_pwd = """\n{key}\n"""', "db_pwd = " + 3 * "'" + key + 3 * "'", f"db_pwd:\n  {key}\n", f"conf: |\n  db_pwd = '{key}'\n  x: y\n", f"<db_pwd>\n{key}\n</db_pwd>", f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----", f'x: `a\ndb_pwd = "{key}"\n`'):
+        assert literal(t) == [key], t
+    for clean in ('db_pwd:\n  "aB3xYz9Qw77": 5', "db_pwd:\n  aB3xYz9Qw77: 5", "K=aB3xYz9Qw77\ntitle=$K", "the password:\nwas found", 'db_pwd: |\ntitle: "aB3xYz9Qw77"', "DB_PWD=${K}"):
+        assert literal(clean) == [], clean
+
+
 # ---- pipeline
 
 

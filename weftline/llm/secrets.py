@@ -1,16 +1,17 @@
 """Secret scan: fixed patterns, and assignments read as name-literal pairs.
 
 The base kinds are patterns over the whole text. Beside them the text is lexed
-as source code or configuration: lines are cut into names, operators, quoted
+as source code or configuration: it is cut into names, operators, quoted
 literals and bare words; assignments in the usual spellings (``name = "x"``,
 ``"name": "x"``, ``name: x``, ``NAME=x``, ``name => "x"``, ``<name>x</name>``,
-``setName("x")``) give name-literal pairs; a name assigned to a sensitive name
-passes its literal on; and each literal is scored by what its target's name
+``setName("x")``) give name-literal pairs, also where the value lies on a later
+line or takes several (triple quotes, block scalars); a name assigned to a sensitive
+name (``x``, ``$x``, ``${x}``) passes its literals on, quoted or not; and each literal is scored by what its target's name
 says and what the literal looks like. Literals that score high enough are added
-as spans of kind ``literal``, unless a base span covers them.
+as spans of kind ``literal``, unless a base span covers them; of several lines each
+is judged by itself. So are the lines of PEM private keys.
 
-Nulls and empty texts have no spans. The whole text is read, line by line for
-the lexer. Rows that repeat give repeated rows. Only the key and the text are
+Nulls and empty texts have no spans. The whole text is read. Rows that repeat give repeated rows. Only the key and the text are
 read, so other columns may have any names.
 """
 
@@ -60,13 +61,22 @@ HINTS = ("pass", "pwd", "secret", "token", "cred", "key", "auth", "bearer")
 # Literals that stand for a secret without being one.
 STAND_INS = {"changeme", "password", "passwd", "secret", "example", "placeholder", "redacted", "undefined", "required", "optional", "none", "null", "true", "false", "todo", "string", "your_password", "your_token", "username"}
 NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]{0,127}"
-LITERAL = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
+TRIPLE = r"\"\"\"(?s:.*?)\"\"\"|'{3}(?s:.*?)'{3}"
+LITERAL = rf"{TRIPLE}|\"(?:[^\"\\\n]|\\(?s:.))*+\"|'(?:[^'\\\n]|\\(?s:.))*+'|`[^`]*+`"
+BRACED = r"\$\{[^{}\s\"'`]+\}"
+BARE = r"[^\s\"'`,;<>()\[\]{}]+"
+ELEMENT = rf"(?:{LITERAL}|{BRACED}|{NAME})"
+MORE = rf"(?:[ \t]*(?:\r?\n[ \t]*)?[+.][ \t]*(?:\r?\n[ \t]*)?{ELEMENT})*+"
 PAIR = re.compile(
-    rf"[\"']?(?P<name>{NAME})[\"']?\]?[ \t]*(?::=|=>|==?|:)[ \t]*(?P<value>(?:{LITERAL}|{NAME})(?:[ \t]*[+.][ \t]*(?:{LITERAL}|{NAME}))*|[^\s\"'`,;<>()\[\]{{}}]+)"
-    rf"|<(?P<tag>{NAME})>(?P<inner>[^<>\n]++)</(?P=tag)>"
-    rf"|\b(?:set|with|put|add)_?(?P<setter>[A-Za-z_]{{3,64}})\([ \t]*(?P<argument>{LITERAL})"
+    rf"[\"']?(?P<name>{NAME})[\"']?\]?[ \t]*(?::=|=>|==?|:)"
+    rf"(?:(?P<block>[ \t]*[|>][+\-0-9]*[ \t\r]*(?=\n))|[ \t]*(?P<value>{ELEMENT}{MORE}|{BARE})|[ \t]*\r?\n\s*(?P<later>(?:{LITERAL}){MORE})(?![ \t]*[:=])"
+    rf"|[ \t]*\r?\n[ \t]+(?P<below>{BARE})(?<!:)(?=[ \t\r]*(?:\n|\Z)))"
+    rf"|<(?P<tag>{NAME})>(?P<inner>[^<>]++)</(?P=tag)>"
+    rf"|\b(?:set|with|put|add)_?(?P<setter>[A-Za-z_]{{3,64}})\(\s*(?P<argument>{LITERAL})"
 )
-PART = re.compile(rf"(?P<quoted>{LITERAL})|(?P<ref>{NAME})")
+PART = re.compile(rf"(?P<quoted>{LITERAL})|(?P<ref>{BRACED}|{NAME})")
+INNER = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.\-]*)|([A-Za-z_][A-Za-z0-9_]*))")  # names within a literal
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----([^-]++)-----END")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 LEAST_SCORE = 4.0
 
@@ -104,51 +114,80 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
+def block_end(text: str, start: int, at: int) -> int:
+    """Where the lines after ``at`` that are blank or indented more than the line of ``start`` end."""
+    first = text.rfind("\n", 0, start) + 1
+    deep = len(text[first:start]) - len(text[first:start].lstrip(" \t"))
+    return re.compile(rf"(?:\n(?:[ \t]{{{deep + 1},}}[^\n]*|[ \t\r]*(?=\n)))*").match(text, at).end()
+
+
+def inner_names(text: str) -> list[str]:
+    return [a or b for a, b in INNER.findall(text)] if "$" in text else []
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]], list[str]]]:
-    """Name, the literals on the right (start, end, quoted) and the names on the right, for each assignment."""
+    """Name, the literals on the right (start, end, quoted) and the names on the right, for each assignment.
+    What is within a value that takes several lines, or lies on a later line than its name, is lexed too."""
     at = 0
-    for line in text.split("\n"):
-        for m in PAIR.finditer(line):
-            name = m["name"] or m["tag"] or m["setter"]
-            if m["tag"]:
-                yield name, [(at + m.start("inner"), at + m.end("inner"), True)], []
-                continue
-            group = "value" if m["name"] else "argument"
-            held, base = m[group], at + m.start(group)
-            if held[0] not in "\"'`" and not re.fullmatch(rf"{NAME}(?:[ \t]*[+.].*)?", held):
-                yield name, [(base, base + len(held), False)], []
-                continue
-            literals, refs = [], []
-            for p in PART.finditer(held):
-                if p["quoted"]:
-                    literals.append((base + p.start() + 1, base + p.end() - 1, True))
-                else:
-                    refs.append(p["ref"])
-            if not literals and len(refs) == 1 and refs[0] == held.strip():
-                literals = [(base, base + len(held), False)]
-            yield name, literals, refs
-        at += len(line) + 1
+    while m := PAIR.search(text, at):
+        at, name = m.end(), m["name"] or m["tag"] or m["setter"]
+        group = next(g for g in ("value", "later", "below", "block", "inner", "argument") if m[g] is not None)
+        held, base = m[group], m.start(group)
+        if group == "block":
+            yield name, [(at, block_end(text, m.start(), at), True)], []
+            continue
+        if group in ("later", "below") or "\n" in held:
+            at = base + (group != "below" and held[0] in "\"'`<")
+        if group == "inner":
+            yield name, [(base, base + len(held), True)], inner_names(held)
+            continue
+        if held[0] not in "\"'`" and not held.startswith("${") and not re.fullmatch(rf"{NAME}(?:\s*[+.].*)?", held, re.DOTALL):
+            yield name, [(base, base + len(held), False)], inner_names(held)
+            continue
+        literals, refs = [], []
+        for p in PART.finditer(held):
+            if p["quoted"]:
+                marks = 3 if re.match(TRIPLE, p["quoted"]) else 1
+                literals.append((base + p.start() + marks, base + p.end() - marks, True))
+                refs += inner_names(p["quoted"])
+            else:
+                refs += inner_names(p["ref"]) or [p["ref"]]
+        if not literals and len(refs) == 1 and not held.startswith("${") and PART.fullmatch(held.strip()):
+            literals = [(base, base + len(held), False)]
+        yield name, literals, refs
+
+
+def lines_of(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The literal itself, or of one that takes several lines each line that isn't blank, without space around it."""
+    if "\n" not in text[start:end]:
+        yield start, end
+        return
+    for m in re.finditer(r"\S(?:[^\n]*\S)?", text[start:end]):
+        yield start + m.start(), start + m.end()
 
 
 def literal_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name, directly or through names assigned before."""
+    """Literals that reach a sensitive name, directly or through names assigned before, and the lines of private keys."""
     lower = text.lower()
-    if not any(h in lower for h in HINTS) or not any(c in text for c in "=:<("):
+    if not any(h in lower for h in HINTS) or not any(c in text for c in ("=", ":", "<", "(", "-----BEGIN")):
         return []
     known: dict[str, int] = {}
     nodes: list[tuple[list[tuple[int, int, bool]], list[int]]] = []  # literals of a constant, and the constants it is made of
     told: dict[int, float] = {}  # the highest score by which a constant's literals were judged
-    found: set[tuple[int, int]] = set()
+    found = {x for m in PEM.finditer(text) for x in lines_of(text, *m.span(1)) if literal_score(text[x[0] : x[1]], True) > 0}
     for name, literals, refs in pairs(text):
-        through = list({known[r] for r in refs if r in known})
+        through = list({known[r] for r in (r.lstrip("$") for r in refs) if r in known})
         own = [x for x in literals if x[2]] if through else [x for x in literals if x[2]] or literals
-        if through or any(x[2] for x in own):
-            known[name] = len(nodes)
-            nodes.append((own, through))
+        if through or own:
+            name_ = name.lstrip("$")
+            bare = not through and not any(x[2] for x in own) and name_ in known  # an unquoted word doesn't displace what is known
+            nodes.append((own, [known[name_]] if bare else list(through)))
+            known[name_] = len(nodes) - 1
         score = name_score(name)
         if score >= 2.0:
             while True:
-                found.update(x[:2] for x in own if score + literal_score(text[x[0] : x[1]], x[2]) >= LEAST_SCORE)
+                for start, end, quoted in own:
+                    found.update(x for x in lines_of(text, start, end) if score + literal_score(text[x[0] : x[1]], quoted) >= LEAST_SCORE)
                 while through and told.get(through[-1], 0.0) >= score:
                     through.pop()
                 if not through:
