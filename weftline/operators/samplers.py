@@ -307,6 +307,11 @@ class SamplerSpec:
     conditional_params: dict[str, dict[str, Any]] = field(default_factory=dict)
     convert_to: str | None = None
 
+    @property
+    def by_numpy(self) -> bool:
+        """Whether Arrow functions draw it, which can't stand within a lambda."""
+        return any(p.get("dist_name") in NUMPY_NAMES for p in (self.params, *self.conditional_params.values()))
+
     def one(self, params: dict[str, Any], draw: Draw) -> Column:
         if self.kind not in SAMPLERS:
             raise SamplerError(f"no sampler is named {self.kind!r}")
@@ -330,6 +335,8 @@ class SamplerSpec:
 
 OPERATORS: dict[str, Callable[[Column, Column], Column]] = {"lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b}
 TRIES = 32
+#: Further draws of rows that are left, in stages; only rows that failed all earlier ones make them.
+FURTHER = (1 << 10, 1 << 16)
 #: Kinds that make structs of people, by another module.
 SEEDLESS_KINDS = ("person", "person_from_faker")
 
@@ -355,11 +362,10 @@ class Constraint:
         return OPERATORS[self.operator](value, rhs)
 
 
-def constrained(draws: Callable[[int], Column], constraints: list[Constraint], tries: int = TRIES) -> Column:
-    """The first of ``tries`` draws that meets all constraints; null if none does."""
+def constrained(draws: Callable[[int], Column], constraints: list[Constraint], tries: int = TRIES, further: Callable[[Column], Column] | None = None) -> Column:
+    """The first of ``tries`` draws that meets all constraints, then of ``FURTHER`` ones, whose number is a column; null if none does."""
     if not constraints:
         return draws(0)
-    held = F.array(*(draws(k) for k in range(tries)))
 
     def good(x: Column) -> Column:
         out = F.lit(True)
@@ -367,4 +373,8 @@ def constrained(draws: Callable[[int], Column], constraints: list[Constraint], t
             out = out & c.holds(x)
         return out
 
-    return F.try_element_at(F.filter(held, good), F.lit(1))
+    held, at = [F.array(*(draws(k) for k in range(tries)))], 1
+    for n in FURTHER if further else ():
+        held.append(F.transform(F.sequence(F.lit(at).cast("long"), F.lit(at + n - 1).cast("long")), lambda k: further(k)))
+        at += n
+    return F.coalesce(*(F.try_element_at(F.filter(x, good), F.lit(1)) for x in held))
