@@ -369,6 +369,25 @@ def test_hmm_scores(spark):
     assert hmm.score_lm(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2])
+def test_hmm_counts_the_end_of_few_texts(spark, n):
+    """The end token occurs too rarely, or less than all tokens that the table holds."""
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = ["a a a a b b b b c c c d"] * n
+    ids = [i for i in range(40) if not out(i)][:n]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    c = collections.Counter(x for t in texts for x in [*t.split(), None])
+    total, distinct = sum(c.values()), len(c)
+    base = sum(math.log10((c[x] + 1) / (total + distinct + 1)) for x in [*texts[0].split(), None])
+    scores = []
+    for size in (hmm.TABLE, 2):
+        for x in hmm.score_lm(df, rounds=1, table=size).collect():
+            assert (x.n_tokens, x.n_known, x.train_tokens) == (13, 13, total)
+            assert abs(x.base_score - base) < 1e-6 and x.score < 0
+            scores.append(x.score)
+    assert len(scores) == 2 * n
+
+
 # ---- secrets
 
 

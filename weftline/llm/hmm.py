@@ -282,7 +282,9 @@ def score_lm(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: in
             break
         least, kept = r["c"], kept + r["n"]
     whole = kept == sum(r["n"] for r in sizes)
-    got = counts.where(F.col("c") >= least).orderBy(F.col("c").desc(), "token").limit(table) if kept > table else counts.where(F.col("c") >= least)
+    end = F.col("token") == END  # always in the table, as it has a symbol of its own
+    got = counts.where((F.col("c") >= least) | end)
+    got = got.orderBy(end.desc(), F.col("c").desc(), "token").limit(table) if kept > table else got
     got = got.select("token", "c").toArrow()
     known = Table(np.asarray(got["token"]).astype(np.int64), np.asarray(got["c"]).astype(np.int64))
 
