@@ -161,6 +161,21 @@ def test_constraints_few_draws_meet(spark):
     assert Engine(spark).preview(b, 300).where("g > low").count() == 300
 
 
+def test_flagship_net(spark):
+    """The column that the registered query leaves out, as its SQL doesn't have it."""
+    from weftline.queries import flagship_config
+
+    orders = spark.createDataFrame([(i, i % 7, "FOP"[i % 3], 1000.5 * i) for i in range(1, 91)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    rows = Planner(spark, flagship_config(orders).build()).plan(90).collect()
+    assert len(rows) == 90 and {r.o_orderkey for r in rows} == set(range(1, 91))
+    for r in rows:
+        if r.o_orderstatus == "P":
+            assert r.net is None
+        else:
+            # expressions see the discount before it is rounded to two places
+            assert abs(r.net - r.o_totalprice * (100 - r.discount) / 100) <= r.o_totalprice * 0.00005 + 1e-6
+
+
 def test_lint():
     b = Builder()
     b.add_column(name="e", kind="expression", expr="{{ nowhere }}", skip=Skip("gone == 1"))
