@@ -282,6 +282,42 @@ def test_decontamination_finds_items_cut_at_an_end():
                 assert sorted(x[:3] for x in index.search(words.words_of(pa.array(docs)))) == want
 
 
+@pytest.mark.parametrize("n", [9, 15, 20, 30, 40, 50, 80, 120, 200])
+def test_radius_covers_the_threshold(n):
+    """Of windows that keep a contiguous 0.8 of an item's shingles, all lie within the radius; of unrelated ones, few do."""
+    g = np.random.default_rng(n)
+    places = n - 4
+    lost = places - -(-80 * places // 100)
+    a = g.integers(0, 2**63, (2000, places)).astype(words.U)
+    b = a.copy()
+    b[:, places - lost :] = g.integers(0, 2**63, (2000, lost)).astype(words.U)
+    x, y = (decontaminate.fingerprints(decontaminate.elements(m)) for m in (a, b))
+    assert (decontaminate.distances(x, y) <= decontaminate.RADIUS).all()
+    assert (decontaminate.distances(x, np.roll(y, 1, axis=0)) <= decontaminate.RADIUS).mean() < 0.02
+
+
+def test_blocks_name_every_fingerprint_within_the_radius():
+    g = np.random.default_rng(3)
+    items = g.integers(0, 2**63, (300, 12)).astype(words.U)
+    size = decontaminate.SizeIndex(16, np.arange(300), items)
+    asked = np.concatenate([size.prints ^ np.packbits(g.random((300, 128)) < share, axis=1) for share in (0.1, 0.25, 0.35, 0.5)])
+    got = {(int(i), int(j)) for which, item in size.near(asked) for i, j in zip(which, item, strict=True)}
+    far = np.bitwise_count(asked.view(words.U)[:, None, :] ^ size.prints.view(words.U)[None, :, :]).sum(axis=2)
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS)), strict=True))
+
+
+def test_decontamination_of_long_items_and_clashing_columns(spark):
+    """An item of 20,000 words, in a text that holds it twice and in one that lost a sixth; columns named like the operator's own."""
+    r = random.Random(77)
+    w = prose(r, 20000)
+    docs = [" ".join(["before", *w, "between", *w]), " ".join(w[:17000] + [f"z{i}" for i in range(3000)]), " ".join(w[:15000])]
+    d = table(spark, docs).withColumn("key", F.lit("k")).withColumn("item", F.lit("i")).withColumn("item_id", F.lit(1)).withColumn("similarity", F.lit(0.5))
+    b = spark.createDataFrame([(1, " ".join(w), "t")], "item_id long, text string, key string")
+    assert [(x.doc_id, round(x.similarity, 3), x.first_word) for x in decontaminate.find_benchmark(d, b).orderBy("doc_id").collect()] == [(0, 1.0, 1), (1, 0.85, 0)]
+    left = decontaminate.drop_contaminated(d, b)
+    assert left.columns == d.columns and [x.doc_id for x in left.collect()] == [2]
+
+
 # ---- rules, models
 
 

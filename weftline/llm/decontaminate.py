@@ -5,24 +5,37 @@ position, are compared with it. Similarity is the weighted overlap of five-word
 shingles (each with its number of occurrences), shared weight over the larger
 total. An item is found in a document where some window reaches the threshold.
 
-Candidates lose nothing: they are the windows in which the item holds enough of
-the shingles, by place, to reach the threshold. They are verified exactly, in
-order of the distance of their 64-bit SimHash from the item's, so the best window
-mostly comes first; a later one is left out only if the number of shared places
-shows that it can't be better. No distance is too far.
+The k-th occurrence of a shingle is an element of its own, so the weighted
+overlap is the overlap of two sets, and a window that reaches the threshold has
+an angle of at most arccos(0.8) to the item. Each bit of a SimHash over the
+elements differs then with a chance of 0.205 at most, whatever the texts are, and
+of 128 bits more than ``RADIUS`` differ with a chance of less than 3 in a million.
+
+Candidates are found by blocks: fingerprints within the radius differ in at most
+``FLIPS`` bits in one of the 16 blocks of 8 bits, and a table for each block and
+value names the items that near it, so no fingerprint within the radius is
+missed. Their distance is then taken over all bits, and what lies within the
+radius is verified exactly. A radius that loses nothing at 0.8 is wide, so the
+blocks alone would leave most items of a size as candidates of any window; but
+only windows are fingerprinted in which enough shingles, by place, belong to
+some item of their size to reach the threshold. That leaves none out and passes
+few windows besides those that hold an item.
 
 The benchmark is read in blocks of bounded size; each is broadcast and takes one
-pass over the documents, without a shuffle. Whole texts are read, in slices.
+pass over the documents, without a shuffle. Whole texts are read, in slices, and
+fingerprints are made in pieces of bounded size, whatever the items' lengths.
 
 Nulls and empty texts contain nothing; null or empty items are found nowhere.
 Items of fewer than five words have one shingle, their whole sequence. A document
 shorter than an item is one window. Repeated documents or items give their own
-rows; a null id stays null. Ties between windows go to the first.
+rows; a null id stays null. Ties between windows go to the first. An empty table
+on either side gives no row. Other columns, whatever their names, aren't read by
+``find_benchmark`` and pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,29 +45,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_slices
-from .words import U, Words, ngrams, words_of
+from .words import U, Words, mix, ngrams, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
 SLICE_BYTES = 1 << 20
-BLOCK_BYTES = 4 << 20  # of benchmark texts at once
+BLOCK_BYTES = 16 << 20  # of benchmark texts at once
 VOCABULARY_BITS = 20
-AT_ONCE = 256  # windows
-WORDS_AT_ONCE = 1 << 16  # of fingerprinted windows
-
-
-def fingerprints(words: np.ndarray) -> np.ndarray:
-    """SimHash of each row of a matrix of word hashes."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(*words.shape, 8), axis=2)
-    return np.packbits(2 * bits.sum(axis=1, dtype=np.int32) > words.shape[1], axis=1).view(U).ravel()
-
-
-def shingles(words: np.ndarray) -> np.ndarray:
-    return ngrams(words, min(SHINGLE, len(words))) if len(words) else words
-
-
-def similarity(a: Counter, b: Counter) -> float:
-    return sum((a & b).values()) / max(sum(a.values()), sum(b.values()), 1)
+BITS = 128  # of a fingerprint
+RADIUS = 48
+BLOCKS = BITS // 8
+FLIPS = RADIUS // BLOCKS
+AT_ONCE = 1 << 14  # elements that are fingerprinted at once
+PAIRS_AT_ONCE = 1 << 20  # of windows and items
+#: NEAR[v, w]: whether two values of a block differ in FLIPS bits at most.
+NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= FLIPS
+
+
+def elements(grams: np.ndarray) -> np.ndarray:
+    """Each row's shingles, told apart by occurrence: the same number of rows and columns, in any order."""
+    grams = np.sort(grams, axis=1)
+    place = np.broadcast_to(np.arange(grams.shape[1]), grams.shape)
+    begins = np.ones(grams.shape, bool)
+    begins[:, 1:] = grams[:, 1:] != grams[:, :-1]
+    nth = place - np.maximum.accumulate(np.where(begins, place, 0), axis=1)
+    return mix(grams + nth.astype(U) * U(0xD1B54A32D192ED03))
+
+
+def fingerprints(held: np.ndarray) -> np.ndarray:
+    """SimHash of each row of elements, as BLOCKS bytes; read in pieces of at most ``AT_ONCE`` elements."""
+    out = np.zeros((len(held), BLOCKS), np.uint8)
+    wide = max(1, min(held.shape[1], AT_ONCE))
+    step = max(1, AT_ONCE // wide)
+    for at in range(0, len(held), step):
+        rows = held[at : at + step]
+        ones = np.zeros((len(rows), BITS), np.int64)
+        for a in range(0, held.shape[1], wide):
+            some = rows[:, a : a + wide]
+            both = np.stack([some, mix(some ^ U(0xA5A5))], axis=2).view(np.uint8)
+            ones += np.unpackbits(both, axis=2).sum(axis=1, dtype=np.int32)
+        out[at : at + step] = np.packbits(2 * ones > held.shape[1], axis=1)
+    return out
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a.view(U) ^ b.view(U)).sum(axis=1, dtype=np.int64)
 
 
 def least_shared(n: int) -> int:
@@ -84,24 +119,52 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-@dataclass
+def contains(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
 class SizeIndex:
-    """Items of one number of words: their fingerprints and shingles, and which items hold a shingle."""
+    """Items of one number of words: their shingles, their fingerprints by block, and their elements."""
+
+    def __init__(self, n: int, items: np.ndarray, grams: np.ndarray) -> None:
+        self.n, self.items, self.total = n, items, grams.shape[1]
+        self.grams = np.unique(grams)
+        held = elements(grams)
+        self.prints = fingerprints(held)
+        self.tables = [np.packbits(NEAR[:, self.prints[:, b]], axis=1) for b in range(BLOCKS)]
+        self.members = np.sort(self.of_item(held, np.arange(len(items))).ravel())
 
-    n: int
-    items: np.ndarray
-    prints: np.ndarray
-    shingles: list[Counter]
-    grams: np.ndarray  # sorted, one entry for each item that holds it
-    holders: np.ndarray
+    @staticmethod
+    def of_item(held: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return mix(held ^ mix(item.astype(U) + U(3))[:, None])
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of prints, item) for all that lie within the radius."""
+        step = max(1, PAIRS_AT_ONCE // len(self.items))
+        for at in range(0, len(prints), step):
+            some = prints[at : at + step]
+            named = self.tables[0][some[:, 0]].copy()
+            for b in range(1, BLOCKS):
+                named |= self.tables[b][some[:, b]]
+            which, item = np.nonzero(np.unpackbits(named, axis=1, count=len(self.items)))
+            good = distances(some[which], self.prints[item]) <= RADIUS
+            yield which[good] + at, item[good]
+
+    def shared(self, held: np.ndarray, which: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For each pair of a row and an item, how many elements they share, exactly."""
+        out, step = np.zeros(len(item), np.int64), max(1, PAIRS_AT_ONCE // held.shape[1])
+        for at in range(0, len(item), step):
+            to = slice(at, at + step)
+            out[to] = contains(self.members, self.of_item(held[which[to]], item[to])).sum(axis=1)
+        return out
 
-    def holding(self, at: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place) for each place and item that holds its shingle, sorted."""
-        low, high = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, "right")
-        some = high > low
-        which, where = self.holders[spread(low[some], high[some] - 1)], np.repeat(at, high - low)
-        order = np.lexsort((where, which))
-        return which[order], where[order]
+
+@dataclass
+class Found:
+    doc: np.ndarray
+    item: np.ndarray
+    similarity: np.ndarray
+    first: np.ndarray
 
 
 class Index:
@@ -112,14 +175,14 @@ class Index:
         by_size = defaultdict(list)
         for i, (a, b) in enumerate(zip(words.ends_of[:-1], words.ends_of[1:], strict=True)):
             if b > a:
-                by_size[int(b - a)].append((i, words.hashes[a:b]))
+                by_size[int(b - a)].append((i, a))
         self.sizes, grams = [], defaultdict(list)
+        every = {k: ngrams(words.hashes, k) for k in {shingle_words(n) for n in by_size}}
         for n, held in sorted(by_size.items()):
-            sets = [np.unique(shingles(h)) for _, h in held]
-            every, holders = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            order = np.argsort(every, kind="stable")
-            self.sizes.append(SizeIndex(n, np.array([i for i, _ in held]), fingerprints(np.stack([h for _, h in held])), [Counter(shingles(h).tolist()) for _, h in held], every[order], holders[order]))
-            grams[shingle_words(n)].append(every)
+            k = shingle_words(n)
+            starts = np.array([a for _, a in held])
+            self.sizes.append(SizeIndex(n, np.array([i for i, _ in held]), every[k][starts[:, None] + np.arange(n - k + 1)]))
+            grams[k].append(self.sizes[-1].grams)
         self.known = {}
         for k, held in grams.items():
             sorted_, seen = np.unique(np.concatenate(held)), np.zeros(1 << VOCABULARY_BITS, bool)
@@ -130,74 +193,70 @@ class Index:
     def slots(grams: np.ndarray) -> np.ndarray:
         return (grams >> U(64 - VOCABULARY_BITS)).view(np.int64)
 
-    def hits(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose ``k`` words are a shingle of any item, and the shingles."""
+    def hits(self, grams: np.ndarray, k: int) -> np.ndarray:
+        """Places whose ``k`` words are a shingle of any item."""
         sorted_, seen = self.known[k]
-        grams = ngrams(hashes, k)
         at = np.flatnonzero(seen[self.slots(grams)])
-        at = at[sorted_[np.minimum(np.searchsorted(sorted_, grams[at]), len(sorted_) - 1)] == grams[at]]
-        return at, grams[at]
+        return at[contains(sorted_, grams[at])]
 
     def search(self, words: Words) -> Iterator[tuple[int, int, float, int]]:
         """(text, item, similarity, first word of the best window), one for each text and item that is found in it."""
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        ends, hashes = words.ends_of, words.hashes
+        ends, hashes, found = words.ends_of, words.hashes, []
         if not len(hashes):
             return
         counts = np.diff(ends)
         doc = np.repeat(np.arange(len(counts)), counts)
-        found = {k: self.hits(hashes, k) for k in self.known}
+        grams = {k: ngrams(hashes, k) for k in self.known}
+        hits = {k: self.hits(grams[k], k) for k in self.known}
         for size in self.sizes:
             n, least, k = size.n, least_shared(size.n), shingle_words(size.n)
-            (at, grams), span = found[k], n - k
+            at, span = hits[k], n - k
+            at = at[contains(size.grams, grams[k][at])]
             starts = spread(*reaching(at, least, span))
             starts = starts[(starts >= 0) & (starts + n <= len(hashes))]
             starts = starts[doc[starts] == doc[starts + n - 1]]
-            for part in range(0, len(starts), AT_ONCE):
-                some = starts[part : part + AT_ONCE]
-                a, b = np.searchsorted(at, [some[0], some[-1] + span + 1])
-                window = np.searchsorted(some, at[a:b], "right") - 1
-                inside = some[window] >= at[a:b] - span
-                which, where = size.holding(at[a:b][inside], grams[a:b][inside])
-                keys = which * (len(hashes) + n) + where  # places of different items lie more than a window apart
-                pairs = spread(*reaching(keys, least, span))
-                shared = np.searchsorted(keys, pairs + span, "right") - np.searchsorted(keys, pairs)
-                items, s = pairs // (len(hashes) + n), pairs % (len(hashes) + n)
-                here = np.isin(s, some)
-                self._verify(size, s[here], n, items[here], shared[here], hashes, doc, ends, best)
+            found += self._verified(size, starts, span + 1, at, grams[k], doc, ends)
+            # Documents of fewer words than the item are one window each.
             ends_at = np.searchsorted(at, ends)
-            short = (counts < n) & (np.diff(ends_at) >= least)
-            for d in np.flatnonzero(short):
-                a, b, m = ends_at[d], ends_at[d + 1], int(counts[d])
-                inside = at[a:b] + k <= ends[d + 1]
-                items, shared = np.unique(size.holding(at[a:b][inside], grams[a:b][inside])[0], return_counts=True)
-                items, shared = items[shared >= least], shared[shared >= least]
-                self._verify(size, np.full(len(items), ends[d]), m, items, shared, hashes, doc, ends, best)
-        for (d, i), (score, at) in best.items():
-            yield d, i, score, at
-
-    def _verify(self, size: SizeIndex, starts: np.ndarray, n: int, items: np.ndarray, shared: np.ndarray, hashes: np.ndarray, doc: np.ndarray, ends: np.ndarray, best: dict) -> None:
-        """Compares windows of ``n`` words with items exactly, the nearest fingerprints first; one is left out only if
-        ``shared``, the places of the window that the item holds, shows that it can't beat the best so far."""
-        windows, of = np.unique(starts, return_inverse=True)
-        step = max(1, WORDS_AT_ONCE // n)
-        prints = [fingerprints(hashes[windows[i : i + step, None] + np.arange(n)]) for i in range(0, len(windows), step)]
-        if not prints:
+            for d in np.flatnonzero((counts < n) & (counts >= k) & (np.diff(ends_at) >= least)):
+                found += self._verified(size, ends[d : d + 1], int(counts[d]) - k + 1, at, grams[k], doc, ends)
+        if not found:
             return
-        far = np.bitwise_count(np.concatenate(prints)[of] ^ size.prints[items])
-        total = size.n - shingle_words(size.n) + 1
-        made: dict[int, Counter] = {}
-        for j in np.lexsort((starts, far)):
-            a, i = int(starts[j]), items[j]
-            key, first = (int(doc[a]), int(size.items[i])), a - int(ends[doc[a]])
-            score, at = best.get(key, (0.0, 0))
-            if (shared[j] / total, -first) <= (score, -at):
-                continue
-            if a not in made:
-                made[a] = Counter(shingles(hashes[a : a + n]).tolist())
-            exact = similarity(made[a], size.shingles[i])
-            if exact >= THRESHOLD - 1e-12 and (exact, -first) > (score, -at):
-                best[key] = (exact, first)
+        all_ = [np.concatenate([getattr(f, c) for f in found]) for c in ("doc", "item", "similarity", "first")]
+        order = np.lexsort((all_[3], -all_[2], all_[1], all_[0]))
+        d, i, s, first = (x[order] for x in all_)
+        best = np.ones(len(d), bool)
+        best[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1])
+        yield from zip(d[best].tolist(), i[best].tolist(), s[best].tolist(), first[best].tolist(), strict=True)
+
+    @staticmethod
+    def _verified(size: SizeIndex, starts: np.ndarray, wide: int, at: np.ndarray, grams: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> Iterator[Found]:
+        """Windows of ``wide`` shingles from ``starts``: those within the radius of an item, compared with it exactly.
+
+        Windows come in order of how many of their places (``at``) belong to items of the size. Where the size has one item, as
+        is likely for long ones, that number bounds the similarity, so windows that can't be the best of their text are left.
+        """
+        places = np.searchsorted(at, starts + wide) - np.searchsorted(at, starts)
+        order = np.lexsort((starts, -places))
+        starts, places, step = starts[order], places[order], max(1, PAIRS_AT_ONCE // wide)
+        most, first = np.zeros(len(ends)), np.full(len(ends), len(grams) + 1)
+        while len(starts):
+            some, starts = starts[:step], starts[step:]
+            held = elements(grams[some[:, None] + np.arange(wide)])
+            for which, item in size.near(fingerprints(held)):
+                similarity = size.shared(held, which, item) / max(size.total, wide)
+                good = similarity >= THRESHOLD - 1e-12
+                got, similarity = some[which[good]], similarity[good]
+                yield Found(doc[got], size.items[item[good]], similarity, got - ends[doc[got]])
+                np.maximum.at(most, doc[got], similarity)
+                top = similarity == most[doc[got]]
+                first[doc[got[top]]] = len(grams) + 1
+                np.minimum.at(first, doc[got[top]], got[top])
+            places = places[step:]
+            if len(size.items) == 1:
+                bound, best = places / max(size.total, wide), most[doc[starts]]
+                keep = (bound > best) | ((bound == best) & (starts < first[doc[starts]]))
+                starts, places = starts[keep], places[keep]
 
 
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, list[str]]]:
