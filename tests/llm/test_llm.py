@@ -384,6 +384,61 @@ def test_hmm_likelihood_and_training():
         assert abs(g - math.log10(total)) < 1e-9
     first, moves, emits = m.expected(texts)
     assert abs(first.sum() - 3) < 1e-9 and abs(moves.sum() - 6) < 1e-9 and abs(emits.sum() - 9) < 1e-9
+    # Expected counts by enumeration of all paths.
+    for got, want in zip((first, moves, emits), counted(m, texts), strict=True):
+        assert np.allclose(got, want, atol=1e-9)
+
+
+def counted(m, texts):
+    """Expected counts over all paths of states, each by its probability given the text."""
+    first, moves, emits = np.zeros_like(m.first), np.zeros_like(m.moves), np.zeros_like(m.emits)
+    states = range(len(m.first))
+    for t in texts:
+        if not len(t):
+            continue
+        paths = list(itertools.product(states, repeat=len(t)))
+        p = np.array([np.prod([m.first[q[0]] * m.emits[q[0], t[0]], *(m.moves[a, b] * m.emits[b, x] for a, b, x in zip(q[:-1], q[1:], t[1:], strict=True))]) for q in paths])
+        for q, w in zip(paths, p / p.sum(), strict=True):
+            first[q[0]] += w
+            for a, b in itertools.pairwise(q):
+                moves[a, b] += w
+            for a, x in zip(q, t, strict=True):
+                emits[a, x] += w
+    return first, moves, emits
+
+
+def test_hmm_long_texts_are_exact(monkeypatch):
+    """Segments change nothing: counts by enumeration for short segments, and likelihoods of a long text by one recursion."""
+    g = np.random.default_rng(4)
+    m = hmm.Model(np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.4, 0.6]]), g.dirichlet(np.ones(5), 2))
+    texts = [g.integers(0, 5, n).astype("<u2") for n in (10, 7, 9, 3, 1)]
+    long = [g.integers(0, 5, n).astype("<u2") for n in (5000, 4097, 2049, 800)]
+    whole = m.log10(texts), m.log10(long)
+    monkeypatch.setattr(hmm, "LONG", 1 << 40)
+    plain = m.log10(long), m.expected(long)
+    assert np.allclose(whole[1], plain[0], atol=1e-6)
+    for segment in (1, 2, 3, 512):
+        monkeypatch.setattr(hmm, "SEGMENT", segment)
+        monkeypatch.setattr(hmm, "LONG", 2)
+        assert np.allclose(m.log10(texts), whole[0], atol=1e-9)
+        for got, want in zip(m.expected(texts), counted(m, texts), strict=True):
+            assert np.allclose(got, want, atol=1e-9)
+    for got, want in zip(m.expected(long), plain[1], strict=True):
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_hmm_memory_does_not_depend_on_the_mix_of_lengths():
+    """Half a million texts of one word beside one of 20,000."""
+    import tracemalloc
+
+    m = hmm.first_model(np.ones(100))
+    texts = [np.array([3, 0], "<u2")] * 500_000 + [np.arange(20_001, dtype="<u2") % 100]
+    tracemalloc.start()
+    first, moves, emits = m.expected(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(first.sum() - 500_001) < 1e-3 and abs(emits.sum() - 1_020_001) < 1e-3 and abs(moves.sum() - 520_000) < 1e-3
+    assert most < 300 << 20
 
 
 def test_hmm_scores(spark):

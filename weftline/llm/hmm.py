@@ -7,10 +7,18 @@ of partitions alone. Scores are exact: the scaled forward recursion over a whole
 text's symbols, plus each word's probability within its symbol.
 
 A token's symbol is its own if it is among the most frequent, else the class of
-its ending. Token counts are taken over all training documents. The most
-frequent ``TABLE`` tokens' counts (a fixed bound) are sent to all tasks; rarer
-tokens are joined with the counts by a shuffle, so every count is exact at every
-size. For training alone, texts are read in segments.
+its ending. Token counts are taken over all training documents. The counts of
+the most frequent ``TABLE`` tokens (a fixed bound) that occur ``RARE`` times or
+more are sent to all tasks; the counts of all others are joined by a shuffle, so
+every count is exact. A token of one or two occurrences is dearer to send to
+every task than to join, as it saves a row or two.
+
+Texts are trained on whole. A long one is cut into segments that are read side by
+side: the product of a segment's steps, a matrix of states by states, carries the
+forward and the backward vectors over it, so what each segment begins and ends
+with is exact, and so are the moves over its borders. Texts of like length are
+read together, and a group's padded area is bounded, so memory doesn't depend on
+how lengths mix.
 
 Training documents are those for which ``held_out`` is false: the CRC-32 of the id's text modulo 7 is not 2 (a null id
 counts as an empty text). Null and empty texts hold the end token alone. With no training document all probabilities
@@ -38,9 +46,12 @@ SYMBOLS = OWN + CLASSES
 TABLE = 2_000_000
 RARE = 3  # tokens of fewer occurrences are never in the table, at any size
 ROUNDS = 5
-SEGMENT = 512
+SEGMENT = 512  # steps of a segment of a long text
+LONG = 2048  # texts of more tokens are cut into segments
 SLICE_BYTES = 1 << 20
-TOKENS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 21
+CELLS = 1 << 19  # steps times texts of a group
+RESCALED = 8  # steps between two scalings of a product
 END = int(mix(np.array([0xE0F], U)).view(np.int64)[0])
 FAN_IN = 64
 
@@ -129,6 +140,11 @@ class Table:
     def _start(self, tokens: np.ndarray) -> np.ndarray:
         return (mix(tokens.view(U)) >> U(64 - self.bits)).view(np.int64)
 
+    def owners(self, tokens: np.ndarray) -> np.ndarray:
+        """The symbols of tokens that have one of their own, else -1; 0 is the end token's."""
+        slots = self.find(tokens)
+        return np.where(slots >= 0, self.symbols[slots], -1)
+
     def find(self, tokens: np.ndarray) -> np.ndarray:
         """Slot of each token, or -1."""
         out = np.full(len(tokens), -1, np.int64)
@@ -148,37 +164,90 @@ class Model:
     emits: np.ndarray  # states x symbols
 
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of first states, moves and emissions of sequences of about one length, by forward-backward."""
-        texts = sorted((t for t in texts if len(t)), key=len, reverse=True)
+        """Expected counts of first states, moves and emissions of whole sequences, by forward-backward."""
+        totals = np.zeros_like(self.first), np.zeros_like(self.moves), np.zeros_like(self.emits)
+        texts = [t for t in texts if len(t)]
+        pieces, enters, ends = [t for t in texts if len(t) <= LONG], [], []
+        whole = len(pieces)
+        if cut := [segments(t) for t in texts if len(t) > LONG]:
+            steps, _ = self.products([p for t in cut for p in t])
+            at = 0
+            for t in cut:
+                enter, end = self.borders(steps[at : at + len(t)])
+                at += len(t)
+                pieces += t
+                enters.append(enter)
+                ends.append(end)
+        # A row of zeros: nothing comes before, the text begins here.
+        enter = np.concatenate([np.zeros((whole, len(self.first))), *enters])
+        end = np.concatenate([np.ones((whole, len(self.first))), *ends])
+        for some in groups(pieces):
+            for total, more in zip(totals, self._counts([pieces[i] for i in some], enter[some], end[some]), strict=True):
+                total += more
+        return totals
+
+    def products(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece the matrix from the state at its first symbol, before that is emitted, to the state at its last,
+        with all its emissions; scaled, and the log10 of the scale."""
+        states = len(self.first)
+        out, logs = np.zeros((len(pieces), states, states)), np.zeros(len(pieces))
+        likely = np.ascontiguousarray(self.emits.T)
+        for some in groups(pieces, CELLS // states):
+            lengths, active, held = padded([pieces[i] for i in some])
+            x = np.einsum("ij,wj->wij", np.eye(states), likely[held[0]])
+            log = np.zeros(len(some))
+            for t in range(1, len(held)):
+                n = active[t]
+                x[:n] = (x[:n].reshape(-1, states) @ self.moves).reshape(n, states, states) * likely[held[t, :n], None]
+                if t % RESCALED == 0 or t == len(held) - 1:
+                    scale = np.maximum(x.max(axis=(1, 2)), 1e-300)
+                    log += np.log10(scale)
+                    x /= scale[:, None, None]
+            out[some], logs[some] = x, log
+        return out, logs
+
+    def borders(self, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the products of a text's segments, the state's distribution before each segment (zeros before the first) and
+        the backward vector at the end of each."""
+        enter, end = np.zeros((len(steps), len(self.first))), np.ones((len(steps), len(self.first)))
+        at = self.first
+        for i in range(len(steps) - 1):
+            at = at @ steps[i]
+            enter[i + 1] = at / max(at.sum(), 1e-300)
+            at = enter[i + 1] @ self.moves
+        back = end[-1]
+        for i in range(len(steps) - 1, 0, -1):
+            back = self.moves @ (steps[i] @ back)
+            end[i - 1] = back = back / max(back.sum(), 1e-300)
+        return enter, end
+
+    def _counts(self, texts: list[np.ndarray], enter: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one group, longest first. ``enter`` is the state's distribution one step before the first symbol."""
         first, moves, emits = np.zeros_like(self.first), np.zeros_like(self.moves), np.zeros_like(self.emits)
-        if not texts:
-            return first, moves, emits
-        lengths = np.array([len(t) for t in texts])
-        steps, wide = int(lengths[0]), len(texts)
-        active = np.searchsorted(-lengths, -np.arange(1, steps + 1), "right")  # texts that reach each step
-        held = np.zeros((steps, wide), np.int64)
-        for i, t in enumerate(texts):
-            held[: len(t), i] = t
+        lengths, active, held = padded(texts)
+        steps, wide = held.shape
+        begins = ~enter.any(axis=1)
+        start = np.where(begins[:, None], self.first, enter @ self.moves)
         likely = np.ascontiguousarray(self.emits.T)
         alpha, scale = np.zeros((steps, wide, len(self.first))), np.ones((steps, wide))
         for t in range(steps):
             n = active[t]
-            x = (self.first if t == 0 else alpha[t - 1, :n] @ self.moves) * likely[held[t, :n]]
+            x = (start if t == 0 else alpha[t - 1, :n] @ self.moves) * likely[held[t, :n]]
             scale[t, :n] = s = np.maximum(x.sum(axis=1), 1e-300)
             alpha[t, :n] = x / s[:, None]
-        beta = np.ones((wide, len(self.first)))
+        beta = end / np.maximum((alpha[lengths - 1, np.arange(wide)] * end).sum(axis=1, keepdims=True), 1e-300)
         for t in range(steps - 1, -1, -1):
             n = active[t]
             gamma = alpha[t, :n] * beta[:n]
             gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), 1e-300)
+            ahead = likely[held[t, :n]] * beta[:n] / scale[t, :n, None]
             if t:
-                ahead = likely[held[t, :n]] * beta[:n] / scale[t, :n, None]
                 moves += self.moves * (alpha[t - 1, :n].T @ ahead)
-                alpha[t, :n] = gamma
                 beta[:n] = ahead @ self.moves.T
             else:
-                alpha[t, :n] = gamma
-                first += gamma.sum(axis=0)
+                moves += self.moves * (enter.T @ ahead)
+                first += gamma[begins].sum(axis=0)
+            alpha[t, :n] = gamma
         inside = np.arange(steps)[:, None] < lengths[None, :]
         symbols = held[inside]
         for s in range(len(self.first)):
@@ -186,27 +255,58 @@ class Model:
         return first, moves, emits
 
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Exact log10 likelihood of each sequence by the scaled forward recursion."""
+        """Exact log10 likelihood of each sequence by the scaled forward recursion; over long ones by segments' products."""
         out = np.zeros(len(texts))
-        order = np.argsort([-len(t) for t in texts], kind="stable")
-        lengths = np.array([len(texts[i]) for i in order])
-        if not len(order) or not lengths[0]:
-            return out
-        steps = int(lengths[0])
-        active = np.searchsorted(-lengths, -np.arange(1, steps + 1), "right")
         likely = np.ascontiguousarray(self.emits.T)
-        flat, begin = np.concatenate([texts[i] for i in order]).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        x, total = np.tile(self.first, (len(order), 1)), np.zeros(len(order))
-        for t in range(steps):
-            n = active[t]
-            x = (x[:n] if t == 0 else x[:n] @ self.moves) * likely[flat[begin[:n] + t]]
-            s = np.maximum(x.sum(axis=1), 1e-300)
-            total[:n] += np.log10(s)
-            x = x / s[:, None]
-        out[order] = total
+        short = [i for i, t in enumerate(texts) if 0 < len(t) <= LONG]
+        for some in groups([texts[i] for i in short]):
+            which = [short[i] for i in some]
+            _, active, held = padded([texts[i] for i in which])
+            x, total = np.tile(self.first, (len(which), 1)), np.zeros(len(which))
+            for t in range(len(held)):
+                n = active[t]
+                x = (x[:n] if t == 0 else x[:n] @ self.moves) * likely[held[t, :n]]
+                s = np.maximum(x.sum(axis=1), 1e-300)
+                total[:n] += np.log10(s)
+                x = x / s[:, None]
+            out[which] = total
+        for i, t in enumerate(texts):
+            if len(t) > LONG:
+                steps, logs = self.products(segments(t))
+                at, total = self.first, logs.sum()
+                for k, step in enumerate(steps):
+                    at = (at if k == 0 else at @ self.moves) @ step
+                    s = max(at.sum(), 1e-300)
+                    total, at = total + np.log10(s), at / s
+                out[i] = total
         return out
 
 
+def segments(text: np.ndarray) -> list[np.ndarray]:
+    return [text[at : at + SEGMENT] for at in range(0, len(text), SEGMENT)]
+
+
+def groups(texts: list[np.ndarray], cells: int = CELLS) -> Iterator[np.ndarray]:
+    """Positions of the texts, longest first, in groups whose longest text times their number is at most ``cells`` (or one text)."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        to = at + max(1, cells // max(1, int(lengths[order[at]])))
+        yield order[at:to]
+        at = to
+
+
+def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of falling length: the lengths, how many texts reach each step, and a matrix of steps by texts."""
+    lengths = np.array([len(t) for t in texts])
+    steps = int(lengths[0])
+    held = np.zeros((steps, len(texts)), np.uint16)
+    for i, t in enumerate(texts):
+        held[: len(t), i] = t
+    return lengths, np.searchsorted(-lengths, -np.arange(1, steps + 1), "right"), held
+
+
 def first_model(counts: np.ndarray, states: int = STATES) -> Model:
     """Sticky moves, and emissions near the symbols' shares, apart by fixed noise."""
     noise = np.exp(np.random.default_rng(7).normal(size=(states, len(counts))))
@@ -235,10 +335,8 @@ def train(texts: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 
             for batch in batches:
                 for x in batch.column("symbols"):
-                    x = np.frombuffer(x.as_buffer(), "<u2")
-                    for at in range(0, len(x), SEGMENT):
-                        held.append(x[at : at + SEGMENT])
-                    size += len(x)
+                    held.append(np.frombuffer(x.as_buffer(), "<u2").copy())
+                    size += len(held[-1])
                     if size >= TOKENS_AT_ONCE:
                         add(held)
                         held, size = [], 0
@@ -275,26 +373,25 @@ def score_lm(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: in
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % folds == fold).alias("held_out"))
     counts = materialize(count_tokens(rows.where("not held_out")), "counts")
 
-    sizes = counts.groupBy(F.least("c", F.lit(1000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    least, kept = 1001, 0
+    # The least count of the table's tokens, from a histogram whose size is bounded: exact counts to 1000, then powers of two.
+    step = F.when(F.col("c") < 1000, F.col("c")).otherwise(1000 * F.pow(F.lit(2.0), F.floor(F.log2(F.col("c") / 1000)))).cast("long")
+    sizes = counts.where(F.col("c") >= RARE).groupBy(step.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, kept = 1 << 62, 0
     for r in sorted(sizes, key=lambda r: -r["c"]):
-        if r["c"] < RARE or r["c"] < 1000 and kept + r["n"] > table:
+        kept += r["n"]
+        if kept > table:
             break
-        least, kept = r["c"], kept + r["n"]
-    whole = kept == sum(r["n"] for r in sizes)
-    end = F.col("token") == END  # always in the table, as it has a symbol of its own
-    got = counts.where((F.col("c") >= least) | end)
-    got = got.orderBy(end.desc(), F.col("c").desc(), "token").limit(table) if kept > table else got
-    got = got.select("token", "c").toArrow()
-    known = Table(np.asarray(got["token"]).astype(np.int64), np.asarray(got["c"]).astype(np.int64))
+        least = r["c"]
+    # The end token is always in the table, as it has a symbol of its own.
+    got = counts.where((F.col("c") >= least) | (F.col("token") == END)).select("token", "class", "c").toArrow()
+    found, classes, c = (np.asarray(got[x]).astype(np.int64) for x in ("token", "class", "c"))
+    known = Table(found, c)
 
     by_class = {r["class"]: (r["n"], r["v"]) for r in counts.where(F.col("token") != END).groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     total = sum(n for n, _ in by_class.values()) + known.own.get(0, 0)
     distinct = sum(v for _, v in by_class.values()) + (0 in known.own)
-    own_tokens = {t: c for t, c, s in zip(known.keys[known.full].tolist(), known.counts[known.full].tolist(), known.symbols[known.full].tolist(), strict=True) if s > 0}
-    for r in counts.where(F.col("c") >= least).join(F.broadcast(spark.createDataFrame([(t,) for t in own_tokens] or [], "token long")), "token").select("token", "class", "c").collect():
-        n, v = by_class[r["class"]]
-        by_class[r["class"]] = (n - r["c"], v - 1)
+    for k, n in zip(*(x[known.owners(found) > 0].tolist() for x in (classes, c)), strict=True):  # fewer than OWN
+        by_class[k] = (by_class[k][0] - n, by_class[k][1] - 1)
     space = np.zeros(CLASSES)  # log10 of what a class's probabilities are over
     mass = np.zeros(SYMBOLS)
     for k, (n, v) in by_class.items():
@@ -318,9 +415,8 @@ def score_lm(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: in
                 cut = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])
                 within = np.where(shared, log - space_[classes], 0.0)
                 symbol = np.where(shared, OWN + classes.astype(np.int64), own).astype("<u2")
-                tail = np.zeros(len(hashes), bool) if whole else ~found
-                tails = hashes[tail]
-                at = np.concatenate([[0], np.cumsum(tail)])[ends]
+                tails = hashes[~found]
+                at = np.concatenate([[0], np.cumsum(~found)])[ends]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
@@ -348,9 +444,9 @@ def score_lm(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: in
 
     kept_columns = ["row", "key", "held_out", "n_tokens", "n_known", "log_counts", "within"]
     out = read.select(*kept_columns, "symbols").mapInArrow(score, f"row long, key {kind}, held_out boolean, n_tokens long, n_known long, log_counts double, within double, likelihood double")
-    if not whole:
-        tail = read.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("k"))
-        more = tail.join(counts if kept > table else counts.where(F.col("c") < least), "token").groupBy("row").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"))
-        out = out.join(more, "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0)), "log_counts": F.col("log_counts") + F.coalesce("more", F.lit(0.0)), "within": F.col("within") + F.coalesce("more", F.lit(0.0))})
+    # Tokens that the table lacks.
+    tail = read.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("k"))
+    more = tail.join(counts.where((F.col("c") < least) & (F.col("token") != END)), "token").groupBy("row").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"))
+    out = out.join(more, "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0)), "log_counts": F.col("log_counts") + F.coalesce("more", F.lit(0.0)), "within": F.col("within") + F.coalesce("more", F.lit(0.0))})
     base = F.lit(float(np.log10(total + distinct + 1)))
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("log_counts") - F.col("n_tokens") * base).alias("base_score"), ((F.col("likelihood") + F.col("within")) if total else F.lit(0.0)).alias("score"))
