@@ -238,6 +238,16 @@ def test_linked_sets_always_show_a_common_block():
                 assert np.bitwise_count(parity.folded(parity.sketch(a), 64) ^ parity.folded(parity.sketch(b), 64)).sum() <= len(a) + len(b) - 2 * same
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 13, 16, 20, 31, 40, 64, 100])
+def test_unrelated_sets_share_no_block(n):
+    """No block is shared for being empty: of 10,000 unrelated sets of one size no two show the same."""
+    g = np.random.default_rng(n)
+    sets = [np.sort(x) for x in g.integers(0, 2**64, (10_000, n), dtype=np.uint64)]
+    owner, blocks = parity.shown(sets, np.zeros(1 << parity.COMMON_BITS, bool))
+    assert len(np.unique(owner)) == 10_000
+    assert np.unique(blocks, return_counts=True)[1].max() == 1
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(9)
     items = [" ".join(prose(r, n)) for n in (3, 5, 9, 14, 20, 33, 50)] + [None, "", " ".join(["so so so so so so"])]

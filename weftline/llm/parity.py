@@ -13,8 +13,14 @@ which bears on the order alone. Nothing is capped and no set is left out: the
 join loses no link. Sets near a band's upper edge also show their blocks in the
 next band.
 
+Small bands are cut into more blocks, so that a set practically always
+fills as many as it must show (the chance of the contrary is below one in a
+billion) and no block is shared for its emptiness; where a set fills fewer, it
+shows empty ones, so no link is lost then either.
+
 Blocks are packed by bucket in binary rows, so the shuffle carries about seven
-bytes a block and the grouping is a sort of integers in each bucket.
+bytes a block and the grouping is a sort of integers in each bucket. Buckets grow
+in number with the corpus, and a task holds one at a time.
 
 Equal sets are one node from the start, whatever the number of their copies.
 Candidates whose whole sketches differ too much are dropped; the rest are
@@ -42,18 +48,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_slices, materialize, partitions
+from .shared import bounded_slices, materialize, partitions, release
 from .words import U, mix, shingle_sets, words_of
 
 SLICE_BYTES = 1 << 20
-PLACES = 20  # bits of a place within a block
+PLACES = 46  # a sketch whose blocks are joined has 2^46 bits, of which a set's blocks hold those that are 1
 SLACK = 2  # blocks of a band for each that a set must show
 SKETCH_BITS = 1024  # at least
 TILE = 4096  # nodes of a block that one task compares with as many
 SAMPLE = 32  # one set in so many tells which shingles are common
 COMMON_BITS = 22
 MOST_COMMON = 500_000
-AT_ONCE = 500_000  # blocks that a task packs at once
+AT_ONCE = 500_000  # blocks that a task packs at once, and 32 for each bucket at least
+BUCKET = 1 << 20  # blocks of a bucket, about
+BUCKETS = 1 << 16  # at most, as a block's upper bits tell its bucket
 PROPOSED = 3  # rounds in which nodes are held against a few others
 WAVE = 16  # one block in so many is compared in full before all are
 EACH = 3  # pairs of a node in a round
@@ -66,8 +74,13 @@ def set_id(elements: np.ndarray) -> int:
 
 
 def blocks_of(band: int) -> int:
+    """Blocks of a band: twice what its sets must show, and for small bands so many that sets fill what they must show.
+
+    A set of 4 must show 2 of 1024, one of 8 must show 3 of 256, one of 16 must show 5 of 64: the chance that all its
+    elements fall into fewer is below 1e-9.
+    """
     most = (2 * (2 ** (band + 1) - 1)) // 9
-    return SLACK * (most + 1)
+    return max(SLACK * (most + 1), 1 << max(0, 14 - 2 * band))
 
 
 def sketch(elements: np.ndarray) -> bytes:
@@ -127,12 +140,12 @@ def shown(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.nd
         count = np.array([blocks_of(b) for b in range(int(bands.max()) + 1)], U)[bands]
         elements = np.concatenate([sets[i] for i, _, _ in some])
         rare = ~common[(elements >> U(64 - COMMON_BITS)).view(np.int64)]
-        places = ((elements >> U(32)) * count[node]) >> U(32 - PLACES)
+        places = elements >> U(64 - PLACES)
         # Bits that are flipped an even number of times are as they were.
         begins = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (node[1:] != node[:-1])]))
         odd = begins[np.diff(begins, append=len(places)) % 2 == 1]
         places, node, rare = places[odd], node[odd], rare[odd]
-        block = places >> U(PLACES)
+        block = ((places >> U(PLACES - 32)) * count[node]) >> U(32)
         begins = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (node[1:] != node[:-1])])) if len(places) else np.zeros(0, np.int64)
         salt = mix(bands.astype(U) + U(77))
         content = mix(np.bitwise_xor.reduceat(mix(places ^ salt[node]), begins)) if len(begins) else np.zeros(0, U)
@@ -185,9 +198,14 @@ def shingle_keys(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, KEY)
 
 
-def block_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, sid, least): for each block that two or more sets show, its sets, and the least of them."""
-    buckets = 4 * partitions(docs.sparkSession)
+def block_groups(docs: DataFrame, key: str, text: str, expected: int = 0) -> DataFrame:
+    """(block, sid, least): for each block that two or more sets show, its sets, and the least of them.
+
+    ``expected`` is about how many blocks are shown, by which the number of buckets and tasks grows.
+    """
+    buckets = min(BUCKETS, max(4 * partitions(docs.sparkSession), expected // BUCKET))
+    tasks = max(partitions(docs.sparkSession), buckets // 4)
+    at_once = max(AT_ONCE, 32 * buckets)
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common_shingles(docs, text)))
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,19 +232,25 @@ def block_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
                 names.append(np.array([n for n, _ in sets], np.int64)[owner])
                 blocks.append(found)
                 size += len(found)
-                if size > AT_ONCE:
+                if size > at_once:
                     yield dealt(names, blocks)
                     names, blocks, had, size = [], [], set(), 0
         yield dealt(names, blocks)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, blocks = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+        at, held = None, []
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, b = unpacked(blob)
-                names.append(n)
-                blocks.append(b | U(bucket << 48))
-        names, blocks = np.concatenate(names), np.concatenate(blocks)
+                if bucket != at:
+                    yield from grouped(at, held)
+                    at, held = bucket, []
+                held.append(unpacked(blob))
+        yield from grouped(at, held)
+
+    def grouped(bucket: int | None, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        names, blocks = np.concatenate([n for n, _ in held]), np.concatenate([b for _, b in held]) | U(bucket << 48)
         order = np.lexsort((names, blocks))
         names, blocks = names[order], blocks[order]
         fresh = np.ones(len(names), bool)
@@ -242,7 +266,7 @@ def block_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(blocks[to]), pa.array(names[to]), pa.array(least[to])], ["block", "sid", "least"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = rows.mapInArrow(show, "bucket int, packed binary").repartition(partitions(docs.sparkSession), "bucket")
+    dealt = rows.mapInArrow(show, "bucket int, packed binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(group, "block long, sid long, least long")
 
 
@@ -307,15 +331,18 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         known = start.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         both = both.unionByName(known).unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    before = labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("c")), "b").groupBy("a").agg(F.min("c").alias("m"))
         fallen = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         above = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = materialize(fallen.join(above, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
-        if new.where("old <> root").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+        settled = new.where("old <> root").isEmpty()
+        release(before)
+        before, labels = new, new.select("node", "root")
+        if settled:
+            release(both)
+            return labels
 
 
 def proposals(held: DataFrame, turn: int) -> DataFrame:
@@ -382,12 +409,13 @@ def across(held: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its key, n_shingles and component_id (the least key that links reach)."""
     keys = materialize(shingle_keys(docs, key, text), "keys")
-    groups = materialize(block_groups(docs, key, text), "blocks")
+    shown_blocks = keys.agg(F.sum(F.col("n_shingles") / 4 + 1)).first()[0] or 0
+    groups = materialize(block_groups(docs, key, text, int(shown_blocks)), "blocks")
     nodes = groups.select("sid").distinct()
     sets = materialize(exact_sets(docs, keys, nodes, key, text), "sets")
 
     nothing = keys.sparkSession.createDataFrame([], "a long, b long")
-    labels, tested = None, nothing
+    labels, tested, blocks, written = None, nothing, groups, []
     for turn in range(PROPOSED + 3):
         held = groups
         if labels is not None:
@@ -395,8 +423,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         held = held.withColumn("root", F.coalesce("root", "sid") if labels is not None else F.col("sid"))
         if labels is not None:  # blocks within one component are done with
             mixed = held.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
-            held = materialize(held.join(mixed, "block", "left_semi"), "blocks")
-            groups = held.drop("root")
+            held, done = materialize(held.join(mixed, "block", "left_semi"), "blocks"), blocks
+            release(done)
+            blocks, groups = held, held.drop("root")
         if turn == 0:  # against the least node of a block
             pairs = groups.where("sid <> least").groupBy("sid").agg(F.min("least").alias("b")).select(F.col("sid").alias("a"), "b")
         elif turn <= PROPOSED:  # against a few nodes of other components
@@ -410,6 +439,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
             labels = components(more, labels)
+        written += [pairs, more]
+    release(*written, blocks, sets)
     if labels is None:
         labels = keys.sparkSession.createDataFrame([], "node long, root long")
 

@@ -18,7 +18,7 @@ from .ordinal import fit_ordinal, grade_of, score_quality
 from .parity import near_duplicates
 from .rules import judge
 from .secrets import secret_digests
-from .shared import shared_dir, table
+from .shared import at_exit, shared_dir, table
 from .sstable import read_shards, write_shards
 from .tokenizer_files import tokenizer_path
 from .warc import read_warc, write_warc
@@ -29,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
+    at_exit(spark, folder)
     return read_warc(spark, folder).drop("payload", "url")
 
 
@@ -69,6 +70,7 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "shards")
     write_shards(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    at_exit(spark, folder)
     return read_shards(spark, folder)
 
 

@@ -29,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the session names none (tests, one machine), a temporary folder is
-    set once and kept for the session.
+    Where the session names none, a temporary folder is set once and kept for
+    the session, on one machine alone; a cluster must name its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -43,13 +45,37 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage
     and survives the loss of executors. What earlier steps shuffled is then garbage, and Spark's
-    cleaner removes those files once the driver has collected it."""
+    cleaner removes those files once the driver has collected it. The table is deleted by ``release``, or when the
+    session's process ends."""
     spark, schema, path = df.sparkSession, df.schema, shared_dir(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_at = path
+    at_exit(spark, path)
+    return out
+
+
+def store(spark: SparkSession, path: str):  # noqa: ANN201
+    """Hadoop's file system of a path, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder of intermediate data deleted when the session's process ends."""
+    fs, at = store(spark, path)
+    fs.deleteOnExit(at)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_at", None):
+            fs, at = store(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
