@@ -248,7 +248,7 @@ def parse(text: str) -> Node:
     if rest != len(pieces):
         raise TemplateError(f"unexpected {pieces[rest][1]!r}")
     nodes, depth = measured(tree)
-    if nodes > MAX_NODES or depth > MAX_DEPTH + 8:
+    if nodes > MAX_NODES or depth > MAX_DEPTH:
         raise TemplateError("the template is too large")
     return tree
 
@@ -299,7 +299,11 @@ def body(pieces: list[tuple[str, str]], at: int, stops: tuple[str, ...], inside:
 
 
 def measured(node: Node) -> tuple[int, int]:
-    inner = [measured(p) for p in node.parts if isinstance(p, Node)]
+    """Nodes and depth; a chain of ``~`` is one node, however many values it joins."""
+    parts = [p for p in node.parts if isinstance(p, Node)]
+    while node.value == "~" and node.kind == "binary" and parts[0].kind == "binary" and parts[0].value == "~":
+        parts = [*parts[0].parts, *parts[1:]]
+    inner = [measured(p) for p in parts]
     return 1 + sum(n for n, _ in inner), 1 + max((d for _, d in inner), default=0)
 
 

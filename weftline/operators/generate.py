@@ -1,6 +1,7 @@
 """Columns made by models: prompts are native columns, calls run in Arrow batches with one client per partition.
 
-A client is a function ``client(kind, messages, parameters) -> dict`` with ``content`` and, if it has any,
+A task keeps as many calls in flight as its admission allows, in threads, as calls wait for a server. Each row is asked
+for once. A client is a function ``client(kind, messages, parameters) -> dict`` with ``content`` and, if it has any,
 ``reasoning``, ``usage`` and, for embeddings and images, ``data``. It is given by the caller; ``EchoClient`` is an
 offline stand-in whose answers are a function of the prompt.
 """
@@ -10,9 +11,12 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
+import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -40,6 +44,7 @@ class EchoClient:
 
     def __call__(self, kind: str, messages: list[dict], parameters: dict) -> dict:
         prompt = messages[-1]["content"]
+        prompt = prompt if isinstance(prompt, str) else "".join(b.get("text") or f"<{b['type']}>" for b in prompt)
         digest = hashlib.sha256(prompt.encode()).digest()
         if kind == "embedding":
             return {"data": [[(digest[(i + k) % 32] / 255) for k in range(self.dimension)] for i, _ in enumerate(json.loads(prompt))]}
@@ -76,20 +81,26 @@ class Admission:
     busy_until: float = 0.0
 
     def __post_init__(self) -> None:
-        self.now = self.now or float(self.most)
+        self.now, self.lock = self.now or float(self.most), threading.Lock()
 
     @property
     def limit(self) -> int:
         return max(1, int(self.now))
 
     def succeeded(self) -> None:
-        self.run += 1
-        if self.run >= self.successes:
-            self.now, self.run = min(self.most, self.now + 1), 0
+        with self.lock:
+            self.run += 1
+            if self.run >= self.successes:
+                self.now, self.run = min(self.most, self.now + 1), 0
 
     def refused(self, at: float) -> None:
-        self.now, self.run = max(1.0, self.now * self.factor), 0
-        self.busy_until = at + self.cooldown
+        with self.lock:
+            self.now, self.run = max(1.0, self.now * self.factor), 0
+            self.busy_until = at + self.cooldown
+
+    def pause(self, at: float) -> float:
+        """Seconds until the server may be asked again."""
+        return max(0.0, self.busy_until - at)
 
 
 RETRIED = (502, 503, 504)
@@ -98,6 +109,8 @@ RETRIED = (502, 503, 504)
 def call(client: Callable, kind: str, messages: list[dict], parameters: dict, admission: Admission, tries: int = 3, backoff: float = 2.0, longest: float = 60.0, sleep: Callable = time.sleep) -> dict:
     """One call with retries for passing faults; a busy server (429) lowers the limit and is asked again after a pause."""
     for attempt in range(tries + 1):
+        if pause := admission.pause(time.monotonic()):
+            sleep(pause)
         try:
             out = client(kind, messages, parameters)
             admission.succeeded()
@@ -107,7 +120,6 @@ def call(client: Callable, kind: str, messages: list[dict], parameters: dict, ad
                 admission.refused(time.monotonic())
                 if attempt == tries:
                     raise
-                sleep(admission.cooldown)
             elif (e.retry or e.status in RETRIED) and attempt < tries:
                 sleep(min(longest, backoff**attempt))
             else:
@@ -115,14 +127,18 @@ def call(client: Callable, kind: str, messages: list[dict], parameters: dict, ad
     raise AssertionError
 
 
-def converse(client: Callable, kind: str, messages: list[dict], parameters: dict, parse: Callable[[str], Any], corrections: int = 0, restarts: int = 0, admission: Admission | None = None) -> tuple[Any, dict, list[dict]]:
-    """Calls until the answer parses: what was wrong is told to the model, then the conversation starts over."""
+def converse(client: Callable, kind: str, messages: list[dict], parameters: dict, parse: Callable[[str], Any], corrections: int = 0, restarts: int = 0, admission: Admission | None = None, tools: dict[str, Callable] | None = None, budget: int = 5) -> tuple[Any, dict, list[dict]]:
+    """Calls until the answer parses: what was wrong is told to the model, then the conversation starts over.
+
+    ``tools`` are those that the model may ask for, within a budget of turns.
+    """
     admission, fault = admission or Admission(), "no answer"
     for _ in range(restarts + 1):
         talk = list(messages)
         for _ in range(corrections + 1):
-            answer = call(client, kind, talk, parameters, admission)
-            talk = [*talk, {"role": "assistant", "content": answer.get("content", "")}]
+            ask = lambda k, m, p: call(client, kind, m, p, admission)
+            talk = tool_turns(ask, talk, tools or {}, parameters, budget)
+            answer = talk[-1].pop("answer")
             try:
                 return parse(answer.get("content", "")), answer, talk
             except ValueError as e:
@@ -155,8 +171,6 @@ def fitted_score(value: Any, options: list) -> Any:
 
 
 def parser(kind: str, schema: dict | None, scores: list[dict]) -> Callable[[str], Any]:
-    import re
-
     def block(text: str, lang: str) -> str:
         found = re.findall(rf"```[ \t]*{lang}[^\n]*\n(.*?)```", text, re.S)
         if not found:
@@ -201,9 +215,10 @@ def output_type(c: Any) -> T.DataType:
     return T.ArrayType(T.StringType()) if c.kind == "image" else T.StringType()
 
 
-def context_blocks(df: DataFrame, columns: list[str], kind: str) -> Column:
-    """Attachments as content blocks: an url as it is, anything else as base64."""
-    return F.array(*(F.struct(F.lit(kind).alias("type"), F.when(F.col(c).rlike("^https?://"), "url").otherwise("base64").alias("form"), F.col(c).alias("value")) for c in columns))
+def context_blocks(columns: list[str], kind: str) -> list[Column]:
+    """Attachments as content blocks: an url as it is, anything else as base64 with its format by its first bytes."""
+    url = lambda c: F.col(c).rlike("^https?://")
+    return [F.struct(F.lit(kind).alias("type"), F.when(url(c), "url").otherwise("base64").alias("form"), F.when(~url(c), media_format(F.col(c))).alias("format"), F.col(c).alias("value")) for c in columns]
 
 
 def media_format(base64: Column) -> Column:
@@ -216,8 +231,73 @@ def media_format(base64: Column) -> Column:
     return out
 
 
-def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0) -> DataFrame:
-    """Adds the column, its trace and its reasoning where asked for, and drops the rows whose call failed for good."""
+@dataclass(frozen=True)
+class CallRules:
+    """How a run calls models: calls at once in a task, and when a task stops calling because too many of its last calls failed."""
+
+    most_calls: int = 16
+    stop_rate: float = 0.5
+    stop_window: int = 10
+    stop_early: bool = True
+    tool_budget: int = 5
+
+
+STOPPED = "stopped early"
+UNRENDERED = "the prompt can't be rendered"
+
+
+def stand_in(value: Any, kind: T.DataType) -> Any:
+    """A skipped cell's value as one of the column's type; null where it can't be."""
+    if value is None or isinstance(kind, T.StringType):
+        return None if value is None else str(value)
+    if isinstance(kind, T.StructType):
+        return value if isinstance(value, dict) else None
+    return value if not isinstance(kind, T.ArrayType) or isinstance(value, list) else None
+
+
+def at_once(work: list[Callable[[], Any]], admission: Admission, pool: ThreadPoolExecutor, done: Callable[[int, Any], None]) -> None:
+    """Runs the calls with as many in flight as the admission allows at each moment; ``done`` gets each result as it comes."""
+    flying: dict[Future, int] = {}
+    todo = deque(enumerate(work))
+    while todo or flying:
+        while todo and len(flying) < admission.limit:
+            i, f = todo.popleft()
+            flying[pool.submit(f)] = i
+        for f in wait(flying, return_when=FIRST_COMPLETED).done:
+            done(flying.pop(f), f.result())
+
+
+def drawn_parameters(parameters: dict, seed: int, alias: str, row: Any) -> dict:
+    """Call parameters with those that are distributions (``{"uniform": [low, high]}``, ``{"values": [...], "weights": [...]}``)
+    drawn for the row, by its id alone."""
+    out = {}
+    for name, p in parameters.items():
+        if isinstance(p, dict) and ("uniform" in p or "values" in p):
+            u = (int.from_bytes(hashlib.sha256(f"{seed}|{alias}|{name}|{row}".encode()).digest()[:8], "big") + 0.5) / 2**64
+            if "uniform" in p:
+                low, high = map(float, p["uniform"])
+                p = low + (high - low) * u
+            else:
+                weights = p.get("weights") or [1] * len(p["values"])
+                if len(weights) != len(p["values"]) or sum(weights) <= 0:
+                    raise ValueError(f"the weights of {name!r} don't fit its values")
+                edge, at = u * sum(weights), 0
+                while at < len(weights) - 1 and edge >= weights[at]:
+                    edge -= weights[at]
+                    at += 1
+                p = p["values"][at]
+        out[name] = p
+    return out
+
+
+def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0, rules: CallRules | None = None, defaults: dict | None = None, tools: dict[str, Callable] | None = None, off: str | None = None, instead: Any = None) -> DataFrame:
+    """Adds the column, with its trace, its reasoning and its usage where asked for, by one call for each row.
+
+    Rows for which the column ``off`` is true aren't asked for and get ``instead``. Rows whose call failed for good are marked
+    in ``_drop_reason`` where there is such a column, else left out. ``params["context"]`` names columns of attachments by kind,
+    ``params["tools"]`` the tools that the model may ask for.
+    """
+    rules, instead = rules or CallRules(), stand_in(instead, output_type(c))
     compiler = Compiler(df.schema, seed, F.col("_row_id") if "_row_id" in df.columns else None)
     if c.kind == "embedding":
         target = df.schema[c.target_columns[0]].dataType
@@ -226,47 +306,72 @@ def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0
     else:
         prompt = compiler.render(c.prompt)
     system = compiler.render(c.system_prompt) if c.system_prompt else F.lit(None).cast("string")
-    trace, reasoning = f"{c.name}__trace", f"{c.name}__reasoning_content"
-    out_type = output_type(c)
-    fields = [*df.schema.fields, T.StructField(c.name, out_type)]
-    fields += [T.StructField(n, T.StringType()) for n in (trace, reasoning) if n in c.side_effects]
+    blocks = [b for kind, columns in (c.params.get("context") or {}).items() for b in context_blocks(columns, kind)]
+    context = F.to_json(F.filter(F.array(*blocks), lambda b: b["value"].isNotNull())) if blocks else F.lit(None).cast("string")
+    trace, reasoning, usage = f"{c.name}__trace", f"{c.name}__reasoning_content", f"{c.name}__usage"
+    marks = "_drop_reason" in df.columns
+    fields = [*df.schema.fields, T.StructField(c.name, output_type(c))]
+    fields += [T.StructField(n, T.StringType()) for n in (trace, reasoning, usage) if n in c.side_effects]
     schema, names = T.StructType([*fields, T.StructField("_failed", T.StringType())]), df.columns
     kind = {"llm-text": "text", "llm-code": "code", "llm-structured": "structured", "llm-judge": "structured", "embedding": "embedding", "image": "image"}[c.kind]
     form = scores_schema(c.scores) if c.kind == "llm-judge" else c.output_format
-    parameters = dict(c.params) | ({"schema": form} if form else {}) | ({"lang": c.code_lang} if c.code_lang else {})
-    parse = parser(c.kind, form, c.scores)
+    own = {k: v for k, v in c.params.items() if k not in ("context", "tools", "max_correction_steps", "max_conversation_restarts")}
+    parameters = (defaults or {}) | own | ({"schema": form} if form else {}) | ({"lang": c.code_lang} if c.code_lang else {})
+    held = {n: (tools or {})[n] for n in c.params.get("tools", [])}
+    corrections, restarts = (int(c.params.get(k, 0)) for k in ("max_correction_steps", "max_conversation_restarts"))
+    parse, alias = parser(c.kind, form, c.scores), c.model_alias
+
+    def one(p: str | None, s: str | None, attached: str | None, row: Any, admission: Admission) -> tuple[Any, str | None, str | None, str | None, str | None]:
+        """Value, trace, reasoning, usage and fault."""
+        content = [{"type": "text", "text": p}, *json.loads(attached)] if attached and attached != "[]" else p
+        messages = ([{"role": "system", "content": s}] if s else []) + [{"role": "user", "content": content}]
+        try:
+            if p is None:
+                raise ModelError(UNRENDERED)
+            told = drawn_parameters(parameters, seed, str(alias), row)
+            if kind in ("embedding", "image"):
+                answer = call(client, kind, messages, told, admission)
+                data = answer["data"]
+                value = {"embeddings": data, "num_embeddings": len(data), "dimension": len(data[0]) if data else 0} if kind == "embedding" else data
+                return value, None, None, json.dumps(answer.get("usage")), None
+            value, answer, talk = converse(client, kind, messages, told, parse, corrections, restarts, admission, held, rules.tool_budget)
+            return value, json.dumps(talk), answer.get("reasoning"), json.dumps(answer.get("usage")), None
+        except ModelError as e:
+            return None, None, None, None, str(e) or "failed"
 
     def run(frames: Iterator[Any]) -> Iterator[Any]:
-        admission = Admission()
-        for frame in frames:
-            values, traces, reasons, failed = [], [], [], []
-            for p, s in zip(frame["_prompt"], frame["_system"], strict=True):
-                value, talk, why, fault = None, None, None, None
-                messages = ([{"role": "system", "content": s}] if s else []) + [{"role": "user", "content": p}]
-                try:
-                    if p is None:
-                        raise ModelError("the prompt can't be rendered")
-                    if kind in ("embedding", "image"):
-                        data = call(client, kind, messages, parameters, admission)["data"]
-                        value = {"embeddings": data, "num_embeddings": len(data), "dimension": len(data[0]) if data else 0} if kind == "embedding" else data
-                    else:
-                        value, answer, talk = converse(client, kind, messages, parameters, parse, int(c.params.get("max_correction_steps", 0)), int(c.params.get("max_conversation_restarts", 0)), admission)
-                        why = answer.get("reasoning")
-                except ModelError as e:
-                    fault = str(e)
-                values.append(value)
-                traces.append(json.dumps(talk) if talk else None)
-                reasons.append(why)
-                failed.append(fault)
-            out = frame[names].assign(**{c.name: values, "_failed": failed})
-            if trace in c.side_effects:
-                out[trace] = traces
-            if reasoning in c.side_effects:
-                out[reasoning] = reasons
-            yield out[[f.name for f in schema.fields]]
-
-    made = df.withColumns({"_prompt": prompt, "_system": system}).mapInPandas(run, schema)
-    return made.where(F.col("_failed").isNull()).drop("_failed")
+        admission, stop = Admission(rules.most_calls), EarlyStop(rules.stop_rate, rules.stop_window)
+        stopped = False
+        with ThreadPoolExecutor(rules.most_calls) as pool:
+            for frame in frames:
+                skipped = frame[off].to_numpy(bool) if off else [False] * len(frame)
+                got: list[tuple] = [(instead, None, None, None, None)] * len(frame)
+                rows = frame["_row_id"].tolist() if "_row_id" in frame else range(len(frame))
+                asked = [i for i in range(len(frame)) if not skipped[i]]
+
+                def done(k: int, result: tuple, asked: list[int] = asked, got: list[tuple] = got) -> None:
+                    nonlocal stopped
+                    got[asked[k]] = result
+                    if result[4] not in (STOPPED, UNRENDERED):
+                        stopped = stop.add(result[4] is not None) or stopped
+
+                def ask(i: int, frame: Any = frame, rows: Any = rows) -> tuple:
+                    if stopped and rules.stop_early:
+                        return None, None, None, None, STOPPED
+                    return one(*(frame[x].iat[i] for x in ("_prompt", "_system", "_context")), rows[i], admission)
+
+                at_once([lambda i=i: ask(i) for i in asked], admission, pool, done)
+                out = frame[names].copy()
+                for n, at in ((c.name, 0), (trace, 1), (reasoning, 2), (usage, 3), ("_failed", 4)):
+                    if n in schema.names:
+                        out[n] = [g[at] for g in got]
+                yield out[[f.name for f in schema.fields]]
+
+    made = df.withColumns({"_prompt": prompt, "_system": system, "_context": context}).mapInPandas(run, schema)
+    if not marks:
+        return made.where(F.col("_failed").isNull()).drop("_failed")
+    why = F.when(F.col("_failed") == STOPPED, f"{c.name}:stopped").when(F.col("_failed").isNotNull(), f"{c.name}:model")
+    return made.withColumn("_drop_reason", F.coalesce("_drop_reason", why)).drop("_failed")
 
 
 class EarlyStop:
@@ -281,19 +386,35 @@ class EarlyStop:
 
 
 def tool_turns(client: Callable, messages: list[dict], tools: dict[str, Callable], parameters: dict, budget: int = 5) -> list[dict]:
-    """Runs allowed tools that the model asks for, up to a budget of turns; then refuses, and the model must answer."""
+    """Runs allowed tools that the model asks for, up to a budget of turns; then refuses, and the model must answer.
+
+    The last message is the model's answer; it holds the client's whole answer as ``answer``.
+    """
     talk = list(messages)
     for turn in range(budget + 1):
         answer = client("text", talk, parameters)
-        talk.append({"role": "assistant", "content": answer.get("content", ""), "tool_calls": answer.get("tool_calls") or []})
-        if not answer.get("tool_calls"):
-            return talk
-        for t in answer["tool_calls"]:
+        calls = answer.get("tool_calls") or []
+        talk.append({"role": "assistant", "content": answer.get("content", "")} | ({"tool_calls": calls} if calls else {}))
+        if not calls or turn == budget and not tools:
+            break
+        for t in calls:
             said = "no more tool calls are allowed" if turn >= budget else tools[t["name"]](**t.get("arguments", {})) if t["name"] in tools else f"the tool {t['name']!r} isn't allowed"
             talk.append({"role": "tool", "tool_call_id": t.get("id"), "content": str(said)})
+    if talk[-1]["role"] == "tool":
+        answer = client("text", talk, parameters)
+        talk.append({"role": "assistant", "content": answer.get("content", "")})
+    talk[-1]["answer"] = answer
     return talk
 
 
+def usage_totals(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Calls and tokens of model columns by their ``__usage`` side effects: column, calls, input_tokens, output_tokens."""
+    counts = "input_tokens long, output_tokens long"
+    told = [F.struct(F.lit(c).alias("column"), F.from_json(f"{c}__usage", counts).alias("u")) for c in columns]
+    rows = df.select(F.explode(F.array(*told)).alias("x")).where("x.u is not null")
+    return rows.groupBy(F.col("x.column").alias("column")).agg(F.count(F.lit(1)).alias("calls"), F.sum("x.u.input_tokens").alias("input_tokens"), F.sum("x.u.output_tokens").alias("output_tokens"))
+
+
 def health_check(clients: dict[str, Callable]) -> dict[str, str | None]:
     """Asks each client once; the fault of those that fail."""
     out: dict[str, str | None] = {}
@@ -312,4 +433,4 @@ def approximate_tokens(text: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + 1 + F.greatest(F.lit(0), F.ceil((F.length(w) - 6) / F.lit(4.0))).cast("long"))
 
 
-__all__ = ["Admission", "EarlyStop", "EchoClient", "ModelError", "approximate_tokens", "code_block", "context_blocks", "generate_model_column", "health_check", "math", "media_format", "tool_turns"]
+__all__ = ["Admission", "CallRules", "EarlyStop", "EchoClient", "ModelError", "approximate_tokens", "code_block", "context_blocks", "generate_model_column", "health_check", "math", "media_format", "tool_turns"]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.draws import rank_key
 from weftline.operators.samplers import Draw, pick
+from weftline.sources.seeds import indexed, ranked
 
 AGES = (18, 114)
 # Small pools in place of a names library.
@@ -16,9 +17,11 @@ FIRST = {"Female": ["Ada", "Beth", "Carla", "Dana", "Elena", "Fay", "Grace", "Ha
 LAST = ["Abel", "Brook", "Cole", "Dale", "Ellis", "Ford", "Grant", "Hale", "Irwin", "Jones", "Kent", "Lowe", "Moss", "Nash", "Olsen", "Price"]
 PLACES = [("Springfield", "IL", "62701"), ("Salem", "OR", "97301"), ("Dover", "DE", "19901"), ("Austin", "TX", "73301"), ("Helena", "MT", "59601"), ("Boise", "ID", "83702"), ("Albany", "NY", "12207"), ("Denver", "CO", "80202")]
 STREETS = ["Oak Street", "Mill Road", "Park Avenue", "Lake Drive", "Hill Lane", "Church Street"]
-MARITAL = ["never_married", "married_present", "divorced", "widowed", "separated"]
-EDUCATION = ["high_school", "some_college", "associates", "bachelors", "graduate"]
-FIELDS = ["arts_humanities", "business", "education", "stem", "stem_related"]
+MARITAL = ["single", "engaged", "married", "in partnership", "no longer married"]
+EDUCATION = {"primary school": 1, "lower secondary school": 2, "upper secondary school": 4, "vocational training": 3, "university": 3, "doctorate": 1}
+#: The ten broad fields of education of the public classification ISCED-F 2013 (UNESCO), which is cited here by name.
+FIELDS = ["generic programmes", "education", "arts and humanities", "social sciences", "business and law", "natural sciences", "information technologies", "engineering and construction", "agriculture", "health and welfare"]
+STUDIED = ("university", "doctorate")
 JOBS = ["teacher", "nurse", "engineer", "clerk", "driver", "cook", "manager", "farmer"]
 DOMAINS = {"young": ["gmail.com", "icloud.com", "outlook.com"], "old": ["gmail.com", "yahoo.com", "aol.com", "hotmail.com"]}
 
@@ -65,7 +68,7 @@ def person(params: dict[str, Any], d: Draw, today: str = "2025-01-01") -> Column
     cities = [cities] if isinstance(cities, str) else cities
     places = [p for p in PLACES if not cities or p[0] in cities] or [(c, "NA", "00000") for c in cities or []]
     place = F.element_at(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(p, ("city", "state", "postcode"), strict=True))) for p in places)), F.floor(d.u("place") * len(places)).cast("int") + 1)
-    education = pick(d.u("education"), EDUCATION, None)
+    education = pick(d.u("education"), list(EDUCATION), list(EDUCATION.values()))
     return F.struct(
         F.md5(F.concat_ws("|", F.lit(f"{d.seed}|{d.column}|person"), d.row.cast("string"))).alias("uuid"),
         F.lit(params.get("locale", "en_US")).alias("locale"),
@@ -82,7 +85,7 @@ def person(params: dict[str, Any], d: Draw, today: str = "2025-01-01") -> Column
         F.lit("USA").alias("country"),
         pick(d.u("marital"), MARITAL, None).alias("marital_status"),
         education.alias("education_level"),
-        F.when(education.isin("bachelors", "graduate"), pick(d.u("field"), FIELDS, None)).otherwise("no_degree").alias("bachelors_field"),
+        F.when(education.isin(*STUDIED), pick(d.u("field"), FIELDS, None)).otherwise("none").alias("bachelors_field"),
         pick(d.u("job"), JOBS, None).alias("occupation"),
         email(first, last, age, d.u("email"), d.u("domain")).alias("email_address"),
         phone(age, d.u("phone"), d.u("line")).alias("phone_number"),
@@ -90,23 +93,54 @@ def person(params: dict[str, Any], d: Draw, today: str = "2025-01-01") -> Column
     )
 
 
-def sample_people(people: DataFrame, rows: DataFrame, params: dict[str, Any], seed: int, name: str, key: str, row: str = "_row_id") -> DataFrame:
+#: Columns of managed people datasets that are taken over. Names of the datasets' columns.
+PERSON_FIELDS = """
+uuid first_name middle_name last_name sex age marital_status postcode city district region country street_name street_number
+unit bachelors_field education_level occupation locale birth_date state email_address phone_number national_id
+ethnic_background industry preferred_english_name first_name_heritage name_heritage is_first_gen_immigrant household_type
+monthly_income_eur area blood_pressure_status blood_sugar_status bmi_status drinking_status economic_activity_status
+family_type housing_tenure housing_type income_bracket military_status smoking_status waist_status race education_degree
+first_language second_language third_language zone religion
+""".split()
+#: The same of personas. Fixed values.
+PERSONA_FIELDS = """
+persona detailed_persona professional_persona career_goals_and_ambitions cultural_background arts_persona culinary_persona
+finance_persona healthcare_persona sports_persona travel_persona hobbies_and_interests hobbies_and_interests_list
+skills_and_expertise skills_and_expertise_list openness conscientiousness extraversion agreeableness neuroticism aspects
+digital_skill family_persona religious_persona religious_background linguistic_persona linguistic_background
+""".split()
+
+
+def projected(people: DataFrame, personas: bool = False, locale: str = "en_US") -> DataFrame:
+    """The known fields of people, and those of personas where asked for, with the locale; fields without any value are left
+    out, which one pass tells."""
+    people = people.withColumn("locale", F.lit(locale))
+    names = [c for c in (*PERSON_FIELDS, *(PERSONA_FIELDS if personas else ())) if c in people.columns]
+    some = people.agg(*(F.max(F.col(c).isNotNull()).alias(c) for c in names)).first()
+    return people.select(*(c for c in names if some[c]))
+
+
+def sample_people(people: DataFrame, rows: DataFrame, params: dict[str, Any], seed: int, name: str, key: str, row: str = "_row_id", count: int | None = None) -> DataFrame:
     """Rows of a managed dataset, without repeats: those that fit, in a random order by hash, joined by place.
 
-    The rank is over the people that fit (bounded by the locale's dataset); fewer people than rows is an error.
+    ``sex``, ``city``, ``age_range`` and the lists of ``select_field_values`` narrow the people. Fewer people than rows is an
+    error. Where ``count`` is given, ``row`` counts from 0 and is below it, so rows are their own places; else they are
+    numbered by parts. The order is told within buckets of the hash, so no task sorts all people.
     """
     fits = people
-    for column in ("sex", "city"):
-        if params.get(column):
-            wanted = params[column] if isinstance(params[column], list) else [params[column]]
-            fits = fits.where(F.col(column).isin(wanted))
+    wanted = {c: params[c] for c in ("sex", "city") if params.get(c)} | (params.get("select_field_values") or {})
+    for column, values in wanted.items():
+        column = "region" if column == "state" and "state" not in fits.columns else column
+        if column not in fits.columns:
+            raise ValueError(f"people have no field {column!r}")
+        fits = fits.where(F.col(column).isin(values if isinstance(values, list) else [values]))
     low, high = params.get("age_range") or AGES
     fits = fits.where(F.col("age").between(int(low), int(high)))
-    if params.get("locale", "en_US") == "en_US" and "region" in fits.columns:
+    if params.get("locale", "en_US") == "en_US" and "region" in fits.columns and "state" not in fits.columns:
         fits = fits.withColumnRenamed("region", "state")
-    if (have := fits.count()) < (want := rows.count()):
+    if (have := fits.count()) < (want := rows.count() if count is None else count):
         raise ValueError(f"{want} people are asked for, and {have} fit")
-    ranked = fits.withColumn("_place", F.row_number().over(Window.orderBy(rank_key(seed, name, F.col(key)), key)).cast("long") - 1).where(F.col("_place") < want)
-    placed = rows.withColumn("_place", F.row_number().over(Window.orderBy(row)).cast("long") - 1)
-    columns = [c for c in ranked.columns if c != "_place"]
-    return placed.join(ranked.select("_place", F.struct(*columns).alias(name)), "_place").drop("_place")
+    held = ranked(fits, rank_key(seed, name, F.col(key)), key, have, [], "_place").where(F.col("_place") < want)
+    placed = indexed(rows, [row], "_place") if count is None else rows.withColumn("_place", F.col(row))
+    columns = [c for c in held.columns if c not in ("_place", "_person")]
+    return placed.join(held.select("_place", F.struct(*columns).alias(name)), "_place").drop("_place")

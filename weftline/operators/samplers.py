@@ -335,6 +335,8 @@ class SamplerSpec:
 
 OPERATORS: dict[str, Callable[[Column, Column], Column]] = {"lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b}
 TRIES = 32
+#: Draws that are made one after the other until one fits; the rest of TRIES are made together, by the few rows that are left.
+EAGER = 8
 #: Further draws of rows that are left, in stages; only rows that failed all earlier ones make them.
 FURTHER = (1 << 10, 1 << 16)
 #: Kinds that make structs of people, by another module.
@@ -362,8 +364,12 @@ class Constraint:
         return OPERATORS[self.operator](value, rhs)
 
 
-def constrained(draws: Callable[[int], Column], constraints: list[Constraint], tries: int = TRIES, further: Callable[[Column], Column] | None = None) -> Column:
-    """The first of ``tries`` draws that meets all constraints, then of ``FURTHER`` ones, whose number is a column; null if none does."""
+def constrained(draws: Callable[[int], Column], constraints: list[Constraint], tries: int = TRIES, further: Callable[[Column], Column] | None = None, exact: Column | None = None) -> Column:
+    """The first of ``tries`` draws that meets all constraints, then of ``FURTHER`` ones, whose number is a column, then ``exact``,
+    a draw of the distribution within the constraints where that is known; null if none does.
+
+    Nothing is drawn that isn't needed: each row stops at its first fitting draw.
+    """
     if not constraints:
         return draws(0)
 
@@ -373,8 +379,22 @@ def constrained(draws: Callable[[int], Column], constraints: list[Constraint], t
             out = out & c.holds(x)
         return out
 
-    held, at = [F.array(*(draws(k) for k in range(tries)))], 1
+    held, at = [], 1
+    if tries > EAGER:
+        held.append(F.array(*(draws(k) for k in range(EAGER, tries))))
     for n in FURTHER if further else ():
         held.append(F.transform(F.sequence(F.lit(at).cast("long"), F.lit(at + n - 1).cast("long")), lambda k: further(k)))
         at += n
-    return F.coalesce(*(F.try_element_at(F.filter(x, good), F.lit(1)) for x in held))
+    first = [F.when(good(d), d) for d in map(draws, range(min(tries, EAGER)))]
+    return F.coalesce(*first, *(F.try_element_at(F.filter(x, good), F.lit(1)) for x in held), *([F.when(good(exact), exact)] if exact is not None else []))
+
+
+def truncated(spec: SamplerSpec, draw: Draw, constraints: list[Constraint]) -> Column | None:
+    """A uniform sampler's draw from what its constraints leave of its range; null for other samplers."""
+    if spec.kind != "uniform" or spec.conditional_params:
+        return None
+    low, high = F.lit(float(spec.params["low"])), F.lit(float(spec.params["high"]))
+    for c in constraints:
+        rhs = F.lit(c.scalar) if c.scalar is not None else F.col(str(c.rhs)).cast("double")
+        low, high = (F.greatest(low, rhs), high) if c.operator in ("gt", "ge") else (low, F.least(high, rhs))
+    return F.when(low < high, low + (high - low) * draw.u("truncated"))

@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 import ast
+import functools
+import json
+import re
+import time
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,93 +64,201 @@ def python_verdict(code: str | None) -> tuple[bool, str, float, str | None]:
     return True, "warning" if warnings else "convention" if conventions else "none", score, None
 
 
-@F.udf(PYTHON_RESULT, useArrow=True)
-def python_valid(code: str | None) -> tuple:
-    return python_verdict(code)
+@F.pandas_udf(PYTHON_RESULT)
+def python_valid(code: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([python_verdict(x) for x in code], columns=PYTHON_RESULT.names)
 
 
-def validate_code(df: DataFrame, name: str, targets: list[str], lang: str) -> DataFrame:
-    """One struct with is_valid for a single target; with several, a struct of one for each, every one judged on its own rows."""
+def validate_code(df: DataFrame, name: str, targets: list[str], lang: str, off: str | None = None) -> DataFrame:
+    """One struct with is_valid for a single target; with several, a struct of one for each, every one judged on its own rows.
+
+    Rows for which the column ``off`` is true get null.
+    """
     if lang != "python" and not lang.startswith("sql"):
         raise ValueError(f"code in {lang!r} isn't validated")
     judge: Callable[[Column], Column] = (lambda c: python_valid(c)) if lang == "python" else sql_valid
-    judged = [judge(F.col(t)) for t in targets]
-    return df.withColumn(name, judged[0] if len(targets) == 1 else F.struct(*(j.alias(t) for j, t in zip(judged, targets, strict=True))))
+    judged = [judge(F.col(t) if off is None else F.when(~F.col(off), F.col(t))) for t in targets]
+    one = judged[0] if len(targets) == 1 else F.struct(*(j.alias(t) for j, t in zip(judged, targets, strict=True)))
+    return df.withColumn(name, one if off is None else F.when(~F.col(off), one))
+
 
+def validate_local(df: DataFrame, name: str, targets: list[str], function: Callable, schema: str = "is_valid boolean", off: str | None = None) -> DataFrame:
+    """``function`` takes and returns pandas frames of the targets; the result must have ``is_valid`` and as many rows.
 
-def validate_local(df: DataFrame, name: str, targets: list[str], function: Callable, row: str = "_row_id", schema: str = "is_valid boolean") -> DataFrame:
-    """``function`` takes and returns pandas frames of the targets; the result must have ``is_valid`` and as many rows."""
-    names = df.columns
-    out = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(schema))])
+    It isn't given the rows for which the column ``off`` is true; they get null.
+    """
+    names, fields = df.columns, T._parse_datatype_string(schema)
+    out = T.StructType([*df.schema.fields, T.StructField(name, fields)])
 
     def run(frames: Iterator[Any]) -> Iterator[Any]:
         for frame in frames:
-            got = function(frame[targets].reset_index(drop=True))
-            if "is_valid" not in got or len(got) != len(frame):
-                raise ValueError("a validator must return is_valid for every row")
-            yield frame[names].assign(**{name: got.to_dict("records")})
+            seen = ~frame[off].to_numpy(bool) if off else [True] * len(frame)
+            values: list = [None] * len(frame)
+            if any(seen):
+                got = function(frame.loc[seen, targets].reset_index(drop=True))
+                if "is_valid" not in got or len(got) != sum(seen):
+                    raise ValueError("a validator must return is_valid for every row")
+                if missing := [n for n in fields.names if n not in got]:
+                    raise ValueError(f"a validator's result lacks {', '.join(missing)}")
+                made = got[fields.names].astype(object)
+                made = iter(made.where(made.notna(), None).to_dict("records"))
+                values = [next(made) if s else None for s in seen]
+            yield frame[names].assign(**{name: pd.Series(values, index=frame.index, dtype=object)})
 
     return df.mapInPandas(run, out)
 
 
-def validate_remote(df: DataFrame, name: str, targets: list[str], url: str, post: Callable[[str, dict], list[dict] | None], batch: int = 10) -> DataFrame:
-    """Sends batches ``{"data": [...]}`` by ``post``; a batch that fails (None) has is_valid null."""
-    import pandas as pd
+@dataclass(frozen=True)
+class RemoteRules:
+    """How batches are posted: seconds to wait, further tries after a failure, the factor of the pause between them, and batches at once."""
+
+    timeout: float = 30.0
+    retries: int = 3
+    backoff: float = 2.0
+    parallel: int = 4
+
+
+def http_post(url: str, body: dict, timeout: float = 30.0) -> list[dict] | None:
+    """Posts JSON and reads a list of results, or an object that holds it as ``data``."""
+    request = urllib.request.Request(url, json.dumps(body, default=str).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        got = json.loads(answer.read())
+    return got.get("data") if isinstance(got, dict) else got
+
+
+def validate_remote(df: DataFrame, name: str, targets: list[str], url: str, post: Callable[[str, dict], list[dict] | None] | None, batch: int = 10, rules: RemoteRules | None = None, off: str | None = None, sleep: Callable = time.sleep) -> DataFrame:
+    """Posts batches ``{"data": [...]}`` by ``post(url, body)`` (``http_post`` if none is given), several at once; a batch that keeps
+    failing (an error, null, or another number of results) has is_valid null."""
+    rules = rules or RemoteRules()
+    post = post or functools.partial(http_post, timeout=rules.timeout)
+
+    def sent(some: list[dict]) -> list[dict]:
+        for attempt in range(rules.retries + 1):
+            try:
+                got = post(url, {"data": some})
+            except Exception:  # any fault of the service; the batch is asked again, and then told as not judged
+                got = None
+            if got is not None and len(got) == len(some):
+                return [{"is_valid": g.get("is_valid")} for g in got]
+            if attempt < rules.retries:
+                sleep(rules.backoff**attempt)
+        return [{"is_valid": None}] * len(some)
 
     def judged(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        for at in range(0, len(frame), batch):
-            some = frame.iloc[at : at + batch].to_dict("records")
-            got = post(url, {"data": some})
-            out += [{"is_valid": g.get("is_valid")} for g in got] if got is not None and len(got) == len(some) else [{"is_valid": None}] * len(some)
-        return pd.DataFrame(out, columns=["is_valid"])
+        batches = [frame.iloc[at : at + batch].to_dict("records") for at in range(0, len(frame), batch)]
+        with ThreadPoolExecutor(max(1, rules.parallel)) as pool:
+            return pd.DataFrame([g for got in pool.map(sent, batches) for g in got], columns=["is_valid"])
 
-    return validate_local(df, name, targets, judged)
+    return validate_local(df, name, targets, judged, off=off)
 
 
 # ---- JSON schemas
 
 
-def conforms(value: Any, schema: dict) -> bool:
-    """A small validator: types, required, properties, items, enum, bounds, and anyOf."""
-    if "anyOf" in schema or "oneOf" in schema:
-        return any(conforms(value, s) for s in schema.get("anyOf") or schema["oneOf"])
-    if "enum" in schema:
-        return value in schema["enum"]
-    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-    kind = schema.get("type")
-    if isinstance(kind, list):
-        return any(conforms(value, schema | {"type": k}) for k in kind)
-    if kind in ("integer", "number"):
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or kind == "integer" and value != int(value):
-            return False
-        return schema.get("minimum", value) <= value <= schema.get("maximum", value)
-    if kind in kinds and not isinstance(value, kinds[kind]):
+def resolved(schema: Any, root: Any) -> Any:
+    """What a local ``$ref`` (``#/$defs/name``) stands for; keywords beside the reference count too."""
+    seen: set[str] = set()
+    while isinstance(schema, dict) and isinstance(at := schema.get("$ref"), str):
+        if not at.startswith("#") or at in seen:
+            raise ValueError(f"the reference {at!r} can't be resolved")
+        seen.add(at)
+        found = root
+        for step in filter(None, at[1:].split("/")):
+            found = found[step.replace("~1", "/").replace("~0", "~")]
+        rest = {k: v for k, v in schema.items() if k != "$ref"}
+        schema = found | rest if isinstance(found, dict) else found
+    return schema
+
+
+def same(a: Any, b: Any) -> bool:
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
+JSON_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+
+
+def conforms(value: Any, schema: Any, root: Any = None) -> bool:
+    """Whether a value fits a JSON schema: references, types, allOf, anyOf, oneOf, not, enum, const, and the bounds of each type."""
+    root = schema if root is None else root
+    schema = resolved(schema, root)
+    if isinstance(schema, bool):
+        return schema
+    fits = lambda s, v=value: conforms(v, s, root)
+    if not all(map(fits, schema.get("allOf", []))) or "anyOf" in schema and not any(map(fits, schema["anyOf"])):
+        return False
+    if "oneOf" in schema and sum(map(fits, schema["oneOf"])) != 1 or "not" in schema and fits(schema["not"]):
+        return False
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]) or "const" in schema and not same(value, schema["const"]):
+        return False
+    kinds = schema.get("type")
+    if kinds is not None and not any(of_kind(value, k) for k in (kinds if isinstance(kinds, list) else [kinds])):
         return False
-    if kind == "object":
-        known = schema.get("properties", {})
-        if any(k not in value for k in schema.get("required", [])) or schema.get("additionalProperties") is False and set(value) - set(known):
+    if isinstance(value, bool):
+        return True
+    if isinstance(value, (int, float)):
+        if not schema.get("minimum", value) <= value <= schema.get("maximum", value):
             return False
-        return all(conforms(value[k], s) for k, s in known.items() if k in value)
-    if kind == "array":
-        return all(conforms(v, schema.get("items", {})) for v in value)
-    if kind == "string":
-        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value))
+        if value <= schema.get("exclusiveMinimum", value - 1) or value >= schema.get("exclusiveMaximum", value + 1):
+            return False
+        return "multipleOf" not in schema or abs(value / schema["multipleOf"] - round(value / schema["multipleOf"])) < 1e-9
+    if isinstance(value, str):
+        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)) and ("pattern" not in schema or re.search(schema["pattern"], value) is not None)
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            return False
+        if schema.get("uniqueItems") and any(same(a, b) for i, a in enumerate(value) for b in value[:i]):
+            return False
+        first = schema.get("prefixItems", [])
+        return all(fits(s, v) for s, v in zip(first, value, strict=False)) and all(fits(schema.get("items", True), v) for v in value[len(first) :])
+    if isinstance(value, dict):
+        known, other = schema.get("properties", {}), schema.get("additionalProperties", True)
+        if any(k not in value for k in schema.get("required", [])) or not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            return False
+        return all(fits(known[k] if k in known else other, v) for k, v in value.items())
     return True
 
 
-def pruned(value: Any, schema: dict) -> Any:
-    """The value without properties that the schema doesn't name."""
+def of_kind(value: Any, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        return not isinstance(value, bool) and isinstance(value, (int, float)) and (kind == "number" or value == int(value))
+    return isinstance(value, JSON_KINDS[kind])
+
+
+def pruned(value: Any, schema: Any, root: Any = None) -> Any:
+    """The value without properties that the schema doesn't name; of alternatives, the one that the value fits once pruned, by its
+    discriminator where there is one."""
+    root = schema if root is None else root
+    schema = resolved(schema, root)
+    if isinstance(schema, bool):
+        return value
+    if choices := schema.get("anyOf") or schema.get("oneOf"):
+        by = (schema.get("discriminator") or {}).get("propertyName")
+        for s in choices:
+            told = resolved(s, root)
+            if by and isinstance(value, dict):
+                tag = told.get("properties", {}).get(by, {})
+                if not conforms(value.get(by), tag, root):
+                    continue
+            got = pruned(value, told, root)
+            if conforms(got, told, root):
+                return got
+        return value
     if isinstance(value, dict) and "properties" in schema:
-        return {k: pruned(v, schema["properties"][k]) for k, v in value.items() if k in schema["properties"]}
-    return [pruned(v, schema.get("items", {})) for v in value] if isinstance(value, list) else value
+        return {k: pruned(v, schema["properties"][k], root) for k, v in value.items() if k in schema["properties"]}
+    return [pruned(v, schema.get("items", True), root) for v in value] if isinstance(value, list) else value
 
 
-def struct_of(schema: dict) -> T.DataType:
-    """The Spark type of a JSON schema."""
+def struct_of(schema: dict, root: dict | None = None) -> T.DataType:
+    """The Spark type of a JSON schema; alternatives, and what has no type, are text (null beside one type leaves that type)."""
+    root = schema if root is None else root
+    schema = resolved(schema, root)
+    if choices := [s for s in schema.get("anyOf", []) if s.get("type") != "null"]:
+        return struct_of(choices[0], root) if len(choices) == 1 else T.StringType()
     kind = schema.get("type")
-    if kind == "object":
-        return T.StructType([T.StructField(k, struct_of(s)) for k, s in schema.get("properties", {}).items()])
+    if isinstance(kind, list):
+        kind = next((k for k in kind if k != "null"), None) if len([k for k in kind if k != "null"]) == 1 else None
+    if kind == "object" and schema.get("properties"):
+        return T.StructType([T.StructField(k, struct_of(s, root)) for k, s in schema["properties"].items()])
     if kind == "array":
-        return T.ArrayType(struct_of(schema.get("items", {})))
+        return T.ArrayType(struct_of(schema.get("items", {}), root))
     return {"integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}.get(kind, T.StringType())

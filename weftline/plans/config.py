@@ -83,9 +83,10 @@ class ColumnConfig:
 @dataclass
 class ProcessorConfig:
     name: str
-    kind: str  # drop_columns, schema_transform
+    kind: str  # drop_columns, schema_transform, or one that a plugin registered
     column_names: list[str] = field(default_factory=list)
     template: dict[str, Any] = field(default_factory=dict)
+    params: dict[str, Any] = field(default_factory=dict)
 
 
 @dataclass

@@ -1,8 +1,14 @@
 """Runs: create, preview, resume, profile, export, and workflows of several stages.
 
-A dataset is written as Parquet by row group. Draws depend on row ids alone, so
-a run that stopped is resumed by making the row groups that are missing, and a
-dataset is extended by further ids; either gives what one run would have given.
+A dataset is written as Parquet by blocks of row groups, of which there are at most
+``MOST_BLOCKS``. Draws depend on row ids alone, so a run that stopped is resumed by
+making the blocks that are missing, and a dataset is extended by further ids;
+either gives what one run would have given.
+
+The plan is run once: where there is more than one thing to write (dropped columns,
+processors' datasets), or a processor acts on all of it, the made rows are written
+to a staging folder first and all else is read from there, so what models answered
+is the same everywhere. Why rows were dropped is counted on the way.
 """
 
 from __future__ import annotations
@@ -12,15 +18,19 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.expressions import drop_columns, schema_transform
-from weftline.operators.profile import percent_complete, profile
+from weftline.operators.expressions import DROP, drop_columns, schema_transform
+from weftline.operators.generate import CallRules, health_check
+from weftline.operators.profile import general, percent_complete, profile
+from weftline.operators.validate import RemoteRules
 from weftline.plans.config import Builder, Config, ConfigError, lint
 from weftline.plans.planner import GROUP, ROW, Planner, Resources
+from weftline.sources.shared import written
 
-DATA, DROPPED, SIDE, META = "parquet-files", "dropped-columns", "processors-files", "metadata.json"
+DATA, DROPPED, SIDE, META, STAGING = "parquet-files", "dropped-columns", "processors-files", "metadata.json", "_staging"
+MOST_BLOCKS = 4096  # folders of a dataset
 
 
 @dataclass
@@ -29,12 +39,47 @@ class RunConfig:
     resume: str = "never"  # never, always, if_possible
     preserve_dropped: bool = True
     least_rows: float = 0.0  # share of the rows asked for that must be made
+    calls: CallRules = field(default_factory=CallRules)
+    remote: RemoteRules = field(default_factory=RemoteRules)
+    check_models: bool = False  # whether models are asked once before a run
+    statistics: bool = False  # whether the metadata hold the columns' statistics, which takes a pass over the data
 
 
 class RunError(RuntimeError):
     pass
 
 
+class Processor:
+    """What a plugin does to a run; each method may return another DataFrame. ``before`` and ``after_batch`` see the rows with their
+    row id and group and may not change how many there are; ``after_generation`` sees the finished dataset and may.
+
+    ``before`` acts on the row ids and seed columns, ``after_batch`` on the rows that were made."""
+
+    def __init__(self, name: str, **params: Any) -> None:
+        self.name, self.params = name, params
+
+    def before(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def after_batch(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def after_generation(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def acts(self, method: str) -> bool:
+        return getattr(type(self), method) is not getattr(Processor, method)
+
+
+PROCESSORS: dict[str, type[Processor]] = {}
+
+
+def register_processor(kind: str, processor: type[Processor]) -> None:
+    if kind in PROCESSORS or kind in ("schema_transform", "drop_columns"):
+        raise ConfigError(f"there is a processor kind {kind!r} already")
+    PROCESSORS[kind] = processor
+
+
 class Folder:
     """Small files of a dataset, through Hadoop's file systems."""
 
@@ -138,73 +183,149 @@ class Engine:
             raise ConfigError("; ".join(f"{f.column or 'config'}: {f.message}" for f in wrong))
         return config
 
-    def planner(self, config: Config) -> Planner:
-        return Planner(self.spark, config, self.resources, self.run_config.buffer_size)
+    def check_models(self) -> dict[str, str | None]:
+        """The fault of each model that can't be reached."""
+        return health_check(self.resources.models)
+
+    def planner(self, config: Config, total: int | None = None) -> Planner:
+        rc = self.run_config
+        return Planner(self.spark, config, self.resources, rc.buffer_size, rc.calls, rc.remote, total)
 
     def preview(self, builder: Builder | Config, count: int = 10) -> DataFrame:
         """The plan over the first rows, nothing written."""
         config = self.validate(builder)
-        out, _ = self.finish(config, self.planner(config).plan(count))
-        return out.drop(ROW, GROUP)
+        return self.main(config, self.whole(config, self.made(config, self.rows(config, self.planner(config), count)))).drop(ROW, GROUP)
 
-    def finish(self, config: Config, df: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
-        """The main dataset, and the side ones of processors and dropped columns; side ones see all columns."""
-        side: dict[str, DataFrame] = {}
+    # -- steps
+
+    @staticmethod
+    def processors(config: Config) -> list[Processor]:
+        """The plugins' processors; other kinds than those and the two built in are refused."""
+        out = []
+        for p in config.processors:
+            if p.kind in PROCESSORS:
+                out.append(PROCESSORS[p.kind](p.name, **p.params))
+            elif p.kind not in ("schema_transform", "drop_columns"):
+                raise ConfigError(f"no processor is of kind {p.kind!r}")
+        return out
+
+    def rows(self, config: Config, planner: Planner, count: int, groups: list[int] | None = None) -> DataFrame:
+        """All columns with the reasons of dropped rows."""
+        def before(df: DataFrame) -> DataFrame:
+            for p in self.processors(config):
+                df = p.before(df) if p.acts("before") else df
+            return df
+
+        return planner.marked(planner.rows(count, groups=groups), before)
+
+    def made(self, config: Config, marked: DataFrame) -> DataFrame:
+        """The rows that stay, after the processors that see them."""
+        df = marked.where(F.col(DROP).isNull()).select([c for c in marked.columns if not c.startswith("_skip_") and c != DROP])
+        for p in self.processors(config):
+            if p.acts("after_batch"):
+                df, rows = p.after_batch(df), df
+                if not {ROW, GROUP} <= set(df.columns):
+                    raise ConfigError(f"the processor {p.name!r} must leave {ROW} and {GROUP}")
+                if rows.count() != df.count():
+                    raise RunError(f"the processor {p.name!r} changed the number of rows")
+        return df
+
+    def whole(self, config: Config, df: DataFrame) -> DataFrame:
+        """After the processors that act on the finished dataset; where these make rows anew, they are numbered anew too."""
+        for p in self.processors(config):
+            if p.acts("after_generation"):
+                df = p.after_generation(df.drop(ROW, GROUP))
+                df = df.select("*", F.monotonically_increasing_id().alias(ROW)).withColumn(GROUP, F.floor(F.col(ROW) / self.run_config.buffer_size).cast("long"))
+        return df
+
+    def dropped(self, config: Config, df: DataFrame) -> list[str]:
         marked = [c.name for c in config.columns if c.drop]
         for p in config.processors:
-            if p.kind == "schema_transform":
-                side[f"{SIDE}/{p.name}"] = transformed(df, p.template)
-            elif p.kind == "drop_columns":
+            if p.kind == "drop_columns":
                 marked += [c for c in df.columns if c in drop_columns(df, p.column_names)[1].columns and c not in (ROW, GROUP)]
-            else:
-                raise ConfigError(f"no processor is of kind {p.kind!r}")
-        marked = list(dict.fromkeys(marked))
-        if marked and self.run_config.preserve_dropped:
+        return list(dict.fromkeys(marked))
+
+    def main(self, config: Config, df: DataFrame) -> DataFrame:
+        return df.drop(*self.dropped(config, df))
+
+    def finish(self, config: Config, df: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+        """The main dataset, and the side ones of processors and dropped columns; side ones see all columns."""
+        side = {f"{SIDE}/{p.name}": transformed(df, p.template) for p in config.processors if p.kind == "schema_transform"}
+        if (marked := self.dropped(config, df)) and self.run_config.preserve_dropped:
             side[DROPPED] = df.select(ROW, GROUP, *marked)
-        return df.drop(*marked), side
+        return self.main(config, df), side
 
     def create(self, builder: Builder | Config, count: int, path: str) -> Results:
         config, folder, rc = self.validate(builder), Folder(self.spark, path), self.run_config
-        groups = list(range(-(-count // rc.buffer_size)))
-        meta = {"target": count, "buffer_size": rc.buffer_size, "fingerprint": config.fingerprint(), "preserve_dropped": rc.preserve_dropped}
-        todo = groups
+        if rc.check_models and (faults := {k: v for k, v in self.check_models().items() if v}):
+            raise RunError(f"models can't be reached: {faults}")
+        acts = any(p.acts("after_generation") for p in self.processors(config))
+        groups = -(-count // rc.buffer_size)
+        meta: dict[str, Any] = {"target": count, "buffer_size": rc.buffer_size, "fingerprint": config.fingerprint(), "preserve_dropped": rc.preserve_dropped, "groups_of_block": -(-groups // MOST_BLOCKS) or 1, "empty": [], "dropped": {}}
+        todo, fresh = None, True
         if folder.exists(META) and rc.resume != "never":
             old = json.loads(folder.read(META))
-            fits = all(old[k] == meta[k] for k in ("buffer_size", "fingerprint", "preserve_dropped")) and old["target"] <= count
-            if fits:
-                todo = self.missing(folder, groups, old["target"])
+            if all(old[k] == meta[k] for k in ("buffer_size", "fingerprint", "preserve_dropped")) and old["target"] <= count and (not acts or old.get("complete") and old["target"] == count):
+                meta |= {k: old[k] for k in ("groups_of_block", "empty", "dropped")}
+                todo, fresh = ([] if acts else self.missing(folder, groups, old, meta["groups_of_block"])), False
             elif rc.resume == "always":
-                raise RunError("the dataset there was made by another config, and can't be resumed")
-        fresh = len(todo) == len(groups)
+                raise RunError("the dataset there was made by another config, or was processed as a whole, and can't be resumed")
         if fresh:
-            for name in (DATA, DROPPED, SIDE, META):
+            for name in (DATA, DROPPED, SIDE, META, STAGING):
                 folder.delete(name)
         folder.write(META, json.dumps(meta | {"complete": False}))
-        if todo:
-            whole = fresh and rc.resume == "never"
-            plan = self.planner(config).plan(count, groups=None if whole else todo)
-            main, side = self.finish(config, plan)
-            for name, df in [*side.items(), (DATA, main)]:  # the main data come last: a group there means that all of it is there
-                self.write(df, f"{path.rstrip('/')}/{name}")
-        folder.write(META, json.dumps(meta | {"complete": True, "groups": len(groups)}))
+        wide = meta["groups_of_block"]
+        if todo is None or todo:
+            some = None if todo is None else [g for b in todo for g in range(b * wide, min(groups, (b + 1) * wide))]
+            marked = self.rows(config, self.planner(config, count), count, some)
+            reasons, seen = [f"{c.name}:{why}" for c in config.columns for why in ("render", "empty", "cast", "model", "stopped")], Observation()
+            marked = marked.observe(seen, *(F.count_if(F.coalesce(F.col(DROP) == r, F.lit(False))).alias(r) for r in reasons), F.count(F.lit(1)).alias("rows"))
+            df = self.made(config, marked)
+            if acts or self.processors(config) or len(self.finish(config, df)[1]):
+                df = self.staged(df, f"{path.rstrip('/')}/{STAGING}")
+                df = self.whole(config, df)
+                df = written(df, "processed") if acts else df
+            main, side = self.finish(config, df)
+            for name, out in [*side.items(), (DATA, main)]:  # the main data come last: a block there means that all of it is there
+                self.write(out, f"{path.rstrip('/')}/{name}", wide)
+            folder.delete(STAGING)
+            meta["dropped"] = {r: n for r in reasons if (n := meta["dropped"].get(r, 0) + (seen.get[r] or 0))}
+        if not acts:
+            done = self.blocks(folder, wide)
+            meta["empty"] = [b for b in range(-(-groups // wide)) if b not in done]
         out = Results(self.spark, path.rstrip("/"), config, meta)
-        if count and out.count_records() < max(1, rc.least_rows * count):
+        meta |= {"actual": out.count_records(), "stopped_early": any(r.endswith(":stopped") for r in meta["dropped"])}
+        if rc.statistics and meta["actual"]:
+            data = out.load_dataset()
+            meta["column_statistics"] = [r.asDict(recursive=True) for r in general(data, data.columns).collect()]
+        folder.write(META, json.dumps(meta | {"complete": True, "groups": groups}, default=str))
+        if count and meta["actual"] < max(1, rc.least_rows * count):
             raise RunError("too few rows were made")
         return out
 
-    def write(self, df: DataFrame, path: str) -> None:
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        df.write.mode("overwrite").partitionBy(GROUP).parquet(path)
+    def staged(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def write(self, df: DataFrame, path: str, groups_of_block: int) -> None:
+        """A folder for each block, named by its first row group."""
+        out = df.withColumn(GROUP, F.floor(F.col(GROUP) / groups_of_block).cast("long") * groups_of_block)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(GROUP).parquet(path)
+
+    def blocks(self, folder: Folder, groups_of_block: int) -> set[int]:
+        return {int(n.split("=")[1]) // groups_of_block for n in folder.names(DATA) if n.startswith(f"{GROUP}=")}
 
-    def missing(self, folder: Folder, groups: list[int], had: int) -> list[int]:
-        """Groups that aren't there, and the last one of a shorter run if it wasn't full."""
-        done = {int(n.split("=")[1]) for n in folder.names(DATA) if n.startswith(f"{GROUP}=")}
-        if had % self.run_config.buffer_size:
-            done.discard(had // self.run_config.buffer_size)
-        return [g for g in groups if g not in done]
+    def missing(self, folder: Folder, groups: int, old: dict[str, Any], groups_of_block: int) -> list[int]:
+        """Blocks that aren't there and weren't found empty, and the last one of a shorter run if it wasn't full."""
+        done = self.blocks(folder, groups_of_block) | set(old["empty"])
+        if old["target"] % (width := self.run_config.buffer_size * groups_of_block):
+            if -(-old["target"] // width) * groups_of_block < groups or old["target"] < groups * self.run_config.buffer_size:
+                done.discard(old["target"] // width)
+        return [b for b in range(-(-groups // groups_of_block)) if b not in done]
 
 
 def transformed(df: DataFrame, template: dict[str, Any]) -> DataFrame:
+    """The dataset of a schema transform, with the row groups."""
     made = schema_transform(df.withColumnRenamed(GROUP, "grp__"), template | {"grp__": "{{ grp__ }}"})
     return made.withColumn(GROUP, F.col("grp__").cast("long")).drop("grp__")
 

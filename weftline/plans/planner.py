@@ -3,7 +3,9 @@
 Columns are sorted by what they need and grouped into levels; each level is one
 projection, which Catalyst collapses with its neighbours, so a run of samplers
 and expressions is a single stage of generated code over a range of row ids.
-Rows that fail are marked in the plan and filtered once at the end.
+Rows that fail are marked in the plan and filtered once at the end. A column that
+Python makes is one pass over all rows: rows that are skipped or dropped already
+go through it beside the others, and its function never sees them.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import types as T
 from weftline.functions.draws import MODULUS
 from weftline.functions.template import Compiler
 from weftline.operators.expressions import DROP, cast_text, skip_flag
-from weftline.operators.generate import generate_model_column
-from weftline.operators.people import person
-from weftline.operators.samplers import TRIES, Draw, constrained
-from weftline.operators.validate import validate_code, validate_local, validate_remote
+from weftline.operators.generate import CallRules, generate_model_column, stand_in
+from weftline.operators.people import person, projected, sample_people
+from weftline.operators.samplers import TRIES, Draw, constrained, truncated
+from weftline.operators.validate import RemoteRules, validate_code, validate_local, validate_remote
 from weftline.plans.config import ColumnConfig, Config, ConfigError
 from weftline.sources.seeds import INDEX, attach, indexed, selected
 
@@ -55,20 +57,40 @@ def levels(columns: list[ColumnConfig], given: list[str], constraints: list | No
 
 @dataclass
 class Resources:
-    """What a run may call: model clients by alias, local functions and posts by column name, people by locale."""
+    """What a run may call: model clients by alias, local functions by column name, tools by name, a post for remote validation;
+    people by locale, as DataFrames or as the folder that holds ``<locale>.parquet``; makers of column kinds of the caller's own."""
 
     models: dict[str, Callable] = field(default_factory=dict)
     functions: dict[str, Callable] = field(default_factory=dict)
+    tools: dict[str, Callable] = field(default_factory=dict)
     post: Callable | None = None
-    people: DataFrame | None = None
+    people: dict[str, DataFrame] | str | None = None
+
+    def people_of(self, spark: SparkSession, locale: str) -> DataFrame | None:
+        if isinstance(self.people, str):
+            return spark.read.parquet(f"{self.people.rstrip('/')}/{locale}.parquet")
+        return (self.people or {}).get(locale)
+
+
+#: Makers of column kinds that plugins add: ``maker(df, column, resources, off) -> DataFrame`` with the column added.
+COLUMN_KINDS: dict[str, Callable] = {}
+
+
+def register_column_kind(kind: str, maker: Callable) -> None:
+    if kind in COLUMN_KINDS:
+        raise ConfigError(f"there is a column kind {kind!r} already")
+    COLUMN_KINDS[kind] = maker
 
 
 class Planner:
-    def __init__(self, spark: SparkSession, config: Config, resources: Resources | None = None, buffer_size: int = 1000) -> None:
+    def __init__(self, spark: SparkSession, config: Config, resources: Resources | None = None, buffer_size: int = 1000, rules: CallRules | None = None, remote: RemoteRules | None = None, total: int | None = None) -> None:
+        """``total`` is how many rows the whole dataset has, where a plan makes a part of them."""
         self.spark, self.config, self.resources, self.buffer_size = spark, config, resources or Resources(), buffer_size
+        self.rules, self.remote, self.total = rules or CallRules(), remote or RemoteRules(), total
 
     def rows(self, count: int, start: int = 0, groups: list[int] | None = None) -> DataFrame:
-        """Row ids from ``start`` to ``count``, or those of the row groups given."""
+        """Row ids from ``start`` to ``count``, or those of the row groups given (a bounded list: see ``Engine``)."""
+        self.total = self.total or count
         if groups is None:
             ids = self.spark.range(start, count).withColumnRenamed("id", ROW)
         else:
@@ -77,11 +99,14 @@ class Planner:
             ids = ids.select((F.get(each, F.floor(F.col("id") / self.buffer_size).cast("int")).cast("long") * self.buffer_size + F.col("id") % self.buffer_size).alias(ROW)).where(F.col(ROW) < count)
         return ids.withColumn(GROUP, F.floor(F.col(ROW) / self.buffer_size).cast("long"))
 
-    def marked(self, rows: DataFrame) -> DataFrame:
-        """All columns over the rows, with the reason of dropped rows in ``_drop_reason``."""
-        df = self.seeded(rows).withColumn(DROP, F.lit(None).cast("string"))
+    def marked(self, rows: DataFrame, before: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """All columns over the rows, with the reason of dropped rows in ``_drop_reason``. ``before`` acts on what comes first, the
+        row ids and seed columns."""
+        df = before(self.seeded(rows)).withColumn(DROP, F.lit(None).cast("string"))
         for level in levels(self.config.columns, df.columns, self.config.constraints):
-            samplers = [c for c in level if c.kind == "sampler"]
+            for c in [c for c in level if self.managed(c)]:
+                df = self.people(df, c)
+            samplers = [c for c in level if c.kind == "sampler" and not self.managed(c)]
             if samplers:
                 df = self.sample(df, samplers)
             plain = [c for c in level if c.kind == "expression"]
@@ -111,6 +136,21 @@ class Planner:
     def draw(self, name: str, attempt: int = 0) -> Draw:
         return Draw(self.config.seed, name, F.col(ROW), attempt)
 
+    def managed(self, c: ColumnConfig) -> bool:
+        """Whether a person column is drawn from a managed dataset; ``person_from_faker`` never is."""
+        return c.sampler_type == "person" and self.resources.people is not None
+
+    def people(self, df: DataFrame, c: ColumnConfig) -> DataFrame:
+        locale = c.params.get("locale", "en_US")
+        held = self.resources.people_of(self.spark, locale)
+        if held is None:
+            raise ConfigError(f"column {c.name!r} needs people of {locale!r}, and there are none")
+        fields = projected(held, bool(c.params.get("with_synthetic_personas")), locale)
+        key = "uuid" if "uuid" in fields.columns else "_person"
+        if key == "_person":  # a name for each person that doesn't depend on how they lie
+            fields = fields.withColumn(key, F.md5(F.to_json(F.struct(*fields.columns))))
+        return sample_people(fields, df, c.params, self.config.seed, c.name, key, ROW, self.total)
+
     def sample(self, df: DataFrame, columns: list[ColumnConfig]) -> DataFrame:
         compiler, made, failed = Compiler(df.schema, self.config.seed, F.col(ROW)), {}, []
         for c in columns:
@@ -119,7 +159,7 @@ class Planner:
                 continue
             spec, own = c.sampler(), [k for k in self.config.constraints if k.target == c.name]
             further = lambda k, spec=spec, c=c: spec.column(replace(self.draw(c.name, TRIES), row=F.col(ROW) + k * F.lit(MODULUS).cast("long")), compiler.condition)
-            made[c.name] = constrained(lambda attempt, spec=spec, c=c: spec.column(self.draw(c.name, attempt), compiler.condition), own, further=None if spec.by_numpy else further)
+            made[c.name] = constrained(lambda attempt, spec=spec, c=c: spec.column(self.draw(c.name, attempt), compiler.condition), own, further=None if spec.by_numpy else further, exact=truncated(spec, self.draw(c.name, TRIES), own))
             if own or c.sampler_type == "subcategory":
                 failed.append(c.name)
         df = df.withColumns(made)
@@ -157,36 +197,37 @@ class Planner:
         return df.withColumns(values | {DROP: reason}).drop(*texts)
 
     def generate(self, df: DataFrame, c: ColumnConfig) -> DataFrame:
-        """A column that Python makes. Rows to be skipped, and rows dropped already, never reach the function."""
-        flagged = c.skip is not None or any(f"_skip_{x}" in df.columns for x in c.required())
-        if not flagged:
-            return self.made(df, c)
-        flag = f"_skip_{c.name}"
-        df = df.withColumn(flag, skip_flag(df, c.skip.when if c.skip else None, c.required(), c.propagate_skip))
-        made = self.made(df.where(~F.col(flag)), c)
-        rest = df.where(F.col(flag))
-        for f in made.schema.fields:
-            if f.name not in rest.columns:
-                value = c.skip.value if c.skip and f.name == c.name else None
-                rest = rest.withColumn(f.name, F.lit(value).cast(f.dataType) if not isinstance(f.dataType, T.StructType) or value is None else F.lit(None).cast(f.dataType))
-        return made.unionByName(rest)
+        """A column that Python makes, in one pass. Rows to be skipped, and rows dropped already, never reach its function."""
+        off = F.col(DROP).isNotNull()
+        if c.skip is not None or any(f"_skip_{x}" in df.columns for x in c.required()):
+            flag = f"_skip_{c.name}"
+            df = df.withColumn(flag, skip_flag(df, c.skip.when if c.skip else None, c.required(), c.propagate_skip))
+            off = off | F.col(flag)
+        return self.made(df.withColumn(OFF, off), c).drop(OFF)
 
     def made(self, df: DataFrame, c: ColumnConfig) -> DataFrame:
-        r = self.resources
+        r, instead = self.resources, c.skip.value if c.skip else None
+        if c.kind in COLUMN_KINDS:
+            return COLUMN_KINDS[c.kind](df, c, r, OFF)
         if c.kind == "validation":
             if (c.validator or "").startswith("code:"):
-                return validate_code(df, c.name, c.target_columns, c.validator.removeprefix("code:"))
+                return validate_code(df, c.name, c.target_columns, c.validator.removeprefix("code:"), OFF)
             if c.validator == "remote":
-                return validate_remote(df, c.name, c.target_columns, c.params["url"], r.post, c.batch_size)
-            return validate_local(df, c.name, c.target_columns, r.functions[c.name])
+                return validate_remote(df, c.name, c.target_columns, c.params["url"], r.post, c.batch_size, self.remote, OFF)
+            return validate_local(df, c.name, c.target_columns, r.functions[c.name], c.params.get("schema", "is_valid boolean"), OFF)
         if c.kind == "custom":
-            return custom(df, c, r.functions[c.name])
-        return generate_model_column(df, c, r.models[c.model_alias], self.config.seed)
+            return custom(df, c, r.functions[c.name], instead)
+        parameters = next((m.parameters for m in self.config.models if m.alias == c.model_alias), {})
+        return generate_model_column(df, c, r.models[c.model_alias], self.config.seed, self.rules, parameters, r.tools, OFF, instead)
+
+
+#: The column that tells which rows a function is not to see.
+OFF = "_off"
 
 
-def custom(df: DataFrame, c: ColumnConfig, function: Callable) -> DataFrame:
+def custom(df: DataFrame, c: ColumnConfig, function: Callable, instead: Any = None) -> DataFrame:
     """A function of a row (``params["mode"] == "cell"``) or of a row group's frame. It makes the column and its side effects,
-    may not remove columns or rows, and what it makes beyond that is left out."""
+    may not remove columns or rows, and what it makes beyond that is left out. Rows that are off get ``instead``."""
     import pandas as pd
 
     types = {n: T._parse_datatype_string(t) if isinstance(t, str) else t for n, t in (c.params.get("types") or {}).items()}
@@ -194,17 +235,27 @@ def custom(df: DataFrame, c: ColumnConfig, function: Callable) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *extra])
 
     def of_group(frame: pd.DataFrame) -> pd.DataFrame:
-        if c.params.get("mode", "cell") == "cell":
-            cells = [function(r) for r in frame.to_dict("records")]
-            got = pd.DataFrame([x if isinstance(x, dict) else {c.name: x} for x in cells], index=frame.index)
-            out = pd.concat([frame, got], axis=1)
+        off = frame[OFF].to_numpy(bool)
+        seen = frame[~off]
+        given = seen.drop(columns=[x for x in seen.columns if x in (OFF, DROP) or x.startswith("_skip_")])
+        if not len(seen):
+            got = pd.DataFrame({n: pd.Series(dtype=object) for n in c.outputs()}, index=seen.index)
+        elif c.params.get("mode", "cell") == "cell":
+            cells = [function(r) for r in given.to_dict("records")]
+            got = pd.DataFrame([x if isinstance(x, dict) else {c.name: x} for x in cells], index=seen.index)
         else:
-            out = function(frame.copy())
-        if len(out) != len(frame):
-            raise ValueError(f"the function of {c.name!r} changed the number of rows")
-        if missing := [n for n in (*frame.columns, *c.outputs()) if n not in out.columns]:
+            got = function(given.copy())
+            if len(got) != len(seen):
+                raise ValueError(f"the function of {c.name!r} changed the number of rows")
+            if missing := [n for n in given.columns if n not in got.columns]:
+                raise ValueError(f"the function of {c.name!r} left out {', '.join(missing)}")
+            got.index = seen.index
+        if missing := [n for n in c.outputs() if n not in got.columns]:
             raise ValueError(f"the function of {c.name!r} left out {', '.join(missing)}")
-        return out[[f.name for f in schema.fields]]
+        made = got[c.outputs()].astype(object).reindex(frame.index)
+        made.loc[off, c.name] = pd.Series([stand_in(instead, extra[0].dataType)] * int(off.sum()), index=frame.index[off], dtype=object)
+        made = made.where(made.notna(), None)
+        return pd.concat([frame, made], axis=1)[[f.name for f in schema.fields]]
 
     if c.params.get("mode", "cell") == "cell":
 
@@ -216,4 +267,4 @@ def custom(df: DataFrame, c: ColumnConfig, function: Callable) -> DataFrame:
     return df.groupBy(GROUP).applyInPandas(of_group, schema)
 
 
-__all__ = ["GROUP", "ROW", "Column", "Planner", "Resources", "levels"]
+__all__ = ["GROUP", "OFF", "ROW", "Column", "Planner", "Resources", "levels", "register_column_kind"]

@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.draws import rank_key
+from weftline.sources.shared import written
 
 INDEX = "_seed_idx"
 
@@ -118,22 +120,58 @@ def register_reader(kind: str, reader: type) -> None:
 # ---- selection
 
 
+def scanned(df: DataFrame) -> DataFrame | None:
+    """The rows of a bare Parquet scan with ``_part`` (their file) and ``_place`` (their number in it), which never change; else null."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in str(plan.relation().toString()).lower():
+        return None
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias("_part"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return None
+
+
 def indexed(df: DataFrame, order_by: list[str] | None = None, index: str = INDEX) -> DataFrame:
     """Numbers the rows from 0, in the order of the columns given or as they lie, without one task sorting all.
 
-    Rows are counted per part, and the parts' offsets (one number each) are added back.
+    A number is a row's place in its part and the part's offset; parts are counted, and one number for each comes to the
+    driver. Both must be told of the same parts: a Parquet scan's parts are its files; anything else, and any order, is
+    dealt and written to the shared folder once, as dealing by range or reading again may part the rows anew. Rows that tie
+    in ``order_by`` come in any order.
     """
-    dealt = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
-    # The id's upper bits are the part, its lower 33 the place within it.
-    marked = dealt.withColumn("_place", F.monotonically_increasing_id())
-    sizes = marked.groupBy(F.shiftright("_place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    offsets, run = {}, 0
+    marked = None if order_by else scanned(df)
+    if marked is None:
+        dealt = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
+        # The id's upper bits are the part, its lower 33 the place within it.
+        at = F.monotonically_increasing_id()
+        marked = written(dealt.withColumn("_place", at), "seeds").withColumn("_part", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    offsets, run = [], 0
     for r in sizes:
-        offsets[r["part"]] = run
+        offsets.append((r["_part"], run))
         run += r["n"]
-    told = df.sparkSession.createDataFrame(list(offsets.items()) or [], "_part long, _offset long")
-    numbered = marked.withColumn("_part", F.shiftright("_place", 33)).join(F.broadcast(told), "_part")
-    return numbered.withColumn(index, F.col("_offset") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_place", "_offset")
+    told = df.sparkSession.createDataFrame(offsets, f"_part {marked.schema['_part'].dataType.simpleString()}, _offset long")
+    return marked.join(F.broadcast(told), "_part").withColumn(index, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
+
+
+RANKED_AT_ONCE = 100_000  # rows of a key's bucket, about
+
+
+def ranked(df: DataFrame, key: Column, tie: str, size: int, by: list[str], place: str) -> DataFrame:
+    """Numbers the rows of each group of ``by`` from 0 in the order of a hexadecimal hash ``key``, ties by ``tie``.
+
+    Rows are ranked within buckets of the hash's first digits, and buckets are counted, so no task sorts a whole group.
+    ``size`` is about how many rows a group has.
+    """
+    digits = 0
+    while size > RANKED_AT_ONCE * 16**digits:
+        digits += 1
+    keyed = df.withColumn("_hash", key).withColumn("_bucket", F.left("_hash", F.lit(digits)))
+    counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_hash", tie)).cast("long") - 1
+    placed = keyed.withColumn("_within", within).join(counts.withColumn("_before", before).drop("_n"), [*by, "_bucket"])
+    return placed.withColumn(place, F.col("_before") + F.col("_within")).drop("_hash", "_bucket", "_within", "_before")
 
 
 @dataclass(frozen=True)
@@ -174,7 +212,7 @@ def selected(seeds: DataFrame, selection: IndexRange | PartitionBlock | None, si
 
 
 def attach(rows: DataFrame, seeds: DataFrame, size: int, strategy: str = "ordered", seed: int = 0, row: str = "_row_id", index: str = INDEX, cycles: int | None = None) -> DataFrame:
-    """Gives each row its seed row by number: cycling in order, or in a new random order in each cycle.
+    """Gives each row its seed row by number: cycling in order, or in a new random order in each cycle. ``seeds`` are numbered rows.
 
     An equi-join; the seed side is broadcast where statistics show it small (adaptive execution decides).
     """
@@ -185,10 +223,8 @@ def attach(rows: DataFrame, seeds: DataFrame, size: int, strategy: str = "ordere
         return rows.withColumn(index, place).join(seeds, index).drop(index)
     if cycles is None:
         cycles = (rows.agg(F.max(row)).first()[0] or 0) // size + 1
-    # One window partition for each cycle; a single cycle is one partition, as a random order of all rows needs.
     many = seeds.withColumn("_cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1)).cast("array<long>")))
-    w = Window.partitionBy("_cycle").orderBy(rank_key(seed, "shuffle", F.col("_cycle"), F.col(index)), index)
-    many = many.withColumn("_place", F.row_number().over(w).cast("long") - 1).drop(index)
+    many = ranked(many, rank_key(seed, "shuffle", F.col("_cycle"), F.col(index)), index, size, ["_cycle"], "_place").drop(index)
     return rows.withColumns({"_cycle": F.floor(F.col(row) / size).cast("long"), "_place": place}).join(many, ["_cycle", "_place"]).drop("_cycle", "_place")
 
 
