@@ -98,24 +98,35 @@ def atif(path: str, text: str) -> list[dict]:
         raise RolloutError("step ids must run from 1")
     messages, copied, children = [], [], []
     for s in data["steps"]:
-        if s.get("is_copied_context"):
+        if s.get("is_copied_context") is True:
             copied.append(s["step_id"])
-        calls = [tool_call(c.get("tool_call_id"), c.get("function_name"), c.get("arguments")) for c in s.get("tool_calls") or []]
-        messages.append(message(role_of(s.get("source")), s.get("message"), tool_calls=calls, reasoning_content=s.get("reasoning_content")))
+        if s.get("source") not in ("user", "agent", "system") or "message" not in s:
+            raise RolloutError("a step needs a message from the user, the agent or the system")
+        if s["source"] != "agent" and (wrong := [k for k in ("reasoning_content", "tool_calls", "observation") if s.get(k) is not None]):
+            raise RolloutError(f"only an agent's step may have {', '.join(wrong)}")
+        if any(not (c.get("tool_call_id") and c.get("function_name")) for c in s.get("tool_calls") or []):
+            raise RolloutError("a tool call needs an id and a function's name")
+        calls = [tool_call(c["tool_call_id"], c["function_name"], c.get("arguments")) for c in s.get("tool_calls") or []]
+        messages.append(message(role_of(s["source"]), s["message"], tool_calls=calls, reasoning_content=s.get("reasoning_content")))
         for r in (s.get("observation") or {}).get("results") or []:
+            if r.get("source_call_id") is not None and r["source_call_id"] not in {c["id"] for c in calls}:
+                raise RolloutError("an observation names a call that the step doesn't make")
             messages.append(message("tool", r.get("content"), tool_call_id=r.get("source_call_id")))
             children += [x.get("session_id") for x in r.get("subagent_trajectory_ref") or []]
     agent = data["agent"]
-    meta = {"schema_version": data["schema_version"], "agent_name": agent.get("name"), "agent_version": agent.get("version")}
-    meta |= ({"copied_context_steps": copied} if copied else {}) | ({"subagent_sessions": children} if children else {})
-    return [record("atif", path, data["session_id"], messages, [s.get("timestamp") for s in data["steps"]], agent=agent.get("name"), cwd=(agent.get("extra") or {}).get("cwd"), meta=meta)]
+    extra = agent.get("extra") or {}
+    meta = {"schema_version": data["schema_version"], "step_count": len(data["steps"]), "agent_name": agent.get("name"), "version": agent.get("version"), "model_name": agent.get("model_name"), "copied_context_step_ids": copied, "subagent_sessions": children}
+    meta |= {k: data.get(k) for k in ("notes", "continued_trajectory_ref", "final_metrics", "extra")}
+    meta = {k: v for k, v in meta.items() if v}
+    return [record("atif", path, data["session_id"], messages, [s.get("timestamp") for s in data["steps"]], cwd=extra.get("cwd"), project=extra.get("project_path"), branch=extra.get("git_branch"), meta=meta)]
 
 
 def claude(path: str, text: str) -> list[dict]:
     """One record a session; tool uses are calls, thinking is reasoning, tool results are tool messages."""
-    rows = [r for r in lines(text) if r.get("type") in ("user", "assistant", "system") and isinstance(r.get("message"), dict)]
-    messages = []
+    rows, messages = lines(text), []
     for r in rows:
+        if r.get("type") not in ("user", "assistant") or not isinstance(r.get("message"), dict):
+            continue
         content = r["message"].get("content")
         blocks = [{"type": "text", "text": content}] if isinstance(content, str) else [b for b in content or [] if isinstance(b, dict)]
         said = "\n".join(b.get("text", "") for b in blocks if b.get("type") == "text")
@@ -129,7 +140,10 @@ def claude(path: str, text: str) -> list[dict]:
     side = any(r.get("isSidechain") for r in rows)
     session = get("sessionId") or stem(path)
     agent = get("agentId")
-    return [record("claude_code", path, f"{session}:{agent}" if side and agent else session, messages, [r.get("timestamp") for r in rows], root=session, agent=agent, sidechain=side, cwd=get("cwd"), branch=get("gitBranch"), meta={"version": get("version")})]
+    meta = {"record_count": len(rows), "record_types": sorted({str(r.get("type", "unknown")) for r in rows})}
+    if versions := sorted({str(r["version"]) for r in rows if r.get("version")}):
+        meta["claude_versions"] = versions
+    return [record("claude_code", path, f"{session}:{agent}" if agent else session, messages, [r.get("timestamp") for r in rows], root=session, agent=agent, sidechain=side, cwd=get("cwd"), branch=get("gitBranch"), meta=meta)]
 
 
 def codex(path: str, text: str) -> list[dict]:
@@ -188,35 +202,92 @@ def pi(path: str, text: str) -> list[dict]:
         branch.append(entries[at])
         at = entries[at].get("parentId")
     parents = [r.get("parentId") for r in entries.values()]
-    messages, models = [], []
+    messages, models, reasons, bash = [], [], [], 0
     for r in reversed(branch):
         if r["type"] == "model_change":
             models.append(r.get("modelId"))
         elif r["type"] in ("compaction", "branch_summary"):
-            messages.append(message("system", r.get("summary")))
+            messages += [message("system", r["summary"])] if r.get("summary") else []
+        elif r["type"] == "custom_message":  # what extensions put into the conversation, if it is shown
+            messages += [message("system", r.get("content"))] if r.get("display") else []
         elif r["type"] == "message":
             m = r["message"]
             if m.get("role") == "bashExecution":
+                bash += 1
                 messages.append(message("assistant", "", tool_calls=[tool_call(r["id"], "bash", {"command": m.get("command")})]))
                 messages.append(message("tool", m.get("output"), tool_call_id=r["id"]))
                 continue
+            if m.get("role") == "assistant":
+                models.append(m.get("model"))
+                reasons.append(m.get("stopReason"))
             blocks = m.get("content") if isinstance(m.get("content"), list) else [{"type": "text", "text": m.get("content") or ""}]
             calls = [tool_call(b.get("id"), b.get("name"), b.get("arguments")) for b in blocks if b.get("type") == "toolCall"]
             thought = "\n".join(b.get("thinking", "") for b in blocks if b.get("type") == "thinking")
             messages.append(message(role_of(m.get("role")), "\n".join(b.get("text", "") for b in blocks if b.get("type") == "text"), tool_calls=calls, reasoning_content=thought, tool_call_id=m.get("toolCallId")))
-    meta = {"models": models, "has_branches": any(parents.count(p) > 1 for p in set(parents) if p)}
-    return [record("pi_coding_agent", path, header.get("id") or stem(path), messages, [r.get("timestamp") for r in rows], cwd=header.get("cwd"), meta=meta)]
+    once = lambda xs: list(dict.fromkeys(x for x in xs if x))
+    meta = {"record_count": len(rows), "entry_types": sorted({r["type"] for r in branch}), "stop_reasons": once(reasons)}
+    more = {"session_version": header.get("version"), "models_used": once(models), "has_branches": any(parents.count(p) > 1 for p in set(parents) if p), "bash_execution_count": bash, "parent_session": header.get("parentSession")}
+    return [record("pi_coding_agent", path, header.get("id") or stem(path), messages, [r.get("timestamp") for r in rows], cwd=header.get("cwd"), meta=meta | {k: v for k, v in more.items() if v})]
+
+
+def claude_index(text: str) -> dict[str, dict]:
+    """Sessions by id from a ``sessions-index.json``."""
+    entries = json.loads(text).get("entries")
+    return {e["sessionId"]: e for e in entries if isinstance(e, dict) and e.get("sessionId")} if isinstance(entries, list) else {}
+
+
+def claude_told(r: dict, entry: dict) -> dict:
+    meta = json.loads(r["source_meta"]) | {k: entry[n] for k, n in (("summary", "summary"), ("first_prompt", "firstPrompt")) if entry.get(n)}
+    return r | {"project_path": entry.get("projectPath") or r["project_path"], "source_meta": json.dumps(meta, sort_keys=True)}
+
+
+def hermes_index(text: str) -> dict[str, dict]:
+    """Sessions by id from a ``sessions.json``: a key's session, or an entry that names it."""
+    out = {}
+    for key, e in json.loads(text).items():
+        if isinstance(e, str) and e:
+            out[e] = {"session_key": key}
+        elif isinstance(e, dict) and e.get("session_id"):
+            out[e["session_id"]] = {"session_key": key} | e
+    return out
+
+
+def hermes_told(r: dict, entry: dict) -> dict:
+    """Only of gateway logs; a session file tells of itself."""
+    if r["source_path"].endswith(".json"):
+        return r
+    meta = json.loads(r["source_meta"]) | {k: v for k, v in entry.items() if k not in ("session_id", "created_at", "updated_at") and v}
+    return r | {"started_at": entry.get("created_at") or r["started_at"], "ended_at": entry.get("updated_at") or r["ended_at"], "source_meta": json.dumps(meta, sort_keys=True, default=str)}
 
 
 FORMATS: dict[str, tuple[str, Callable[[str, str], list[dict]]]] = {"atif": ("*.json", atif), "claude_code": ("*.jsonl", claude), "codex": ("rollout-*.jsonl", codex), "hermes_agent": ("*.json*", hermes), "pi_coding_agent": ("*.jsonl", pi)}
 
 
+#: Files that list sessions, how they are read, and what a record takes over from its session's entry.
+INDEXES: dict[str, tuple[str, Callable[[str], dict[str, dict]], Callable[[dict, dict], dict]]] = {"claude_code": ("sessions-index.json", claude_index, claude_told), "hermes_agent": ("sessions.json", hermes_index, hermes_told)}
+#: Files within a format's pattern that aren't sessions.
+OTHER = {"claude_code": r"(^|/)tool-results/|(^|/)history\.jsonl$", "hermes_agent": r"(^|/)sessions\.json$|(^|/)(?!session_)[^/]*\.json$"}
+
+
 def read_rollouts(spark: SparkSession, kind: str, path: str, pattern: str | None = None, faults: bool = False) -> DataFrame:
-    """Records of all files below the path; or, with ``faults``, the files left out and why."""
+    """Records of all files below the path; or, with ``faults``, the files left out and why.
+
+    Where the format keeps lists of sessions, records are joined with them by session.
+    """
+    glob, _ = FORMATS[kind]
+    scan = lambda g: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", g).load(path).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    files = scan(pattern or glob)
+    if kind in OTHER:
+        files = files.where(~F.col("path").rlike(OTHER[kind]))
+    listed = scan(INDEXES[kind][0]) if kind in INDEXES else None
+    return parsed_rollouts(files, kind, listed, faults)
+
+
+def parsed_rollouts(files: DataFrame, kind: str, listed: DataFrame | None = None, faults: bool = False) -> DataFrame:
+    """The same of files that are held as rows (path, content), and of the files that list their sessions."""
     import pandas as pd
 
-    glob, parse = FORMATS[kind]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern or glob).load(path).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    _, parse = FORMATS[kind]
     schema = "path string, fault string" if faults else RECORD
     names = [x.strip().split()[0] for x in schema.split(",")]
 
@@ -230,7 +301,29 @@ def read_rollouts(spark: SparkSession, kind: str, path: str, pattern: str | None
                     bad.append({"path": p, "fault": str(e)})
             yield pd.DataFrame(bad if faults else good, columns=names)
 
-    return files.mapInPandas(run, schema)
+    out = files.mapInPandas(run, schema)
+    if faults or listed is None or kind not in INDEXES:
+        return out
+    _, read, told = INDEXES[kind]
+
+    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            held: list[tuple] = []
+            for p, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    held += [(s, p, json.dumps(e)) for s, e in read(bytes(content).decode()).items()]
+                except (ValueError, TypeError, AttributeError):
+                    continue  # a list that can't be read tells nothing
+            yield pd.DataFrame(held, columns=["session", "of", "entry"])
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [told(r, json.loads(e)) if isinstance(e, str) else r for r, e in zip(frame[names].to_dict("records"), frame["entry"], strict=True)]
+            yield pd.DataFrame(rows, columns=names)
+
+    # Of a session in several lists, the last list by path counts.
+    entries = listed.mapInPandas(index, "session string, of string, entry string").groupBy("session").agg(F.max_by("entry", "of").alias("entry"))
+    return out.join(entries, F.col("root_session_id") == F.col("session"), "left").drop("session").mapInPandas(join, RECORD)
 
 
 def from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
