@@ -238,8 +238,7 @@ class Model:
         beta = end / np.maximum((alpha[lengths - 1, np.arange(wide)] * end).sum(axis=1, keepdims=True), 1e-300)
         for t in range(steps - 1, -1, -1):
             n = active[t]
-            gamma = alpha[t, :n] * beta[:n]
-            gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), 1e-300)
+            gamma = alpha[t, :n] * beta[:n]  # adds up to 1, as alpha and beta are scaled alike
             ahead = likely[held[t, :n]] * beta[:n] / scale[t, :n, None]
             if t:
                 moves += self.moves * (alpha[t - 1, :n].T @ ahead)
@@ -262,23 +261,26 @@ class Model:
         for some in groups([texts[i] for i in short]):
             which = [short[i] for i in some]
             _, active, held = padded([texts[i] for i in which])
-            x, total = np.tile(self.first, (len(which), 1)), np.zeros(len(which))
-            for t in range(len(held)):
+            x, total = self.first * likely[held[0]], np.zeros(len(which))
+            for t in range(1, len(held)):
                 n = active[t]
-                x = (x[:n] if t == 0 else x[:n] @ self.moves) * likely[held[t, :n]]
-                s = np.maximum(x.sum(axis=1), 1e-300)
-                total[:n] += np.log10(s)
-                x = x / s[:, None]
-            out[which] = total
-        for i, t in enumerate(texts):
-            if len(t) > LONG:
-                steps, logs = self.products(segments(t))
-                at, total = self.first, logs.sum()
-                for k, step in enumerate(steps):
-                    at = (at if k == 0 else at @ self.moves) @ step
-                    s = max(at.sum(), 1e-300)
-                    total, at = total + np.log10(s), at / s
-                out[i] = total
+                x[:n] = (x[:n] @ self.moves) * likely[held[t, :n]]
+                if t % RESCALED == 0:
+                    s = np.maximum(x.sum(axis=1), 1e-300)
+                    total += np.log10(s)
+                    x /= s[:, None]
+            out[which] = total + np.log10(np.maximum(x.sum(axis=1), 1e-300))
+        long = [i for i, t in enumerate(texts) if len(t) > LONG]
+        cut = [segments(texts[i]) for i in long]
+        steps, logs = self.products([p for c in cut for p in c])
+        begin = 0
+        for i, c in zip(long, cut, strict=True):
+            at, total = self.first, logs[begin : begin + len(c)].sum()
+            for k, step in enumerate(steps[begin : begin + len(c)]):
+                at = (at if k == 0 else at @ self.moves) @ step
+                s = max(at.sum(), 1e-300)
+                total, at = total + np.log10(s), at / s
+            out[i], begin = total, begin + len(c)
         return out
 
 
@@ -301,10 +303,10 @@ def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """Of texts of falling length: the lengths, how many texts reach each step, and a matrix of steps by texts."""
     lengths = np.array([len(t) for t in texts])
     steps = int(lengths[0])
-    held = np.zeros((steps, len(texts)), np.uint16)
+    held = np.zeros((len(texts), steps), np.uint16)
     for i, t in enumerate(texts):
-        held[: len(t), i] = t
-    return lengths, np.searchsorted(-lengths, -np.arange(1, steps + 1), "right"), held
+        held[i, : len(t)] = t
+    return lengths, np.searchsorted(-lengths, -np.arange(1, steps + 1), "right"), np.ascontiguousarray(held.T)
 
 
 def first_model(counts: np.ndarray, states: int = STATES) -> Model:
