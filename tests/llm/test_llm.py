@@ -384,6 +384,55 @@ def test_ordinal(spark):
     assert ordinal.fit_ordinal(df, labels.limit(0)) is None and ordinal.select_quality(df, None).count() == 902
 
 
+def test_ordinal_objective_equals_brute_force():
+    """The likelihood by its definition, and the gradients by differences."""
+    g = np.random.default_rng(2)
+    rows = [g.choice(6, g.integers(0, 5), replace=False) for _ in range(30)]
+    grades, weight = g.integers(0, 4, 30), g.random(30)
+    doc, at = np.repeat(np.arange(30), [len(r) for r in rows]), np.concatenate(rows)
+    upward = np.array([True, False, True, False, True, False])
+    value = ordinal.shares(doc, upward[at], 30)
+    w, t = g.normal(size=6), np.array([-0.7, 0.2, 1.1])
+
+    def loss(w, t):
+        out = 0.05 * sum(x * x for x in w)
+        for r, y, k in zip(rows, grades, weight, strict=True):
+            ups = sum(bool(upward[f]) for f in r)
+            s = sum(w[f] / ups if upward[f] else w[f] for f in r)
+            tail = lambda j, s=s: 1.0 if j == 0 else 0.0 if j == 4 else 1 / (1 + math.exp(-(s - t[j - 1])))
+            out -= k * math.log(tail(y) - tail(y + 1))
+        return out
+
+    got, g_w, g_t = ordinal.objective(w, t, (doc, at, value), grades, weight, 0.1)
+    assert abs(got - loss(w, t)) < 1e-9
+    for x, gradient, put in ((w, g_w, lambda v: (v, t)), (t, g_t, lambda v: (w, v))):
+        for i in range(len(x)):
+            step = np.eye(len(x))[i] * 1e-5
+            assert abs((loss(*put(x + step)) - loss(*put(x - step))) / 2e-5 - gradient[i]) < 1e-6
+    model = ordinal.OrdinalModel(np.concatenate([w, np.zeros((1 << ordinal.BITS) - 6)]).astype(np.float32), t, np.concatenate([upward, np.zeros((1 << ordinal.BITS) - 6, bool)]))
+    for r, s in zip(rows, model.scores(doc, at, 30), strict=True):
+        assert abs(s - sum(w[f] / sum(upward[r]) if upward[f] else w[f] for f in r)) < 1e-5
+
+
+def test_ordinal_learns_both_ways_and_odd_tables(spark):
+    """Words that only good texts have count; empty texts are graded as labelled empty ones; nulls, clashing columns, empty tables."""
+    r = random.Random(3)
+    good, poor = [f"fine{i}" for i in range(8)], [f"bad{i}" for i in range(8)]
+    texts = [" ".join([*prose(r, 20), *r.sample(good, 3)]) for _ in range(150)] + [" ".join([*prose(r, 20), *r.sample(poor, 3)]) for _ in range(150)] + [""] * 40
+    grade = [2] * 150 + [0] * 190
+    d = table(spark, texts, [(None, "fine1 fine2 fine3"), (1000, None), (1001, " ".join(["fine1", "fine2", *prose(r, 30)])), (1002, " ".join([*poor[:3], *prose(r, 30)]))])
+    d = d.withColumns({"key": F.lit(1), "score": F.lit(2), "grade": F.lit(3), "features": F.lit(4)})
+    labels = spark.createDataFrame([*enumerate(grade), (None, 2), (5, None), (7, 9)], "doc_id long, grade int")
+    model = ordinal.fit_ordinal(d, labels)
+    got = {x.doc_id: x.tail_probability for x in ordinal.score_quality(d, model).collect()}
+    assert got[1001] > 0.5 > got[1002] and got[1000] < 0.5 and got[300] < 0.5 and got[None] > 0.5
+    assert model.weights[model.upward].max() > 0
+    kept = ordinal.select_quality(d, model)
+    assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == {i for i, p in got.items() if p >= 0.5}
+    assert ordinal.score_quality(d.limit(0), model).count() == 0 and ordinal.fit_ordinal(d.limit(0), labels) is None and ordinal.fit_ordinal(d, labels.limit(0)) is None
+    assert all(x.tail_probability == 1 for x in ordinal.score_quality(d, None).collect())
+
+
 def test_hmm_likelihood_and_training():
     m = hmm.first_model(np.array([5.0, 3, 2, 1]), states=2)
     r = np.random.default_rng(0)
