@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -605,6 +606,39 @@ def test_secrets_in_configuration_and_over_lines():
 # ---- pipeline
 
 
+def test_secrets_constants_reach_their_targets_in_any_order():
+    key = "aB3xYz9Qw77Lm"
+    for text in (
+        f"conn.passphrase = x\nx = '{key}'\n",
+        f"login(passphrase=a)\na = b\nb = c\nc = '{key}'\n",
+        f"passphrase = first + second\nsecond = '{key}'\n",
+        f"a = b\nb = a\npassphrase = a\nb = '{key}'\n",
+        f"{'x' * 200}_passphrase = '{key}'\n",
+        f"set{'Very' * 40}LongPassphrase('{key}')\n",
+        f"9settings.db_passphrase: '{key}'\n",
+    ):
+        assert [(s.kind, text[s.start : s.end]) for s in secrets.scan(text)] == [("literal", key)], text
+    assert secrets.scan(f"colour = x\nx = '{key}'\n") == [] and secrets.scan(f"passphrase = x\ny = '{key}'\n") == []
+
+
+def test_secrets_lexing_is_linear():
+    for text in ("a" * 10**6, "a1" * 500_000, "a.b-" * 250_000, "passphrase = " * 60_000, "'" * 300_000, "settings" * 100_000, "<key>" * 100_000):
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 5
+
+
+def test_secrets_odd_tables(spark):
+    """Null ids, null and repeated texts, columns named like the operator's own, empty tables."""
+    t = "passphrase = 'aB3xYz9Qw77Lm'"
+    d = spark.createDataFrame([(None, t, "k"), (1, None, "k"), (2, t, "k"), (2, t, "k"), (3, "", "k")], "doc_id long, text string, spans string").withColumn("key", F.lit(7))
+    got = sorted(((r.doc_id or 0), len(r.spans)) for r in secrets.find_secrets(d).collect())
+    assert got == [(0, 1), (1, 0), (2, 1), (2, 1), (3, 0)]
+    clean = secrets.redact_secrets(d)
+    assert clean.columns == d.columns and [r.text for r in clean.collect() if r.text] == ["passphrase = '[SECRET]'"] * 3
+    assert secrets.find_secrets(d.limit(0)).count() == 0 and secrets.redact_secrets(d.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(12)
     base = [" ".join(prose(r, 80)) for _ in range(60)]

@@ -60,7 +60,7 @@ NAME_SCORES = {
 HINTS = ("pass", "pwd", "secret", "token", "cred", "key", "auth", "bearer")
 # Literals that stand for a secret without being one.
 STAND_INS = {"changeme", "password", "passwd", "secret", "example", "placeholder", "redacted", "undefined", "required", "optional", "none", "null", "true", "false", "todo", "string", "your_password", "your_token", "username"}
-NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]{0,127}"
+NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]*+"
 TRIPLE = r"\"\"\"(?s:.*?)\"\"\"|'{3}(?s:.*?)'{3}"
 LITERAL = rf"{TRIPLE}|\"(?:[^\"\\\n]|\\(?s:.))*+\"|'(?:[^'\\\n]|\\(?s:.))*+'|`[^`]*+`"
 BRACED = r"\$\{[^{}\s\"'`]+\}"
@@ -68,11 +68,12 @@ BARE = r"[^\s\"'`,;<>()\[\]{}]+"
 ELEMENT = rf"(?:{LITERAL}|{BRACED}|{NAME})"
 MORE = rf"(?:[ \t]*(?:\r?\n[ \t]*)?[+.][ \t]*(?:\r?\n[ \t]*)?{ELEMENT})*+"
 PAIR = re.compile(
-    rf"[\"']?(?P<name>{NAME})[\"']?\]?[ \t]*(?::=|=>|==?|:)"
+    # A run of name characters is read once, from its first letter on, whatever its length.
+    rf"(?<![A-Za-z0-9_$.\-])[0-9.\-]*+(?P<name>{NAME})[\"']?\]?[ \t]*(?::=|=>|==?|:)"
     rf"(?:(?P<block>[ \t]*[|>][+\-0-9]*[ \t\r]*(?=\n))|[ \t]*(?P<value>{ELEMENT}{MORE}|{BARE})|[ \t]*\r?\n\s*(?P<later>(?:{LITERAL}){MORE})(?![ \t]*[:=])"
     rf"|[ \t]*\r?\n[ \t]+(?P<below>{BARE})(?<!:)(?=[ \t\r]*(?:\n|\Z)))"
     rf"|<(?P<tag>{NAME})>(?P<inner>[^<>]++)</(?P=tag)>"
-    rf"|\b(?:set|with|put|add)_?(?P<setter>[A-Za-z_]{{3,64}})\(\s*(?P<argument>{LITERAL})"
+    rf"|\b(?:set|with|put|add)_?(?P<setter>[A-Za-z_]{{3,}}+)\(\s*(?P<argument>{LITERAL})"
 )
 PART = re.compile(rf"(?P<quoted>{LITERAL})|(?P<ref>{BRACED}|{NAME})")
 INNER = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.\-]*)|([A-Za-z_][A-Za-z0-9_]*))")  # names within a literal
@@ -167,24 +168,31 @@ def lines_of(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
 
 
 def literal_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name, directly or through names assigned before, and the lines of private keys."""
+    """Literals that reach a sensitive name, directly or through other names, and the lines of private keys.
+
+    A name stands for what was assigned to it last; one that wasn't assigned yet, for what the text assigns to it in the end.
+    """
     lower = text.lower()
     if not any(h in lower for h in HINTS) or not any(c in text for c in ("=", ":", "<", "(", "-----BEGIN")):
         return []
     known: dict[str, int] = {}
-    nodes: list[tuple[list[tuple[int, int, bool]], list[int]]] = []  # literals of a constant, and the constants it is made of
+    # Literals of a constant, the constants it is made of, and names in it that weren't known yet.
+    nodes: list[tuple[list[tuple[int, int, bool]], list[int], list[str]]] = []
+    targets: list[tuple[float, list[int], list[str]]] = []
     told: dict[int, float] = {}  # the highest score by which a constant's literals were judged
     found = {x for m in PEM.finditer(text) for x in lines_of(text, *m.span(1)) if literal_score(text[x[0] : x[1]], True) > 0}
     for name, literals, refs in pairs(text):
-        through = list({known[r] for r in (r.lstrip("$") for r in refs) if r in known})
+        names = [r.lstrip("$") for r in refs]
+        through, missing = list({known[r] for r in names if r in known}), [r for r in names if r not in known and r != name.lstrip("$")]
         own = [x for x in literals if x[2]] if through else [x for x in literals if x[2]] or literals
         if through or own:
             name_ = name.lstrip("$")
             bare = not through and not any(x[2] for x in own) and name_ in known  # an unquoted word doesn't displace what is known
-            nodes.append((own, [known[name_]] if bare else list(through)))
+            nodes.append((own, [known[name_]] if bare else list(through), missing))
             known[name_] = len(nodes) - 1
         score = name_score(name)
         if score >= 2.0:
+            targets.append((score, list(through), missing))
             while True:
                 for start, end, quoted in own:
                     found.update(x for x in lines_of(text, start, end) if score + literal_score(text[x[0] : x[1]], quoted) >= LEAST_SCORE)
@@ -193,8 +201,20 @@ def literal_spans(text: str) -> list[Span]:
                 if not through:
                     break
                 told[through[-1]] = score
-                own, more = nodes[through.pop()]
+                own, more, _ = nodes[through.pop()]
                 through = through + more
+    late = lambda names: [known[n] for n in names if n in known]
+    if any(late(missing) for *_, missing in (*nodes, *targets)):
+        told = {}
+        for score, through, missing in sorted(targets, key=lambda t: -t[0]):
+            todo = through + late(missing)
+            while todo:
+                if told.get(k := todo.pop(), 0.0) >= score:
+                    continue
+                told[k] = score
+                own, more, missing = nodes[k]
+                found.update(x for start, end, quoted in own for x in lines_of(text, start, end) if score + literal_score(text[x[0] : x[1]], quoted) >= LEAST_SCORE)
+                todo += more + late(missing)
     return [Span(a, b, "literal", a) for a, b in sorted(found)]
 
 
