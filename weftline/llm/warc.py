@@ -1,11 +1,14 @@
 """Sharded WARC archives: a deterministic writer, and a streaming reader.
 
-Records are dealt by key range and sorted within each part. Each part is
-written as files that roll over at a compressed size; every record is a gzip
-member of its own, with headers made anew from the row alone: the record id is
-a name-based UUID, the date is a parameter, gzip carries no time. The same
-rows in the same parts give the same bytes, so a lost task is simply run again.
-Files appear by rename when whole; the manifest, written last, commits them.
+Records are dealt by range of (key, hash of the payload) and sorted within each
+part. The bounds are quantiles of pairs chosen by their own hash, so they follow
+from the rows alone: the same rows give the same files, byte for byte, however the
+table lies and whatever the cluster. How many parts there are follows from the
+number of rows. A key that many rows share, or a null key, is spread over parts by
+its payloads. Each part is written as files that roll over at a compressed size;
+every record is a gzip member of its own, with headers made anew from the row
+alone: the record id is a name-based UUID, the date is a parameter, gzip carries no
+time. Files appear by rename when whole; the manifest, written last, commits them.
 
 Of records with equal payloads, the one with the largest key is the response
 and the others revisit it, from ``min_payload`` bytes on. Which that is comes
@@ -14,21 +17,23 @@ beside their pages, so payloads are shuffled once.
 
 Nulls: a null payload is empty, a null URL is the empty URL, a null key sorts
 first and counts as smaller than any key. Where rows share payload and key, the
-first in the order of (URL, payload) is the response and the rest revisit it.
-An empty table gives no file. Other columns are not read.
+first by URL is the response and the rest revisit it. A URL that can't stand in a
+header as it is (white space at its ends or in it) is kept beside it in full, as
+JSON. An empty table gives no file. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import TempFile, opened, read_manifest, write_manifest
@@ -38,6 +43,10 @@ FILE_BYTES = 32 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 1 << 20
+UNPACKED_AT_ONCE = 16 << 10  # compressed bytes; what is left of them after a record is copied
+PART_ROWS = 4096  # rows of a part, about
+SAMPLED = 64  # pairs for each part that tell its bounds
+MANY = 1 << 18
 
 
 def record_id(key: int | None, digest: str) -> str:
@@ -58,10 +67,12 @@ def record(key: int | None, url: str, payload: bytes, sha1: bytes, refers_to: in
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id(key, digest + ('-revisit' if revisit else ''))}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {' '.join(url.split())}",
+        f"WARC-Target-URI: {(clean := ' '.join(url.split()))}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).digest())}",
     ]
+    if clean != url:
+        lines.append(f"X-Record-URL: {json.dumps(url)}")
     if key is not None:
         lines.append(f"X-Record-Key: {key}")
     if revisit:
@@ -112,29 +123,67 @@ MANIFEST = "part int, nth int, path string, bytes long, records long, sha256 str
 
 
 def responses(pages: DataFrame, min_payload: int) -> DataFrame:
-    """(key, digest, refers_to) of the rows that revisit another key's response; one aggregation by digest, payloads stay behind.
+    """(key, hash, digest, refers_to) of the rows that revisit another key's response; one aggregation by digest, payloads stay behind.
 
     A digest may have a third of all rows: its rows are counted before the shuffle, and the join back is
     between narrow rows, whose large parts adaptive execution splits.
     """
-    narrow = pages.where(F.octet_length("payload") >= min_payload).select("key", F.unhex(F.sha1("payload")).alias("digest"))
+    narrow = pages.where(F.octet_length("payload") >= min_payload).select("key", "hash", F.unhex(F.sha1("payload")).alias("digest"))
     # Also a key's only rows matter where the key itself repeats, which the writer sees for itself.
     chosen = narrow.groupBy("digest").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return narrow.join(chosen, "digest").where(~F.col("key").eqNullSafe(F.col("refers_to"))).select("key", "digest", "refers_to").distinct()
+    return narrow.join(chosen, "digest").where(~F.col("key").eqNullSafe(F.col("refers_to"))).select("key", "hash", "digest", "refers_to").distinct()
 
 
-def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", min_payload: int = 0, file_bytes: int = FILE_BYTES, date: str = DATE, level: int = 6) -> list[dict]:
+def bounds(pages: DataFrame, parts: int, rows: int) -> np.ndarray:
+    """Ascending pairs (key, hash) that part the rows about evenly: quantiles of those pairs whose own hash is least.
+
+    A function of the table alone. The sample has ``SAMPLED`` pairs for each part, for many parts ``MANY`` in all or four for each.
+    Pairs that repeat count once.
+    """
+    if parts < 2:
+        return np.zeros((0, 2), np.int64)
+    share = min(SAMPLED * parts, max(MANY, 4 * parts)) / rows
+    some = pages.select(F.coalesce("key", F.lit(-(2**63))).alias("key"), "hash").where(F.pmod(F.xxhash64(F.lit("part"), "key", "hash"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    got = some.distinct().toArrow()
+    pairs = np.stack([np.asarray(got["key"]).astype(np.int64), np.asarray(got["hash"]).astype(np.int64)], axis=1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.arange(1, parts) * len(pairs) // parts] if len(pairs) else pairs
+
+
+def part_of(edges: np.ndarray) -> Column:
+    """The number of a row's part: how many bounds its pair isn't below."""
+    keys, hashes = np.ascontiguousarray(edges[:, 0]), np.ascontiguousarray(edges[:, 1])
+    pair = np.dtype([("key", "<i8"), ("hash", "<i8")])
+    held = np.rec.fromarrays([keys, hashes], dtype=pair)
+
+    @F.arrow_udf("int")
+    def number(key: pa.Array, hash_: pa.Array) -> pa.Array:
+        asked = np.rec.fromarrays([np.asarray(key).astype(np.int64), np.asarray(hash_).astype(np.int64)], dtype=pair)
+        return pa.array(np.searchsorted(held, asked, "right").astype(np.int32))
+
+    return number(F.coalesce("key", F.lit(-(2**63))), "hash")
+
+
+def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", min_payload: int = 0, file_bytes: int = FILE_BYTES, date: str = DATE, level: int = 6, part_rows: int = PART_ROWS) -> list[dict]:
     """Writes a record per row and returns the manifest's rows (a few per GB)."""
     pages = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
+    pages = pages.withColumn("hash", F.xxhash64("payload"))
     other = responses(pages, min_payload)
-    both = pages.select("key", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(other.select("key", F.lit(0).alias("kind"), F.lit("").alias("url"), F.col("digest").alias("payload"), "refers_to"))
+    both = pages.select("key", "hash", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(other.select("key", "hash", F.lit(0).alias("kind"), F.lit("").alias("url"), F.col("digest").alias("payload"), "refers_to"))
+    size = df.count()
+    parts = max(1, -(-size // part_rows))
+    edges = bounds(pages, parts, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Roller(folder, TaskContext.get().partitionId(), file_bytes, level)
-        at, refers, seen = object(), {}, set()
+        out, at, refers, seen = None, object(), {}, set()
         for batch in batches:
-            keys, kinds, urls, payloads, to = (c.to_pylist() for c in batch.columns)
-            for k, kind, u, p, r in zip(keys, kinds, urls, payloads, to, strict=True):
+            numbers, keys, kinds, urls, payloads, to = (batch.column(c).to_pylist() for c in ("part", "key", "kind", "url", "payload", "refers_to"))
+            for n, k, kind, u, p, r in zip(numbers, keys, kinds, urls, payloads, to, strict=True):
+                if out is None or n != out.part:
+                    if out is not None:
+                        out.close()
+                        yield told(out)
+                    out, at = Roller(folder, n, file_bytes, level), object()
                 if k != at:
                     at, refers, seen = k, {}, set()
                 if not kind:
@@ -144,11 +193,16 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
                 target = refers.get(sha1, k if sha1 in seen else object) if len(p) >= min_payload else object
                 seen.add(sha1)
                 out.add(record(k, u, p, sha1, None if target is object else target, target is not object, date))
-        out.close()
-        if out.files:
-            yield pa.RecordBatch.from_pylist(out.files, pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())]))
+        if out is not None:
+            out.close()
+            yield told(out)
+
+    def told(out: Roller) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(out.files, pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())]))
 
-    dealt = both.repartitionByRange(partitions(df.sparkSession), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "kind", "url", "payload")
+    # A key's rows of one payload share a pair and so a part; of each pair the references come first.
+    dealt = both.withColumn("part", part_of(edges) if len(edges) else F.lit(0)).repartitionById(parts, "part")
+    dealt = dealt.sortWithinPartitions("part", F.col("key").asc_nulls_first(), "hash", "kind", "url", "payload")
     rows = sorted((r.asDict() for r in dealt.mapInArrow(run, MANIFEST).collect()), key=lambda r: (r["part"], r["nth"]))
     write_manifest(folder, rows, "warc")
     return rows
@@ -159,13 +213,16 @@ def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     fs, path = opened(uri)
     with fs.open_input_stream(path, compression=None) as f:
         unpack, held, pending = zlib.decompressobj(31), [], b""
-        while data := pending or f.read(READ_BYTES):
-            pending = b""
-            held.append(unpack.decompress(data))
-            if unpack.eof:
-                pending = unpack.unused_data
-                yield parsed(b"".join(held))
-                unpack, held = zlib.decompressobj(31), []
+        while data := f.read(READ_BYTES):
+            for at in range(0, len(data), UNPACKED_AT_ONCE):
+                pending = data[at : at + UNPACKED_AT_ONCE]
+                while pending:
+                    held.append(unpack.decompress(pending))
+                    pending = b""
+                    if unpack.eof:
+                        pending = unpack.unused_data
+                        yield parsed(b"".join(held))
+                        unpack, held = zlib.decompressobj(31), []
         if any(held):
             raise ValueError(f"{uri} ends within a record")
 
@@ -206,7 +263,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     revisit = h["warc-type"] == "revisit"
                     if not revisit and (len(body) != length or b32(hashlib.sha1(body).digest()) != digest):
                         raise ValueError(f"{path}: a payload's length or digest is wrong")
-                    rows.append((int(h["x-record-key"]) if "x-record-key" in h else None, h.get("warc-target-uri"), length, digest, h["warc-type"], int(h["x-refers-to-key"]) if "x-refers-to-key" in h else None, None if revisit else body))
+                    rows.append((int(h["x-record-key"]) if "x-record-key" in h else None, json.loads(h["x-record-url"]) if "x-record-url" in h else h.get("warc-target-uri"), length, digest, h["warc-type"], int(h["x-refers-to-key"]) if "x-refers-to-key" in h else None, None if revisit else body))
                     size += len(body)
                     if size >= READ_BYTES or len(rows) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
