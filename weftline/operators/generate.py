@@ -429,7 +429,7 @@ def health_check(clients: dict[str, Callable]) -> dict[str, str | None]:
 
 def approximate_tokens(text: Column) -> Column:
     """A count of tokens without a vocabulary: words, and for long words one more for each four characters past six."""
-    words = F.regexp_extract_all(text, F.lit("\\w+|[^\\w\\s]"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_\\x09-\\x0D ]"), F.lit(0))
     return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + 1 + F.greatest(F.lit(0), F.ceil((F.length(w) - 6) / F.lit(4.0))).cast("long"))
 
 

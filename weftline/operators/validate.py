@@ -33,6 +33,31 @@ def json_block(text: Column, schema: T.StructType | str | None = None) -> Column
     return F.from_json(clean, schema) if schema is not None else F.when(F.try_parse_json(clean).isNotNull(), clean)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def python_list(text: pd.Series) -> pd.Series:
+    def one(x: str | None) -> list | None:
+        if x is None:
+            return None
+        try:
+            got = ast.literal_eval(x)
+        except (ValueError, SyntaxError, RecursionError, MemoryError):
+            got = None
+        return [str(v) for v in got] if isinstance(got, (list, tuple)) else [x]
+
+    return text.map(one)
+
+
+def list_of_text(text: Column) -> Column:
+    """A list from text: JSON, JSON with trailing commas, a Python literal, or else the text as the only element. Only text that
+    looks like a list and isn't JSON goes through Python."""
+    clean = F.trim(text)
+    repaired = F.regexp_replace(clean, ",\\s*\\]$", "]")
+    shaped = clean.rlike(r"(?s)^[\[(].*[\])]$")
+    parsed = F.from_json(F.when(F.try_parse_json(repaired).isNotNull(), repaired), "array<string>")
+    odd = F.when(shaped & F.try_parse_json(repaired).isNull(), clean)
+    return F.when(text.isNull(), None).when(~shaped, F.array(clean)).otherwise(F.coalesce(parsed, python_list(odd)))
+
+
 def sql_valid(code: Column) -> Column:
     """struct(is_valid, error): no DECIMAL with a precision and no scale, closed quotes and brackets, and a statement's first word."""
     bare = F.regexp_replace(F.regexp_replace(code, "'(?:[^']|'')*'", "''"), "(?s)--[^\\n]*|/\\*.*?\\*/", "")

@@ -103,19 +103,32 @@ class Planner:
         """All columns over the rows, with the reason of dropped rows in ``_drop_reason``. ``before`` acts on what comes first, the
         row ids and seed columns."""
         df = before(self.seeded(rows)).withColumn(DROP, F.lit(None).cast("string"))
-        for level in levels(self.config.columns, df.columns, self.config.constraints):
-            for c in [c for c in level if self.managed(c)]:
-                df = self.people(df, c)
-            samplers = [c for c in level if c.kind == "sampler" and not self.managed(c)]
-            if samplers:
-                df = self.sample(df, samplers)
-            plain = [c for c in level if c.kind == "expression"]
-            if plain:
-                df = self.express(df, plain)
-            for c in level:
-                if c.kind not in ("sampler", "expression", "seed"):
-                    df = self.generate(df, c)
-        return self.finish_samplers(df)
+        # Samplers that need nothing but samplers and seeds come first. Conditions and constraints among them see what was drawn;
+        # all other columns see it converted and rounded.
+        by_name = {c.name: c for c in self.config.columns}
+        steps, late = levels(self.config.columns, df.columns, self.config.constraints), set()
+        for level in steps:
+            late |= {c.name for c in level if c.kind != "sampler" or any(x in late or x not in by_name and x not in df.columns for x in self.needs(c))}
+        for early in (True, False):
+            for level in steps:
+                some = [c for c in level if (c.name not in late) == early]
+                for c in [c for c in some if self.managed(c)]:
+                    df = self.people(df, c)
+                if samplers := [c for c in some if c.kind == "sampler" and not self.managed(c)]:
+                    df = self.sample(df, samplers)
+                    if not early:
+                        df = self.finish_samplers(df, samplers)
+                if plain := [c for c in some if c.kind == "expression"]:
+                    df = self.express(df, plain)
+                for c in some:
+                    if c.kind not in ("sampler", "expression", "seed"):
+                        df = self.generate(df, c)
+            if early:
+                df = self.finish_samplers(df, [c for c in self.config.columns if c.kind == "sampler" and c.name not in late])
+        return df
+
+    def needs(self, c: ColumnConfig) -> list[str]:
+        return [*c.required(), *(str(k.rhs) for k in self.config.constraints if k.target == c.name and k.scalar is None)]
 
     def plan(self, count: int, start: int = 0, groups: list[int] | None = None) -> DataFrame:
         df = self.marked(self.rows(count, start, groups))
@@ -168,9 +181,9 @@ class Planner:
             df = df.withColumn(name, F.when(F.col(name).isNull(), F.raise_error(what).cast(df.schema[name].dataType)).otherwise(F.col(name)))
         return df
 
-    def finish_samplers(self, df: DataFrame) -> DataFrame:
+    def finish_samplers(self, df: DataFrame, columns: list[ColumnConfig]) -> DataFrame:
         """Conversion and rounding, which come after constraints; dates are text from here on."""
-        done = {c.name: c.sampler().finished(F.col(c.name)) for c in self.config.columns if c.kind == "sampler" and c.sampler_type not in ("person", "person_from_faker") and (c.convert_to or "decimal_places" in c.params or c.sampler_type in ("datetime", "timedelta"))}
+        done = {c.name: c.sampler().finished(F.col(c.name)) for c in columns if c.sampler_type not in ("person", "person_from_faker") and (c.convert_to or "decimal_places" in c.params or c.sampler_type in ("datetime", "timedelta"))}
         return df.withColumns(done) if done else df
 
     def express(self, df: DataFrame, columns: list[ColumnConfig]) -> DataFrame:

@@ -180,17 +180,20 @@ def tries_sql(n: int) -> str:
 
 
 def tried(df: DataFrame, constraints: list[Constraint]) -> DataFrame:
-    spec = SamplerSpec("v", "uniform", {"low": 0, "high": 100})
-    value = constrained(lambda k: spec.one(spec.params, Draw(SEED, "v", F.col("o_orderkey"), k)), constraints, 8)
+    """As in production: 32 draws, further ones for rows that they all fail, then a draw from what the constraints leave."""
+    spec, row = SamplerSpec("v", "uniform", {"low": 0, "high": 100}), F.col("o_orderkey")
+    draw = lambda k: spec.one(spec.params, Draw(SEED, "v", row, k))
+    further = lambda k: spec.one(spec.params, Draw(SEED, "v", row + k * F.lit(MODULUS).cast("long"), sm.TRIES))
+    value = constrained(draw, constraints, further=further, exact=sm.truncated(spec, Draw(SEED, "v", row, sm.TRIES), constraints))
     return df.select("o_orderkey", F.bround(value, 4).alias("v"))
 
 
-@query(f"SELECT o_orderkey, round_even(list_filter({tries_sql(8)}, lambda x: x < 65 AND x >= 20)[1], 4) AS v FROM orders")
+@query(f"SELECT o_orderkey, round_even(list_filter({tries_sql(32)}, lambda x: x < 65 AND x >= 20)[1], 4) AS v FROM orders")
 def constraint_scalar(spark, d):
     return tried(orders(spark, d), [Constraint("v", "lt", 65), Constraint("v", "ge", "20")])
 
 
-@query(f"SELECT o_orderkey, round_even(list_filter({tries_sql(8)}, lambda x: x > o_custkey % 50)[1], 4) AS v FROM orders")
+@query(f"SELECT o_orderkey, round_even(list_filter({tries_sql(32)}, lambda x: x > o_custkey % 50)[1], 4) AS v FROM orders")
 def constraint_column(spark, d):
     df = orders(spark, d).withColumn("low", F.col("o_custkey") % 50)
     return tried(df, [Constraint("v", "gt", "low")])
@@ -506,11 +509,14 @@ _D = u("discount", 0, "r")
 
 @query(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders), t AS (SELECT *, {_TIER} AS tier FROM o),
  s AS (SELECT *, round_even(CASE WHEN tier = 'gold' THEN 10.0 + 10.0 * {_D} ELSE 0.0 + 5.0 * {_D} END, 2) AS discount, round_even(50.0 + 15.0 * (sqrt(-2.0 * ln({u('score', 0, 'r')})) * cos(2 * pi() * {u('score', '0b', 'r')})), 2) AS score FROM t)
- SELECT o_orderkey, o_custkey, o_orderstatus, tier, score, discount, upper(tier) || '-' || o_orderkey || CASE WHEN o_totalprice > 200000 THEN '!' ELSE '' END AS label FROM s""")
+ SELECT o_orderkey, o_custkey, o_orderstatus, tier, score, discount, upper(tier) || '-' || o_orderkey || CASE WHEN o_totalprice > 200000 THEN '!' ELSE '' END AS label, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice * (100 - discount) / 100 END AS net FROM s""")
 def dataset_flagship(spark, d):
     """A seeded dataset with samplers, conditional parameters, expressions and a dropped column."""
     df = orders(spark, d)
     config = flagship_config(df).build()
     planner = Planner(spark, config)
     made = planner.plan(df.count())
-    return Engine(spark).finish(config, made)[0].drop(ROW, "_row_group", "net")
+    return Engine(spark).finish(config, made)[0].drop(ROW, "_row_group")
+
+
+from weftline import queries_more  # noqa: E402, F401  registers further queries, which use what is above

@@ -121,12 +121,12 @@ def register_reader(kind: str, reader: type) -> None:
 
 
 def scanned(df: DataFrame) -> DataFrame | None:
-    """The rows of a bare Parquet scan with ``_part`` (their file) and ``_place`` (their number in it), which never change; else null."""
+    """The rows of a bare Parquet scan with ``_index_part`` (their file) and ``_index_place`` (their number in it), which never change; else null."""
     plan = df._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in str(plan.relation().toString()).lower():
         return None
     try:
-        return df.select("*", F.col("_metadata.file_path").alias("_part"), F.col("_metadata.row_index").alias("_place"))
+        return df.select("*", F.col("_metadata.file_path").alias("_index_part"), F.col("_metadata.row_index").alias("_index_place"))
     except AnalysisException:
         return None
 
@@ -144,14 +144,14 @@ def indexed(df: DataFrame, order_by: list[str] | None = None, index: str = INDEX
         dealt = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
         # The id's upper bits are the part, its lower 33 the place within it.
         at = F.monotonically_increasing_id()
-        marked = written(dealt.withColumn("_place", at), "seeds").withColumn("_part", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+        marked = written(dealt.withColumn("_index_place", at), "seeds").withColumn("_index_part", F.shiftright("_index_place", 33)).withColumn("_index_place", F.col("_index_place").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = marked.groupBy("_index_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_index_part").collect()
     offsets, run = [], 0
     for r in sizes:
-        offsets.append((r["_part"], run))
+        offsets.append((r["_index_part"], run))
         run += r["n"]
-    told = df.sparkSession.createDataFrame(offsets, f"_part {marked.schema['_part'].dataType.simpleString()}, _offset long")
-    return marked.join(F.broadcast(told), "_part").withColumn(index, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
+    told = df.sparkSession.createDataFrame(offsets, f"_index_part {marked.schema['_index_part'].dataType.simpleString()}, _index_offset long")
+    return marked.join(F.broadcast(told), "_index_part").withColumn(index, F.col("_index_offset") + F.col("_index_place")).drop("_index_part", "_index_place", "_index_offset")
 
 
 RANKED_AT_ONCE = 100_000  # rows of a key's bucket, about
