@@ -100,7 +100,7 @@ def schema_probe(spark, d):
 def manifest_hydrate(spark, d):
     """The selection is of the manifest; each of its rows becomes as many as its region's number and one."""
     manifest, _ = selected(indexed(table(spark, d, "nation"), ["n_nationkey"]), IndexRange(3, 20), 25)
-    return hydrate(manifest, lambda r: [{"n_nationkey": r["n_nationkey"], "n_name": r["n_name"], "k": k} for k in range(r["n_regionkey"] + 1)], "n_nationkey long, n_name string, k long")
+    return hydrate(manifest, lambda r: [{"n_nationkey": r["n_nationkey"], "n_name": r["n_name"], "k": k} for k in range(r["n_regionkey"] + 1)], "n_nationkey int, n_name string, k long")
 
 
 def sessions(spark: SparkSession, sf_dir: str, turn: Column, head: Column | None, ext: str, wrap: tuple[str, str, str] = ("", "\n", "")) -> DataFrame:
@@ -268,7 +268,7 @@ def sampler_dag(spark, d):
     return Planner(spark, b.build()).plan(5000).select(F.col(ROW).alias("r"), "k", "s", "n")
 
 
-@query(f"SELECT r, list_filter([{', '.join(f'-10.0 + 40.0 * {u("v", k, "r")}' for k in range(32))}], lambda x: x >= 10)[1] AS v, CASE WHEN {u('w', 0, 'r')} < 0.25 THEN 1 ELSE 0 END AS w FROM (SELECT unnest(range(20000)) AS r)")
+@query(f"SELECT r, list_filter([{', '.join(f'-10.0 + 40.0 * {u("v", k, "r")}' for k in range(32))}], lambda x: x >= 10)[1] AS v, CAST({u('w', 0, 'r')} < 0.25 AS BIGINT) AS w FROM (SELECT unnest(range(20000)) AS r)")
 def constraint_in_config(spark, d):
     """A config's constraint. Half of the draws fit, so no row needs more than the 32 that the SQL makes."""
     b = Builder(SEED).add_column(name="v", kind="sampler", sampler_type="uniform", params={"low": -10, "high": 30}).add_constraint("v", "ge", 10)
@@ -280,7 +280,7 @@ def hash_unit(*parts: str) -> str:
     return f"((CAST('0x' || substr(sha256(concat_ws('|', {', '.join(parts)})), 1, 16) AS UBIGINT))::DOUBLE + 0.5) / 18446744073709551616.0"
 
 
-@query(f"SELECT o_orderkey, round(0.2 + 0.6 * {hash_unit(str(SEED), repr('m'), repr('temperature'), 'o_orderkey')}, 9) AS temperature, CASE WHEN {hash_unit(str(SEED), repr('m'), repr('top_p'), 'o_orderkey')} < 0.75 THEN 0.9 ELSE 1.0 END AS top_p FROM orders")
+@query(f"SELECT o_orderkey, round(0.2 + 0.6 * {hash_unit(str(SEED), repr('m'), repr('temperature'), 'o_orderkey')}, 9) AS temperature, CASE WHEN {hash_unit(str(SEED), repr('m'), repr('top_p'), 'o_orderkey')} < 0.75 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS top_p FROM orders")
 def inference_parameters(spark, d):
     """Call parameters that are distributions, drawn for each row."""
 
@@ -354,7 +354,7 @@ def validate_targets(spark, d):
     return validate_code(df, "v", ["a", "b"], "python").select("p_partkey", F.col("v.a.is_valid").alias("a_valid"), F.col("v.b.is_valid").alias("b_valid"))
 
 
-@query("SELECT p_partkey, p_partkey % 4 <> 0 AS is_valid, CASE p_partkey % 4 WHEN 0 THEN 'fatal' WHEN 1 THEN 'none' WHEN 2 THEN 'warning' ELSE 'convention' END AS severity, CASE p_partkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 10.0 WHEN 2 THEN 0.0 ELSE 0.0 END AS score FROM part")
+@query("SELECT p_partkey, p_partkey % 4 <> 0 AS is_valid, CASE p_partkey % 4 WHEN 0 THEN 'fatal' WHEN 1 THEN 'none' WHEN 2 THEN 'warning' ELSE 'convention' END AS severity, CASE p_partkey % 4 WHEN 1 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM part")
 def validate_python(spark, d):
     k = F.col("p_partkey") % 4
     code = F.when(k == 0, "x = = 1").when(k == 1, "x = 1").when(k == 2, "from os import *").otherwise("l = 1")
@@ -575,7 +575,7 @@ def run_dataset(spark, d):
     return Engine(spark, run_config=RunConfig(buffer_size=10)).create(shaped(spark, d), 40, folder(spark, "run")).load_dataset()
 
 
-@query(f"SELECT r AS _row_id, n_regionkey, n_nationkey * 2 AS code FROM ({_R40})")
+@query(f"SELECT r AS _row_id, n_regionkey, CAST(n_nationkey * 2 AS BIGINT) AS code FROM ({_R40})")
 def run_dropped_columns(spark, d):
     return Engine(spark, run_config=RunConfig(buffer_size=10)).create(shaped(spark, d), 40, folder(spark, "run")).load_dropped().select("_row_id", "n_regionkey", "code")
 
