@@ -307,3 +307,27 @@ def test_rollout_sessions_are_joined(spark, tmp_path):
     (tmp_path / "h" / "other.json").write_text("[]")
     r = read_rollouts(spark, "hermes_agent", str(tmp_path / "h")).collect()
     assert len(r) == 1 and r[0].started_at == "2025-01-01" and json.loads(r[0].source_meta) == {"platform": "x", "session_key": "key"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from weftline.__main__ import main
+
+    make().write_config(f"{tmp_path}/c.json")
+    assert main(["validate", f"{tmp_path}/c.json"]) == 0 and main(["list"]) == 0
+    assert main(["create", f"{tmp_path}/c.json", "--rows", "30", "--out", f"{tmp_path}/set"]) == 0
+    assert "30 rows" in capsys.readouterr().out and spark.read.parquet(f"{tmp_path}/set/parquet-files").count() == 30
+    Builder().add_column(name="x", kind="expression", expr="{{ nothing }}").write_config(f"{tmp_path}/bad.json")
+    assert main(["validate", f"{tmp_path}/bad.json"]) == 1 and main(["preview", f"{tmp_path}/bad.json"]) == 1
+
+
+def test_estimated_statistics_and_summaries(spark):
+    from weftline.operators.profile import categorical, judge_scores, judge_summaries, numerical
+
+    df = spark.range(20_000).select("id", (F.col("id") % 7).alias("v"), F.lit("why").alias("w"))
+    assert abs(numerical(df, ["id"], exact=False).first().median - 10_000) < 10
+    assert [(r.value, r["rank"]) for r in categorical(df, ["v"], most=2).orderBy("rank").collect()] == [("0", 1), ("1", 2)]
+    one = F.struct(F.struct(F.col("v").alias("score"), F.col("w").alias("reasoning")).alias("q")).alias("j")
+    scores = judge_scores(df.select("id", one), "j", ["q"]).withColumn("row", F.monotonically_increasing_id())
+    seen = []
+    got = judge_summaries(scores, lambda kind, messages, parameters: seen.append(messages[0]["content"]) or {"content": "summed"})
+    assert got == {"q": "summed"} and seen[0].count("why") == 20

@@ -1,7 +1,15 @@
-"""Statistics of a finished dataset: one aggregation for all columns, and one grouped pass for histograms."""
+"""Statistics of a finished dataset: one aggregation for all columns, and one grouped pass for histograms.
+
+Exact statistics keep every distinct value (``general``) and every number (the median) of a column in the aggregation,
+and rank all values of a column in one task. For large datasets take ``exact=False``: distinct values and medians are
+estimated in bounded memory (HyperLogLog, and percentiles to one part in 10,000), and histograms keep the ``most``
+frequent values, which the tasks choose from counts.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,19 +61,21 @@ def general(df: DataFrame, columns: list[str] | None = None, exact: bool = True)
     return out.withColumns({"percent_null": percent(F.col("num_null"), F.col("num_records")), "percent_unique": percent(F.col("num_unique"), F.col("num_records"))})
 
 
-def numerical(df: DataFrame, columns: list[str]) -> DataFrame:
+def numerical(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """min, max, mean, sample deviation and median of each column, nulls left out, in one aggregation."""
-    stats = {"min": F.min, "max": F.max, "mean": F.avg, "stddev": F.stddev_samp, "median": F.median}
+    stats = {"min": F.min, "max": F.max, "mean": F.avg, "stddev": F.stddev_samp, "median": F.median if exact else lambda c: F.percentile_approx(c, 0.5, 10000)}
     sums = [f(F.col(f"`{c}`").cast("double")).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in stats.items()]
     rows = F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.col(f"{k}{i}").alias(k) for k in stats)) for i, c in enumerate(columns)))
     return df.agg(*sums).select(F.inline(rows))
 
 
-def categorical(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, value, n, rank of every value, most frequent first (ties by value); all columns in one grouped pass."""
+def categorical(df: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+    """column_name, value, n, rank of every value, or of the ``most`` frequent ones, most frequent first (ties by value); all
+    columns in one grouped pass. The filter on the rank lets each task keep its own ``most`` before values meet."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))).alias("x")).select("x.*").where("value is not null")
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value")))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value")))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
 def distribution_kind(sampler_type: str | None) -> str:
@@ -121,11 +131,25 @@ def percent_complete(made: int, target: int) -> float:
     return round(100 * made / (target + EPSILON), 2)
 
 
-def profile(df: DataFrame, sampler_types: dict[str, str]) -> dict[str, DataFrame]:
+def judge_summaries(scores: DataFrame, client: Callable, most: int = 20, seed: int = 0, key: str = "row") -> dict[str, str]:
+    """A model's summary of each judge score: of at most ``most`` rows that show its scores, chosen by ``stratified``.
+
+    ``scores`` is in the form of ``judge_scores`` with a row id; no more than the chosen rows come to the driver.
+    """
+    out = {}
+    for (name,) in sorted(scores.select("name").distinct().collect()):
+        some = stratified(scores.where(F.col("name") == name), most, seed, key).select("score", "reasoning").orderBy(key).collect()
+        told = "\n".join(f"{r['score']}: {r['reasoning']}" for r in some)
+        out[name] = client("text", [{"role": "user", "content": f"Sum up what these scores of {name} have in common.\n{told}"}], {})["content"]
+    return out
+
+
+def profile(df: DataFrame, sampler_types: dict[str, str], exact: bool = True, most: int = 1000) -> dict[str, DataFrame]:
     """The statistics of a dataset: general, and by kind of sampler numerical or categorical."""
     kinds = {c: distribution_kind(t) for c, t in sampler_types.items() if c in df.columns}
-    out = {"general": general(df)}
-    for kind, f in (("numerical", numerical), ("categorical", categorical)):
+    out = {"general": general(df, exact=exact)}
+    histogram = lambda df, names: categorical(df, names, None if exact else most)
+    for kind, f in (("numerical", lambda df, names: numerical(df, names, exact)), ("categorical", histogram)):
         if names := [c for c, k in kinds.items() if k == kind]:
             out[kind] = f(df, names)
     return out

@@ -127,8 +127,9 @@ class Results:
     def load_processor_dataset(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{SIDE}/{name}").drop(GROUP)
 
-    def load_analysis(self) -> dict[str, DataFrame]:
-        return profile(self.load_dataset(), {c.name: c.sampler_type for c in self.config.columns if c.sampler_type})
+    def load_analysis(self, exact: bool = True) -> dict[str, DataFrame]:
+        """Statistics; ``exact=False`` estimates what takes unbounded memory, for large datasets."""
+        return profile(self.load_dataset(), {c.name: c.sampler_type for c in self.config.columns if c.sampler_type}, exact)
 
     def count_records(self) -> int:
         return self.load_dataset().count()
