@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -693,3 +694,90 @@ def test_pipeline_stages(spark, tmp_path):
     for i, x in seen["encode"].items():
         assert x.ids == t.encode(seen["secrets"][i].text or "", add_special_tokens=False).ids
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["encode"])
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables aren't here")
+def test_pipeline_equals_brute_force(spark):
+    """Each stage on the rows that its predecessor kept, against a plain version of it."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    items = {r.item_id: brute_words(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    model = ordinal.fit_ordinal(docs, labels.select("doc_id", ordinal.grade_of(F.col("quality"), F.col("toxic")).alias("grade")))
+    tokenizer = Tokenizer.from_file(BYTES)
+
+    def top_grade(text):
+        _, found = ordinal.features(words.words_of(pa.array([text], pa.string())))
+        for_, against = [f for f in found if model.upward[f] and model.weights[f]], [f for f in found if not model.upward[f]]
+        s = sum(float(model.weights[f]) for f in against) + sum(float(model.weights[f]) for f in for_) / max(len(for_), 1)
+        return 1 / (1 + math.exp(-(s - model.thresholds[-1])))
+
+    def contaminated(text):
+        w = brute_words(text)
+        have = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        for v in items.values():
+            k = min(5, len(v))
+            grams = lambda x, k=k: [tuple(x[j : j + k]) for j in range(len(x) - k + 1)]
+            if not v or k == 5 and sum(g in have for g in grams(v)) < 0.8 * (len(v) - 4) - 1e-9:
+                continue
+            want = collections.Counter(grams(v))
+            if any(sum((collections.Counter(grams(w[j : j + len(v)])) & want).values()) >= 0.8 * (len(v) - k + 1) - 1e-9 for j in range(max(1, len(w) - len(v) + 1))):
+                return True
+        return False
+
+    def without_secrets(text):
+        return text if text is None else secrets.redact(text, secrets.scan(text))
+
+    plain = {
+        "quality": lambda rows: [r for r in rows if top_grade(r.text) >= 0.5],
+        "near_duplicates": lambda rows, found=brute_components: [r for c in [found([(x.doc_id, x.text) for x in rows])] for r in rows if c[r.doc_id][1] == r.doc_id],
+        "decontaminate": lambda rows: [r for r in rows if not contaminated(r.text)],
+    }
+    before = docs.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, spark.createDataFrame(before, docs.schema), SMALL)
+        got = {r.doc_id: r for r in out.collect()}
+        if name in plain:
+            assert out.columns == docs.columns
+            assert {i: r.text for i, r in got.items()} == {r.doc_id: r.text for r in plain[name](before)}, name
+        elif name == "secrets":
+            assert {i: r.text for i, r in got.items()} == {r.doc_id: without_secrets(r.text) for r in before}
+            for r in before:  # every base secret is gone, by the patterns themselves
+                for value in re.findall(r"AKIA[A-Z0-9]{12,}", r.text or ""):
+                    assert value not in got[r.doc_id].text
+        else:
+            assert {i: r.ids for i, r in got.items()} == {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids for r in before}
+        before = list(got.values())
+    assert 0 < len(before) < docs.count()
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids and texts, columns named like the stages' own, and empty tables pass through every stage."""
+    texts = ["alpha beta gamma delta epsilon zeta", None, "", "alpha beta gamma delta epsilon zeta"]
+    docs = table(spark, texts, [(None, "one two three four five six")]).withColumns({"key": F.lit(1), "sid": F.lit("s"), "item": F.lit(2), "grade": F.lit(0), "part": F.lit(3)})
+    for at, (d, keep) in enumerate(((docs, None), (docs.limit(0), 0))):
+        folder = f"{tmp_path}/{at}"
+        d.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        held = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            columns, held = held.columns, stage(spark, held, folder)
+            assert name == "encode" or held.columns == columns
+        got = sorted(r.doc_id if r.doc_id is not None else -1 for r in held.collect())
+        assert got == ([-1, 0, 1, 2] if keep is None else [])
+
+
+def test_rules_follow_the_labels(spark):
+    """Documents of one measure that labels call poor: the learnt conditions, applied by hand to the measures, give the same verdicts."""
+    r = random.Random(21)
+    texts = [" ".join(prose(r, 60)) + " #*$ " * r.randrange(3) for _ in range(200)] + [" ".join(prose(r, 60)) + " #*$%& " * r.randrange(20, 40) for _ in range(100)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, i >= 200) for i in range(300) if i % 2], "doc_id long, poor boolean")
+    got = rules.judge(docs, labels).collect()
+    wrong = sum((x.kept == (x.doc_id >= 200)) for x in got if not x.base_failed)
+    assert wrong <= 3
+    symbols = {x.doc_id: x.n_symbols for x in got}
+    assert all(symbols[i] == sum(c in "#*$%&|<>" for c in t) for i, t in enumerate(texts))
