@@ -52,7 +52,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("encode", encode)]
 
-#: SQL can't express the model, the tokenizer and the lexer; tests compare each stage with a brute-force version.
+#: SQL can't express the model, the tokenizer and the lexer; ``test_pipeline_equals_brute_force`` compares each stage, on what the
+#: one before kept, with a plain version: scores from the model's weights, all pairs, all windows, the library's tokens. The lexer's
+#: own spans are tested on fixtures.
 ORACLE_SQL = None
 
 
