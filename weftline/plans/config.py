@@ -143,9 +143,17 @@ def known_only(cls: type, data: dict[str, Any]) -> dict[str, Any]:
 
 
 def config_of(data: dict[str, Any] | str | Path) -> Config:
-    """A config from a dictionary, JSON text or a JSON file; unknown fields are refused. Seed sources are given apart."""
+    """A config from a dictionary, JSON text, or a file of JSON (or of YAML, where its library is installed); unknown fields are
+    refused. Seed sources are given apart."""
     if isinstance(data, Path) or isinstance(data, str) and not data.lstrip().startswith("{"):
-        data = Path(data).read_text()
+        path = Path(data)
+        data = path.read_text()
+        if path.suffix in (".yaml", ".yml"):
+            try:
+                import yaml
+            except ImportError:
+                raise ConfigError("YAML files need the yaml library") from None
+            data = yaml.safe_load(data)
     if isinstance(data, str):
         data = json.loads(data)
     data = dict(known_only(Config, data))

@@ -210,14 +210,15 @@ class Engine:
                 raise ConfigError(f"no processor is of kind {p.kind!r}")
         return out
 
-    def rows(self, config: Config, planner: Planner, count: int, groups: list[int] | None = None) -> DataFrame:
+    def rows(self, config: Config, planner: Planner, count: int, blocks: list[int] | None = None, width: int = 1) -> DataFrame:
         """All columns with the reasons of dropped rows."""
+
         def before(df: DataFrame) -> DataFrame:
             for p in self.processors(config):
                 df = p.before(df) if p.acts("before") else df
             return df
 
-        return planner.marked(planner.rows(count, groups=groups), before)
+        return planner.marked(planner.rows(count, groups=blocks, width=width), before)
 
     def made(self, config: Config, marked: DataFrame) -> DataFrame:
         """The rows that stay, after the processors that see them."""
@@ -277,8 +278,7 @@ class Engine:
         folder.write(META, json.dumps(meta | {"complete": False}))
         wide = meta["groups_of_block"]
         if todo is None or todo:
-            some = None if todo is None else [g for b in todo for g in range(b * wide, min(groups, (b + 1) * wide))]
-            marked = self.rows(config, self.planner(config, count), count, some)
+            marked = self.rows(config, self.planner(config, count), count, todo, wide)
             reasons, seen = [f"{c.name}:{why}" for c in config.columns for why in ("render", "empty", "cast", "model", "stopped")], Observation()
             marked = marked.observe(seen, *(F.count_if(F.coalesce(F.col(DROP) == r, F.lit(False))).alias(r) for r in reasons), F.count(F.lit(1)).alias("rows"))
             df = self.made(config, marked)

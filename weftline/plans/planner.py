@@ -88,15 +88,17 @@ class Planner:
         self.spark, self.config, self.resources, self.buffer_size = spark, config, resources or Resources(), buffer_size
         self.rules, self.remote, self.total = rules or CallRules(), remote or RemoteRules(), total
 
-    def rows(self, count: int, start: int = 0, groups: list[int] | None = None) -> DataFrame:
-        """Row ids from ``start`` to ``count``, or those of the row groups given (a bounded list: see ``Engine``)."""
+    def rows(self, count: int, start: int = 0, groups: list[int] | None = None, width: int = 1) -> DataFrame:
+        """Row ids from ``start`` to ``count``, or those of the row groups given, or of blocks of ``width`` row groups each. The list
+        stands in the plan, so it is to be bounded (see ``Engine``)."""
         self.total = self.total or count
         if groups is None:
             ids = self.spark.range(start, count).withColumnRenamed("id", ROW)
         else:
-            ids = self.spark.range(len(groups) * self.buffer_size)
+            size = self.buffer_size * width
             each = F.array(*map(F.lit, groups)) if groups else F.array(F.lit(0))
-            ids = ids.select((F.get(each, F.floor(F.col("id") / self.buffer_size).cast("int")).cast("long") * self.buffer_size + F.col("id") % self.buffer_size).alias(ROW)).where(F.col(ROW) < count)
+            ids = self.spark.range(len(groups) * size)
+            ids = ids.select((F.get(each, F.floor(F.col("id") / size).cast("int")).cast("long") * size + F.col("id") % size).alias(ROW)).where(F.col(ROW) < count)
         return ids.withColumn(GROUP, F.floor(F.col(ROW) / self.buffer_size).cast("long"))
 
     def marked(self, rows: DataFrame, before: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
