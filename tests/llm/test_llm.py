@@ -781,3 +781,63 @@ def test_rules_follow_the_labels(spark):
     assert wrong <= 3
     symbols = {x.doc_id: x.n_symbols for x in got}
     assert all(symbols[i] == sum(c in "#*$%&|<>" for c in t) for i, t in enumerate(texts))
+
+
+def test_rules_are_grown_and_pruned_as_by_brute_force(spark):
+    """Sequential covering by trying every condition on every row, with the operator's own tie order, gives the same list."""
+    g = np.random.default_rng(11)
+    names = list(rules.MEASURES)
+    edges = [sorted(g.random(3).tolist()) for _ in names]
+    bins = g.integers(0, 4, (900, len(names)))
+    poor = (bins[:, 2] > 1) & (bins[:, 5] <= 2) & (g.random(900) < 0.97) | (bins[:, 0] > 2) & (g.random(900) < 0.95)
+    back = g.random(900) < 1 / 3
+    df = spark.createDataFrame([(bool(p), [int(x) for x in b], bool(k)) for p, b, k in zip(poor, bins, back, strict=True)], "poor boolean, bins array<int>, prune boolean")
+    holds = lambda conditions, b: np.all([b[:, names.index(c.measure)] > c.bin if c.above else b[:, names.index(c.measure)] <= c.bin for c in conditions], axis=0) if conditions else np.ones(len(b), bool)
+
+    def grown(b, p):
+        chosen = ()
+        while len(chosen) < rules.MOST_CONDITIONS:
+            at = holds(chosen, b)
+            total_p, total_n = (at & p).sum(), (at & ~p).sum()
+            if not total_p or not total_n:
+                break
+            best = None
+            for m, name in enumerate(names):
+                for k, edge in enumerate(edges[m]):
+                    for above in (False, True):
+                        hit = at & holds((rules.Condition(name, above, edge, k),), b)
+                        pos, neg = (hit & p).sum(), (hit & ~p).sum()
+                        if pos + neg >= rules.LEAST_COVERED and pos:
+                            gain = pos * (math.log2(pos / (pos + neg)) - math.log2(total_p / (total_p + total_n)))
+                            if best is None or gain > best[0] + 1e-9:
+                                best = (gain, rules.Condition(name, above, edge, k))
+            if best is None or best[0] <= 1e-9:
+                break
+            chosen += (best[1],)
+        return chosen
+
+    def pruned_(conditions, b, p, k):
+        best = None
+        for i in range(len(conditions)):
+            hit = holds(conditions[: i + 1], b)
+            pos, neg = (hit & p & k).sum(), (hit & ~p & k).sum()
+            worth = (pos - neg) / (pos + neg) if pos + neg else -1.0
+            if best is None or worth >= best[0]:
+                best = (worth, i, pos, neg, hit)
+        _, i, pos, neg, hit = best
+        precision, held_back = (hit & p).sum() / max(hit.sum(), 1), pos / (pos + neg) if pos + neg else 1.0
+        return conditions[: i + 1] if hit.sum() >= rules.LEAST_COVERED and min(precision, held_back) >= rules.LEAST_PRECISION else None
+
+    left, alive, found = df, np.ones(900, bool), 0
+    for _ in range(rules.MOST_RULES):
+        want = grown(bins[alive & ~back], poor[alive & ~back])
+        got = rules.grow(left.where("not prune"), edges)
+        assert (got.conditions if got else ()) == want
+        kept = pruned_(want, bins[alive], poor[alive], back[alive]) if want else None
+        rule = rules.prune(left, got) if got else None
+        assert (rule.conditions if rule else None) == kept
+        if rule is None:
+            break
+        assert rule.covered == (alive & holds(kept, bins)).sum()
+        alive, left, found = alive & ~holds(kept, bins), left.where(~rule.binned()), found + 1
+    assert found >= 2
