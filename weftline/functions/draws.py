@@ -21,10 +21,19 @@ def salts(seed: int, column: str, draw: int | str = 0) -> tuple[int, int, int]:
 
 def uniform(seed: int, column: str, row: Column | str, draw: int | str = 0) -> Column:
     """A double in (0, 1) for each row: four rounds of multiplying and folding modulo 2^31 - 1, all within codegen."""
+    return mixed(row, *(F.lit(s).cast("long") for s in salts(seed, column, draw)))
+
+
+def mixed(row: Column | str, s0: Column, s1: Column, s2: Column, bound: bool = False) -> Column:
+    """The same by salts that are columns. Each fold reads its value twice, which generated code computes once; within a lambda,
+    which is interpreted, ``bound`` holds it so that it isn't computed again."""
     row = F.col(row) if isinstance(row, str) else row
-    s0, s1, s2 = (F.lit(s).cast("long") for s in salts(seed, column, draw))
     m = F.lit(MODULUS).cast("long")
-    fold = lambda h, bits: h.bitwiseXOR(F.shiftright(h, bits))
+
+    def fold(h: Column, bits: int) -> Column:
+        mix = lambda x: x.bitwiseXOR(F.shiftright(x, bits))
+        return F.get(F.transform(F.array(h), mix), F.lit(0)) if bound else mix(h)
+
     row = row.cast("long")
     far = F.floor(row / m).cast("long") % m  # rows beyond the modulus get other salts
     h = ((row % m) * F.lit(48271).cast("long") + s0 + far * F.lit(7919).cast("long")) % m

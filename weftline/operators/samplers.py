@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.draws import index, salts, uniform
+from weftline.functions.draws import MODULUS, index, mixed, salts, uniform
 
 UNITS = {"Y": "YEAR", "M": "MONTH", "D": "DAY", "h": "HOUR", "m": "MINUTE", "s": "SECOND"}
 
@@ -37,6 +37,18 @@ class Draw:
         return uniform(self.seed, self.column, self.row, f"{self.attempt}{part}" if self.attempt or part else 0)
 
 
+@dataclass(frozen=True)
+class Tried(Draw):
+    """One of several tries, whose place among ``attempts`` is a column; it draws what ``Draw`` does of that try."""
+
+    attempts: tuple[int, ...] = ()
+    place: Column | None = None
+
+    def u(self, part: str = "") -> Column:
+        held = zip(*(salts(self.seed, self.column, f"{k}{part}" if k or part else 0) for k in self.attempts), strict=True)
+        return mixed(self.row, *(F.get(F.array(*(F.lit(s).cast("long") for s in some)), self.place) for some in held), bound=True)
+
+
 Sampler = Callable[[dict[str, Any], Draw], Column]
 SAMPLERS: dict[str, Sampler] = {}
 
@@ -335,8 +347,11 @@ class SamplerSpec:
 
 OPERATORS: dict[str, Callable[[Column, Column], Column]] = {"lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b}
 TRIES = 32
-#: Draws that are made one after the other until one fits; the rest of TRIES are made together, by the few rows that are left.
-EAGER = 8
+#: The first draw is generated code; rows that it fails make the others in groups, each only if those before all fail. They stand in
+#: lambdas, as code for each of 32 draws is more than the JVM compiles.
+GROUPS = ((1, 3), (3, 8), (8, TRIES))
+#: Kinds whose draws are functions of uniform draws alone, so that tries may stand in lambdas.
+BY_UNIFORM = ("category", "subcategory", "uniform", "gaussian", "bernoulli", "bernoulli_mixture", "binomial", "poisson", "scipy", "datetime", "timedelta")
 #: Further draws of rows that are left, in stages; only rows that failed all earlier ones make them.
 FURTHER = (1 << 10, 1 << 16)
 #: Kinds that make structs of people, by another module.
@@ -364,11 +379,12 @@ class Constraint:
         return OPERATORS[self.operator](value, rhs)
 
 
-def constrained(draws: Callable[[int], Column], constraints: list[Constraint], tries: int = TRIES, further: Callable[[Column], Column] | None = None, exact: Column | None = None) -> Column:
+def constrained(draws: Callable[[int], Column], constraints: list[Constraint], tries: int = TRIES, further: Callable[[Column], Column] | None = None, exact: Column | None = None, tried: Callable[[tuple[int, ...], Column], Column] | None = None) -> Column:
     """The first of ``tries`` draws that meets all constraints, then of ``FURTHER`` ones, whose number is a column, then ``exact``,
     a draw of the distribution within the constraints where that is known; null if none does.
 
-    Nothing is drawn that isn't needed: each row stops at its first fitting draw.
+    ``tried`` gives a draw of several tries by its place among them, a column. Later groups of draws are made only for rows whose
+    earlier ones all failed.
     """
     if not constraints:
         return draws(0)
@@ -379,14 +395,28 @@ def constrained(draws: Callable[[int], Column], constraints: list[Constraint], t
             out = out & c.holds(x)
         return out
 
-    held, at = [], 1
-    if tries > EAGER:
-        held.append(F.array(*(draws(k) for k in range(EAGER, tries))))
+    def group(start: int, stop: int) -> Column:
+        if tried is None:
+            return F.array(*(draws(k) for k in range(start, stop)))
+        return F.transform(F.sequence(F.lit(0), F.lit(stop - start - 1)), lambda i: tried(tuple(range(start, stop)), i))
+
+    held, at = [group(a, min(b, tries)) for a, b in GROUPS if a < tries], 1
     for n in FURTHER if further else ():
         held.append(F.transform(F.sequence(F.lit(at).cast("long"), F.lit(at + n - 1).cast("long")), lambda k: further(k)))
         at += n
-    first = [F.when(good(d), d) for d in map(draws, range(min(tries, EAGER)))]
-    return F.coalesce(*first, *(F.try_element_at(F.filter(x, good), F.lit(1)) for x in held), *([F.when(good(exact), exact)] if exact is not None else []))
+    first = draws(0)
+    return F.coalesce(F.when(good(first), first), *(F.try_element_at(F.filter(x, good), F.lit(1)) for x in held), *([F.when(good(exact), exact)] if exact is not None else []))
+
+
+def redrawn(spec: SamplerSpec, draw: Draw, constraints: list[Constraint], condition: Callable[[str], Column]) -> Column:
+    """A sampler's column within its constraints, by all the ways that its kind allows."""
+    one = lambda d: spec.column(d, condition)
+    at = lambda k: Draw(draw.seed, draw.column, draw.row, k)
+    if spec.by_numpy:  # Arrow functions can't stand within a lambda
+        return constrained(lambda k: one(at(k)), constraints)
+    tried = lambda attempts, i: one(Tried(draw.seed, draw.column, draw.row, 0, attempts, i))
+    further = lambda k: one(Draw(draw.seed, draw.column, draw.row + k * F.lit(MODULUS).cast("long"), TRIES))
+    return constrained(lambda k: one(at(k)), constraints, further=further, exact=truncated(spec, at(TRIES), constraints), tried=tried if spec.kind in BY_UNIFORM else None)
 
 
 def truncated(spec: SamplerSpec, draw: Draw, constraints: list[Constraint]) -> Column | None:

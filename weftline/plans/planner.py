@@ -11,19 +11,18 @@ go through it beside the others, and its function never sees them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.draws import MODULUS
 from weftline.functions.template import Compiler
 from weftline.operators.expressions import DROP, cast_text, skip_flag
 from weftline.operators.generate import CallRules, generate_model_column, stand_in
 from weftline.operators.people import person, projected, sample_people
-from weftline.operators.samplers import TRIES, Draw, constrained, truncated
+from weftline.operators.samplers import Draw, redrawn
 from weftline.operators.validate import RemoteRules, validate_code, validate_local, validate_remote
 from weftline.plans.config import ColumnConfig, Config, ConfigError
 from weftline.sources.seeds import INDEX, attach, indexed, selected
@@ -173,8 +172,7 @@ class Planner:
                 made[c.name] = person(c.params, self.draw(c.name))
                 continue
             spec, own = c.sampler(), [k for k in self.config.constraints if k.target == c.name]
-            further = lambda k, spec=spec, c=c: spec.column(replace(self.draw(c.name, TRIES), row=F.col(ROW) + k * F.lit(MODULUS).cast("long")), compiler.condition)
-            made[c.name] = constrained(lambda attempt, spec=spec, c=c: spec.column(self.draw(c.name, attempt), compiler.condition), own, further=None if spec.by_numpy else further, exact=truncated(spec, self.draw(c.name, TRIES), own))
+            made[c.name] = redrawn(spec, self.draw(c.name), own, compiler.condition)
             if own or c.sampler_type == "subcategory":
                 failed.append(c.name)
         df = df.withColumns(made)

@@ -20,7 +20,7 @@ from weftline.operators import samplers as sm
 from weftline.operators.generate import approximate_tokens
 from weftline.operators.people import person, sample_people
 from weftline.operators.rollouts import from_turns
-from weftline.operators.samplers import Constraint, Draw, SamplerSpec, constrained
+from weftline.operators.samplers import Constraint, Draw, SamplerSpec, redrawn
 from weftline.operators.validate import code_block, json_block, sql_valid
 from weftline.plans.config import Builder, ProcessorConfig, Skip
 from weftline.plans.engine import Engine
@@ -181,10 +181,8 @@ def tries_sql(n: int) -> str:
 
 def tried(df: DataFrame, constraints: list[Constraint]) -> DataFrame:
     """As in production: 32 draws, further ones for rows that they all fail, then a draw from what the constraints leave."""
-    spec, row = SamplerSpec("v", "uniform", {"low": 0, "high": 100}), F.col("o_orderkey")
-    draw = lambda k: spec.one(spec.params, Draw(SEED, "v", row, k))
-    further = lambda k: spec.one(spec.params, Draw(SEED, "v", row + k * F.lit(MODULUS).cast("long"), sm.TRIES))
-    value = constrained(draw, constraints, further=further, exact=sm.truncated(spec, Draw(SEED, "v", row, sm.TRIES), constraints))
+    spec = SamplerSpec("v", "uniform", {"low": 0, "high": 100})
+    value = redrawn(spec, Draw(SEED, "v", F.col("o_orderkey")), constraints, Compiler(df.schema).condition)
     return df.select("o_orderkey", F.bround(value, 4).alias("v"))
 
 
