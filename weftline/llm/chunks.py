@@ -1,4 +1,4 @@
-"""A store of the ids of text chunks, looked up by hash, many at once."""
+"""A store of the ids of text chunks, looked up by hash and told apart by their bytes, many at once."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .words import _BYTE, U, mix, powers
+from .words import U, lane, range_hashes
 
 #: Unicode white space of two and three UTF-8 bytes: first byte, and all that may follow it. Fixed values.
 WIDE_SPACE = (
@@ -71,7 +71,11 @@ def spaced_chunks(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class ChunkStore:
-    """Open-addressed table from chunks' hashes to runs of ids in one pool; when half full, it starts anew."""
+    """Open-addressed table from chunks to runs of ids in one pool; when half full, it starts anew.
+
+    A chunk is found by a hash and then held against the chunk's own bytes: the first 16 as two lanes, longer ones whole. So
+    a text that was made to share another's hash gets its own ids all the same.
+    """
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], kind: str, bits: int = 21) -> None:
         self.learn, self.kind, self.bits = learn, np.dtype(kind), bits
@@ -80,6 +84,7 @@ class ChunkStore:
     def clear(self) -> None:
         n = 1 << self.bits
         self.keys, self.begin, self.size = np.zeros(n, U), np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.lanes, self.lengths, self.whole = np.zeros((n, 2), U), np.zeros(n, np.int32), {}
         self.pool, self.used, self.held = np.zeros(1 << 20, self.kind), 0, 0
 
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
@@ -95,7 +100,8 @@ class ChunkStore:
             open_, at = open_[go], (at[go] + U(1)) & mask
         return out
 
-    def _insert(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+    def _pooled(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pool holds runs of ids that are added to it, and their sizes."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
         flat = np.frombuffer(b"".join(ids), self.kind)
         if self.used + len(flat) > len(self.pool):
@@ -103,6 +109,10 @@ class ChunkStore:
         self.pool[self.used : self.used + len(flat)] = flat
         begins = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(ids) else sizes
         self.used += len(flat)
+        return begins, sizes
+
+    def _insert(self, hashes: np.ndarray, ids: list[bytes], lanes: np.ndarray, lengths: np.ndarray, chunks: list[bytes]) -> None:
+        begins, sizes = self._pooled(ids)
         self.held += len(ids)
         mask = U((1 << self.bits) - 1)
         open_, at = np.arange(len(hashes)), hashes & mask
@@ -112,6 +122,9 @@ class ChunkStore:
             take = np.flatnonzero(free)[first]
             slot, which = at[take].view(np.int64), open_[take]
             self.keys[slot], self.begin[slot], self.size[slot] = hashes[which], begins[which], sizes[which]
+            self.lanes[slot], self.lengths[slot] = lanes[which], lengths[which]
+            for i in np.flatnonzero(lengths[which] > 16).tolist():
+                self.whole[int(slot[i])] = chunks[which[i]]
             left = np.ones(len(open_), bool)
             left[take] = False
             open_, at = open_[left], at[left]
@@ -119,11 +132,12 @@ class ChunkStore:
 
     def ids(self, raw: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids on end, and how many each text has."""
-        up, down = powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, U)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U)) | U(1)
+        wide = np.zeros(len(raw) + 16, np.uint8)
+        wide[: len(raw)] = raw
+        hashes, lengths = range_hashes(wide, starts, ends) | U(1), ends - starts
         slots = self._slots(hashes)
+        lanes = np.stack([lane(wide, starts, lengths, 0), np.where(lengths > 8, lane(wide, starts, np.maximum(lengths, 8), 1), U(0))], axis=1) if len(starts) else np.zeros((0, 2), U)
+        data = None
         if len(missing := np.flatnonzero(slots < 0)):
             fresh, first = np.unique(hashes[missing], return_index=True)
             if self.held + len(fresh) > 1 << self.bits - 1:
@@ -135,9 +149,18 @@ class ChunkStore:
                     self.clear()
             pick = missing[first]
             data = raw.tobytes()
-            self._insert(fresh, self.learn([data[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]))
+            chunks = [data[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
+            self._insert(fresh, self.learn([c.decode() for c in chunks]), lanes[pick], lengths[pick], chunks)
             slots = self._slots(hashes)
-        sizes = self.size[slots].astype(np.int64)
+        begin, sizes = self.begin[slots], self.size[slots].astype(np.int64)
+        other = (self.lengths[slots] != lengths) | (self.lanes[slots] != lanes).any(axis=1)
+        for i in np.flatnonzero((lengths > 16) & ~other).tolist():
+            data = data or raw.tobytes()
+            other[i] = self.whole[int(slots[i])] != data[starts[i] : ends[i]]
+        if other.any():  # another chunk's hash: worked out alone, and not kept
+            at_ = np.flatnonzero(other)
+            data = data or raw.tobytes()
+            begin[at_], sizes[at_] = self._pooled(self.learn([data[a:b].decode() for a, b in zip(starts[at_].tolist(), ends[at_].tolist(), strict=True)]))
         before = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.pool[np.repeat(self.begin[slots] - before[:-1], sizes) + np.arange(before[-1])]
+        flat = self.pool[np.repeat(begin - before[:-1], sizes) + np.arange(before[-1])]
         return flat, np.diff(before[np.searchsorted(starts, at)])

@@ -2,12 +2,16 @@
 
 Words are maximal runs of bytes other than space and \\t to \\r, with A-Z
 lower-cased; so they never depend on how texts lie in batches. All is done on
-the UTF-8 bytes of a slice of texts with array operations: prefix sums of a
-polynomial give each word's 64-bit hash, whatever its length.
+the UTF-8 bytes of a slice of texts with array operations: a word is hashed by
+lanes of eight bytes, each mixed into the hash of those before it, many words at
+once. Words of one lane and one length never share a hash; others do with a
+chance of 2^-64 a pair. Longer words than ``LANED`` bytes are hashed by BLAKE2b
+each.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +25,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS = [np.ones(1, U), np.ones(1, U)]
+LANED = 128  # bytes of a word that are hashed by lanes; longer words by a digest
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], U)  # the lowest bytes of a lane
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,18 +37,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(256, dtype=U) + U(1 << 20))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, kept and grown as needed."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16, 2 * len(_POWERS[0]))
-        for i, base in enumerate((PRIME, pow(PRIME, -1, 1 << 64))):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+def lane(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th eight bytes of byte ranges as integers, zeros beyond their ends. ``raw`` must go on for eight bytes after them."""
+    every = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    return every[starts + 8 * k] & _KEPT[np.minimum(lengths - 8 * k, 8)]
+
+
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges of ``raw``, which must go on for eight bytes after the last."""
+    lengths = ends - starts
+    out = mix(lengths.astype(U) + U(salt << 32))
+    if not len(out):
+        return out
+    some, k, most = np.flatnonzero((lengths > 0) & (lengths <= LANED)), 0, int(lengths.max())
+    while len(some):
+        out[some] = mix(out[some] ^ lane(raw, starts[some], lengths[some], k))
+        k += 1
+        some = some[lengths[some] > 8 * k]
+    if most > LANED:
+        for i in np.flatnonzero(lengths > LANED).tolist():
+            told = hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, salt=salt.to_bytes(8, "little")).digest()
+            out[i] = int.from_bytes(told, "little")
+    return out
 
 
 class Words(NamedTuple):
@@ -53,14 +68,14 @@ class Words(NamedTuple):
     ends_of: np.ndarray  # for each text, how many words lie before its end; one more entry than texts, beginning with 0
     raw: np.ndarray  # the bytes as they are
     at: np.ndarray  # offsets of the texts
-    sums: np.ndarray  # prefix sums of the polynomial, for hashes of other byte ranges
+    low: np.ndarray  # the bytes with A-Z lower-cased and eight more, for hashes of other byte ranges
 
 
 def words_of(column: pa.Array) -> Words:
     raw, at = raw_text(column)
     if not len(raw):
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, U), none, none, np.zeros(len(column) + 1, np.int64), raw, at, np.zeros(1, U))
+        return Words(np.zeros(0, U), none, none, np.zeros(len(column) + 1, np.int64), raw, at, np.zeros(8, np.uint8))
     space = _SPACE[raw]
     starts = ~space
     ends = starts.copy()
@@ -74,18 +89,14 @@ def words_of(column: pa.Array) -> Words:
     last[inner - 1] = True
     ends &= last
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = powers(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, U)
-    sums[0] = 0
-    np.cumsum(_BYTE[_LOWER[raw]] * up[: len(raw)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
-    return Words(hashes, starts, ends, np.searchsorted(starts, at), raw, at, sums)
+    low = np.zeros(len(raw) + 8, np.uint8)
+    np.take(_LOWER, raw, out=low[:-8])
+    return Words(range_hashes(low, starts, ends), starts, ends, np.searchsorted(starts, at), raw, at, low)
 
 
 def substring_hashes(words: Words, ranges: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """Hashes of byte ranges (starts, ends) of the slice, such as affixes of words; each item of the list by a salt of its own."""
-    _, down = powers(len(words.raw) + 1)
-    return [mix((words.sums[b] - words.sums[a]) * down[a] + (b - a).astype(U) + U(salt << 32)) for salt, (a, b) in enumerate(ranges, 1)]
+    return [range_hashes(words.low, a, b, salt) for salt, (a, b) in enumerate(ranges, 1)]
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
