@@ -54,4 +54,14 @@ WITH RECURSIVE {words("documents", "doc_id", "d")}, {grams("d", "doc_id", "long"
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of ON a = d.doc_id
 """
 
-SQL = {"op1_warc_shards": OP1, "op3_chat_parts": OP3, "op4_simhash_windows": OP4, "op5_parity_join": OP5}
+OP12 = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+ good AS (SELECT vec_id, label, v FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.93),
+ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+ least_of AS (SELECT a, min(b) AS low FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN least_of ON least_of.a = vec_id
+"""
+
+SQL = {"op1_warc_shards": OP1, "op3_chat_parts": OP3, "op4_simhash_windows": OP4, "op5_parity_join": OP5, "op12_pca_tiles": OP12}

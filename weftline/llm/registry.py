@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from .align import align_tokens
 from .bpe import bpe_digests
 from .chat import chat_digests, format_turns
 from .decontaminate import find_benchmark
@@ -19,8 +20,10 @@ from .parity import near_duplicates
 from .rules import judge
 from .secrets import secret_digests
 from .shared import at_exit, shared_dir, table
+from .spelling import group_spellings
 from .sstable import read_shards, write_shards
 from .tokenizer_files import tokenizer_path
+from .vectors import near_vectors
 from .warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,8 +81,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_warc_shards, op2_bpe_trie, op3_chat_parts, op4_simhash_windows, op5_parity_join, op6_decision_list, op7_hidden_markov, op8_ordinal_quality, op9_token_shards, op10_secret_scan)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_warc_shards, op2_bpe_trie, op3_chat_parts, op4_simhash_windows, op5_parity_join, op6_decision_list, op7_hidden_markov, op8_ordinal_quality, op9_token_shards, op10_secret_scan, op11_token_alignment, op12_pca_tiles, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
