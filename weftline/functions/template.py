@@ -23,6 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions import jsonpath
 from weftline.functions.draws import index, uniform
 
 MAX_NODES = 600
@@ -333,6 +334,7 @@ class Value:
     of: str = "str"
     plain: bool = False
     type: T.DataType | None = None
+    shown: Column | None = None  # a list's text, where its elements don't tell it
 
 
 def kind_of(t: T.DataType) -> str:
@@ -360,6 +362,8 @@ def value_of(column: Column, t: T.DataType, plain: bool = False) -> Value:
 def text(v: Value) -> Column:
     """As Python's str() shows it; null stays null but for plain columns."""
     c = v.column
+    if v.shown is not None:
+        return v.shown
     if v.kind == "bool":
         out = F.initcap(c.cast("string"))
     elif v.kind == "none":
@@ -548,7 +552,7 @@ class Compiler:
         op = n.value
         if op in ("in", "not in"):
             if b.kind == "list":
-                out = F.array_contains(b.column, text(a) if b.of == "str" else number(a))
+                out = F.array_contains(b.column, text(a) if b.of in ("str", "json") else number(a))
             elif b.kind == "map":
                 out = F.map_contains_key(b.column, text(a))
             else:
@@ -685,10 +689,15 @@ class Compiler:
         return Value(F.upper(text(v)), "str")
 
     def f_max(self, v: Value, a: list, k: dict) -> Value:
-        return Value(F.array_max(v.column), v.of)
+        return self._extreme(v, F.array_max)
 
     def f_min(self, v: Value, a: list, k: dict) -> Value:
-        return Value(F.array_min(v.column), v.of)
+        return self._extreme(v, F.array_min)
+
+    def _extreme(self, v: Value, of: Callable[[Column], Column]) -> Value:
+        if v.of != "json":
+            return Value(of(v.column), v.of)
+        return Value(of(F.transform(v.column, lambda x: F.struct(x.try_cast("double").alias("n"), x.alias("v"))))["v"], "json")
 
     def f_random(self, v: Value, a: list, k: dict) -> Value:
         if self.row is None:
@@ -716,7 +725,7 @@ class Compiler:
 
     def f_sort(self, v: Value, a: list, k: dict) -> Value:
         down = bool(self._fixed(a, k, 0, "reverse", False))
-        key = (lambda x: F.lower(x)) if v.of == "str" else (lambda x: x)
+        key = (lambda x: F.lower(x)) if v.of == "str" else (lambda x: F.struct(x.try_cast("double"), x)) if v.of == "json" else (lambda x: x)
         sign = -1 if down else 1
         return Value(F.array_sort(v.column, lambda x, y: F.when(key(x) < key(y), -sign).when(key(x) > key(y), sign).otherwise(0)), "list", v.of)
 
@@ -759,15 +768,15 @@ class Compiler:
         return Value(F.to_json(v.column) if v.kind in ("list", "map", "struct") else text(v), "str")
 
     def f_jsonpath(self, v: Value, a: list, k: dict) -> Value:
-        """A list of matches. Plain paths (keys and places) have at most one; a final [*] has all elements."""
-        path = self._fixed(a, k, 0, "expr", "$")
-        held = F.to_json(v.column) if v.kind in ("struct", "map") else v.column
-        is_dict = F.startswith(F.ltrim(held), F.lit("{"))
-        got = F.get_json_object(held, path)
-        if path.endswith("[*]"):
-            many = F.from_json(F.when(F.startswith(got, F.lit("[")), got).otherwise(F.concat(F.lit("["), got, F.lit("]"))), "array<string>")
-            return Value(F.when(is_dict, F.coalesce(many, F.array().cast("array<string>"))), "list", "str")
-        return Value(F.when(is_dict, F.array_compact(F.array(got))), "list", "str")
+        """A list of all matches in a structured value, in document order; of anything else null, which fails the row."""
+        try:
+            segments = jsonpath.parse(self._fixed(a, k, 0, "expression", "$"))
+        except jsonpath.PathError as e:
+            raise TemplateError(str(e)) from None
+        held = F.to_json(v.column) if v.kind in ("struct", "map") else v.column.cast("string")
+        found = jsonpath.texts_of(F.when(F.startswith(F.ltrim(held), F.lit("{")), jsonpath.matches(F.try_parse_json(held), segments)))
+        shown = F.concat(F.lit("["), F.array_join(F.transform(found, lambda t: jsonpath.shown(t)), ", "), F.lit("]"))
+        return Value(F.transform(found, lambda t: jsonpath.plain(t)), "list", "json", shown=shown)
 
 
 def render(template: str, schema: T.StructType, seed: int = 0, row: Column | None = None) -> Column:

@@ -342,7 +342,7 @@ def filter_random(spark, d):
     return templated(table(spark, d, "nation"), ["n_nationkey"], {"v": "{{ ['x', 'y', 'z']|random }}"})
 
 
-@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN '[]' ELSE '[''' || json_extract_string(props, '$.k') || ''']' END AS v FROM events")
+@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN '[]' ELSE '[' || json_extract_string(props, '$.k') || ']' END AS v FROM events")
 def filter_jsonpath(spark, d):
     return templated(table(spark, d, "events"), ["event_id"], {"v": "{{ props|jsonpath('$.k') }}"})
 
@@ -518,4 +518,4 @@ def dataset_flagship(spark, d):
     return Engine(spark).finish(config, made)[0].drop(ROW, "_row_group")
 
 
-from weftline import queries_more  # noqa: E402, F401  registers further queries, which use what is above
+from weftline import queries_more, queries_values  # noqa: E402, F401  register further queries, which use what is above
