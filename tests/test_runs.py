@@ -6,6 +6,7 @@ import json
 import shutil
 import threading
 import time
+import uuid
 
 import pytest
 from pyspark.sql import Window
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions.template import TemplateError, parse
 from weftline.operators.generate import Admission, CallRules, ModelError, at_once, drawn_parameters, tool_turns
+from weftline.operators.profile import general, numerical
 from weftline.operators.rollouts import read_rollouts
+from weftline.operators.sketches import merged, sketched
 from weftline.operators.validate import RemoteRules, conforms, pruned, struct_of, validate_remote
 from weftline.plans.config import Builder, ConfigError, ProcessorConfig, Skip
 from weftline.plans.engine import PROCESSORS, Engine, Processor, RunConfig, RunError
@@ -331,3 +334,83 @@ def test_estimated_statistics_and_summaries(spark):
     seen = []
     got = judge_summaries(scores, lambda kind, messages, parameters: seen.append(messages[0]["content"]) or {"content": "summed"})
     assert got == {"q": "summed"} and seen[0].count("why") == 20
+
+
+def leaving(path):
+    """A client that leaves a file for each call."""
+
+    def ask(kind, messages, parameters):
+        (path / uuid.uuid4().hex).write_text("")
+        return {"content": "said " + messages[-1]["content"]}
+
+    return ask
+
+
+class Shouting(Processor):
+    def after_batch(self, df):
+        assert df.count() == df.distinct().count()  # processors may read as often as they like
+        return df.withColumn("said", F.upper("said"))
+
+
+class Doubling(Processor):
+    def after_generation(self, df):
+        return df.unionByName(df)
+
+
+@pytest.mark.parametrize("kinds", [["shouting"], ["shouting", "shouting"], ["doubling"], ["shouting", "doubling"]])
+def test_each_call_is_made_once_with_processors(spark, tmp_path, kinds):
+    PROCESSORS.setdefault("shouting", Shouting)
+    PROCESSORS.setdefault("doubling", Doubling)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    b = Builder(1).with_seed(spark.range(100).withColumnRenamed("id", "n")).add_model("m", "any").add_column(name="said", kind="llm-text", prompt="{{ n }}", model_alias="m")
+    for i, kind in enumerate(kinds):
+        b.add_processor(ProcessorConfig(f"p{i}", kind))
+    engine = Engine(spark, Resources(models={"m": leaving(calls)}))
+    made = engine.create(b, 100, f"{tmp_path}/set").load_dataset()
+    assert len(list(calls.iterdir())) == 100
+    assert sorted(r.said for r in made.collect()) == sorted((f"SAID {n}" if "shouting" in kinds else f"said {n}") for n in range(100) for _ in range(2 if "doubling" in kinds else 1))
+    shown = engine.preview(b, 100)
+    assert shown.count() == made.count() and len(shown.collect()) == made.count()
+    assert len(list(calls.iterdir())) == 200
+    assert not (tmp_path / "set" / "_staging").exists() and not (tmp_path / "set" / "_staging-batch").exists()
+
+
+def test_statistics_from_sketches(spark, tmp_path):
+    """Extended and resumed datasets merge what blocks have; estimates lie within the bounds of exact statistics."""
+    b = Builder(2).add_column(name="kind", kind="sampler", sampler_type="category", params={"values": ["a", "b", "c"], "weights": [5, 3, 2]})
+    b.add_column(name="x", kind="sampler", sampler_type="gaussian", params={"mean": 5, "stddev": 2})
+    b.add_column(name="n", kind="sampler", sampler_type="uniform", params={"low": 0, "high": 3000}, convert_to="int")
+    b.add_column(name="half", kind="expression", expr="{{ n }}", dtype="int", skip=Skip("n < 1500"))
+    rc = RunConfig(buffer_size=500, resume="always", statistics="sketches")
+    Engine(spark, run_config=rc).create(b, 6000, f"{tmp_path}/set")
+    one = tmp_path / "set" / "column-sketches" / "_row_group=0"
+    before = sorted((p.name, p.stat().st_mtime_ns) for p in one.iterdir())
+    shutil.rmtree(tmp_path / "set" / "parquet-files" / "_row_group=3")
+    out = Engine(spark, run_config=rc).create(b, 20_000, f"{tmp_path}/set")
+    assert before == sorted((p.name, p.stat().st_mtime_ns) for p in one.iterdir())
+    meta = json.loads((tmp_path / "set" / "metadata.json").read_text())
+    assert meta["estimated"]
+    told, data = {r["column_name"]: r for r in meta["column_statistics"]}, out.load_dataset()
+    for r in general(data).collect():
+        got = told[r.column_name]
+        assert (got["num_records"], got["num_null"], got["percent_null"], got["simple_dtype"]) == (20_000, r.num_null, r.percent_null, r.simple_dtype)
+        assert abs(got["num_unique"] - r.num_unique) <= 0.05 * r.num_unique
+    for r in numerical(data, ["x", "n", "half"]).collect():
+        got = told[r.column_name]
+        assert (got["min"], got["max"]) == (r.min, r.max)
+        assert got["mean"] == pytest.approx(r.mean) and got["stddev"] == pytest.approx(r.stddev)
+        held = data.where(F.col(r.column_name).isNotNull())
+        assert abs(held.where(F.col(r.column_name) <= got["median"]).count() / held.count() - 0.5) <= 0.02
+    assert told["kind"]["median"] is None and told["x"]["frequent"] is None
+    exact = sorted(((r["count"], r["kind"]) for r in data.groupBy("kind").count().collect()), reverse=True)
+    assert [(f["n"], f["value"]) for f in told["kind"]["frequent"]] == exact
+
+
+def test_sketches_of_odd_columns(spark):
+    df = spark.createDataFrame([(0, None, None, [2, 1]), (0, 1.0, None, [1, 2]), (1, None, None, None)], "b int, x double, s string, l array<int>")
+    got = {r.column_name: r for r in merged(sketched(df, "b", ["s"])).collect()}
+    assert (got["x"].num_records, got["x"].num_null, got["x"].mean, got["x"].median, got["x"].stddev) == (3, 2, 1.0, 1.0, None)
+    assert (got["s"].num_null, got["s"].num_unique, got["s"].frequent) == (3, 0, None)
+    assert (got["l"].num_null, got["l"].num_unique) == (1, 1)
+    assert merged(sketched(df.limit(0), "b", ["s"])).count() == 0

@@ -6,9 +6,10 @@ making the blocks that are missing, and a dataset is extended by further ids;
 either gives what one run would have given.
 
 The plan is run once: where there is more than one thing to write (dropped columns,
-processors' datasets), or a processor acts on all of it, the made rows are written
+processors' datasets), or processors act on what was made, the made rows are written
 to a staging folder first and all else is read from there, so what models answered
-is the same everywhere. Why rows were dropped is counted on the way.
+is the same everywhere and each call is made once. Why rows were dropped is counted
+on the way.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 
 from weftline.operators.expressions import DROP, drop_columns, schema_transform
 from weftline.operators.generate import CallRules, health_check
-from weftline.operators.profile import general, percent_complete, profile
+from weftline.operators.profile import distribution_kind, general, percent_complete, profile
+from weftline.operators.sketches import merged, sketched
 from weftline.operators.validate import RemoteRules
 from weftline.plans.config import Builder, Config, ConfigError, lint
 from weftline.plans.planner import GROUP, ROW, Planner, Resources
 from weftline.sources.shared import written
 
-DATA, DROPPED, SIDE, META, STAGING = "parquet-files", "dropped-columns", "processors-files", "metadata.json", "_staging"
+DATA, DROPPED, SIDE, SKETCHES, META, STAGING = "parquet-files", "dropped-columns", "processors-files", "column-sketches", "metadata.json", "_staging"
 MOST_BLOCKS = 4096  # folders of a dataset
 
 
@@ -42,7 +44,9 @@ class RunConfig:
     calls: CallRules = field(default_factory=CallRules)
     remote: RemoteRules = field(default_factory=RemoteRules)
     check_models: bool = False  # whether models are asked once before a run
-    statistics: bool = False  # whether the metadata hold the columns' statistics, which takes a pass over the data
+    #: Whether the metadata hold the columns' statistics: "exact" (or true) by a pass over all data, in memory that grows with the
+    #: distinct values, or "sketches", in bounded memory from sketches that are kept with each block and merged.
+    statistics: bool | str = False
 
 
 class RunError(RuntimeError):
@@ -51,7 +55,8 @@ class RunError(RuntimeError):
 
 class Processor:
     """What a plugin does to a run; each method may return another DataFrame. ``before`` and ``after_batch`` see the rows with their
-    row id and group and may not change how many there are; ``after_generation`` sees the finished dataset and may.
+    row id and group and may not change how many there are; ``after_generation`` sees the finished dataset and may. The last two see
+    rows that are written already, so they may read them as often as they like.
 
     ``before`` acts on the row ids and seed columns, ``after_batch`` on the rows that were made."""
 
@@ -193,9 +198,12 @@ class Engine:
         return Planner(self.spark, config, self.resources, rc.buffer_size, rc.calls, rc.remote, total)
 
     def preview(self, builder: Builder | Config, count: int = 10) -> DataFrame:
-        """The plan over the first rows, nothing written."""
+        """The plan over the first rows. Nothing is written, but for rows that processors see, in the shared folder."""
         config = self.validate(builder)
-        return self.main(config, self.whole(config, self.made(config, self.rows(config, self.planner(config), count)))).drop(ROW, GROUP)
+        df = self.made(self.rows(config, self.planner(config), count))
+        if any(p.acts("after_batch") or p.acts("after_generation") for p in self.processors(config)):
+            df = self.batched(config, written(df, "preview"), lambda x: written(x, "preview"))
+        return self.main(config, self.whole(config, df)).drop(ROW, GROUP)
 
     # -- steps
 
@@ -220,17 +228,28 @@ class Engine:
 
         return planner.marked(planner.rows(count, groups=blocks, width=width), before)
 
-    def made(self, config: Config, marked: DataFrame) -> DataFrame:
-        """The rows that stay, after the processors that see them."""
-        df = marked.where(F.col(DROP).isNull()).select([c for c in marked.columns if not c.startswith("_skip_") and c != DROP])
-        for p in self.processors(config):
-            if p.acts("after_batch"):
-                df, rows = p.after_batch(df), df
-                if not {ROW, GROUP} <= set(df.columns):
-                    raise ConfigError(f"the processor {p.name!r} must leave {ROW} and {GROUP}")
-                if rows.count() != df.count():
-                    raise RunError(f"the processor {p.name!r} changed the number of rows")
-        return df
+    @staticmethod
+    def made(marked: DataFrame) -> DataFrame:
+        """The rows that stay."""
+        return marked.where(F.col(DROP).isNull()).select([c for c in marked.columns if not c.startswith("_skip_") and c != DROP])
+
+    def batched(self, config: Config, rows: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """After the processors that act on batches. ``rows`` are written already; what comes of them is written once, and how many
+        rows each processor left is told on the way."""
+        df, acting, seen = rows, [p for p in self.processors(config) if p.acts("after_batch")], []
+        for p in acting:
+            df = p.after_batch(df)
+            if not {ROW, GROUP} <= set(df.columns):
+                raise ConfigError(f"the processor {p.name!r} must leave {ROW} and {GROUP}")
+            seen.append(Observation())
+            df = df.observe(seen[-1], F.count(F.lit(1)).alias("rows"))
+        if not acting:
+            return rows
+        out, n = write(df), rows.count()  # from Parquet's footers
+        for p, told in zip(acting, seen, strict=True):
+            if told.get["rows"] != n:
+                raise RunError(f"the processor {p.name!r} changed the number of rows")
+        return out
 
     def whole(self, config: Config, df: DataFrame) -> DataFrame:
         """After the processors that act on the finished dataset; where these make rows anew, they are numbered anew too."""
@@ -273,7 +292,7 @@ class Engine:
             elif rc.resume == "always":
                 raise RunError("the dataset there was made by another config, or was processed as a whole, and can't be resumed")
         if fresh:
-            for name in (DATA, DROPPED, SIDE, META, STAGING):
+            for name in (DATA, DROPPED, SIDE, SKETCHES, META, STAGING, f"{STAGING}-batch"):
                 folder.delete(name)
         folder.write(META, json.dumps(meta | {"complete": False}))
         wide = meta["groups_of_block"]
@@ -281,15 +300,17 @@ class Engine:
             marked = self.rows(config, self.planner(config, count), count, todo, wide)
             reasons, seen = [f"{c.name}:{why}" for c in config.columns for why in ("render", "empty", "cast", "model", "stopped")], Observation()
             marked = marked.observe(seen, *(F.count_if(F.coalesce(F.col(DROP) == r, F.lit(False))).alias(r) for r in reasons), F.count(F.lit(1)).alias("rows"))
-            df = self.made(config, marked)
+            df = self.made(marked)
             if acts or self.processors(config) or len(self.finish(config, df)[1]):
                 df = self.staged(df, f"{path.rstrip('/')}/{STAGING}")
+                df = self.batched(config, df, lambda x: self.staged(x, f"{path.rstrip('/')}/{STAGING}-batch"))
                 df = self.whole(config, df)
                 df = written(df, "processed") if acts else df
             main, side = self.finish(config, df)
             for name, out in [*side.items(), (DATA, main)]:  # the main data come last: a block there means that all of it is there
                 self.write(out, f"{path.rstrip('/')}/{name}", wide)
             folder.delete(STAGING)
+            folder.delete(f"{STAGING}-batch")
             meta["dropped"] = {r: n for r in reasons if (n := meta["dropped"].get(r, 0) + (seen.get[r] or 0))}
         if not acts:
             done = self.blocks(folder, wide)
@@ -297,8 +318,8 @@ class Engine:
         out = Results(self.spark, path.rstrip("/"), config, meta)
         meta |= {"actual": out.count_records(), "stopped_early": any(r.endswith(":stopped") for r in meta["dropped"])}
         if rc.statistics and meta["actual"]:
-            data = out.load_dataset()
-            meta["column_statistics"] = [r.asDict(recursive=True) for r in general(data, data.columns).collect()]
+            told = self.sketches(config, folder, wide, todo) if rc.statistics == "sketches" else general(out.load_dataset())
+            meta |= {"column_statistics": [r.asDict(recursive=True) for r in told.collect()], "estimated": rc.statistics == "sketches"}
         folder.write(META, json.dumps(meta | {"complete": True, "groups": groups}, default=str))
         if count and meta["actual"] < max(1, rc.least_rows * count):
             raise RunError("too few rows were made")
@@ -313,6 +334,20 @@ class Engine:
         out = df.withColumn(GROUP, F.floor(F.col(GROUP) / groups_of_block).cast("long") * groups_of_block)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(GROUP).parquet(path)
 
+    def sketches(self, config: Config, folder: Folder, groups_of_block: int, made: list[int] | None) -> DataFrame:
+        """Statistics from all blocks' sketches. Those of blocks just ``made`` (all where null), or that have none yet, are worked
+        out; other blocks' data aren't read."""
+        path = f"{folder.path}/{SKETCHES}"
+        have = {int(n.split("=")[1]) // groups_of_block for n in folder.names(SKETCHES) if n.startswith(f"{GROUP}=")}
+        blocks = self.blocks(folder, groups_of_block)
+        todo = blocks if made is None else blocks & (set(made) | (blocks - have))
+        if todo:
+            data = self.spark.read.option("mergeSchema", "true").parquet(f"{folder.path}/{DATA}").drop(ROW)
+            data = data.where(F.col(GROUP).isin([b * groups_of_block for b in todo])) if todo != blocks else data
+            categories = [c.name for c in config.columns if distribution_kind(c.sampler_type) == "categorical"]
+            sketched(data, GROUP, categories).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(GROUP).parquet(path)
+        return merged(self.spark.read.parquet(path))
+
     def blocks(self, folder: Folder, groups_of_block: int) -> set[int]:
         return {int(n.split("=")[1]) // groups_of_block for n in folder.names(DATA) if n.startswith(f"{GROUP}=")}
 
