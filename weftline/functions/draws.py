@@ -7,6 +7,7 @@ made before, so a dataset can be made in any order, in parts, and again.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,3 +52,9 @@ def index(u: Column, n: int) -> Column:
 def rank_key(seed: int, name: str, *parts: Column) -> Column:
     """A text key whose order is a random order of the rows."""
     return F.md5(F.concat_ws("|", F.lit(f"{seed}|{name}"), *(p.cast("string") for p in parts)))
+
+
+def bound(of: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once. Within lambdas nothing else keeps it from being worked out at each use, and
+    elsewhere it keeps expressions from growing by all their uses."""
+    return F.get(F.transform(F.array(of), lambda x: then(x)), F.lit(0))

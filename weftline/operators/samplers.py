@@ -1,9 +1,13 @@
 """The samplers: each turns parameters into one native column over a row id.
 
-Every sampler is a pure projection. Distributions with a closed inverse are
-computed from one uniform draw; discrete ones by their cumulative array;
-a Gaussian from two draws. Any other named distribution is drawn by numpy in an
-Arrow function seeded by the row id.
+Every sampler is a pure projection. Distributions are computed from one uniform
+draw by their inverse, closed or from a table (``functions.laws``); discrete ones by
+their cumulative array; a Gaussian from two draws. Two named distributions without
+either are drawn by numpy in an Arrow function seeded by the row id.
+
+Values within constraints are drawn again and again as the sampler does and, where
+those all fail, once from what the constraints leave of the distribution, so however
+little they leave no row is without a value.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions import laws
 from weftline.functions.draws import MODULUS, index, mixed, salts, uniform
 
 UNITS = {"Y": "YEAR", "M": "MONTH", "D": "DAY", "h": "HOUR", "m": "MINUTE", "s": "SECOND"}
@@ -199,27 +204,68 @@ INVERSE: dict[str, Callable[[Draw, dict[str, Any]], Column]] = {
     "triang": lambda d, s: F.when(d.u() < s["c"], F.sqrt(d.u() * s["c"])).otherwise(1 - F.sqrt((1 - d.u()) * (1 - s["c"]))),
 }
 #: Shapes that numpy's generator takes, by scipy's names.
-NUMPY_NAMES = {"gamma": ("standard_gamma", ("a",)), "beta": ("beta", ("a", "b")), "chi2": ("chisquare", ("df",)), "t": ("standard_t", ("df",)), "nbinom": ("negative_binomial", ("n", "p")), "hypergeom": ("hypergeometric", ("n", "M", "N")), "f": ("f", ("dfn", "dfd")), "vonmises": ("vonmises", ("loc", "kappa")), "zipf": ("zipf", ("a",)), "wald": ("wald", ("mean", "scale"))}
+NUMPY_NAMES = {"vonmises": ("vonmises", ("loc", "kappa")), "zipf": ("zipf", ("a",))}
+
+
+def cumulated(chances: list[float]) -> list[float]:
+    """Cumulative chances without the last, which is 1."""
+    out, run = [], 0.0
+    for c in chances[:-1]:
+        run += c
+        out.append(run)
+    return out
+
+
+def nbinom_cdf(n: float, p: float) -> list[float]:
+    """Failures before ``n`` successes, to where less than 1e-12 is left or 20,000."""
+    out, run, k = [], 0.0, 0
+    while run < 1 - 1e-12 and k < 20_000:
+        run += math.exp(math.lgamma(n + k) - math.lgamma(n) - math.lgamma(k + 1) + n * math.log(p) + (k * math.log1p(-p) if k else 0.0))
+        out.append(run)
+        k += 1
+    return out
+
+
+def hypergeom_cdf(total: int, marked: int, drawn: int) -> list[float]:
+    """Marked ones among ``drawn`` of ``total``."""
+    few, many = max(0, drawn - (total - marked)), min(drawn, marked)
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    return [0.0] * few + cumulated([math.exp(choose(marked, k) + choose(total - marked, drawn - k) - choose(total, drawn)) for k in range(few, many + 1)])
+
+
+#: Cumulative chances of discrete distributions from 0 on, by scipy's names and shapes.
+DISCRETE: dict[str, Callable[[dict[str, Any]], list[float]]] = {
+    "bernoulli": lambda s: [1 - chance(s["p"])],
+    "binom": lambda s: binomial_cdf(int(s["n"]), chance(s["p"])),
+    "poisson": lambda s: poisson_cdf(float(s["mu"])),
+    "nbinom": lambda s: nbinom_cdf(float(s["n"]), chance(s["p"])),
+    "hypergeom": lambda s: hypergeom_cdf(int(s["M"]), int(s["n"]), int(s["N"])),
+}
+
+
+def parted(params: dict[str, Any]) -> tuple[dict[str, Any], float, float]:
+    """Shapes, location and scale."""
+    return {k: v for k, v in params.items() if k not in ("loc", "scale")}, float(params.get("loc", 0)), float(params.get("scale", 1))
 
 
 def distribution(name: str, params: dict[str, Any], d: Draw) -> Column:
-    shapes = {k: v for k, v in params.items() if k not in ("loc", "scale")}
-    loc, scale = float(params.get("loc", 0)), float(params.get("scale", 1))
+    shapes, loc, scale = parted(params)
     if name == "geom":
         return (F.ceil(F.log(d.u()) / F.lit(math.log(1 - shapes["p"]))) + F.lit(int(loc))).cast("long")
     if name == "randint":
         return (F.floor(d.u() * F.lit(float(shapes["high"] - shapes["low"]))) + F.lit(int(shapes["low"] + loc))).cast("long")
     if name == "bernoulli":
         return (d.u() < chance(shapes["p"])).cast("long")
-    if name == "poisson":
-        return by_cdf(d.u(), poisson_cdf(float(shapes["mu"])))
-    if name == "binom":
-        return by_cdf(d.u(), binomial_cdf(int(shapes["n"]), chance(shapes["p"])))
+    if name in DISCRETE:
+        return by_cdf(d.u(), DISCRETE[name](shapes))
     if name in INVERSE:
         return F.lit(loc) + F.lit(scale) * INVERSE[name](d, shapes)
     if name in NUMPY_NAMES:
         return F.lit(loc) + F.lit(scale) * numpy_draw(name, shapes, d)
-    raise SamplerError(f"no distribution is named {name!r}")
+    try:
+        return F.lit(loc) + F.lit(scale) * laws.law(name, shapes).quantile(laws.logit(d.u()))
+    except laws.LawError as e:
+        raise SamplerError(str(e)) from None
 
 
 def numpy_draw(name: str, shapes: dict[str, Any], d: Draw) -> Column:
@@ -379,21 +425,18 @@ class Constraint:
         return OPERATORS[self.operator](value, rhs)
 
 
-def constrained(draws: Callable[[int], Column], constraints: list[Constraint], tries: int = TRIES, further: Callable[[Column], Column] | None = None, exact: Column | None = None, tried: Callable[[tuple[int, ...], Column], Column] | None = None) -> Column:
-    """The first of ``tries`` draws that meets all constraints, then of ``FURTHER`` ones, whose number is a column, then ``exact``,
-    a draw of the distribution within the constraints where that is known; null if none does.
+def constrained(draws: Callable[[int], Column], constraints: list[Constraint], tries: int = TRIES, further: Callable[[Column], Column] | None = None, exact: list[Column] = (), tried: Callable[[tuple[int, ...], Column], Column] | None = None, as_checked: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The first of ``tries`` draws that meets all constraints, then of ``FURTHER`` ones, whose number is a column, then of ``exact``,
+    draws of the distribution within the constraints where that is known; null if none does.
 
     ``tried`` gives a draw of several tries by its place among them, a column. Later groups of draws are made only for rows whose
-    earlier ones all failed.
+    earlier ones all failed. ``as_checked`` is what a draw is when it is held against the constraints.
     """
     if not constraints:
         return draws(0)
 
     def good(x: Column) -> Column:
-        out = F.lit(True)
-        for c in constraints:
-            out = out & c.holds(x)
-        return out
+        return met(as_checked(x), constraints)
 
     def group(start: int, stop: int) -> Column:
         if tried is None:
@@ -405,26 +448,202 @@ def constrained(draws: Callable[[int], Column], constraints: list[Constraint], t
         held.append(F.transform(F.sequence(F.lit(at).cast("long"), F.lit(at + n - 1).cast("long")), lambda k: further(k)))
         at += n
     first = draws(0)
-    return F.coalesce(F.when(good(first), first), *(F.try_element_at(F.filter(x, good), F.lit(1)) for x in held), *([F.when(good(exact), exact)] if exact is not None else []))
+    last = [F.try_element_at(F.filter(F.array(*exact), good), F.lit(1))] if exact else []
+    return F.coalesce(F.when(good(first), first), *(F.try_element_at(F.filter(x, good), F.lit(1)) for x in held), *last)
+
+
+def met(value: Column, constraints: list[Constraint]) -> Column:
+    out = F.lit(True)
+    for c in constraints:
+        out = out & c.holds(value)
+    return out
 
 
 def redrawn(spec: SamplerSpec, draw: Draw, constraints: list[Constraint], condition: Callable[[str], Column]) -> Column:
-    """A sampler's column within its constraints, by all the ways that its kind allows."""
+    """A sampler's column within its constraints, by all the ways that its kind allows. Whole numbers are rounded before they are
+    held against constraints, other rounding comes after."""
     one = lambda d: spec.column(d, condition)
     at = lambda k: Draw(draw.seed, draw.column, draw.row, k)
+    as_checked = (lambda x: F.rint(x.cast("double"))) if spec.convert_to == "int" and spec.kind not in ("datetime", "timedelta") else (lambda x: x)
     if spec.by_numpy:  # Arrow functions can't stand within a lambda
-        return constrained(lambda k: one(at(k)), constraints)
-    tried = lambda attempts, i: one(Tried(draw.seed, draw.column, draw.row, 0, attempts, i))
-    further = lambda k: one(Draw(draw.seed, draw.column, draw.row + k * F.lit(MODULUS).cast("long"), TRIES))
-    return constrained(lambda k: one(at(k)), constraints, further=further, exact=truncated(spec, at(TRIES), constraints), tried=tried if spec.kind in BY_UNIFORM else None)
+        return constrained(lambda k: one(at(k)), constraints, as_checked=as_checked)
+    tried = (lambda attempts, i: one(Tried(draw.seed, draw.column, draw.row, 0, attempts, i))) if spec.kind in BY_UNIFORM else None
+    exact = truncated(spec, at(TRIES), constraints, condition) if constraints else None
+    further = None if exact else lambda k: one(Draw(draw.seed, draw.column, draw.row + k * F.lit(MODULUS).cast("long"), TRIES))
+    return constrained(lambda k: one(at(k)), constraints, further=further, exact=exact or [], tried=tried, as_checked=as_checked)
+
+
+# ---- draws from what constraints leave
 
 
-def truncated(spec: SamplerSpec, draw: Draw, constraints: list[Constraint]) -> Column | None:
-    """A uniform sampler's draw from what its constraints leave of its range; null for other samplers."""
-    if spec.kind != "uniform" or spec.conditional_params:
+@dataclass(frozen=True)
+class Limits:
+    """What constraints say of a value: the greatest lower and the least upper bound, null columns where there is none."""
+
+    constraints: list[Constraint]
+
+    def most(self, operators: tuple[str, str], of: dict[str, Callable[[Column], Column]], pick: Callable[..., Column]) -> Column | None:
+        held = [of[c.operator](F.lit(c.scalar) if c.scalar is not None else F.col(str(c.rhs)).cast("double")) for c in self.constraints if c.operator in operators]
+        return None if not held else held[0] if len(held) == 1 else pick(*held)
+
+    @property
+    def low(self) -> Column | None:
+        return self.most(("gt", "ge"), {"gt": lambda x: x, "ge": lambda x: x}, F.greatest)
+
+    @property
+    def high(self) -> Column | None:
+        return self.most(("lt", "le"), {"lt": lambda x: x, "le": lambda x: x}, F.least)
+
+    @property
+    def least(self) -> Column | None:
+        """The least whole number within."""
+        return self.most(("gt", "ge"), {"gt": lambda x: F.floor(x) + 1.0, "ge": lambda x: F.ceil(x).cast("double")}, F.greatest)
+
+    @property
+    def greatest(self) -> Column | None:
+        return self.most(("lt", "le"), {"lt": lambda x: F.ceil(x) - 1.0, "le": lambda x: F.floor(x).cast("double")}, F.least)
+
+
+def continuous(of: laws.Law, loc: float, scale: float, limits: Limits, whole: bool, u: Column) -> list[Column]:
+    """Within the limits, or, if ``whole``, rounding to a whole number within them."""
+    low, high = (limits.least, limits.greatest) if whole else (limits.low, limits.high)
+    if whole:  # half a unit either way, less what a tie might round away
+        low, high = None if low is None else low - 0.4999999, None if high is None else high + 0.4999999
+    inner = [None if x is None else (x - F.lit(loc)) / F.lit(scale) for x in ((low, high) if scale > 0 else (high, low))]
+    out = F.lit(loc) + F.lit(scale) * laws.between(of, *inner, u)
+    kept = F.least(F.greatest(out, low) if low is not None else out, high) if high is not None else F.greatest(out, low)
+    # Where rounding leaves a draw at an open bound, a value beside it.
+    ends = [x for x in (low, high, (low + high) / 2 if low is not None and high is not None else None) if x is not None]
+    beside = [y for x in ends for y in (x, x + F.abs(x) * 2.0**-50 + 1e-300, x - F.abs(x) * 2.0**-50 - 1e-300)]
+    feasible = F.lit(True) if low is None or high is None else low <= high
+    return [F.when(feasible, x) for x in (kept, *beside)]
+
+
+def whole_numbers(cdf: list[float], limits: Limits, u: Column) -> list[Column]:
+    """Of a discrete distribution from 0 on. Where no chance that is told lies within the limits, the least number within them."""
+    held, n = F.array(*map(F.lit, cdf)), len(cdf)
+
+    def below(k: Column) -> Column:
+        return F.when(k < 0, F.lit(0.0)).when(k >= n, F.lit(1.0)).otherwise(F.get(held, F.least(k, F.lit(float(n))).cast("int")))
+
+    low = F.greatest(limits.least, F.lit(0.0)) if limits.least is not None else F.lit(0.0)
+    high = F.least(limits.greatest, F.lit(float(n))) if limits.greatest is not None else F.lit(float(n))
+    p, q = below(low - 1), below(high)
+    k = by_cdf(p + (q - p) * u, cdf).cast("double")
+    return [F.when(low <= high, F.least(F.greatest(k, low), high)).cast("long"), F.when(q <= p, low).cast("long")]
+
+
+def kept_values(values: list, weights: list[float] | None, constraints: list[Constraint], u: Column) -> list[Column] | None:
+    """Of a list of numbers with weights, one of those that fit."""
+    if not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
         return None
-    low, high = F.lit(float(spec.params["low"])), F.lit(float(spec.params["high"]))
+    held = literals(values)
+    rows = F.filter(F.arrays_zip(held.alias("v"), F.array(*(F.lit(float(w)) for w in weights or [1.0] * len(values))).alias("w")), lambda x: met(x["v"], constraints) & (x["w"] > 0))
+    total = F.aggregate(rows, F.lit(0.0), lambda s, x: s + x["w"])
+    v = F.get(held, F.lit(0))
+    start = F.struct((u * total).alias("left"), F.nullif(v, v).alias("v"))
+    picked = F.aggregate(rows, start, lambda s, x: F.struct((s["left"] - x["w"]).alias("left"), F.coalesce(s["v"], F.when(s["left"] <= x["w"], x["v"])).alias("v")))
+    return [picked["v"], F.try_element_at(rows, F.lit(-1))["v"]]
+
+
+def moments_of(unit: str, constraints: list[Constraint], start: int, end: int, u: Column) -> list[Column]:
+    """A moment, cut to its unit, from the seconds whose cut moments fit."""
+    low, high = [F.lit(start).cast("long")], [F.lit(end).cast("long")]
     for c in constraints:
-        rhs = F.lit(c.scalar) if c.scalar is not None else F.col(str(c.rhs)).cast("double")
-        low, high = (F.greatest(low, rhs), high) if c.operator in ("gt", "ge") else (low, F.least(high, rhs))
-    return F.when(low < high, low + (high - low) * draw.u("truncated"))
+        at = F.col(str(c.rhs)).cast("timestamp")
+        floor = F.date_trunc(unit, at)
+        after = floor + F.expr(f"INTERVAL 1 {unit}")
+        bound = after if c.operator in ("gt", "le") else F.when(floor == at, at).otherwise(after)
+        (low if c.operator in ("gt", "ge") else high).append(F.unix_timestamp(bound))
+    a, b = F.greatest(*low) if len(low) > 1 else low[0], F.least(*high) if len(high) > 1 else high[0]
+    return [F.when(a < b, F.date_trunc(unit, F.timestamp_seconds(a + F.floor(u * (b - a).cast("double")).cast("long"))))]
+
+
+def steps_of(p: dict[str, Any], constraints: list[Constraint], u: Column) -> list[Column]:
+    """A moment some steps after another one, of the steps that fit."""
+    unit = {"D": 86400, "h": 3600, "m": 60, "s": 1}[p.get("unit", "D")]
+    ref = F.unix_timestamp(F.col(p["reference_column_name"]).cast("timestamp"))
+    low, high = [F.lit(int(p["dt_min"])).cast("double")], [F.lit(int(p["dt_max"]) - 1).cast("double")]
+    for c in constraints:
+        k = (F.col(str(c.rhs)).cast("timestamp").cast("double") - ref) / F.lit(float(unit))
+        (low if c.operator in ("gt", "ge") else high).append({"gt": lambda k: F.floor(k) + 1.0, "ge": lambda k: F.ceil(k).cast("double"), "lt": lambda k: F.ceil(k) - 1.0, "le": lambda k: F.floor(k).cast("double")}[c.operator](k))
+    a, b = F.greatest(*low) if len(low) > 1 else low[0], F.least(*high) if len(high) > 1 else high[0]
+    return [F.when(a <= b, F.timestamp_seconds(ref + (a + F.floor(u * (b - a + 1))).cast("long") * F.lit(unit)))]
+
+
+def named_within(name: str, params: dict[str, Any], limits: Limits, whole: bool, u: Column) -> list[Column] | None:
+    """Draws of a named distribution within the limits."""
+    shapes, loc, scale = parted(params)
+    if name in DISCRETE:
+        return whole_numbers(DISCRETE[name](shapes), limits, u)
+    if name in ("geom", "randint"):
+        low, high = limits.least, limits.greatest
+        low = F.lit(-1e300) if low is None else low - int(loc)
+        if name == "randint":
+            a, b = F.greatest(low, F.lit(float(shapes["low"]))), F.lit(float(shapes["high"] - 1))
+            b = b if high is None else F.least(high - int(loc), b)
+            return [F.when(a <= b, a + F.floor(u * (b - a + 1)) + int(loc)).cast("long")]
+        rate = math.log(1 - shapes["p"])
+        a = F.greatest(low, F.lit(1.0))
+        left = F.lit(1.0) if high is None else -F.expm1(rate * (high - int(loc) - a + 1))  # of what lies from a on
+        k = a + F.greatest(F.ceil(F.log1p(-u * left) / rate) - 1, F.lit(0))
+        k = k if high is None else F.when(a <= high - int(loc), F.least(k, high - int(loc)))
+        return [(k + int(loc)).cast("long")]
+    if name in NUMPY_NAMES or scale == 0:
+        return None
+    return continuous(laws.law(name, shapes), loc, scale, limits, whole, u)
+
+
+def within(kind: str, p: dict[str, Any], constraints: list[Constraint], whole: bool, draw: Draw) -> list[Column] | None:
+    """Candidates, the likely one first, from what the constraints leave of a sampler's distribution; null where that isn't known."""
+    limits, u = Limits(constraints), draw.u("truncated")
+    if kind == "uniform":
+        width = float(p["high"]) - float(p["low"])
+        return continuous(laws.law("uniform", {}), float(p["low"]), width, limits, whole, u) if width else None
+    if kind == "gaussian":
+        return continuous(laws.norm(), float(p["mean"]), float(p["stddev"]), limits, whole, u) if p["stddev"] else None
+    if kind == "scipy":
+        return named_within(p["dist_name"], p.get("dist_params") or {}, limits, whole, u)
+    if kind in ("bernoulli", "binomial", "poisson"):
+        name = {"bernoulli": "bernoulli", "binomial": "binom", "poisson": "poisson"}[kind]
+        return whole_numbers(DISCRETE[name](p | {"mu": p.get("mean")}), limits, u)
+    if kind == "bernoulli_mixture":
+        return mixture_within(p, constraints, limits, whole, draw)
+    if kind == "category":
+        return kept_values(p["values"], p.get("weights"), constraints, u)
+    if kind in ("datetime", "timedelta") and all(c.scalar is None for c in constraints):
+        return moments_of(UNITS[p.get("unit", "D")], constraints, seconds_of(p["start"]), seconds_of(p["end"]), u) if kind == "datetime" else steps_of(p, constraints, u)
+    return None
+
+
+def mixture_within(p: dict[str, Any], constraints: list[Constraint], limits: Limits, whole: bool, draw: Draw) -> list[Column] | None:
+    """Zero, or a draw of the inner distribution, by what the constraints leave of either."""
+    name, params = p["dist_name"], p.get("dist_params") or {}
+    shapes, loc, scale = parted(params)
+    inner = named_within(name, params, limits, whole, draw.u("truncated"))
+    if inner is None:
+        return None
+    zero = F.lit(0.0)
+    if name not in laws.LAWS:  # no chance of a range is told: zero where it may be, else the inner draw
+        return [F.when(met(zero, constraints), zero), *(x.cast("double") for x in inner)]
+    low, high = (limits.least, limits.greatest) if whole else (limits.low, limits.high)
+    ends = [None if x is None else (x - F.lit(loc)) / F.lit(scale) for x in ((low, high) if scale > 0 else (high, low))]
+    ones = chance(p["p"]) * laws.mass(laws.law(name, shapes), *ends)
+    nothing = F.when(met(zero, constraints), F.lit(1 - chance(p["p"]))).otherwise(zero)
+    return [F.when(draw.u("which") * (ones + nothing) < nothing, zero).otherwise(inner[0]), *inner, zero]
+
+
+def truncated(spec: SamplerSpec, draw: Draw, constraints: list[Constraint], condition: Callable[[str], Column]) -> list[Column] | None:
+    """The candidates of ``within`` by the parameters that each row's conditions choose; null if they aren't known for all."""
+    whole = spec.convert_to == "int"
+    try:
+        out = within(spec.kind, spec.params, constraints, whole, draw)
+        for text, params in spec.conditional_params.items():
+            held = within(spec.kind, params, constraints, whole, draw)
+            if out is None or held is None:
+                return None
+            holds, n = condition(text), max(len(out), len(held))
+            out = [F.when(holds, held[min(i, len(held) - 1)]).otherwise(out[min(i, len(out) - 1)]) for i in range(n)]
+    except laws.LawError:
+        return None
+    return out

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.draws import MODULUS, salts
+from weftline.functions.laws import tables
 from weftline.functions.template import Compiler
 from weftline.operators import expressions as ex
 from weftline.operators import profile as pr
@@ -143,12 +144,38 @@ def sample_randint(spark, d):
     return drawn(orders(spark, d), "scipy", {"dist_name": "randint", "dist_params": {"low": 10, "high": 100}})
 
 
-@query()
+def logit_sql(column: str = "v", draw: int | str = 0) -> str:
+    return f"ln({u(column, draw)} / (1 - {u(column, draw)}))"
+
+
+def table_sql(kind: str, *shapes: float) -> str:
+    """A law's coordinate by its table, of each order's draw. The table is a row of its own, so that it is read once."""
+    held = tables(kind, tuple(map(float, shapes)))[0]
+    cells, at = held.sql("z").split("list_extract(")[1].split("], ")[0] + "]", held.sql("z")
+    return f"(SELECT o_orderkey, {at.replace(cells, 'c')} AS y FROM (SELECT o_orderkey, {logit_sql()} AS z, {cells} AS c FROM orders))"
+
+
+@query(f"SELECT o_orderkey, round_even(exp(y), 4) AS v FROM {table_sql('gamma', 2)}")
 def sample_gamma(spark, d):
-    """Drawn by numpy in Arrow batches; SQL has no such function."""
+    """By a table of quantiles, as are the next three."""
     return drawn(orders(spark, d), "scipy", {"dist_name": "gamma", "dist_params": {"a": 2.0}, "decimal_places": 4})
 
 
+@query(f"SELECT o_orderkey, round_even(1 / (1 + exp(-y)), 4) AS v FROM {table_sql('beta', 2, 5)}")
+def sample_beta(spark, d):
+    return drawn(orders(spark, d), "scipy", {"dist_name": "beta", "dist_params": {"a": 2.0, "b": 5.0}, "decimal_places": 4})
+
+
+@query(f"SELECT o_orderkey, round_even(10 + 0.5 * 2 * exp(y), 4) AS v FROM {table_sql('gamma', 1.5)}")
+def sample_chi2(spark, d):
+    return drawn(orders(spark, d), "scipy", {"dist_name": "chi2", "dist_params": {"df": 3, "loc": 10, "scale": 0.5}, "decimal_places": 4})
+
+
+@query(f"SELECT o_orderkey, round_even((exp(y) - exp(-y)) / 2, 4) AS v FROM {table_sql('t', 4)}")
+def sample_t(spark, d):
+    return drawn(orders(spark, d), "scipy", {"dist_name": "t", "dist_params": {"df": 4}, "decimal_places": 4})
+
+
 @query(f"SELECT o_orderkey, concat('ID-', upper(substr(md5(concat_ws('|', '{SEED}|v|0', CAST(o_orderkey AS VARCHAR))), 1, 8))) AS v FROM orders")
 def sample_uuid(spark, d):
     return drawn(orders(spark, d), "uuid", {"prefix": "ID-", "short_form": True, "uppercase": True})
