@@ -303,3 +303,69 @@ def test_spelling_of_odd_tables(spark):
     assert grouped(spelling.group_spellings(documents(spark, [(1, None), (2, "short words"), (None, None)]))) == []
     clash = documents(spark, [(1, "wonderful wonderful")]).selectExpr("doc_id", "text", "1 as id", "2 as run", "3 as word", "4 as n")
     assert grouped(spelling.group_spellings(clash)) == spelling_brute([(1, "wonderful wonderful")])
+
+
+# ---- hot ids in token shards, many secrets in one text
+
+
+def test_shards_spread_a_hot_id(spark):
+    r = random.Random(2)
+    rows = [(None if i % 10 else i, f"text {r.randrange(10**6)}") for i in range(2000)] + [(5, "five")] * 3
+    folder = shared_dir(spark, "hot")
+    told = sstable.write_shards(documents(spark, rows).repartition(7), folder, WORDS, end_id=2)
+    assert len(told) > 1 and max(t["entries"] for t in told) < 0.5 * len(rows)
+    lib = Tokenizer.from_file(WORDS)
+    ids = [(k, lib.encode(t, add_special_tokens=False).ids + [2]) for k, t in rows]
+    got = sstable.read_shards(spark, folder).collect()
+    want = sorted((str(k), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in ids)
+    assert sorted((str(g.doc_id), g.n_tokens, g.ids_crc32) for g in got) == want
+    at = 0
+    for g in sorted(got, key=lambda g: g.start):  # each row begins where the one before it ended, null ids first
+        assert g.start == at
+        at += g.n_tokens
+    keys = [g.doc_id for g in sorted(got, key=lambda g: g.start)]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k))
+    assert sstable.lookup(folder, 5).tolist() == ids[-1][1] and sstable.lookup(folder, 7) is None and sstable.lookup(folder, 10**9) is None
+    assert sstable.lookup(folder, 40).tolist() == dict(ids)[40] and sstable.lookup(folder, None) is not None
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    from weftline.llm import secrets
+
+    line = "password = 'hunter2hunter2'\npassphrase = \"corr3ct-H0rse\"\n"
+    began = time.time()
+    spans = secrets.scan(line * 20_000)
+    assert time.time() - began < 5
+    assert collections.Counter(s.kind for s in spans) == {"assign": 20_000, "literal": 20_000}
+
+
+def test_spans_beyond_the_base_ones_equal_a_plain_lexer():
+    """A small grammar, name = "literal" or name = other name on lines of their own, lexed anew by splitting lines."""
+    from weftline.llm import secrets
+
+    r = random.Random(6)
+    names, letters = ["passphrase", "db_passwd2", "colour", "signing_key", "alias", "other", "auth_token2"], "abcXYZ0123456789-_"
+    told = 0
+    for _ in range(300):
+        lines, known, want, at = [], {}, set(), 0
+        for _ in range(r.randrange(1, 12)):
+            name = r.choice(names)
+            quoted = r.random() < 0.6 or not known
+            value = "".join(r.choice(letters) for _ in range(r.randrange(3, 24))) if quoted else r.choice(sorted(known))
+            line = f'{name} = "{value}"' if quoted else f"{name} = {value}"
+            span = (at + len(name) + 4, at + len(name) + 4 + len(value), value) if quoted else None
+            held = [span] if quoted else known[value]
+            known[name] = held
+            if (score := secrets.name_score(name)) >= 2:
+                want |= {(a, b) for a, b, v in held if score + secrets.literal_score(v, True) >= secrets.LEAST_SCORE}
+            lines.append(line)
+            at += len(line) + 1
+        text = "\n".join(lines)
+        base = secrets.base_spans(text)
+        want = {(a, b) for a, b in want if not any(s.start <= a and b <= s.end for s in base)}
+        got = {(s.start, s.end) for s in secrets.scan(text) if s.kind == "literal"}
+        assert got == want, text
+        told += len(want)
+    assert told > 200

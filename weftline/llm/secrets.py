@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -221,7 +223,9 @@ def literal_spans(text: str) -> list[Span]:
 def scan(text: str) -> list[Span]:
     """All spans of a text by start, then kind: the base ones, and literals that no base span covers."""
     base = base_spans(text)
-    more = [s for s in literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    starts, ends = [b.start for b in base], list(accumulate((b.end for b in base), max))  # where any base span from the first on has ended by then
+    before = lambda s: bisect_right(starts, s.start) - 1
+    more = [s for s in literal_spans(text) if (i := before(s)) < 0 or ends[i] < s.end]
     return sorted(base + more, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 

@@ -23,7 +23,7 @@ import os
 import struct
 import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,10 +47,13 @@ MARKS = list(".,!?:;")
 SLICE_BYTES = 2 << 20
 
 
-def key_bytes(key: int | None, repeat: int) -> bytes:
-    if key is None:
-        return b"\x00" + repeat.to_bytes(4, "big")
-    return b"\x01" + (key + (1 << 63)).to_bytes(8, "big") + repeat.to_bytes(4, "big")
+def key_prefix(key: int | None) -> bytes:
+    return b"\x00" if key is None else b"\x01" + (key + (1 << 63)).to_bytes(8, "big")
+
+
+def key_bytes(key: int | None, part: int, repeat: int) -> bytes:
+    """A row's own key: its id, then the part that it lies in where other parts may hold rows of the id before it, then its number."""
+    return key_prefix(key) + part.to_bytes(4, "big") + repeat.to_bytes(4, "big")
 
 
 def key_of(held: bytes) -> int | None:
@@ -103,7 +106,7 @@ class ShardWriter:
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.low = self.low or key
         self.last = self.high = key
-        self.ids.append(key[:-4])
+        self.ids.append(key[:-8])
         self.entries += 1
         self.tokens += tokens
         if len(self.block) >= BLOCK_BYTES:
@@ -169,12 +172,19 @@ class ShardReader:
             yield from self._block(i)
 
     def get(self, key: int | None, repeat: int = 0) -> np.ndarray | None:
-        """The ids under a key, or None. ``repeat`` picks among rows of one id."""
-        want = key_bytes(key, repeat)
-        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in bloom_places(want[:-4], self.bits)):
+        """The ids under a key, or None. ``repeat`` picks among the shard's rows of one id."""
+        want = key_prefix(key)
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in bloom_places(want, self.bits)):
             return None
-        i = bisect_right(self.firsts, want) - 1
-        return next((unpack(v) for k, v in self._block(i) if k == want), None) if i >= 0 else None
+        for i in range(max(0, bisect_right(self.firsts, want) - 1), len(self.index)):
+            for k, v in self._block(i):
+                if k[:-8] == want:
+                    if not repeat:
+                        return unpack(v)
+                    repeat -= 1
+                elif k > want:
+                    return None
+        return None
 
 
 def pack(ids: bytes, wide: bool) -> bytes:
@@ -268,27 +278,27 @@ def chunk_encoder(spec: str) -> ChunkEncoder:
 def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> list[dict]:
     """Encodes every whole text, appends ``end_id`` and writes shards in ascending key order; returns the manifest's rows.
 
-    One shuffle: the texts are dealt by key range and sorted within each part, which also puts rows that repeat a
-    key into one part. Rows of one key are ordered by their text. Each row of the manifest says how many tokens
+    One shuffle: the texts are dealt by ranges of key and text's hash and sorted within each part, so rows that share a key, however
+    many, are spread over parts. Rows of one key are in the order of that hash and then of their texts. Each row of the manifest says how many tokens
     lie before its shard (``start``), which takes one pass over the shards' counts, never over documents.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, files, out, before, repeat = TaskContext.get().partitionId(), [], None, b"", 0
+        part, files, out, before, first, repeat = TaskContext.get().partitionId(), [], None, None, None, 0
         enc = None
         for batch in batches:
             enc = enc or chunk_encoder(spec.value)
             end = np.asarray([end_id], enc.kind).tobytes()
             for piece in bounded_slices(batch, "text", SLICE_BYTES):
                 for k, ids in zip(piece.column("key").to_pylist(), enc.encode_batch(piece.column("text")), strict=True):
-                    own = key_bytes(k, 0)[:-4]
+                    own = key_prefix(k)
                     repeat = repeat + 1 if own == before else 0
-                    before = own
+                    before, first = own, first or own
                     if out is None:
                         out = ShardWriter(folder, f"shard-{part:06d}-{len(files):05d}.sst")
-                    out.add(own + repeat.to_bytes(4, "big"), pack(ids + end, enc.wide), len(ids) // (4 if enc.wide else 2) + 1)
+                    out.add(key_bytes(k, part if own == first else 0, repeat), pack(ids + end, enc.wide), len(ids) // (4 if enc.wide else 2) + 1)
                     if out.file.size >= shard_bytes:
                         files.append(out.close())
                         out = None
@@ -298,7 +308,8 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int =
             yield pa.RecordBatch.from_pylist([x | {"part": part, "nth": i} for i, x in enumerate(files)], pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("entries", pa.int64()), ("tokens", pa.int64()), ("low", pa.string()), ("high", pa.string())]))
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(partitions(df.sparkSession), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("key").asc_nulls_first(), F.col("hash"), F.col("text").asc_nulls_first()]
+    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions(df.sparkSession), *order[:2]).sortWithinPartitions(*order).select("key", "text")
     told = dealt.mapInArrow(run, "part int, nth int, path string, bytes long, entries long, tokens long, low string, high string").collect()
     rows, start = [], 0
     for r in sorted(told, key=lambda r: r["low"]):
@@ -338,6 +349,5 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 def lookup(folder: str, key: int | None) -> np.ndarray | None:
     """Ids of one document, by binary search over the manifest's key ranges and then within a shard."""
     rows = read_manifest(folder)
-    want = key_bytes(key, 0).hex()
-    i = bisect_right([r["low"] for r in rows], want) - 1
-    return ShardReader(rows[i]["path"]).get(key) if i >= 0 else None
+    i = bisect_left([r["high"] for r in rows], key_prefix(key).hex())
+    return ShardReader(rows[i]["path"]).get(key) if i < len(rows) else None
