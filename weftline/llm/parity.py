@@ -61,7 +61,8 @@ COMMON_BITS = 22
 MOST_COMMON = 500_000
 AT_ONCE = 500_000  # blocks that a task packs at once, and 32 for each bucket at least
 BUCKET = 1 << 20  # blocks of a bucket, about
-BUCKETS = 1 << 16  # at most, as a block's upper bits tell its bucket
+BUCKETS = 1 << 24  # at most, as a block's upper bits tell its bucket
+MOST_AT_ONCE = 1 << 22
 PROPOSED = 3  # rounds in which nodes are held against a few others
 WAVE = 16  # one block in so many is compared in full before all are
 EACH = 3  # pairs of a node in a round
@@ -205,7 +206,7 @@ def block_groups(docs: DataFrame, key: str, text: str, expected: int = 0) -> Dat
     """
     buckets = min(BUCKETS, max(4 * partitions(docs.sparkSession), expected // BUCKET))
     tasks = max(partitions(docs.sparkSession), buckets // 4)
-    at_once = max(AT_ONCE, 32 * buckets)
+    at_once = min(max(AT_ONCE, 32 * buckets), MOST_AT_ONCE)
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common_shingles(docs, text)))
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +214,10 @@ def block_groups(docs: DataFrame, key: str, text: str, expected: int = 0) -> Dat
 
         def dealt(names: list[np.ndarray], blocks: list[np.ndarray]) -> pa.RecordBatch:
             names, blocks = np.concatenate([*names, np.zeros(0, np.int64)]), np.concatenate([*blocks, np.zeros(0, U)])
-            bucket = (blocks >> U(48)) % U(buckets)
+            bucket = (blocks >> U(40)) % U(buckets)
             order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
-            rows = [(i, packed(names[o], blocks[o])) for i in range(buckets) if len(o := order[at[i] : at[i + 1]])]
+            some, at = np.unique(bucket[order], return_index=True)
+            rows = [(i, packed(names[o], blocks[o])) for i, o in zip(some.tolist(), np.split(order, at[1:]), strict=True) if len(o)] if len(order) else []
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "packed"])
 
         names, blocks, had, size = [], [], set(), 0
@@ -250,7 +251,8 @@ def block_groups(docs: DataFrame, key: str, text: str, expected: int = 0) -> Dat
     def grouped(bucket: int | None, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        names, blocks = np.concatenate([n for n, _ in held]), np.concatenate([b for _, b in held]) | U(bucket << 48)
+        names, blocks = np.concatenate([n for n, _ in held]), np.concatenate([b for _, b in held])
+        blocks = mix(blocks ^ mix(np.full(1, bucket, U)))  # a block's name beyond its bucket
         order = np.lexsort((names, blocks))
         names, blocks = names[order], blocks[order]
         fresh = np.ones(len(names), bool)
@@ -414,9 +416,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = groups.select("sid").distinct()
     sets = materialize(exact_sets(docs, keys, nodes, key, text), "sets")
 
-    nothing = keys.sparkSession.createDataFrame([], "a long, b long")
-    labels, tested, blocks, written = None, nothing, groups, []
-    for turn in range(PROPOSED + 3):
+    labels, tested, blocks, written, turn = None, None, groups, [], 0
+    while True:
         held = groups
         if labels is not None:
             held = held.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left")
@@ -426,6 +427,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             held, done = materialize(held.join(mixed, "block", "left_semi"), "blocks"), blocks
             release(done)
             blocks, groups = held, held.drop("root")
+            if held.isEmpty():
+                break
         if turn == 0:  # against the least node of a block
             pairs = groups.where("sid <> least").groupBy("sid").agg(F.min("least").alias("b")).select(F.col("sid").alias("a"), "b")
         elif turn <= PROPOSED:  # against a few nodes of other components
@@ -434,12 +437,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             pairs = across(held.where(F.pmod(F.xxhash64("block"), F.lit(WAVE)) == 0), sets)
         else:
             pairs = across(held, sets)
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
         more = materialize(linked(pairs, sets), "links")
-        tested = tested.unionByName(pairs)
+        tested = tested.unionByName(pairs) if tested is not None else pairs
+        written += [pairs, more]
+        if turn == PROPOSED + 2:
+            if not more.isEmpty():
+                labels = components(more, labels)
+            break
+        if more.isEmpty() and turn:
+            turn = PROPOSED + 2  # what is left is compared in full at once
+            continue
+        turn += 1
         if not more.isEmpty():
             labels = components(more, labels)
-        written += [pairs, more]
     release(*written, blocks, sets)
     if labels is None:
         labels = keys.sparkSession.createDataFrame([], "node long, root long")
