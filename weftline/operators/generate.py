@@ -1,7 +1,7 @@
 """Columns made by models: prompts are native columns, calls run in Arrow batches with one client per partition.
 
-A task keeps as many calls in flight as its admission allows, in threads, as calls wait for a server. Each row is asked
-for once. A client is a function ``client(kind, messages, parameters) -> dict`` with ``content`` and, if it has any,
+A task keeps calls in flight in threads, as calls wait for a server; how many run at once over all tasks, and whether so
+many fail that the run stops, a gate on the driver decides (``operators.gate``). Each row is asked for once. A client is a function ``client(kind, messages, parameters) -> dict`` with ``content`` and, if it has any,
 ``reasoning``, ``usage`` and, for embeddings and images, ``data``. It is given by the caller; ``EchoClient`` is an
 offline stand-in whose answers are a function of the prompt.
 """
@@ -17,6 +17,7 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from contextlib import closing, nullcontext
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.template import Compiler
+from weftline.operators.gate import Address, Leases
 from weftline.operators.validate import code_block, conforms, pruned, struct_of
 
 
@@ -102,28 +104,65 @@ class Admission:
         """Seconds until the server may be asked again."""
         return max(0.0, self.busy_until - at)
 
+    def enter(self) -> bool:
+        return True
+
+    def failed(self) -> None:
+        pass
+
+
+class SharedAdmission:
+    """Admission by the run's gate, which all tasks share: each call takes a lease and gives it back."""
+
+    def __init__(self, leases: Leases, most: int) -> None:
+        self.leases, self.limit = leases, most  # threads that may wait for a lease
+
+    def enter(self) -> bool:
+        return self.leases.enter()
+
+    def succeeded(self) -> None:
+        self.leases.leave("ok")
+
+    def refused(self, at: float) -> None:
+        self.leases.leave("busy")
+
+    def failed(self) -> None:
+        self.leases.leave("failed")
+
+    def pause(self, at: float) -> float:
+        return 0.0
+
 
 RETRIED = (502, 503, 504)
+STOPPED = "stopped early"
+UNRENDERED = "the prompt can't be rendered"
 
 
-def call(client: Callable, kind: str, messages: list[dict], parameters: dict, admission: Admission, tries: int = 3, backoff: float = 2.0, longest: float = 60.0, sleep: Callable = time.sleep) -> dict:
+def call(client: Callable, kind: str, messages: list[dict], parameters: dict, admission: Admission | SharedAdmission, tries: int = 3, backoff: float = 2.0, longest: float = 60.0, sleep: Callable = time.sleep) -> dict:
     """One call with retries for passing faults; a busy server (429) lowers the limit and is asked again after a pause."""
     for attempt in range(tries + 1):
         if pause := admission.pause(time.monotonic()):
             sleep(pause)
+        if not admission.enter():
+            raise ModelError(STOPPED)
         try:
             out = client(kind, messages, parameters)
-            admission.succeeded()
-            return out
         except ModelError as e:
             if e.status == 429:
                 admission.refused(time.monotonic())
                 if attempt == tries:
                     raise
-            elif (e.retry or e.status in RETRIED) and attempt < tries:
-                sleep(min(longest, backoff**attempt))
-            else:
+                continue
+            admission.failed()
+            if not (e.retry or e.status in RETRIED) or attempt == tries:
                 raise
+            sleep(min(longest, backoff**attempt))
+        except BaseException:
+            admission.failed()
+            raise
+        else:
+            admission.succeeded()
+            return out
     raise AssertionError
 
 
@@ -233,7 +272,7 @@ def media_format(base64: Column) -> Column:
 
 @dataclass(frozen=True)
 class CallRules:
-    """How a run calls models: calls at once in a task, and when a task stops calling because too many of its last calls failed."""
+    """How a run calls models: calls at once over all tasks, and when it stops calling because too many of the last rows failed."""
 
     most_calls: int = 16
     stop_rate: float = 0.5
@@ -242,10 +281,6 @@ class CallRules:
     tool_budget: int = 5
 
 
-STOPPED = "stopped early"
-UNRENDERED = "the prompt can't be rendered"
-
-
 def stand_in(value: Any, kind: T.DataType) -> Any:
     """A skipped cell's value as one of the column's type; null where it can't be."""
     if value is None or isinstance(kind, T.StringType):
@@ -290,12 +325,13 @@ def drawn_parameters(parameters: dict, seed: int, alias: str, row: Any) -> dict:
     return out
 
 
-def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0, rules: CallRules | None = None, defaults: dict | None = None, tools: dict[str, Callable] | None = None, off: str | None = None, instead: Any = None) -> DataFrame:
+def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0, rules: CallRules | None = None, defaults: dict | None = None, tools: dict[str, Callable] | None = None, off: str | None = None, instead: Any = None, gate: Address | None = None) -> DataFrame:
     """Adds the column, with its trace, its reasoning and its usage where asked for, by one call for each row.
 
     Rows for which the column ``off`` is true aren't asked for and get ``instead``. Rows whose call failed for good are marked
     in ``_drop_reason`` where there is such a column, else left out. ``params["context"]`` names columns of attachments by kind,
-    ``params["tools"]`` the tools that the model may ask for.
+    ``params["tools"]`` the tools that the model may ask for. All tasks share the limit of ``gate``; without one each task has a limit
+    of its own.
     """
     rules, instead = rules or CallRules(), stand_in(instead, output_type(c))
     compiler = Compiler(df.schema, seed, F.col("_row_id") if "_row_id" in df.columns else None)
@@ -340,9 +376,10 @@ def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0
             return None, None, None, None, str(e) or "failed"
 
     def run(frames: Iterator[Any]) -> Iterator[Any]:
-        admission, stop = Admission(rules.most_calls), EarlyStop(rules.stop_rate, rules.stop_window)
-        stopped = False
-        with ThreadPoolExecutor(rules.most_calls) as pool:
+        leases = Leases(gate) if gate is not None else None
+        admission = SharedAdmission(leases, rules.most_calls) if leases else Admission(rules.most_calls)
+        stop, stopped = EarlyStop(rules.stop_rate, rules.stop_window), False
+        with ThreadPoolExecutor(rules.most_calls) as pool, closing(leases) if leases else nullcontext():
             for frame in frames:
                 skipped = frame[off].to_numpy(bool) if off else [False] * len(frame)
                 got: list[tuple] = [(instead, None, None, None, None)] * len(frame)
@@ -352,7 +389,11 @@ def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0
                 def done(k: int, result: tuple, asked: list[int] = asked, got: list[tuple] = got) -> None:
                     nonlocal stopped
                     got[asked[k]] = result
-                    if result[4] not in (STOPPED, UNRENDERED):
+                    if result[4] == STOPPED:
+                        stopped = True
+                    elif result[4] != UNRENDERED and leases:
+                        leases.told(result[4] is not None)
+                    elif result[4] != UNRENDERED:
                         stopped = stop.add(result[4] is not None) or stopped
 
                 def ask(i: int, frame: Any = frame, rows: Any = rows) -> tuple:

@@ -282,12 +282,13 @@ class Engine:
             raise RunError(f"models can't be reached: {faults}")
         acts = any(p.acts("after_generation") for p in self.processors(config))
         groups = -(-count // rc.buffer_size)
-        meta: dict[str, Any] = {"target": count, "buffer_size": rc.buffer_size, "fingerprint": config.fingerprint(), "preserve_dropped": rc.preserve_dropped, "groups_of_block": -(-groups // MOST_BLOCKS) or 1, "empty": [], "dropped": {}}
+        meta: dict[str, Any] = {"target": count, "buffer_size": rc.buffer_size, "fingerprint": config.fingerprint(), "preserve_dropped": rc.preserve_dropped, "groups_of_block": -(-groups // MOST_BLOCKS) or 1, "empty": [], "incomplete": [], "dropped": {}}
         todo, fresh = None, True
         if folder.exists(META) and rc.resume != "never":
             old = json.loads(folder.read(META))
             if all(old[k] == meta[k] for k in ("buffer_size", "fingerprint", "preserve_dropped")) and old["target"] <= count and (not acts or old.get("complete") and old["target"] == count):
-                meta |= {k: old[k] for k in ("groups_of_block", "empty", "dropped")}
+                meta |= {k: old.get(k, []) for k in ("groups_of_block", "empty", "incomplete", "dropped")}
+                meta["dropped"] = {r: n for r, n in meta["dropped"].items() if not r.endswith(":stopped")}  # those rows are made anew
                 todo, fresh = ([] if acts else self.missing(folder, groups, old, meta["groups_of_block"])), False
             elif rc.resume == "always":
                 raise RunError("the dataset there was made by another config, or was processed as a whole, and can't be resumed")
@@ -297,9 +298,10 @@ class Engine:
         folder.write(META, json.dumps(meta | {"complete": False}))
         wide = meta["groups_of_block"]
         if todo is None or todo:
-            marked = self.rows(config, self.planner(config, count), count, todo, wide)
+            planner = self.planner(config, count)
+            marked = self.rows(config, planner, count, todo, wide)
             reasons, seen = [f"{c.name}:{why}" for c in config.columns for why in ("render", "empty", "cast", "model", "stopped")], Observation()
-            marked = marked.observe(seen, *(F.count_if(F.coalesce(F.col(DROP) == r, F.lit(False))).alias(r) for r in reasons), F.count(F.lit(1)).alias("rows"))
+            marked = marked.observe(seen, *(F.count_if(F.coalesce(F.col(DROP) == r, F.lit(False))).alias(r) for r in reasons), F.count(F.lit(1)).alias("rows"), F.bitmap_construct_agg(F.when(F.endswith(DROP, F.lit(":stopped")), F.floor(F.col(GROUP) / wide))).alias("stopped"))
             df = self.made(marked)
             if acts or self.processors(config) or len(self.finish(config, df)[1]):
                 df = self.staged(df, f"{path.rstrip('/')}/{STAGING}")
@@ -311,12 +313,14 @@ class Engine:
                 self.write(out, f"{path.rstrip('/')}/{name}", wide)
             folder.delete(STAGING)
             folder.delete(f"{STAGING}-batch")
+            planner.close()
+            meta["incomplete"] = bits_of(seen.get["stopped"])
             meta["dropped"] = {r: n for r in reasons if (n := meta["dropped"].get(r, 0) + (seen.get[r] or 0))}
         if not acts:
             done = self.blocks(folder, wide)
-            meta["empty"] = [b for b in range(-(-groups // wide)) if b not in done]
+            meta["empty"] = [b for b in range(-(-groups // wide)) if b not in done and b not in meta["incomplete"]]
         out = Results(self.spark, path.rstrip("/"), config, meta)
-        meta |= {"actual": out.count_records(), "stopped_early": any(r.endswith(":stopped") for r in meta["dropped"])}
+        meta |= {"actual": out.count_records() if self.blocks(folder, wide) else 0, "stopped_early": any(r.endswith(":stopped") for r in meta["dropped"])}
         if rc.statistics and meta["actual"]:
             told = self.sketches(config, folder, wide, todo) if rc.statistics == "sketches" else general(out.load_dataset())
             meta |= {"column_statistics": [r.asDict(recursive=True) for r in told.collect()], "estimated": rc.statistics == "sketches"}
@@ -352,14 +356,20 @@ class Engine:
         return {int(n.split("=")[1]) // groups_of_block for n in folder.names(DATA) if n.startswith(f"{GROUP}=")}
 
     def missing(self, folder: Folder, groups: int, old: dict[str, Any], groups_of_block: int) -> list[int]:
-        """Blocks that aren't there and weren't found empty, and the last one of a shorter run if it wasn't full."""
-        done = self.blocks(folder, groups_of_block) | set(old["empty"])
+        """Blocks that aren't there and weren't found empty, those in which a run stopped calling models, and the last one of a
+        shorter run if it wasn't full."""
+        done = (self.blocks(folder, groups_of_block) | set(old["empty"])) - set(old.get("incomplete", []))
         if old["target"] % (width := self.run_config.buffer_size * groups_of_block):
             if -(-old["target"] // width) * groups_of_block < groups or old["target"] < groups * self.run_config.buffer_size:
                 done.discard(old["target"] // width)
         return [b for b in range(-(-groups // groups_of_block)) if b not in done]
 
 
+def bits_of(held: bytes | None) -> list[int]:
+    """Places of the bits that are set."""
+    return [8 * i + k for i, byte in enumerate(held or b"") for k in range(8) if byte >> k & 1]
+
+
 def transformed(df: DataFrame, template: dict[str, Any]) -> DataFrame:
     """The dataset of a schema transform, with the row groups."""
     made = schema_transform(df.withColumnRenamed(GROUP, "grp__"), template | {"grp__": "{{ grp__ }}"})

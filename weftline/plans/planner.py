@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from weftline.functions.template import Compiler
 from weftline.operators.expressions import DROP, cast_text, skip_flag
 from weftline.operators.generate import CallRules, generate_model_column, stand_in
+from weftline.operators.gate import Address, FailureWindow, Limit, server
 from weftline.operators.people import person, projected, sample_people
 from weftline.operators.samplers import Draw, redrawn
 from weftline.operators.validate import RemoteRules, validate_code, validate_local, validate_remote
@@ -86,6 +87,7 @@ class Planner:
         """``total`` is how many rows the whole dataset has, where a plan makes a part of them."""
         self.spark, self.config, self.resources, self.buffer_size = spark, config, resources or Resources(), buffer_size
         self.rules, self.remote, self.total = rules or CallRules(), remote or RemoteRules(), total
+        self.gates: dict[str, Address] = {}  # of each model, shared by its columns and all their tasks
 
     def rows(self, count: int, start: int = 0, groups: list[int] | None = None, width: int = 1) -> DataFrame:
         """Row ids from ``start`` to ``count``, or those of the row groups given, or of blocks of ``width`` row groups each. The list
@@ -231,7 +233,20 @@ class Planner:
         if c.kind == "custom":
             return custom(df, c, r.functions[c.name], instead)
         parameters = next((m.parameters for m in self.config.models if m.alias == c.model_alias), {})
-        return generate_model_column(df, c, r.models[c.model_alias], self.config.seed, self.rules, parameters, r.tools, OFF, instead)
+        return generate_model_column(df, c, r.models[c.model_alias], self.config.seed, self.rules, parameters, r.tools, OFF, instead, self.gate(str(c.model_alias)))
+
+    def gate(self, alias: str) -> Address:
+        """The gate of a model's calls. It stays open as long as the plan may be run; ``close`` ends it."""
+        if alias not in self.gates:
+            rules = self.rules
+            window = FailureWindow(rules.stop_rate, rules.stop_window) if rules.stop_early else None
+            self.gates[alias] = server(self.spark).open(Limit(rules.most_calls), window)
+        return self.gates[alias]
+
+    def close(self) -> None:
+        for address in self.gates.values():
+            server(self.spark).close(address)
+        self.gates = {}
 
 
 #: The column that tells which rows a function is not to see.
