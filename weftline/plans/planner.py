@@ -26,7 +26,7 @@ from weftline.operators.people import person, projected, sample_people
 from weftline.operators.samplers import Draw, redrawn
 from weftline.operators.validate import RemoteRules, validate_code, validate_local, validate_remote
 from weftline.plans.config import ColumnConfig, Config, ConfigError
-from weftline.sources.seeds import INDEX, attach, indexed, selected
+from weftline.sources.seeds import INDEX, UNIT, HydratedSource, attach, indexed, selected
 
 ROW = "_row_id"
 GROUP = "_row_group"
@@ -144,6 +144,9 @@ class Planner:
         s = self.config.seed_config
         if s is None:
             return rows
+        if isinstance(s.source, HydratedSource):
+            seeds, size = s.source.seeds(self.spark, s.selection, s.order_by)
+            return attach(rows, seeds, size, s.strategy, self.config.seed, ROW, INDEX, unit=UNIT).drop(UNIT)
         source = s.source.read(self.spark) if hasattr(s.source, "read") else s.source
         seeds = indexed(source, s.order_by)
         seeds, size = selected(seeds, s.selection, source.count(), INDEX)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from weftline.functions.draws import rank_key
 from weftline.sources.shared import written
@@ -108,7 +110,64 @@ class FileContentsSource(DirectorySource):
         return out
 
 
-READERS: dict[str, type] = {"local": LocalFileSource, "hub": HubSource, "df": DataFrameSource, "directory": DirectorySource, "file_contents": FileContentsSource}
+UNIT, PLACE = "_seed_unit", "_seed_place"
+
+
+def hydrating(function: Callable, schema: str | None = None) -> Any:
+    """A table function over manifest rows: each becomes the rows that ``function(dict)`` gives, one dict or several, numbered in
+    ``_seed_place``. They have the columns of ``schema`` or, without one, those of the manifest, which is told when a query is analysed."""
+    declared = T.StructType.fromDDL(schema) if schema else None
+
+    class Hydrate:
+        def __init__(self, told: AnalyzeResult | None = None) -> None:
+            self.names = told.schema.names[1:]
+
+        @staticmethod
+        def analyze(row: AnalyzeArgument) -> AnalyzeResult:
+            fields = (declared or row.dataType).fields
+            return AnalyzeResult(T.StructType([T.StructField(PLACE, T.LongType()), *fields]))
+
+        def eval(self, row: Any) -> Iterator[tuple]:
+            made = function(row.asDict(recursive=True))
+            for i, x in enumerate([made] if isinstance(made, dict) else made):
+                if set(x) != set(self.names):
+                    raise SeedError(f"hydrated rows must have the columns {self.names}, not {sorted(x)}")
+                yield (i, *(x[n] for n in self.names))
+
+    return F.udtf(Hydrate)
+
+
+@dataclass(frozen=True)
+class HydratedSource:
+    """A cheap manifest whose rows become seed rows by a function when they are read. Size, index range, blocks and shuffling are of the
+    manifest: its rows are chosen first and only those hydrated; a shuffle keeps the rows of one manifest row together."""
+
+    manifest: Any
+    function: Callable
+    schema: str | None = None
+
+    def listed(self, spark: SparkSession) -> DataFrame:
+        return self.manifest.read(spark) if hasattr(self.manifest, "read") else self.manifest
+
+    def hydrated(self, manifest: DataFrame) -> DataFrame:
+        """Hydrated rows with ``_seed_place``, and ``_seed_unit``, the manifest row's number."""
+        columns = [F.col(c).outer() for c in manifest.columns if c != INDEX]
+        made = manifest.select(F.col(INDEX).alias(UNIT), *(c for c in manifest.columns if c != INDEX)).lateralJoin(hydrating(self.function, self.schema)(F.struct(*columns)).alias("made"))
+        return made.select(UNIT, "made.*")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """All rows, in no order."""
+        return self.hydrated(self.listed(spark).withColumn(INDEX, F.lit(0).cast("long"))).drop(UNIT, PLACE)
+
+    def seeds(self, spark: SparkSession, selection: IndexRange | PartitionBlock | None, order_by: list[str] | None) -> tuple[DataFrame, int]:
+        """The chosen manifest's hydrated rows, numbered from 0, and how many they are."""
+        manifest = indexed(self.listed(spark), order_by)
+        manifest, _ = selected(manifest, selection, manifest.count(), INDEX)
+        rows = written(self.hydrated(manifest), "hydrated")  # once: functions may be slow
+        return indexed(rows, [UNIT, PLACE]).drop(PLACE), rows.count()
+
+
+READERS: dict[str, type] = {"local": LocalFileSource, "hub": HubSource, "df": DataFrameSource, "directory": DirectorySource, "file_contents": FileContentsSource, "hydrated": HydratedSource}
 
 
 def register_reader(kind: str, reader: type) -> None:
@@ -211,8 +270,9 @@ def selected(seeds: DataFrame, selection: IndexRange | PartitionBlock | None, si
     return seeds.where(F.col(index).between(start, end - 1)).withColumn(index, F.col(index) - start), end - start
 
 
-def attach(rows: DataFrame, seeds: DataFrame, size: int, strategy: str = "ordered", seed: int = 0, row: str = "_row_id", index: str = INDEX, cycles: int | None = None) -> DataFrame:
-    """Gives each row its seed row by number: cycling in order, or in a new random order in each cycle. ``seeds`` are numbered rows.
+def attach(rows: DataFrame, seeds: DataFrame, size: int, strategy: str = "ordered", seed: int = 0, row: str = "_row_id", index: str = INDEX, cycles: int | None = None, unit: str | None = None) -> DataFrame:
+    """Gives each row its seed row by number: cycling in order, or in a new random order in each cycle. ``seeds`` are numbered rows;
+    rows that share ``unit``, a column, are shuffled as one and keep their order.
 
     An equi-join; the seed side is broadcast where statistics show it small (adaptive execution decides).
     """
@@ -224,7 +284,7 @@ def attach(rows: DataFrame, seeds: DataFrame, size: int, strategy: str = "ordere
     if cycles is None:
         cycles = (rows.agg(F.max(row)).first()[0] or 0) // size + 1
     many = seeds.withColumn("_cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1)).cast("array<long>")))
-    many = ranked(many, rank_key(seed, "shuffle", F.col("_cycle"), F.col(index)), index, size, ["_cycle"], "_place").drop(index)
+    many = ranked(many, rank_key(seed, "shuffle", F.col("_cycle"), F.col(unit or index)), index, size, ["_cycle"], "_place").drop(index)
     return rows.withColumns({"_cycle": F.floor(F.col(row) / size).cast("long"), "_place": place}).join(many, ["_cycle", "_place"]).drop("_cycle", "_place")
 
 
