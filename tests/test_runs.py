@@ -162,11 +162,17 @@ def test_calls_run_at_once_and_stop_early(spark):
     assert {r["_drop_reason"]: r["n"] for r in rows.groupBy("_drop_reason").agg(F.count("*").alias("n")).collect()} == {"t:model": 10, "t:stopped": 190}
 
 
-def test_call_parameters_are_drawn():
+def test_call_parameters_are_drawn(spark):
     given = {"temperature": {"uniform": [0, 1]}, "top_p": {"values": [1, 2], "weights": [1, 3]}, "n": 4}
-    got = [drawn_parameters(given, 1, "m", i) for i in range(2000)]
-    assert got == [drawn_parameters(given, 1, "m", i) for i in range(2000)] and all(g["n"] == 4 for g in got)
+    rows = lambda n: spark.range(2000).repartition(n).select("id", *(c.alias(k) for k, c in drawn_parameters(given, 1, "m", F.col("id")).items())).orderBy("id").collect()
+    got = rows(1)
+    assert got == rows(3) and got[0].__fields__ == ["id", "temperature", "top_p"]
     assert abs(sum(g["temperature"] for g in got) / 2000 - 0.5) < 0.03 and abs(sum(g["top_p"] == 2 for g in got) / 2000 - 0.75) < 0.04
+    with pytest.raises(ValueError, match="weights"):
+        drawn_parameters({"top_p": {"values": [1, 2], "weights": [1]}}, 1, "m", F.col("id"))
+    b = Builder(1).add_column(name="k", kind="sampler", sampler_type="uuid").add_model("m", "any", **given).add_column(name="t", kind="llm-text", prompt="{{ k }}", model_alias="m")
+    told = Planner(spark, b.build(), Resources(models={"m": lambda kind, messages, parameters: {"content": json.dumps(parameters)}})).plan(50).collect()
+    assert {frozenset(json.loads(r.t)) for r in told} == {frozenset(given)} and len({json.loads(r.t)["temperature"] for r in told}) > 40
 
 
 def test_tools_and_corrections_keep_their_budget():

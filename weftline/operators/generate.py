@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.draws import uniform
 from weftline.functions.template import Compiler
 from weftline.operators.gate import Address, Leases
+from weftline.operators.samplers import SamplerError, pick
 from weftline.operators.validate import code_block, conforms, pruned, struct_of
 
 
@@ -302,26 +304,21 @@ def at_once(work: list[Callable[[], Any]], admission: Admission, pool: ThreadPoo
             done(flying.pop(f), f.result())
 
 
-def drawn_parameters(parameters: dict, seed: int, alias: str, row: Any) -> dict:
-    """Call parameters with those that are distributions (``{"uniform": [low, high]}``, ``{"values": [...], "weights": [...]}``)
-    drawn for the row, by its id alone."""
+def drawn_parameters(parameters: dict, seed: int, alias: str, row: Column) -> dict[str, Column]:
+    """Those call parameters that are distributions (``{"uniform": [low, high]}``, ``{"values": [...], "weights": [...]}``) as columns,
+    drawn by a row's id alone."""
     out = {}
     for name, p in parameters.items():
         if isinstance(p, dict) and ("uniform" in p or "values" in p):
-            u = (int.from_bytes(hashlib.sha256(f"{seed}|{alias}|{name}|{row}".encode()).digest()[:8], "big") + 0.5) / 2**64
+            u = uniform(seed, f"{alias}|{name}", row)
             if "uniform" in p:
                 low, high = map(float, p["uniform"])
-                p = low + (high - low) * u
+                out[name] = F.lit(low) + F.lit(high - low) * u
             else:
-                weights = p.get("weights") or [1] * len(p["values"])
-                if len(weights) != len(p["values"]) or sum(weights) <= 0:
-                    raise ValueError(f"the weights of {name!r} don't fit its values")
-                edge, at = u * sum(weights), 0
-                while at < len(weights) - 1 and edge >= weights[at]:
-                    edge -= weights[at]
-                    at += 1
-                p = p["values"][at]
-        out[name] = p
+                try:
+                    out[name] = pick(u, p["values"], p.get("weights"))
+                except SamplerError:
+                    raise ValueError(f"the weights of {name!r} don't fit its values") from None
     return out
 
 
@@ -357,14 +354,14 @@ def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0
     corrections, restarts = (int(c.params.get(k, 0)) for k in ("max_correction_steps", "max_conversation_restarts"))
     parse, alias = parser(c.kind, form, c.scores), c.model_alias
 
-    def one(p: str | None, s: str | None, attached: str | None, row: Any, admission: Admission) -> tuple[Any, str | None, str | None, str | None, str | None]:
+    def one(p: str | None, s: str | None, attached: str | None, drawn: str, admission: Admission | SharedAdmission) -> tuple[Any, str | None, str | None, str | None, str | None]:
         """Value, trace, reasoning, usage and fault."""
         content = [{"type": "text", "text": p}, *json.loads(attached)] if attached and attached != "[]" else p
         messages = ([{"role": "system", "content": s}] if s else []) + [{"role": "user", "content": content}]
         try:
             if p is None:
                 raise ModelError(UNRENDERED)
-            told = drawn_parameters(parameters, seed, str(alias), row)
+            told = parameters | json.loads(drawn)
             if kind in ("embedding", "image"):
                 answer = call(client, kind, messages, told, admission)
                 data = answer["data"]
@@ -383,7 +380,6 @@ def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0
             for frame in frames:
                 skipped = frame[off].to_numpy(bool) if off else [False] * len(frame)
                 got: list[tuple] = [(instead, None, None, None, None)] * len(frame)
-                rows = frame["_row_id"].tolist() if "_row_id" in frame else range(len(frame))
                 asked = [i for i in range(len(frame)) if not skipped[i]]
 
                 def done(k: int, result: tuple, asked: list[int] = asked, got: list[tuple] = got) -> None:
@@ -396,10 +392,10 @@ def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0
                     elif result[4] != UNRENDERED:
                         stopped = stop.add(result[4] is not None) or stopped
 
-                def ask(i: int, frame: Any = frame, rows: Any = rows) -> tuple:
+                def ask(i: int, frame: Any = frame) -> tuple:
                     if stopped and rules.stop_early:
                         return None, None, None, None, STOPPED
-                    return one(*(frame[x].iat[i] for x in ("_prompt", "_system", "_context")), rows[i], admission)
+                    return one(*(frame[x].iat[i] for x in ("_prompt", "_system", "_context", "_drawn")), admission)
 
                 at_once([lambda i=i: ask(i) for i in asked], admission, pool, done)
                 out = frame[names].copy()
@@ -408,7 +404,9 @@ def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0
                         out[n] = [g[at] for g in got]
                 yield out[[f.name for f in schema.fields]]
 
-    made = df.withColumns({"_prompt": prompt, "_system": system, "_context": context}).mapInPandas(run, schema)
+    drawn = drawn_parameters(parameters, seed, str(alias), F.col("_row_id") if "_row_id" in df.columns else F.monotonically_increasing_id())
+    told = F.to_json(F.struct(*(x.alias(n) for n, x in drawn.items()))) if drawn else F.lit("{}")
+    made = df.withColumns({"_prompt": prompt, "_system": system, "_context": context, "_drawn": told}).mapInPandas(run, schema)
     if not marks:
         return made.where(F.col("_failed").isNull()).drop("_failed")
     why = F.when(F.col("_failed") == STOPPED, f"{c.name}:stopped").when(F.col("_failed").isNotNull(), f"{c.name}:model")

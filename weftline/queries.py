@@ -502,18 +502,29 @@ def embedding_shape(spark, d):
 # ---- runs
 
 
-@query("SELECT g AS _row_group, CAST(CASE WHEN g = 5 THEN 50 ELSE 100 END AS BIGINT) AS n FROM (SELECT unnest(range(6)) AS g)")
+#: Orders numbered as a config seeded by them numbers its rows.
+NUMBERED = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders)"
+
+
+def seeded(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[Builder, int]:
+    """A config seeded by all orders in order of their keys, and how many they are."""
+    held = table(spark, sf_dir, "orders")
+    return Builder(SEED).with_seed(held.select("o_orderkey", *columns), order_by=["o_orderkey"]), held.count()
+
+
+@query(f"SELECT r // 1000 AS _row_group, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM {NUMBERED} GROUP BY 1")
 def row_group_sizes(spark, d):
-    b = Builder(SEED).add_column(name="v", kind="sampler", sampler_type="uniform", params={"low": 0, "high": 1})
-    return Planner(spark, b.build(), buffer_size=100).plan(550).groupBy("_row_group").agg(F.count(F.lit(1)).alias("n"))
+    b, n = seeded(spark, d)
+    return Planner(spark, b.build(), buffer_size=1000).plan(n).groupBy("_row_group").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
 
 
-@query(f"SELECT r, list_extract(['a','b','c'], CAST(floor({u('k', 0, 'r')} * 3) AS INT) + 1) AS k, round_even(0.0 + 10.0 * {u('x', 0, 'r')}, 3) AS x FROM (SELECT unnest(range(700)) AS r) WHERE r // 100 IN (2, 5)")
+@query(f"SELECT r, o_orderkey, list_extract(['a','b','c'], CAST(floor({u('k', 0, 'r')} * 3) AS INT) + 1) AS k, round_even(0.0 + 10.0 * {u('x', 0, 'r')}, 3) AS x FROM {NUMBERED} WHERE r // 100 % 2 = 1")
 def resume_missing_groups(spark, d):
-    """The rows of two missing groups are those that the whole run would have made."""
-    b = Builder(SEED).add_column(name="k", kind="sampler", sampler_type="category", params={"values": ["a", "b", "c"]})
+    """Every second group is missing; its rows are those that the whole run would have made."""
+    b, n = seeded(spark, d)
+    b.add_column(name="k", kind="sampler", sampler_type="category", params={"values": ["a", "b", "c"]})
     b.add_column(name="x", kind="sampler", sampler_type="uniform", params={"low": 0, "high": 10, "decimal_places": 3})
-    return Planner(spark, b.build(), buffer_size=100).plan(700, groups=[2, 5]).select(F.col(ROW).alias("r"), "k", "x")
+    return Planner(spark, b.build(), buffer_size=100).plan(n, groups=list(range(1, -(-n // 100), 2))).select(F.col(ROW).alias("r"), "o_orderkey", "k", "x")
 
 
 def flagship_config(orders_df: DataFrame) -> Builder:

@@ -24,7 +24,7 @@ from weftline.operators.validate import conforms, list_of_text, pruned, validate
 from weftline.plans.config import Builder, ProcessorConfig, Skip, lint
 from weftline.plans.engine import GROUP, PROCESSORS, Engine, Folder, Processor, RunConfig, Workflow, register_processor
 from weftline.plans.planner import COLUMN_KINDS, ROW, Planner, Resources, register_column_kind
-from weftline.queries import ORACLE, SEED, drawn, indexed, orders, query, table, templated, u
+from weftline.queries import NUMBERED, ORACLE, SEED, drawn, indexed, orders, query, seeded, table, templated, u
 from weftline.sources.seeds import READERS, DirectorySource, FileContentsSource, HubSource, IndexRange, LocalFileSource, hydrate, register_reader, selected
 from weftline.sources.shared import shared_root
 
@@ -258,39 +258,32 @@ def sample_convert_datetime(spark, d):
 _K, _S = u("k", 0, "r"), u("s", 0, "r")
 
 
-@query(f"""WITH a AS (SELECT r, CASE WHEN {_K} < 0.5 THEN 'x' ELSE 'y' END AS k FROM (SELECT unnest(range(5000)) AS r)), b AS (SELECT *, CASE WHEN k = 'x' THEN list_extract(['x1', 'x2'], CAST(floor({_S} * 2) AS INT) + 1) ELSE list_extract(['y1', 'y2', 'y3'], CAST(floor({_S} * 3) AS INT) + 1) END AS s FROM a)
- SELECT r, k, s, CASE WHEN s = 'x1' THEN 100.0 + 10.0 * {u('n', 0, 'r')} ELSE 0.0 + 1.0 * {u('n', 0, 'r')} END AS n FROM b""")
+@query(f"""WITH a AS (SELECT r, o_orderkey, o_orderstatus, CASE WHEN {_K} < 0.5 THEN 'x' ELSE 'y' END AS k FROM {NUMBERED}), b AS (SELECT *, CASE WHEN k = 'x' THEN list_extract(['x1', 'x2'], CAST(floor({_S} * 2) AS INT) + 1) ELSE list_extract(['y1', 'y2', 'y3'], CAST(floor({_S} * 3) AS INT) + 1) END AS s FROM a)
+ SELECT o_orderkey, k, s, CASE WHEN o_orderstatus = 'F' THEN 1000.0 + 1.0 * {u('n', 0, 'r')} WHEN s = 'x1' THEN 100.0 + 10.0 * {u('n', 0, 'r')} ELSE 0.0 + 1.0 * {u('n', 0, 'r')} END AS n FROM b""")
 def sampler_dag(spark, d):
-    """Columns declared against their order: each waits for its parent and for what its conditions name."""
-    b = Builder(SEED).add_column(name="n", kind="sampler", sampler_type="uniform", params={"low": 0, "high": 1}, conditional_params={"s == 'x1'": {"low": 100, "high": 110}})
+    """Columns declared against their order: each waits for its parent and for what its conditions name, seed columns too."""
+    b, n = seeded(spark, d, "o_orderstatus")
+    b.add_column(name="n", kind="sampler", sampler_type="uniform", params={"low": 0, "high": 1}, conditional_params={"s == 'x1'": {"low": 100, "high": 110}, "o_orderstatus == 'F'": {"low": 1000, "high": 1001}})
     b.add_column(name="s", kind="sampler", sampler_type="subcategory", params={"category": "k", "values": {"x": ["x1", "x2"], "y": ["y1", "y2", "y3"]}})
     b.add_column(name="k", kind="sampler", sampler_type="category", params={"values": ["x", "y"], "weights": [1, 1]})
-    return Planner(spark, b.build()).plan(5000).select(F.col(ROW).alias("r"), "k", "s", "n")
+    return Planner(spark, b.build()).plan(n).select("o_orderkey", "k", "s", "n")
 
 
-@query(f"SELECT r, list_filter([{', '.join(f'-10.0 + 40.0 * {u("v", k, "r")}' for k in range(32))}], lambda x: x >= 10)[1] AS v, CAST({u('w', 0, 'r')} < 0.25 AS BIGINT) AS w FROM (SELECT unnest(range(20000)) AS r)")
+@query(f"SELECT o_orderkey, list_filter([{', '.join(f'-10.0 + 40.0 * {u("v", k, "r")}' for k in range(32))}], lambda x: x >= 10)[1] AS v, CAST({u('w', 0, 'r')} < 0.25 AS BIGINT) AS w FROM {NUMBERED}")
 def constraint_in_config(spark, d):
     """A config's constraint. Half of the draws fit, so no row needs more than the 32 that the SQL makes."""
-    b = Builder(SEED).add_column(name="v", kind="sampler", sampler_type="uniform", params={"low": -10, "high": 30}).add_constraint("v", "ge", 10)
+    b, n = seeded(spark, d)
+    b.add_column(name="v", kind="sampler", sampler_type="uniform", params={"low": -10, "high": 30}).add_constraint("v", "ge", 10)
     b.add_column(name="w", kind="sampler", sampler_type="bernoulli", params={"p": 0.25})
-    return Planner(spark, b.build()).plan(20000).select(F.col(ROW).alias("r"), "v", "w")
+    return Planner(spark, b.build()).plan(n).select("o_orderkey", "v", "w")
 
 
-def hash_unit(*parts: str) -> str:
-    return f"((CAST('0x' || substr(sha256(concat_ws('|', {', '.join(parts)})), 1, 16) AS UBIGINT))::DOUBLE + 0.5) / 18446744073709551616.0"
-
-
-@query(f"SELECT o_orderkey, round(0.2 + 0.6 * {hash_unit(str(SEED), repr('m'), repr('temperature'), 'o_orderkey')}, 9) AS temperature, CASE WHEN {hash_unit(str(SEED), repr('m'), repr('top_p'), 'o_orderkey')} < 0.75 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS top_p FROM orders")
+@query(f"SELECT o_orderkey, 0.2 + 0.6 * {u('m|temperature')} AS temperature, CASE WHEN {u('m|top_p')} < 0.75 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS top_p FROM orders")
 def inference_parameters(spark, d):
-    """Call parameters that are distributions, drawn for each row."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        given = {"temperature": {"uniform": [0.2, 0.8]}, "top_p": {"values": [0.9, 1.0], "weights": [3, 1]}}
-        for frame in frames:
-            got = [drawn_parameters(given, SEED, "m", k) for k in frame["o_orderkey"]]
-            yield frame.assign(temperature=[round(g["temperature"], 9) for g in got], top_p=[g["top_p"] for g in got])
-
-    return orders(spark, d).select("o_orderkey").mapInPandas(run, "o_orderkey long, temperature double, top_p double").withColumn("temperature", F.round("temperature", 9))
+    """Call parameters that are distributions, drawn for each row as samplers draw."""
+    given = {"temperature": {"uniform": [0.2, 0.8]}, "top_p": {"values": [0.9, 1.0], "weights": [3, 1]}, "n": 1}
+    drawn = drawn_parameters(given, SEED, "m", F.col("o_orderkey"))
+    return orders(spark, d).select("o_orderkey", *(c.alias(name) for name, c in drawn.items()))
 
 
 # ---- templates
@@ -310,10 +303,11 @@ def record_values(spark, d):
     return templated(df, ["o_orderkey"], {"v": "{{ o_orderdate }}/{{ day }}/{{ flag }}/{{ nothing }}", "j": "{{ js.s }}{{ js.n }}"})
 
 
-@query("SELECT unnest(['a', 'b', 'c', 'd']) AS name, unnest([0, 1, 2, 3]) AS place")
+@query("SELECT o_orderkey, o_orderstatus, o_custkey, o_orderpriority, o_totalprice FROM orders")
 def template_references(spark, d):
-    found = references("{{ a|upper }}{% if b.x > 1 %}{{ c['k'] }}{% endif %}{% for x in d %}{{ x }}{{ loop.index }}{% endfor %}")
-    return spark.createDataFrame(list(zip(found, range(len(found)), strict=True)), "name string, place int")
+    """A template's own columns are all that is read for it."""
+    found = references("{{ o_orderkey|string }}{% if o_orderstatus == 'F' %}{{ o_custkey }}{% endif %}{% for x in o_orderpriority|list %}{{ x }}{{ loop.index }}{{ o_totalprice }}{% endfor %}")
+    return table(spark, d, "orders").select(found)
 
 
 @query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || '+' || o_orderstatus AS label FROM orders")
@@ -328,10 +322,18 @@ def column_drop(spark, d):
 # ---- profile
 
 
-@query("SELECT unnest(['category', 'subcategory', 'uniform', 'gaussian', 'bernoulli', 'bernoulli_mixture', 'binomial', 'poisson', 'scipy', 'uuid', 'datetime', 'person']) AS sampler, unnest(['categorical', 'categorical', 'numerical', 'numerical', 'numerical', 'numerical', 'numerical', 'numerical', 'numerical', 'other', 'other', 'other']) AS kind")
+KINDS = {"a": ("category", {"values": ["x"]}), "b": ("subcategory", {"category": "a", "values": {"x": ["y"]}}), "c": ("uniform", {"low": 0, "high": 1}), "d": ("gaussian", {"mean": 0, "stddev": 1}), "e": ("bernoulli", {"p": 0.5}), "f": ("binomial", {"n": 3, "p": 0.5}), "g": ("poisson", {"mean": 2}), "h": ("scipy", {"dist_name": "expon", "dist_params": {}}), "i": ("uuid", {}), "j": ("datetime", {"start": "2020-01-01", "end": "2021-01-01"})}
+
+
+@query("SELECT c.*, n AS num_records FROM (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i', 'j']) AS column_name, unnest(['categorical', 'categorical', 'numerical', 'numerical', 'numerical', 'numerical', 'numerical', 'numerical', 'other', 'other']) AS kind) AS c, (SELECT count(*) AS n FROM orders)")
 def distribution_kinds(spark, d):
-    names = ["category", "subcategory", "uniform", "gaussian", "bernoulli", "bernoulli_mixture", "binomial", "poisson", "scipy", "uuid", "datetime", "person"]
-    return spark.createDataFrame([(n, pr.distribution_kind(n)) for n in names], "sampler string, kind string")
+    """The statistics of a dataset made over all orders, with the kind of distribution that each column's sampler has."""
+    b, n = seeded(spark, d)
+    for name, (kind, params) in KINDS.items():
+        b.add_column(name=name, kind="sampler", sampler_type=kind, params=params)
+    counted = pr.general(Planner(spark, b.build()).plan(n), list(KINDS), exact=False)
+    kinds = F.create_map(*(F.lit(x) for name, (kind, _) in KINDS.items() for x in (name, pr.distribution_kind(kind))))
+    return counted.select("column_name", F.get(F.array(kinds), 0)[F.col("column_name")].alias("kind"), "num_records")
 
 
 @query("SELECT round(100.0 * count(*) FILTER (o_orderstatus <> 'P') / (count(*) + 1e-8), 2) AS percent_complete FROM orders")
@@ -427,14 +429,19 @@ def media_formats(spark, d):
 LINT = [("ERROR", "expression_reference_missing", "a"), ("ERROR", "skip_reference_missing", "b"), ("ERROR", "skip_on_sampler_seed", "c"), ("ERROR", "invalid_model_config", "e"), ("WARNING", "prompt_without_references", "e"), ("WARNING", "f_string_syntax", "e"), ("ERROR", "code_column_missing", "f"), ("WARNING", "code_column_not_code", "g"), ("ERROR", "invalid_column", "h")]
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS level, '{b}' AS kind, '{c}' AS column_name" for a, b, c in LINT))
+@query(" UNION ALL ".join(f"SELECT '{a}' AS level, '{b}' AS kind, '{c}' AS column_name, (SELECT count(*) FROM orders) AS made" for a, b, c in LINT))
 def config_lint(spark, d):
-    b = Builder().add_column(name="a", kind="expression", expr="{{ nothing }}").add_column(name="b", kind="expression", expr="x", skip=Skip("nothing"))
+    """What lint finds in a config seeded by orders, and how many rows are made without the columns at fault."""
+    b, n = seeded(spark, d, "o_custkey")
+    b.add_column(name="fine", kind="expression", expr="{{ o_custkey }}")
+    b.add_column(name="a", kind="expression", expr="{{ nothing }}").add_column(name="b", kind="expression", expr="x", skip=Skip("nothing"))
     b.add_column(name="c", kind="sampler", sampler_type="uuid", skip=Skip("true")).add_column(name="e", kind="llm-text", prompt="say {x}", model_alias="m")
     b.add_column(name="f", kind="validation", target_columns=["gone"], validator="code:python").add_column(name="g", kind="validation", target_columns=["c"], validator="code:python")
     b.add_column(name="h", kind="sampler", sampler_type="none of them")
-    found = [(f.level, f.kind, f.column) for f in lint(b.build()) if (f.kind, f.column) not in (("invalid_reference", "f"),)]
-    return spark.createDataFrame(found, "level string, kind string, column_name string")
+    faults = [(f.level, f.kind, f.column) for f in lint(b.build(), ["o_orderkey", "o_custkey"]) if (f.kind, f.column) not in (("invalid_reference", "f"),)]
+    b.config.columns = [c for c in b.config.columns if c.name not in {column for *_, column in faults}]
+    made = Planner(spark, b.build()).plan(n).agg(F.count("fine").alias("made")).first()["made"]
+    return spark.createDataFrame([(*f, made) for f in faults], "level string, kind string, column_name string, made long")
 
 
 # ---- models, by a client whose answers follow from the prompt
@@ -620,10 +627,13 @@ def workflow_stages(spark, d):
     return w.run()["second"].load_dataset().select("n_nationkey", "n_name", "loud", "quiet")
 
 
-@query("SELECT CAST(2 AS BIGINT) AS n_columns, 'k,v' AS allowed, true AS same")
+@query(f"SELECT o_orderkey, 'k' || CAST(o_custkey % 7 AS VARCHAR) || '/' || list_extract(['a','b'], CAST(floor({u('k', 0, 'r')} * 2) AS INT) + 1) AS v, true AS same FROM {NUMBERED}")
 def config_round_trip(spark, d):
-    """A config written, read and fingerprinted again."""
-    b = Builder(SEED).add_column(name="k", kind="sampler", sampler_type="uuid").add_column(name="v", kind="expression", expr="{{ k }}")
+    """A config written, read and fingerprinted again; the one read makes what was written down."""
+    b, n = seeded(spark, d, "o_custkey")
+    b.add_column(name="k", kind="sampler", sampler_type="category", params={"values": ["a", "b"]}).add_column(name="v", kind="expression", expr="k{{ o_custkey % 7 }}/{{ k }}")
+    seed, b.config.seed_config = b.config.seed_config, None
     again = Builder.from_config(b.build().to_json())
     same = again.build().fingerprint() == b.build().fingerprint()
-    return spark.createDataFrame([(len(again.build().columns), ",".join(again.allowed_references()), same)], "n_columns long, allowed string, same boolean")
+    again.with_seed(seed.source, seed.strategy, seed.selection, seed.order_by)
+    return Planner(spark, again.build()).plan(n).select("o_orderkey", "v", F.lit(same).alias("same"))
