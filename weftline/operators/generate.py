@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.draws import uniform
+from weftline.functions.jsonrepair import repair
 from weftline.functions.template import Compiler
 from weftline.operators.gate import Address, Leases
 from weftline.operators.samplers import SamplerError, pick
@@ -213,7 +214,7 @@ def fitted_score(value: Any, options: list) -> Any:
 
 def parser(kind: str, schema: dict | None, scores: list[dict]) -> Callable[[str], Any]:
     def block(text: str, lang: str) -> str:
-        found = re.findall(rf"```[ \t]*{lang}[^\n]*\n(.*?)```", text, re.S)
+        found = re.findall(rf"```[ \t]*{lang}[^\n]*\n(.*?)```", text, re.S) or (re.findall(r"```[ \t]*json[^\n]*\n(.*)\Z", text, re.S) if lang == "json" else [])
         if not found:
             raise ValueError(f"there is no {lang} block")
         return found[-1].rstrip("\n")
@@ -224,9 +225,12 @@ def parser(kind: str, schema: dict | None, scores: list[dict]) -> Callable[[str]
         except ValueError:
             raw = text
         try:
-            value = json.loads(re.sub(r",\s*([}\]])", r"\1", raw))
+            value = json.loads(raw)
         except ValueError:
-            raise ValueError("it isn't JSON") from None
+            begins = re.search(r"[{\[]", raw)
+            if not begins:
+                raise ValueError("it isn't JSON") from None
+            value = json.loads(repair(raw[begins.start() :]))
         if kind == "llm-judge":
             for s in scores:
                 if not isinstance(value.get(s["name"]), dict):

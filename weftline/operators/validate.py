@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.draws import bound
+from weftline.functions.jsonrepair import repaired
+
 FENCE = "(?s)```[ \\t]*{lang}[^\\n]*\\n(.*?)```"
 
 
@@ -27,9 +30,12 @@ def code_block(text: Column, lang: str = "\\w*") -> Column:
 
 
 def json_block(text: Column, schema: T.StructType | str | None = None) -> Column:
-    """The last ``json`` block, or the text between its outer braces; trailing commas are repaired. Null if it isn't JSON."""
-    raw = F.coalesce(code_block(text, "json"), F.nullif(F.regexp_extract(text, "(?s)(\\{.*\\}|\\[.*\\])", 1), F.lit("")))
-    clean = F.regexp_replace(raw, ",\\s*([}\\]])", "$1")
+    """The last ``json`` block, one that breaks off, or the text from its first bracket on, repaired where it isn't JSON (see
+    ``functions.jsonrepair``). Null if there is none."""
+    cut = F.nullif(F.regexp_extract(text, "(?s)```[ \\t]*json[^\\n]*\\n(?!.*```)(.*)$", 1), F.lit(""))
+    found = F.coalesce(code_block(text, "json"), cut, text)
+    raw = F.nullif(F.regexp_extract(found, "(?s)([{\\[].*)$", 1), F.lit(""))
+    clean = bound(raw, lambda x: F.when(F.try_parse_json(x).isNotNull(), x).otherwise(repaired(x)))
     return F.from_json(clean, schema) if schema is not None else F.when(F.try_parse_json(clean).isNotNull(), clean)
 
 
