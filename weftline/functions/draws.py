@@ -7,6 +7,7 @@ made before, so a dataset can be made in any order, in parts, and again.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -58,3 +59,49 @@ def bound(of: Column, then: Callable[[Column], Column]) -> Column:
     """An expression over a value that is worked out once. Within lambdas nothing else keeps it from being worked out at each use, and
     elsewhere it keeps expressions from growing by all their uses."""
     return F.get(F.transform(F.array(of), lambda x: then(x)), F.lit(0))
+
+
+def alias_table(weights: list[float]) -> tuple[list[float], list[int]]:
+    """Walker's tables: for each place the chance to stay there, and where to go else. One draw of any weights is then one look-up."""
+    n, total = len(weights), float(sum(weights))
+    if total <= 0 or min(weights) < 0:
+        raise ValueError("weights must be 0 or more and not all 0")
+    left = [w * n / total for w in weights]
+    stay, other = [1.0] * n, list(range(n))
+    small, large = [i for i in range(n) if left[i] < 1], [i for i in range(n) if left[i] >= 1]
+    while small and large:
+        a, b = small.pop(), large[-1]
+        stay[a], other[a] = left[a], b
+        left[b] -= 1 - left[a]
+        if left[b] < 1:
+            small.append(large.pop())
+    return stay, other
+
+
+class Conditional:
+    """Values with weights by a key, each key's as Walker's tables in one map literal of bounded size; other keys give null."""
+
+    def __init__(self, groups: dict[str, dict[str, float]]) -> None:
+        self.groups = {}
+        for key, weights in groups.items():
+            values = list(weights)
+            stay, other = alias_table(list(weights.values()))
+            self.groups[key] = values, stay, [values[i] for i in other]
+
+    def column(self, key: Column, u: Column) -> Column:
+        told = json.dumps({k: dict(zip(("value", "stay", "other"), held, strict=True)) for k, held in self.groups.items()})
+        held = F.from_json(F.lit(told), "map<string, struct<value: array<string>, stay: array<double>, other: array<string>>>")  # folded to one literal
+
+        def drawn(t: Column) -> Column:
+            x = u * F.size(t["value"])
+            i = F.floor(x).cast("int")
+            return F.when(x - i < F.get(t["stay"], i), F.get(t["value"], i)).otherwise(F.get(t["other"], i))
+
+        return bound(F.try_element_at(held, key), drawn)
+
+    def sql(self, key: str, u: str) -> str:
+        text = lambda x: "'" + x.replace("'", "''") + "'"
+        row = lambda v, s, o: f"{{'value': [{', '.join(map(text, v))}], 'stay': [{', '.join(f'{x!r}::DOUBLE' for x in s)}], 'other': [{', '.join(map(text, o))}]}}"
+        held = f"MAP {{{', '.join(f'{text(k)}: {row(*x)}' for k, x in self.groups.items())}}}[{key}]"
+        at = lambda part: f"list_extract(t.{part}, CAST(floor(x) AS INT) + 1)"
+        return f"(SELECT CASE WHEN x - floor(x) < {at('stay')} THEN {at('value')} ELSE {at('other')} END FROM (SELECT t, ({u}) * len(t.value) AS x FROM (SELECT {held} AS t)))"

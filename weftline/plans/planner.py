@@ -22,7 +22,7 @@ from weftline.functions.template import Compiler
 from weftline.operators.expressions import DROP, cast_text, skip_flag
 from weftline.operators.generate import CallRules, generate_model_column, stand_in
 from weftline.operators.gate import Address, FailureWindow, Limit, server
-from weftline.operators.people import person, projected, sample_people
+from weftline.operators.people import derived, person, projected, sample_people
 from weftline.operators.samplers import Draw, redrawn
 from weftline.operators.validate import RemoteRules, validate_code, validate_local, validate_remote
 from weftline.plans.config import ColumnConfig, Config, ConfigError
@@ -168,7 +168,8 @@ class Planner:
         key = "uuid" if "uuid" in fields.columns else "_person"
         if key == "_person":  # a name for each person that doesn't depend on how they lie
             fields = fields.withColumn(key, F.md5(F.to_json(F.struct(*fields.columns))))
-        return sample_people(fields, df, c.params, self.config.seed, c.name, key, ROW, self.total)
+        made = sample_people(fields, df, c.params, self.config.seed, c.name, key, ROW, self.total)
+        return made.withColumn(c.name, derived(F.col(c.name), made.schema[c.name].dataType.fieldNames(), self.draw(c.name))) if locale == "en_US" else made
 
     def sample(self, df: DataFrame, columns: list[ColumnConfig]) -> DataFrame:
         compiler, made, failed = Compiler(df.schema, self.config.seed, F.col(ROW)), {}, []

@@ -180,28 +180,45 @@ def pool(name: str, values: list[str], column: str = "p") -> str:
     return f"list_extract({values!r}, CAST(floor({u(column, '0' + name)} * {len(values)}) AS INT) + 1)"
 
 
-def email_sql(first: str, last: str, age: str, draw: str, domain: str) -> str:
-    f, s = (f"regexp_replace(lower({x}), '[^a-z]', '', 'g')" for x in (first, last))
-    patterns = f"[{f} || '.' || {s}, {f} || {s}, left({f}, 1) || {s}, {f} || '_' || {s}, {s} || '.' || {f}, {f} || left({s}, 1)]"
-    pick = lambda v: f"list_extract({v!r}, CAST(floor({domain} * {len(v)}) AS INT) + 1)"
-    return f"CASE WHEN {age} >= 18 THEN list_extract({patterns}, CAST(floor({draw} * 6) AS INT) + 1) || '@' || CASE WHEN {age} < 40 THEN {pick(pe.DOMAINS['young'])} ELSE {pick(pe.DOMAINS['old'])} END END"
+def email_sql(first: str, last: str, age: str, born: str, column: str, row: str) -> str:
+    f, s = (f"regexp_replace(translate(lower({x}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]', '', 'g')" for x in (first, last))
+    draw = lambda part: u(column, "0" + part, row)
+    names = {"first.last": f"{f} || '.' || {s}", "firstlast": f"{f} || {s}", "flast": f"left({f}, 1) || {s}", "first_last": f"{f} || '_' || {s}", "lastf": f"{s} || left({f}, 1)", "firstl": f"{f} || left({s}, 1)"}
+    endings = {"none": "''", "number": f"CAST(CAST(1 + floor({draw('mail number')} * 99) AS BIGINT) AS VARCHAR)", "short year": f"strftime({born}, '%y')", "year": f"strftime({born}, '%Y')", "day": f"CAST(day({born}) AS VARCHAR)"}
+    choose = lambda kind, of: f"CASE {kind} {' '.join(f'WHEN {k!r} THEN {x}' for k, x in of.items())} END"
+    domain = pe.DOMAIN_OF.sql(f"CASE WHEN {age} < 30 THEN '0' WHEN {age} < 50 THEN '30' ELSE '50' END", draw("mail domain"))
+    return f"CASE WHEN {age} >= 18 THEN ({choose(pe.NAME_OF.sql(repr('two'), draw('mail name')), names)}) || ({choose(pe.ENDING_OF.sql(repr(''), draw('mail end')), endings)}) || '@' || ({domain}) END"
 
 
-def phone_sql(age: str, draw: str, line: str) -> str:
-    area, digits = f"CAST(CAST(201 + floor({draw} * 780) AS BIGINT) AS VARCHAR)", f"'01' || lpad(CAST(CAST(floor({line} * 100) AS BIGINT) AS VARCHAR), 2, '0')"
-    return f"CASE WHEN {age} >= 18 THEN list_extract(['(' || {area} || ') 555-' || {digits}, {area} || '-555-' || {digits}, {area} || '.555.' || {digits}, '+1' || {area} || '555' || {digits}], CAST(floor({line} * 400) AS INT) % 4 + 1) END"
+def phone_sql(age: str, postcode: str, column: str, row: str) -> str:
+    draw = lambda part: u(column, "0" + part, row)
+    near = f"(CASE {pe.NEAR_OF.sql(repr(''), draw('phone near'))} WHEN 'postcode' THEN {postcode} WHEN 'four' THEN left({postcode}, 4) WHEN 'three' THEN left({postcode}, 3) ELSE '' END)"
+    known = "(" + ", ".join(repr(k) for k in pe.AREAS.groups) + ")"
+    chosen = " ".join(f"WHEN {k} IN {known} THEN {k}" for k in (near, f"left({near}, 4)", f"left({near}, 3)"))
+    area = pe.AREAS.sql(f"CASE {chosen} ELSE '' END", draw("phone area"))
+    return f"CASE WHEN {age} >= 18 AND {postcode} IS NOT NULL THEN {area} || '-' || CAST(CAST(200 + floor({draw('phone office')} * 800) AS BIGINT) AS VARCHAR) || '-' || lpad(CAST(CAST(floor({draw('phone line')} * 10000) AS BIGINT) AS VARCHAR), 4, '0') END"
 
 
-def national_id_sql(a: str, b: str, c: str) -> str:
-    area = f"CAST(1 + floor({a} * 898) AS INT)"
-    return f"printf('%03d-%02d-%04d', least(CASE WHEN {area} >= 666 THEN {area} + 1 ELSE {area} END, 899), CAST(1 + floor({b} * 99) AS INT), CAST(1 + floor({c} * 9999) AS INT))"
+def national_id_sql(state: str, born: str, column: str, row: str) -> str:
+    draw = lambda part: u(column, "0" + part, row)
+    of = f"(CASE WHEN {born} < DATE '{pe.RANDOM_SINCE}' THEN coalesce(MAP {{{', '.join(f'{k!r}: [{a}, {b}]' for k, (a, b) in pe.STATE_AREAS.items())}}}[{state}], [1, 899]) ELSE [1, 899] END)"
+    holds = f"CAST({of}[1] <= 666 AND {of}[2] >= 666 AS INT)"
+    area = f"({of}[1] + CAST(floor({draw('id area')} * ({of}[2] - {of}[1] + 1 - {holds})) AS INT))"
+    return f"CASE WHEN {state} IS NOT NULL THEN printf('%03d-%02d-%04d', CASE WHEN {holds} = 1 AND {area} >= 666 THEN {area} + 1 ELSE {area} END, CAST(1 + floor({draw('id group')} * 99) AS INT), CAST(1 + floor({draw('id serial')} * 9999) AS INT)) END"
 
 
-@query(f"SELECT c_custkey, {email_sql('n_name', 'c_mktsegment', 'age', u('e', 0, 'c_custkey'), u('e', '0d', 'c_custkey'))} AS email, {phone_sql('age', u('e', '0p', 'c_custkey'), u('e', '0l', 'c_custkey'))} AS phone, {national_id_sql(*(u('e', '0' + x, 'c_custkey') for x in 'xyz'))} AS national_id FROM (SELECT *, 10 + c_custkey % 60 AS age FROM customer JOIN nation ON n_nationkey = c_nationkey)")
+_CODES, _STATES = [p[2] for p in pe.PLACES] + ["60699", "99999"], [p[1] for p in pe.PLACES] + ["NA", "PR"]
+
+
+@query(f"""WITH c AS (SELECT c_custkey, n_name, c_mktsegment, CAST(10 + c_custkey % 60 AS INT) AS age, DATE '1955-03-01' + CAST(c_custkey * 37 % 24000 AS INT) AS born, list_extract({_CODES!r}, CAST(c_custkey % {len(_CODES)} AS INT) + 1) AS code, list_extract({_STATES!r}, CAST(c_custkey % {len(_STATES)} AS INT) + 1) AS state FROM customer JOIN nation ON n_nationkey = c_nationkey)
+ SELECT c_custkey, {email_sql('n_name', 'c_mktsegment', 'age', 'born', 'e', 'c_custkey')} AS email, {phone_sql('age', 'code', 'e', 'c_custkey')} AS phone, {national_id_sql('state', 'born', 'e', 'c_custkey')} AS national_id FROM c""")
 def person_contacts(spark, d):
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).withColumn("age", 10 + F.col("c_custkey") % 60)
-    draw, age = Draw(SEED, "e", F.col("c_custkey")), F.col("age")
-    return c.select("c_custkey", pe.email(F.col("n_name"), F.col("c_mktsegment"), age, draw.u(), draw.u("d")).alias("email"), pe.phone(age, draw.u("p"), draw.u("l")).alias("phone"), pe.national_id(draw.u("x"), draw.u("y"), draw.u("z")).alias("national_id"))
+    """Email by age, phone by post code and people, national id by state and birth date, from tables of conditional weights."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    born = F.date_add(F.lit("1955-03-01").cast("date"), (F.col("c_custkey") * 37 % 24000).cast("int"))
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % len(values)).cast("int") + 1)
+    draw, age = Draw(SEED, "e", F.col("c_custkey")), (10 + F.col("c_custkey") % 60).cast("int")
+    return c.select("c_custkey", pe.email(F.col("n_name"), F.col("c_mktsegment"), age, born, draw).alias("email"), pe.phone(age, at(_CODES), draw).alias("phone"), pe.national_id(at(_STATES), born, draw).alias("national_id"))
 
 
 def person_sql() -> str:
@@ -214,12 +231,12 @@ def person_sql() -> str:
     place = lambda i: pool("place", [p[i] for p in pe.PLACES])
     end = "CAST(DATE '2025-01-01' - to_months(12 * age) AS DATE)"
     start = f"CAST({end} - INTERVAL 12 MONTH AS DATE) + 1"
-    return f"""WITH a AS (SELECT o_orderkey, CAST(10 + floor({u('p', '0age')} * 71) AS INT) AS age, {sex} AS sex, {pool('last', pe.LAST)} AS last_name, {education} AS education_level FROM orders),
- b AS (SELECT *, CASE WHEN sex = 'Female' THEN {pool('first', pe.FIRST['Female'])} ELSE {pool('first', pe.FIRST['Male'])} END AS first_name FROM a)
+    return f"""WITH a AS (SELECT o_orderkey, CAST(10 + floor({u('p', '0age')} * 71) AS INT) AS age, {sex} AS sex, {pool('last', pe.LAST)} AS last_name, {education} AS education_level, {place(0)} AS city, {place(1)} AS state, {place(2)} AS postcode FROM orders),
+ b AS (SELECT *, CASE WHEN sex = 'Female' THEN {pool('first', pe.FIRST['Female'])} ELSE {pool('first', pe.FIRST['Male'])} END AS first_name, {start} + CAST(floor({u('p', '0birth')} * (date_diff('day', {start}, {end}) + 1)) AS INT) AS born FROM a)
  SELECT o_orderkey, md5('{SEED}|p|person|' || o_orderkey) AS uuid, 'en_US' AS locale, first_name, last_name, sex, CAST(CAST(1 + floor({u('p', '0number')} * 999) AS BIGINT) AS VARCHAR) AS street_number, {pool('street', pe.STREETS)} AS street_name,
- {place(0)} AS city, {place(1)} AS state, {place(2)} AS postcode, age, strftime({start} + CAST(floor({u('p', '0birth')} * (date_diff('day', {start}, {end}) + 1)) AS INT), '%Y-%m-%d') AS birth_date, 'USA' AS country,
+ city, state, postcode, age, strftime(born, '%Y-%m-%d') AS birth_date, 'USA' AS country,
  {pool('marital', pe.MARITAL)} AS marital_status, education_level, CASE WHEN education_level IN ('university', 'doctorate') THEN {pool('field', pe.FIELDS)} ELSE 'none' END AS bachelors_field, {pool('job', pe.JOBS)} AS occupation,
- {email_sql('first_name', 'last_name', 'age', u('p', '0email'), u('p', '0domain'))} AS email_address, {phone_sql('age', u('p', '0phone'), u('p', '0line'))} AS phone_number, {national_id_sql(u('p', '0area'), u('p', '0group'), u('p', '0serial'))} AS national_id FROM b"""
+ {email_sql('first_name', 'last_name', 'age', 'born', 'p', 'o_orderkey')} AS email_address, {phone_sql('age', 'postcode', 'p', 'o_orderkey')} AS phone_number, {national_id_sql('state', 'born', 'p', 'o_orderkey')} AS national_id FROM b"""
 
 
 ORACLE["sample_person"] = person_sql()

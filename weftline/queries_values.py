@@ -9,6 +9,7 @@ from weftline.functions.laws import tables
 from weftline.functions.template import Compiler
 from weftline.operators import samplers as sm
 from weftline.operators.sketches import merged, sketched
+from weftline.operators.validate import json_block
 from weftline.plans.config import Builder
 from weftline.plans.planner import ROW, Planner
 from weftline.queries import SEED, query, table, templated, u
@@ -116,3 +117,23 @@ def seed_hydrated(spark, d):
     source = HydratedSource(table(spark, d, "nation"), lambda r: [{"n_nationkey": r["n_nationkey"], "n_name": r["n_name"], "k": k} for k in range(r["n_regionkey"] + 1)], "n_nationkey int, n_name string, k long")
     b = Builder(SEED).with_seed(source, selection=IndexRange(3, 20), order_by=["n_nationkey"]).add_column(name="v", kind="expression", expr="{{ n_name }}/{{ k }}")
     return Planner(spark, b.build()).plan(table(spark, d, "customer").count()).select(F.col(ROW).alias("r"), "n_nationkey", "v")
+
+
+# ---- JSON that breaks off
+
+
+@query("""SELECT p_partkey, p_partkey AS k, CASE WHEN p_size % 6 IN (0, 3) THEN NULL ELSE p_name END AS name, CAST(CASE WHEN p_size % 6 IN (0, 3) THEN p_size + 1 ELSE NULL END AS BIGINT) AS total FROM part""")
+def extract_json_repaired(spark, d):
+    """Texts that break off, with single quotes, bare names, a missing bracket, missing commas and colons, and a block that isn't closed."""
+    k, name, size = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size").cast("string")
+    texts = [
+        F.concat(F.lit('Here it is: {"k": '), k, F.lit(', "sizes": [1, '), size),
+        F.concat(F.lit("{'k': "), k, F.lit(", 'name': '"), name, F.lit("'} as asked")),
+        F.concat(F.lit("{k: "), k, F.lit(", name: "), name, F.lit(",}")),
+        F.concat(F.lit('```json\n{"k": '), k, F.lit(', "sizes": [1, '), size, F.lit("}\n```")),
+        F.concat(F.lit('{"k" '), k, F.lit(' "name": "'), name, F.lit('"}')),
+        F.concat(F.lit('So:\n```json\n{"name": "'), name, F.lit('", "k": '), k),
+    ]
+    text = F.element_at(F.array(*texts), (F.col("p_size") % 6).cast("int") + 1)
+    got = json_block(text, "k bigint, name string, sizes array<bigint>")
+    return table(spark, d, "part").select("p_partkey", got.alias("j")).select("p_partkey", "j.k", "j.name", F.aggregate("j.sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
