@@ -420,3 +420,21 @@ def test_sketches_of_odd_columns(spark):
     assert (got["s"].num_null, got["s"].num_unique, got["s"].frequent) == (3, 0, None)
     assert (got["l"].num_null, got["l"].num_unique) == (1, 1)
     assert merged(sketched(df.limit(0), "b", ["s"])).count() == 0
+
+
+def test_export_joins_parts_in_order(spark, tmp_path):
+    seeds = spark.range(0, 500, 1, 6).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, F.lit('say "a, b"')).alias("odd, name"), F.array(F.col("id")).alias("list"))
+    b = Builder(1).with_seed(seeds, order_by=["n"]).add_column(name="v", kind="expression", expr="{{ n }}")
+    out = Engine(spark, run_config=RunConfig(buffer_size=50)).create(b, 500, f"{tmp_path}/set")
+    for name in ("x.csv", "x.jsonl", "x.parquet"):
+        out.export(f"{tmp_path}/{name}")
+        assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("x")) == [name]
+        got = {"csv": lambda p: spark.read.csv(p, header=True), "jsonl": spark.read.json, "parquet": spark.read.parquet}[name.split(".")[1]](f"{tmp_path}/{name}")
+        assert sorted(int(r.v) for r in got.collect()) == list(range(500)) and set(got.columns) == {"n", "odd, name", "list", "v"}
+        assert {r["odd, name"] for r in got.collect()} == {None, 'say "a, b"'}
+        (tmp_path / name).unlink()
+        for left in tmp_path.glob(f".{name}*"):
+            left.unlink()
+    empty = Builder(1).with_seed(spark.range(3).withColumnRenamed("id", "n")).add_column(name="v", kind="expression", expr="{{ n }}")
+    Engine(spark).create(empty, 1, f"{tmp_path}/one").export(f"{tmp_path}/one.csv")
+    assert (tmp_path / "one.csv").read_text() == "n,v\n0,0\n"

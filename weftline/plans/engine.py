@@ -110,6 +110,18 @@ class Folder:
     def read(self, name: str) -> str:
         return "".join(r["value"] + "\n" for r in self.spark.read.text(f"{self.path}/{name}", wholetext=True).collect())
 
+    def joined(self, name: str, head: str, parts: list[str]) -> None:
+        """A file of ``head`` and the parts' bytes on end, under its name once it is whole. Bytes pass in small pieces."""
+        out = self.fs.create(self.jpath(f"{self.path}/{name}.tmp"), True)
+        out.write(bytearray(head.encode()))
+        for part in parts:
+            held = self.fs.open(self.jpath(f"{self.path}/{part}"))
+            self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 20, False)
+            held.close()
+        out.close()
+        self.fs.delete(self.jpath(f"{self.path}/{name}"), False)
+        self.fs.rename(self.jpath(f"{self.path}/{name}.tmp"), self.jpath(f"{self.path}/{name}"))
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.jpath(f"{self.path}/{name}"), True)
 
@@ -143,24 +155,27 @@ class Results:
         return percent_complete(self.count_records(), self.metadata["target"])
 
     def export(self, path: str) -> None:
-        """One file of the kind that the name's end says. Meant for datasets that one task can write."""
+        """One file of the kind that the name's end says. Text is written in parts by all tasks, whose bytes are then joined in order,
+        with one header; of Parquet, whose files can't be joined so, one task writes all."""
         ext = path.rsplit(".", 1)[-1]
         folder, name = path.rsplit("/", 1)
-        out = self.load_dataset().coalesce(1)
-        temp = f"{path}.parts"
+        data, temp, at, head = self.load_dataset(), f"{path}.parts", Folder(self.spark, folder), ""
         if ext in ("json", "jsonl"):
-            out.write.mode("overwrite").json(temp)
+            data.write.mode("overwrite").json(temp)
         elif ext == "csv":
-            flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in out.dtypes]
-            out.select(flat).write.mode("overwrite").csv(temp, header=True)
+            flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in data.dtypes]
+            data.select(flat).write.mode("overwrite").csv(temp, header=False)
+            head = ",".join('"' + c.replace('"', '\\"') + '"' if any(x in c for x in ',"\n\\') else c for c in data.columns) + "\n"
         elif ext == "parquet":
-            out.write.mode("overwrite").parquet(temp)
+            data.coalesce(1).write.mode("overwrite").parquet(temp)
         else:
             raise RunError(f"files of kind {ext!r} aren't written")
-        at = Folder(self.spark, folder)
-        part = next(n for n in at.names(f"{name}.parts") if n.startswith("part-"))
-        at.delete(name)
-        at.fs.rename(at.jpath(f"{temp}/{part}"), at.jpath(path))
+        parts = sorted(n for n in at.names(f"{name}.parts") if n.startswith("part-"))
+        if ext == "parquet":
+            at.delete(name)
+            at.fs.rename(at.jpath(f"{temp}/{parts[0]}"), at.jpath(path))
+        else:
+            at.joined(name, head, [f"{name}.parts/{p}" for p in parts])
         at.delete(f"{name}.parts")
 
     def to_config_builder(self, columns: list[str] | None = None) -> Builder:
