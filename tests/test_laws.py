@@ -145,6 +145,27 @@ def test_conditions_within(spark):
     assert all(v is not None and v > 7 for _, v in got)
 
 
-def test_what_can_t_be_fails(spark):
-    got = within(spark, "uniform", {"low": 0, "high": 1}, [Constraint("v", "gt", 1), Constraint("v", "lt", 0)], 5)
-    assert [v for _, v in got] == [None] * 5
+NEVER = [
+    ("uniform", {"low": 0, "high": 1}, [Constraint("v", "gt", 1), Constraint("v", "lt", 0)]),
+    ("uniform", {"low": 0, "high": 1}, [Constraint("v", "gt", 1.0000001)]),
+    ("uniform", {"low": 0, "high": 1}, [Constraint("v", "lt", "below")]),
+    ("scipy", {"dist_name": "gamma", "dist_params": {"a": 2}}, [Constraint("v", "lt", -1e-9)]),
+    ("scipy", {"dist_name": "gamma", "dist_params": {"a": 2, "scale": -1}}, [Constraint("v", "gt", 0.5)]),
+    ("scipy", {"dist_name": "beta", "dist_params": {"a": 2, "b": 3}}, [Constraint("v", "gt", 1)]),
+    ("scipy", {"dist_name": "invgamma", "dist_params": {"a": 2}}, [Constraint("v", "le", -3)]),
+    ("scipy", {"dist_name": "lognorm", "dist_params": {"s": 2}}, [Constraint("v", "le", -3)]),
+    ("scipy", {"dist_name": "pareto", "dist_params": {"b": 2}}, [Constraint("v", "lt", 0.9)]),
+    ("scipy", {"dist_name": "randint", "dist_params": {"low": 0, "high": 9}}, [Constraint("v", "gt", 9)]),
+    ("scipy", {"dist_name": "geom", "dist_params": {"p": 0.3}}, [Constraint("v", "lt", 1)]),
+    ("binomial", {"n": 4, "p": 0.5}, [Constraint("v", "gt", 4)]),
+    ("poisson", {"mean": 4}, [Constraint("v", "lt", 0)]),
+    ("bernoulli", {"p": 0.5}, [Constraint("v", "gt", 1)]),
+    ("category", {"values": [1, 2]}, [Constraint("v", "gt", 2)]),
+]
+
+
+@pytest.mark.parametrize(("kind", "params", "constraints"), NEVER)
+def test_what_can_t_be_fails(spark, kind, params, constraints):
+    df = spark.range(5).withColumn("below", F.lit(-1.0))
+    spec = SamplerSpec("v", kind, params)
+    assert [r.v for r in df.select(redrawn(spec, Draw(7, "v", F.col("id")), constraints, Compiler(df.schema).condition).alias("v")).collect()] == [None] * 5

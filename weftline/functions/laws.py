@@ -157,7 +157,7 @@ class Table:
     def column(self, at: Column) -> Column:
         n = len(self.coefficients) // 4
         place = (at - F.lit(self.start)) / F.lit(self.step)
-        cell = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(n - 1)).cast("int")
+        cell = F.floor(F.least(F.greatest(place, F.lit(0.0)), F.lit(n - 1.0))).cast("int")
         held = literal(self.coefficients)
         t = F.least(F.greatest(place - cell, F.lit(0.0)), F.lit(1.0))
         c = [F.get(held, cell * 4 + k) for k in range(4)]
@@ -235,9 +235,12 @@ TAILS: dict[str, Callable] = {"norm": norm_tails, "gamma": gamma_tails, "beta":
 # ---- laws
 
 
+OUTSIDE = 1e9  # log-odds of what lies beyond a law's range, or -1e9
+
+
 @dataclass(frozen=True)
 class Law:
-    """A standard law: its quantile by log-odds, and the log-odds of a value."""
+    """A standard law: its quantile by log-odds, and the log-odds of a value, ``OUTSIDE`` or its negative beyond its range."""
 
     quantile: Callable[[Column], Column]
     odds: Callable[[Column], Column]
@@ -261,7 +264,7 @@ def closed(quantile: Callable[[Column, Column], Column], tails: Callable[[Column
 
     def odds(x: Column) -> Column:
         p, q = tails(x)
-        return F.when(p <= 0, F.lit(-1e9)).when(q <= 0, F.lit(1e9)).otherwise(F.log(p) - F.log(q))
+        return F.when(p <= 0, F.lit(-OUTSIDE)).when(q <= 0, F.lit(OUTSIDE)).otherwise(F.log(p) - F.log(q))
 
     return Law(lambda z: quantile(chance_of(z), chance_of(-z)), odds)
 
@@ -286,22 +289,27 @@ def under(p: Column) -> tuple[Column, Column]:
     return p, 1 - p
 
 
+def above_zero(law: Law) -> Law:
+    return Law(law.quantile, lambda x: F.when(x <= 0, F.lit(-OUTSIDE)).otherwise(law.odds(x)))
+
+
 def norm() -> Law:
     return from_tables("norm", (), lambda y: y, lambda x: x)
 
 
 def gamma(a: float) -> Law:
-    return from_tables("gamma", (float(a),), F.exp, lambda x: F.log(F.greatest(x, F.lit(1e-300))))
+    return above_zero(from_tables("gamma", (float(a),), F.exp, lambda x: F.log(F.greatest(x, F.lit(1e-300)))))
 
 
 def beta(a: float, b: float) -> Law:
     inside = lambda x: F.least(F.greatest(x, F.lit(1e-300)), F.lit(1 - 2.0**-53))
-    return from_tables("beta", (float(a), float(b)), chance_of, lambda x: logit(inside(x)))
+    law = above_zero(from_tables("beta", (float(a), float(b)), chance_of, lambda x: logit(inside(x))))
+    return Law(law.quantile, lambda x: F.when(x >= 1, F.lit(OUTSIDE)).otherwise(law.odds(x)))
 
 
 def power(law: Law, k: float, scale: float = 1.0) -> Law:
     """(scale * value) ** k of a positive law."""
-    return mapped(law, lambda x: F.pow(F.lit(scale) * x, F.lit(k)), lambda x: F.pow(positive(x), F.lit(1 / k)) / F.lit(scale), k < 0)
+    return above_zero(mapped(law, lambda x: F.pow(F.lit(scale) * x, F.lit(k)), lambda x: F.pow(F.greatest(x, F.lit(1e-300)), F.lit(1 / k)) / F.lit(scale), k < 0))
 
 
 def scaled(law: Law, k: float) -> Law:
@@ -310,7 +318,7 @@ def scaled(law: Law, k: float) -> Law:
 
 def f_law(n: float, d: float) -> Law:
     # n / d times the value is the odds of a beta law.
-    return from_tables("beta", (n / 2, d / 2), lambda y: F.lit(d / n) * F.exp(y), lambda x: F.log(F.greatest(x * F.lit(n / d), F.lit(1e-300))))
+    return above_zero(from_tables("beta", (n / 2, d / 2), lambda y: F.lit(d / n) * F.exp(y), lambda x: F.log(F.greatest(x * F.lit(n / d), F.lit(1e-300)))))
 
 
 def half(law: Law) -> Law:
@@ -318,7 +326,7 @@ def half(law: Law) -> Law:
 
     def odds(x: Column) -> Column:
         above = chance_of(-law.odds(positive(x)))
-        return F.when(x <= 0, F.lit(-1e9)).otherwise(F.log((1 - 2 * above) / (2 * above)))
+        return F.when(x <= 0, F.lit(-OUTSIDE)).otherwise(F.log((1 - 2 * above) / (2 * above)))
 
     return Law(lambda z: law.quantile(F.log((1 + chance_of(z)) / chance_of(-z))), odds)
 
@@ -340,10 +348,10 @@ LAWS: dict[str, Callable[..., Law]] = {
     "expon": lambda: closed(lambda p, q: -F.log(q), lambda x: (-F.expm1(-positive(x)), F.exp(-positive(x)))),
     "norm": norm,
     "halfnorm": lambda: half(norm()),
-    "lognorm": lambda s: mapped(norm(), lambda x: F.exp(F.lit(float(s)) * x), lambda x: F.log(F.greatest(x, F.lit(1e-300))) / F.lit(float(s))),
+    "lognorm": lambda s: above_zero(mapped(norm(), lambda x: F.exp(F.lit(float(s)) * x), lambda x: F.log(F.greatest(x, F.lit(1e-300))) / F.lit(float(s)))),
     "logistic": lambda: Law(lambda z: z, lambda x: x),
     "halflogistic": lambda: half(Law(lambda z: z, lambda x: x)),
-    "fisk": lambda c: mapped(Law(lambda z: z, lambda x: x), lambda x: F.exp(x / c), lambda x: F.log(F.greatest(x, F.lit(1e-300))) * c),
+    "fisk": lambda c: above_zero(mapped(Law(lambda z: z, lambda x: x), lambda x: F.exp(x / c), lambda x: F.log(F.greatest(x, F.lit(1e-300))) * c)),
     "laplace": lambda: closed(lambda p, q: F.when(p < 0.5, F.log(2 * p)).otherwise(-F.log(2 * q)), lambda x: (F.when(x < 0, F.exp(x) / 2).otherwise(1 - F.exp(-x) / 2), F.when(x < 0, 1 - F.exp(x) / 2).otherwise(F.exp(-x) / 2))),
     "cauchy": lambda: closed(lambda p, q: F.when(p < 0.5, -1 / F.tan(PI * p)).otherwise(1 / F.tan(PI * q)), lambda x: (F.atan2(F.lit(1.0), -x) / PI, F.atan2(F.lit(1.0), x) / PI)),
     "halfcauchy": lambda: closed(lambda p, q: 1 / F.tan(PI / 2 * q), lambda x: (2 / PI * F.atan(positive(x)), 2 / PI * F.atan2(F.lit(1.0), positive(x)))),
@@ -378,7 +386,7 @@ LAWS: dict[str, Callable[..., Law]] = {
     "betaprime": lambda a, b: scaled(f_law(2 * a, 2 * b), a / b),
     "f": lambda dfn, dfd: f_law(float(dfn), float(dfd)),
     "t": lambda df: from_tables("t", (float(df),), F.sinh, F.asinh),
-    "invgauss": lambda mu: from_tables("invgauss", (float(mu),), F.exp, lambda x: F.log(F.greatest(x, F.lit(1e-300)))),
+    "invgauss": lambda mu: above_zero(from_tables("invgauss", (float(mu),), F.exp, lambda x: F.log(F.greatest(x, F.lit(1e-300))))),
     "wald": lambda: LAWS["invgauss"](1.0),
 }
 
@@ -397,7 +405,7 @@ def law(name: str, shapes: dict[str, Any]) -> Law:
 def between(of: Law, low: Column | None, high: Column | None, u: Column) -> Column:
     """A draw of a law from what lies between two values. Worked out in the tail that the lower value stands in, so that ranges far
     out keep their digits."""
-    ends = F.struct((of.odds(low) if low is not None else F.lit(-1e9)).alias("a"), (of.odds(high) if high is not None else F.lit(1e9)).alias("b"))
+    ends = F.struct((of.odds(low) if low is not None else F.lit(-OUTSIDE)).alias("a"), (of.odds(high) if high is not None else F.lit(OUTSIDE)).alias("b"))
 
     def drawn(e: Column) -> Column:
         upper = e["a"] > 0
@@ -407,8 +415,16 @@ def between(of: Law, low: Column | None, high: Column | None, u: Column) -> Colu
     return bound(bound(ends, drawn), of.quantile)
 
 
+def reaches(of: Law, low: Column | None, high: Column | None) -> Column:
+    """Whether any of a law's range lies between two values."""
+    out = F.lit(True)
+    for x, beyond in ((low, lambda z: z >= OUTSIDE), (high, lambda z: z <= -OUTSIDE)):
+        out = out if x is None else out & ~bound(of.odds(x), beyond)
+    return out
+
+
 def mass(of: Law, low: Column | None, high: Column | None) -> Column:
     """The chance of what lies between two values."""
-    ends = F.struct((of.odds(low) if low is not None else F.lit(-1e9)).alias("a"), (of.odds(high) if high is not None else F.lit(1e9)).alias("b"))
+    ends = F.struct((of.odds(low) if low is not None else F.lit(-OUTSIDE)).alias("a"), (of.odds(high) if high is not None else F.lit(OUTSIDE)).alias("b"))
     told = lambda e: F.when(e["a"] > 0, chance_of(-e["a"]) - chance_of(-e["b"])).otherwise(chance_of(e["b"]) - chance_of(e["a"]))
     return F.greatest(bound(ends, told), F.lit(0.0))

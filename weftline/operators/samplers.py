@@ -515,12 +515,17 @@ def continuous(of: laws.Law, loc: float, scale: float, limits: Limits, whole: bo
     # Where rounding leaves a draw at an open bound, a value beside it.
     ends = [x for x in (low, high, (low + high) / 2 if low is not None and high is not None else None) if x is not None]
     beside = [y for x in ends for y in (x, x + F.abs(x) * 2.0**-50 + 1e-300, x - F.abs(x) * 2.0**-50 - 1e-300)]
-    feasible = F.lit(True) if low is None or high is None else low <= high
+    feasible = laws.reaches(of, *inner) if low is None or high is None else (low <= high) & laws.reaches(of, *inner)
     return [F.when(feasible, x) for x in (kept, *beside)]
 
 
-def whole_numbers(cdf: list[float], limits: Limits, u: Column) -> list[Column]:
-    """Of a discrete distribution from 0 on. Where no chance that is told lies within the limits, the least number within them."""
+#: Discrete distributions without an end, whose chances are told up to some number only.
+ENDLESS = ("poisson", "nbinom")
+
+
+def whole_numbers(cdf: list[float], limits: Limits, u: Column, endless: bool = False) -> list[Column]:
+    """Of a discrete distribution from 0 on. Of one that is ``endless``, where no chance that is told lies within the limits, the
+    least number within them."""
     held, n = F.array(*map(F.lit, cdf)), len(cdf)
 
     def below(k: Column) -> Column:
@@ -530,7 +535,8 @@ def whole_numbers(cdf: list[float], limits: Limits, u: Column) -> list[Column]:
     high = F.least(limits.greatest, F.lit(float(n))) if limits.greatest is not None else F.lit(float(n))
     p, q = below(low - 1), below(high)
     k = by_cdf(p + (q - p) * u, cdf).cast("double")
-    return [F.when(low <= high, F.least(F.greatest(k, low), high)).cast("long"), F.when(q <= p, low).cast("long")]
+    out = [F.when((low <= high) & (q > p), F.least(F.greatest(k, low), high)).cast("long")]
+    return [*out, F.when(q <= p, low).cast("long")] if endless else out
 
 
 def kept_values(values: list, weights: list[float] | None, constraints: list[Constraint], u: Column) -> list[Column] | None:
@@ -575,7 +581,7 @@ def named_within(name: str, params: dict[str, Any], limits: Limits, whole: bool,
     """Draws of a named distribution within the limits."""
     shapes, loc, scale = parted(params)
     if name in DISCRETE:
-        return whole_numbers(DISCRETE[name](shapes), limits, u)
+        return whole_numbers(DISCRETE[name](shapes), limits, u, name in ENDLESS)
     if name in ("geom", "randint"):
         low, high = limits.least, limits.greatest
         low = F.lit(-1e300) if low is None else low - int(loc)
@@ -606,7 +612,7 @@ def within(kind: str, p: dict[str, Any], constraints: list[Constraint], whole: b
         return named_within(p["dist_name"], p.get("dist_params") or {}, limits, whole, u)
     if kind in ("bernoulli", "binomial", "poisson"):
         name = {"bernoulli": "bernoulli", "binomial": "binom", "poisson": "poisson"}[kind]
-        return whole_numbers(DISCRETE[name](p | {"mu": p.get("mean")}), limits, u)
+        return whole_numbers(DISCRETE[name](p | {"mu": p.get("mean")}), limits, u, name in ENDLESS)
     if kind == "bernoulli_mixture":
         return mixture_within(p, constraints, limits, whole, draw)
     if kind == "category":
