@@ -31,6 +31,7 @@ from weftline.functions.template import Compiler
 from weftline.operators.gate import Address, Leases
 from weftline.operators.samplers import SamplerError, pick
 from weftline.operators.validate import code_block, conforms, pruned, struct_of
+from weftline.sources.media import IMAGES, MediaError, MediaStore
 
 
 class ModelError(RuntimeError):
@@ -262,8 +263,26 @@ def output_type(c: Any) -> T.DataType:
 
 def context_blocks(columns: list[str], kind: str) -> list[Column]:
     """Attachments as content blocks: an url as it is, anything else as base64 with its format by its first bytes."""
-    url = lambda c: F.col(c).rlike("^https?://")
-    return [F.struct(F.lit(kind).alias("type"), F.when(url(c), "url").otherwise("base64").alias("form"), F.when(~url(c), media_format(F.col(c))).alias("format"), F.col(c).alias("value")) for c in columns]
+    return [context_block(F.col(c), kind) for c in columns]
+
+
+def context_block(value: Column, kind: str) -> Column:
+    url = value.rlike("^https?://")
+    return F.struct(F.lit(kind).alias("type"), F.when(url, "url").otherwise("base64").alias("form"), F.when(~url, media_format(value)).alias("format"), value.alias("value"))
+
+
+def attachments(schema: T.StructType, columns: list[str], kind: str) -> list[Column]:
+    """Arrays of content blocks; a column of lists, as image columns are, gives a block for each element."""
+    several = lambda c: isinstance(schema[c].dataType, T.ArrayType)
+    return [F.coalesce(F.transform(F.col(c), lambda x: context_block(x, kind)), F.array()) if several(c) else F.array(context_block(F.col(c), kind)) for c in columns]
+
+
+def with_image(block: dict, media: MediaStore | None) -> dict:
+    """A content block whose value is the path of one of the dataset's images, with the image itself."""
+    if media is None or block["form"] != "base64" or not block["value"].startswith(f"{IMAGES}/"):
+        return block
+    value, kind = media.load(block["value"])
+    return block | {"value": value, "format": kind}
 
 
 def media_format(base64: Column) -> Column:
@@ -326,13 +345,13 @@ def drawn_parameters(parameters: dict, seed: int, alias: str, row: Column) -> di
     return out
 
 
-def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0, rules: CallRules | None = None, defaults: dict | None = None, tools: dict[str, Callable] | None = None, off: str | None = None, instead: Any = None, gate: Address | None = None) -> DataFrame:
+def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0, rules: CallRules | None = None, defaults: dict | None = None, tools: dict[str, Callable] | None = None, off: str | None = None, instead: Any = None, gate: Address | None = None, media: MediaStore | None = None) -> DataFrame:
     """Adds the column, with its trace, its reasoning and its usage where asked for, by one call for each row.
 
     Rows for which the column ``off`` is true aren't asked for and get ``instead``. Rows whose call failed for good are marked
     in ``_drop_reason`` where there is such a column, else left out. ``params["context"]`` names columns of attachments by kind,
     ``params["tools"]`` the tools that the model may ask for. All tasks share the limit of ``gate``; without one each task has a limit
-    of its own.
+    of its own. With ``media`` images become files there and cells hold their paths; a call whose answer is no image failed.
     """
     rules, instead = rules or CallRules(), stand_in(instead, output_type(c))
     compiler = Compiler(df.schema, seed, F.col("_row_id") if "_row_id" in df.columns else None)
@@ -343,8 +362,8 @@ def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0
     else:
         prompt = compiler.render(c.prompt)
     system = compiler.render(c.system_prompt) if c.system_prompt else F.lit(None).cast("string")
-    blocks = [b for kind, columns in (c.params.get("context") or {}).items() for b in context_blocks(columns, kind)]
-    context = F.to_json(F.filter(F.array(*blocks), lambda b: b["value"].isNotNull())) if blocks else F.lit(None).cast("string")
+    blocks = [b for kind, columns in (c.params.get("context") or {}).items() for b in attachments(df.schema, columns, kind)]
+    context = F.to_json(F.filter(F.concat(*blocks), lambda b: b["value"].isNotNull())) if blocks else F.lit(None).cast("string")
     trace, reasoning, usage = f"{c.name}__trace", f"{c.name}__reasoning_content", f"{c.name}__usage"
     marks = "_drop_reason" in df.columns
     fields = [*df.schema.fields, T.StructField(c.name, output_type(c))]
@@ -360,20 +379,20 @@ def generate_model_column(df: DataFrame, c: Any, client: Callable, seed: int = 0
 
     def one(p: str | None, s: str | None, attached: str | None, drawn: str, admission: Admission | SharedAdmission) -> tuple[Any, str | None, str | None, str | None, str | None]:
         """Value, trace, reasoning, usage and fault."""
-        content = [{"type": "text", "text": p}, *json.loads(attached)] if attached and attached != "[]" else p
-        messages = ([{"role": "system", "content": s}] if s else []) + [{"role": "user", "content": content}]
         try:
+            content = [{"type": "text", "text": p}, *(with_image(b, media) for b in json.loads(attached))] if attached and attached != "[]" else p
+            messages = ([{"role": "system", "content": s}] if s else []) + [{"role": "user", "content": content}]
             if p is None:
                 raise ModelError(UNRENDERED)
             told = parameters | json.loads(drawn)
             if kind in ("embedding", "image"):
                 answer = call(client, kind, messages, told, admission)
                 data = answer["data"]
-                value = {"embeddings": data, "num_embeddings": len(data), "dimension": len(data[0]) if data else 0} if kind == "embedding" else data
+                value = {"embeddings": data, "num_embeddings": len(data), "dimension": len(data[0]) if data else 0} if kind == "embedding" else [media.save(x, c.name) for x in data] if media else data
                 return value, None, None, json.dumps(answer.get("usage")), None
             value, answer, talk = converse(client, kind, messages, told, parse, corrections, restarts, admission, held, rules.tool_budget)
             return value, json.dumps(talk), answer.get("reasoning"), json.dumps(answer.get("usage")), None
-        except ModelError as e:
+        except (ModelError, MediaError) as e:
             return None, None, None, None, str(e) or "failed"
 
     def run(frames: Iterator[Any]) -> Iterator[Any]:

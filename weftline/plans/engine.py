@@ -6,7 +6,7 @@ making the blocks that are missing, and a dataset is extended by further ids;
 either gives what one run would have given.
 
 The plan is run once: where there is more than one thing to write (dropped columns,
-processors' datasets), or processors act on what was made, the made rows are written
+processors' datasets, images' manifest), or processors act on what was made, the made rows are written
 to a staging folder first and all else is read from there, so what models answered
 is the same everywhere and each call is made once. Why rows were dropped is counted
 on the way.
@@ -29,6 +29,7 @@ from weftline.operators.sketches import merged, sketched
 from weftline.operators.validate import RemoteRules
 from weftline.plans.config import Builder, Config, ConfigError, lint
 from weftline.plans.planner import GROUP, ROW, Planner, Resources
+from weftline.sources.media import IMAGE_MANIFEST, IMAGES, MediaStore, manifest, swept
 from weftline.sources.shared import written
 
 DATA, DROPPED, SIDE, SKETCHES, META, STAGING = "parquet-files", "dropped-columns", "processors-files", "column-sketches", "metadata.json", "_staging"
@@ -154,6 +155,11 @@ class Results:
     def percent_complete(self) -> float:
         return percent_complete(self.count_records(), self.metadata["target"])
 
+    def load_images(self) -> DataFrame:
+        """The image columns' files: path (as cells hold it), length, content."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.path}/{IMAGES}")
+        return files.select(F.regexp_extract("path", f"({IMAGES}/[^/]+/[^/]+/[^/]+)$", 1).alias("path"), "length", "content")
+
     def export(self, path: str) -> None:
         """One file of the kind that the name's end says. Text is written in parts by all tasks, whose bytes are then joined in order,
         with one header; of Parquet, whose files can't be joined so, one task writes all."""
@@ -308,22 +314,26 @@ class Engine:
             elif rc.resume == "always":
                 raise RunError("the dataset there was made by another config, or was processed as a whole, and can't be resumed")
         if fresh:
-            for name in (DATA, DROPPED, SIDE, SKETCHES, META, STAGING, f"{STAGING}-batch"):
+            for name in (DATA, DROPPED, SIDE, SKETCHES, IMAGES, IMAGE_MANIFEST, META, STAGING, f"{STAGING}-batch"):
                 folder.delete(name)
         folder.write(META, json.dumps(meta | {"complete": False}))
-        wide = meta["groups_of_block"]
+        wide, pictures = meta["groups_of_block"], [c.name for c in config.columns if c.kind == "image"]
         if todo is None or todo:
             planner = self.planner(config, count)
+            planner.media = MediaStore(path.rstrip("/")) if pictures else None
             marked = self.rows(config, planner, count, todo, wide)
             reasons, seen = [f"{c.name}:{why}" for c in config.columns for why in ("render", "empty", "cast", "model", "stopped")], Observation()
             marked = marked.observe(seen, *(F.count_if(F.coalesce(F.col(DROP) == r, F.lit(False))).alias(r) for r in reasons), F.count(F.lit(1)).alias("rows"), F.bitmap_construct_agg(F.when(F.endswith(DROP, F.lit(":stopped")), F.floor(F.col(GROUP) / wide))).alias("stopped"))
             df = self.made(marked)
-            if acts or self.processors(config) or len(self.finish(config, df)[1]):
+            if acts or pictures or self.processors(config) or len(self.finish(config, df)[1]):
                 df = self.staged(df, f"{path.rstrip('/')}/{STAGING}")
+                named = manifest(df, pictures, GROUP) if pictures else None
                 df = self.batched(config, df, lambda x: self.staged(x, f"{path.rstrip('/')}/{STAGING}-batch"))
                 df = self.whole(config, df)
                 df = written(df, "processed") if acts else df
             main, side = self.finish(config, df)
+            if pictures:
+                side[IMAGE_MANIFEST] = named
             for name, out in [*side.items(), (DATA, main)]:  # the main data come last: a block there means that all of it is there
                 self.write(out, f"{path.rstrip('/')}/{name}", wide)
             folder.delete(STAGING)
@@ -331,6 +341,11 @@ class Engine:
             planner.close()
             meta["incomplete"] = bits_of(seen.get["stopped"])
             meta["dropped"] = {r: n for r in reasons if (n := meta["dropped"].get(r, 0) + (seen.get[r] or 0))}
+        if pictures and folder.names(IMAGE_MANIFEST):
+            # Any run may have left files behind, so the sweep takes place even where no block was missing.
+            meta["images"] = swept(self.spark, path.rstrip("/"), pictures, self.spark.read.parquet(f"{path.rstrip('/')}/{IMAGE_MANIFEST}"))
+            if meta["images"]["missing"]:
+                raise RunError(f"{meta['images']['missing']} images aren't there any more")
         if not acts:
             done = self.blocks(folder, wide)
             meta["empty"] = [b for b in range(-(-groups // wide)) if b not in done and b not in meta["incomplete"]]

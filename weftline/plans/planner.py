@@ -26,6 +26,7 @@ from weftline.operators.people import derived, person, projected, sample_people
 from weftline.operators.samplers import Draw, redrawn
 from weftline.operators.validate import RemoteRules, validate_code, validate_local, validate_remote
 from weftline.plans.config import ColumnConfig, Config, ConfigError
+from weftline.sources.media import MediaStore
 from weftline.sources.seeds import INDEX, UNIT, HydratedSource, attach, indexed, selected
 
 ROW = "_row_id"
@@ -87,6 +88,7 @@ class Planner:
         """``total`` is how many rows the whole dataset has, where a plan makes a part of them."""
         self.spark, self.config, self.resources, self.buffer_size = spark, config, resources or Resources(), buffer_size
         self.rules, self.remote, self.total = rules or CallRules(), remote or RemoteRules(), total
+        self.media: MediaStore | None = None  # where images go; null: they stay base64 in their cells
         self.gates: dict[str, Address] = {}  # of each model, shared by its columns and all their tasks
 
     def rows(self, count: int, start: int = 0, groups: list[int] | None = None, width: int = 1) -> DataFrame:
@@ -237,7 +239,7 @@ class Planner:
         if c.kind == "custom":
             return custom(df, c, r.functions[c.name], instead)
         parameters = next((m.parameters for m in self.config.models if m.alias == c.model_alias), {})
-        return generate_model_column(df, c, r.models[c.model_alias], self.config.seed, self.rules, parameters, r.tools, OFF, instead, self.gate(str(c.model_alias)))
+        return generate_model_column(df, c, r.models[c.model_alias], self.config.seed, self.rules, parameters, r.tools, OFF, instead, self.gate(str(c.model_alias)), self.media)
 
     def gate(self, alias: str) -> Address:
         """The gate of a model's calls. It stays open as long as the plan may be run; ``close`` ends it."""

@@ -5,6 +5,8 @@ Runs write to the shared folder of the session and read back what they wrote.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -25,6 +27,7 @@ from weftline.plans.config import Builder, ProcessorConfig, Skip, lint
 from weftline.plans.engine import GROUP, PROCESSORS, Engine, Folder, Processor, RunConfig, Workflow, register_processor
 from weftline.plans.planner import COLUMN_KINDS, ROW, Planner, Resources, register_column_kind
 from weftline.queries import NUMBERED, ORACLE, SEED, drawn, indexed, orders, query, seeded, table, templated, u
+from weftline.sources.media import IMAGE_MANIFEST
 from weftline.sources.seeds import READERS, DirectorySource, FileContentsSource, HubSource, IndexRange, LocalFileSource, hydrate, register_reader, selected
 from weftline.sources.shared import shared_root
 
@@ -627,6 +630,33 @@ def run_resume(spark, d):
     return Engine(spark, run_config=rc).create(shaped(spark, d), 40, path).load_dataset()
 
 
+def drawing(kind: str, messages: list[dict], parameters: dict) -> dict:
+    """A stand-in whose images are a PNG's head and each line of the prompt; text answers tell the attachments' digests."""
+    said = messages[-1]["content"]
+    if kind == "image":
+        return {"data": [base64.b64encode(b"\x89PNG\r\n\x1a\n" + line.encode()).decode() for line in said.split("\n")]}
+    return {"content": ",".join(f"{b['format']}:{hashlib.sha256(base64.b64decode(b['value'])).hexdigest()}" for b in said if b["type"] == "image")}
+
+
+def png_sha(line: str) -> str:
+    return f"sha256('\\x89PNG\\x0D\\x0A\\x1A\\x0A'::BLOB || encode({line}))"
+
+
+@query(f"WITH seen AS (SELECT s_suppkey, {png_sha('s_name')} AS own, {png_sha('CAST(s_nationkey AS VARCHAR)')} AS shared FROM supplier), files AS (SELECT shared AS sha, count(*) AS named FROM seen GROUP BY ALL UNION ALL SELECT own, 1 FROM seen) SELECT s_suppkey, 'images/pic/' || left(own, 3) || '/' || own || '.png' AS own, 'images/pic/' || left(shared, 3) || '/' || shared || '.png' AS shared, own AS own_sha, shared AS shared_sha, named, 'png:' || own || ',png:' || shared AS told FROM seen JOIN files ON sha = shared")
+def run_images(spark, d):
+    """Two images a row as files beside the dataset, of which the second is one file for each nation; a model gets them as attachments."""
+    b = Builder(SEED).add_model("m", "any").with_seed(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"))
+    b.add_column(name="pic", kind="image", model_alias="m", prompt="{{ s_name }}\n{{ s_nationkey }}")
+    b.add_column(name="told", kind="llm-text", model_alias="m", prompt="{{ s_name }}", params={"context": {"image": ["pic"]}})
+    rows = table(spark, d, "supplier").count()
+    made = Engine(spark, Resources(models={"m": drawing})).create(b, rows, folder(spark, "images"))
+    files = made.load_images().select("path", F.sha2("content", 256).alias("sha"))
+    named = spark.read.parquet(f"{made.path}/{IMAGE_MANIFEST}").groupBy("path").agg(F.sum("rows").alias("named"))
+    data = made.load_dataset().select("s_suppkey", F.col("pic")[0].alias("own"), F.col("pic")[1].alias("shared"), "told")
+    both = data.join(files.select(F.col("path").alias("own"), F.col("sha").alias("own_sha")), "own").join(files.select(F.col("path").alias("shared"), F.col("sha").alias("shared_sha")), "shared")
+    return both.join(named.withColumnRenamed("path", "shared"), "shared").select("s_suppkey", "own", "shared", "own_sha", "shared_sha", "named", "told")
+
+
 @query(f"SELECT n_nationkey, n_name, k FROM ({_R40})")
 def run_export(spark, d):
     """One file of JSON lines, read back."""
