@@ -7,7 +7,7 @@ from weftline.functions.template import Compiler, TemplateError, parse, referenc
 from weftline.operators.expressions import DROP, drop_columns, drop_marked, expression, schema_transform
 from weftline.operators.generate import Admission, EchoClient, ModelError, call, converse, fitted_score, tool_turns
 from weftline.operators.profile import categorical, general, numerical, simple_type, stratified
-from weftline.operators.rollouts import read_rollouts, span
+from weftline.operators.rollouts import read_rollouts, when_written
 from weftline.operators.samplers import Constraint, Draw, SamplerError, SamplerSpec, date_pattern
 from weftline.operators.validate import conforms, pruned, python_verdict, validate_code, validate_local, validate_remote
 from weftline.plans.config import Builder, ColumnConfig, ConfigError, ProcessorConfig, Skip, config_of, lint
@@ -328,7 +328,9 @@ def test_rollouts(spark, tmp_path):
     assert (r.message_count, r.tool_call_count, r.cwd) == (3, 1, "/a")
     put("hermes/session_h.json", [{"session_id": "h", "system_prompt": "sys", "messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "v"}]}])
     assert read_rollouts(spark, "hermes_agent", str(tmp_path / "hermes")).collect()[0].message_count == 3
-    assert span(["2025-01-01T00:00:00+02:00", "2024-12-31T23:00:00", "bad"]) == ("2025-01-01T00:00:00+02:00", "2024-12-31T23:00:00")
+    times = spark.createDataFrame([(["2025-01-01T00:00:00+02:00", "2024-12-31T23:00:00", "bad", None],)], "t array<string>").select(F.transform("t", when_written).alias("w"))
+    r = times.select(F.array_min("w")["text"].alias("first"), F.array_max("w")["text"].alias("last")).first()
+    assert (r["first"], r["last"]) == ("2025-01-01T00:00:00+02:00", "2024-12-31T23:00:00")
 
 
 def test_stream_seeds(spark, tmp_path):

@@ -20,7 +20,7 @@ from weftline.functions.template import references
 from weftline.operators import people as pe
 from weftline.operators import profile as pr
 from weftline.operators.generate import EchoClient, drawn_parameters, fitted_score, media_format, usage_totals
-from weftline.operators.rollouts import parsed_rollouts
+from weftline.operators.rollouts import MESSAGE, parsed_rollouts
 from weftline.operators.samplers import Draw
 from weftline.operators.validate import conforms, list_of_text, pruned, validate_code, validate_local, validate_remote
 from weftline.plans.config import Builder, ProcessorConfig, Skip, lint
@@ -153,6 +153,28 @@ def rollout_codex(spark, d):
     return told(parsed_rollouts(sessions(spark, d, line, head, ".jsonl"), "codex"))
 
 
+_TALK = """SELECT conv_id, turn, 0 AS part, role, coalesce(text, '') AS content, NULL AS thought, NULL AS call_id, NULL AS arguments FROM conversations WHERE role <> 'assistant'
+UNION ALL SELECT conv_id, turn, 0, 'assistant', '', 'why ' || turn || chr(10) || chr(10) || 'aside', 'k' || turn, coalesce(text, '{}') FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn, 1, 'tool', coalesce(text, ''), NULL, 'k' || turn, NULL FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn, 2, role, coalesce(text, ''), NULL, NULL, NULL FROM conversations WHERE role = 'assistant'"""
+
+
+@query(f"SELECT 'c' || conv_id AS trace_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1 AS INT) AS place, role, content, thought, call_id, arguments, strftime(TIMESTAMP '2025-01-01' + to_seconds(CAST(min(turn) OVER (PARTITION BY conv_id) AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS started_at FROM ({_TALK})")
+def rollout_messages(spark, d):
+    """Every message of rollouts in which assistants think, patch a file, see what came of it and answer."""
+    said, key = F.col("text"), F.concat(F.lit("k"), F.col("turn").cast("string"))
+    when = F.date_format(F.timestamp_seconds(F.lit(1735689600) + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = lambda kind, **p: F.to_json(F.struct(when.alias("timestamp"), F.lit(kind).alias("type"), F.struct(*((x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in p.items())).alias("payload")))
+    why = F.array(F.struct(F.concat(F.lit("why "), F.col("turn").cast("string")).alias("text")))
+    talk = line("response_item", type="message", role=F.col("role"), content=said)
+    acts = [line("response_item", type="reasoning", summary=why), line("event_msg", type="agent_reasoning", text="aside"), line("response_item", type="apply_patch_call", call_id=key, name="patch", input=said), line("response_item", type="apply_patch_call_output", call_id=key, output=said), line("event_msg", type="token_count")]
+    head = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.first(session()).alias("id")).alias("payload")))
+    files = sessions(spark, d, F.when(F.col("role") == "assistant", F.concat_ws("\n", *acts, talk)).otherwise(talk), head, ".jsonl")
+    each = parsed_rollouts(files, "codex").select("trace_id", "started_at", F.posexplode(F.from_json("messages", f"array<{MESSAGE}>")).alias("place", "m"))
+    call = F.get("m.tool_calls", F.lit(0))
+    return each.select("trace_id", "place", "m.role", "m.content", F.col("m.reasoning_content").alias("thought"), F.coalesce(call["id"], F.col("m.tool_call_id")).alias("call_id"), call["function"]["arguments"].alias("arguments"), "started_at")
+
+
 @query(rollout_sql("hermes_agent", more=1))
 def rollout_hermes(spark, d):
     """A session file's system prompt is its first message."""
