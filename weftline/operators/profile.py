@@ -98,10 +98,10 @@ def valid_counts(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn("percent_valid", percent(F.col("num_valid"), F.col("num_records")))
 
 
-def judge_scores(df: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """name, score, reasoning in long form: one row for each score of each row."""
+def judge_scores(df: DataFrame, column: str, names: list[str], key: str | None = None) -> DataFrame:
+    """name, score, reasoning in long form: one row for each score of each row, with the row's ``key`` as ``row`` where one is named."""
     each = F.array(*(F.struct(F.lit(n).alias("name"), F.col(column)[n]["score"].cast("string").alias("score"), F.col(column)[n]["reasoning"].alias("reasoning")) for n in names))
-    return df.select(F.explode(each).alias("x")).select("x.*")
+    return df.select(*([F.col(key).alias("row")] if key else []), F.explode(each).alias("x")).select(*(["row"] if key else []), "x.*")
 
 
 def judge_distribution(scores: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ class Config:
     processors: list[ProcessorConfig] = field(default_factory=list)
     models: list[ModelConfig] = field(default_factory=list)
     tools: list[dict[str, Any]] = field(default_factory=list)
-    profilers: list[str] = field(default_factory=list)
+    profilers: list[str | dict[str, Any]] = field(default_factory=list)  # names, or names with parameters
     seed_config: SeedConfig | None = None
     seed: int = 0
 
@@ -229,12 +229,18 @@ class Builder:
         self.config.models = [m for m in self.config.models if m.alias != alias]
         return self
 
-    def add_tool(self, **tool: Any) -> Builder:
-        self.config.tools.append(tool)
+    def add_tool(self, tool_alias: str, allow_tools: list[str] | None = None, max_tool_call_turns: int = 5, timeout_sec: float | None = None, **more: Any) -> Builder:
+        """What columns that name the alias (``params["tool_alias"]``) may ask for: tools by name (all where null), for how many turns,
+        and how long one may take. An alias that is there is replaced."""
+        if max_tool_call_turns < 1 or timeout_sec is not None and timeout_sec <= 0:
+            raise ConfigError("a tool config needs one turn at least, and a time above 0")
+        self.config.tools = [t for t in self.config.tools if t["tool_alias"] != tool_alias]
+        self.config.tools.append({"tool_alias": tool_alias, "allow_tools": allow_tools, "max_tool_call_turns": max_tool_call_turns, "timeout_sec": timeout_sec} | more)
         return self
 
-    def add_profiler(self, name: str) -> Builder:
-        self.config.profilers.append(name)
+    def add_profiler(self, name: str, **params: Any) -> Builder:
+        """A profiler of ``Engine.analyze``, with its parameters."""
+        self.config.profilers.append({"name": name, **params} if params else name)
         return self
 
     def with_seed(self, source: Any, strategy: str = "ordered", selection: Any = None, order_by: list[str] | None = None) -> Builder:
@@ -299,6 +305,8 @@ def lint(config: Config, seed_columns: list[str] | None = None) -> list[Finding]
         if c.kind.startswith("llm") or c.kind in ("image", "embedding"):
             if c.model_alias not in {m.alias for m in config.models}:
                 add("ERROR", "invalid_model_config", c.name, f"no model has the alias {c.model_alias!r}")
+            if (alias := c.params.get("tool_alias")) is not None and alias not in {t["tool_alias"] for t in config.tools}:
+                add("ERROR", "invalid_tool_config", c.name, f"no tools have the alias {alias!r}")
             if c.prompt is not None and not needs:
                 add("WARNING", "prompt_without_references", c.name, "the prompt names no column, so all rows are alike")
             if c.prompt is not None and "{{" not in c.prompt and "{" in c.prompt:

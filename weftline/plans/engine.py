@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.expressions import DROP, drop_columns, schema_transform
 from weftline.operators.generate import CallRules, health_check
-from weftline.operators.profile import distribution_kind, general, percent_complete, profile
+from weftline.operators.profile import distribution_kind, general, judge_distribution, judge_scores, judge_summaries, percent_complete, profile
 from weftline.operators.sketches import merged, sketched
 from weftline.operators.validate import RemoteRules
 from weftline.plans.config import Builder, Config, ConfigError, lint
@@ -86,6 +86,33 @@ def register_processor(kind: str, processor: type[Processor]) -> None:
     PROCESSORS[kind] = processor
 
 
+#: What profilers tell of a finished dataset: ``profiler(results, resources, **params)`` gives DataFrames by name.
+PROFILERS: dict[str, Callable[..., dict[str, DataFrame]]] = {}
+
+
+def register_profiler(name: str, profiler: Callable[..., dict[str, DataFrame]]) -> None:
+    if name in PROFILERS:
+        raise ConfigError(f"there is a profiler {name!r} already")
+    PROFILERS[name] = profiler
+
+
+def profile_judges(results: Results, resources: Resources, model_alias: str | None = None, summary_score_sample_size: int | None = 20) -> dict[str, DataFrame]:
+    """Of each judge column: how its scores are distributed, and a model's summary of each score, where one is named."""
+    data, out = results.spark.read.option("mergeSchema", "true").parquet(f"{results.path}/{DATA}"), {}
+    for c in results.config.columns:
+        if c.kind == "llm-judge" and c.name in data.columns:
+            names = [s["name"] for s in c.scores]
+            out[f"judge_scores:{c.name}"] = judge_distribution(judge_scores(data, c.name, names))
+            if model_alias is not None and summary_score_sample_size:
+                each = [judge_scores(data, c.name, [n], ROW) for n in names]
+                told = [x for s in each for x in judge_summaries(s, resources.models[model_alias], summary_score_sample_size).items()]
+                out[f"judge_summaries:{c.name}"] = results.spark.createDataFrame(told, "name string, summary string")
+    return out
+
+
+register_profiler("judge_scores", profile_judges)
+
+
 class Folder:
     """Small files of a dataset, through Hadoop's file systems."""
 
@@ -214,6 +241,25 @@ class Engine:
         """The fault of each model that can't be reached."""
         return health_check(self.resources.models)
 
+    def check_tools(self, config: Config) -> dict[str, str | None]:
+        """The fault of each tool config whose tools aren't there."""
+        out: dict[str, str | None] = {}
+        for t in config.tools:
+            lacking = [n for n in t.get("allow_tools") or [] if n not in self.resources.tools]
+            out[t["tool_alias"]] = f"nobody brings {', '.join(lacking)}" if lacking else None if self.resources.tools else "there are no tools"
+        return out
+
+    def analyze(self, results: Results, exact: bool = True) -> dict[str, DataFrame]:
+        """The statistics of a dataset and what the config's profilers tell of it."""
+        out = results.load_analysis(exact)
+        for p in results.config.profilers:
+            params = dict(p) if isinstance(p, dict) else {"name": p}
+            name = params.pop("name")
+            if name not in PROFILERS:
+                raise ConfigError(f"no profiler is named {name!r}")
+            out |= PROFILERS[name](results, self.resources, **params)
+        return out
+
     def planner(self, config: Config, total: int | None = None) -> Planner:
         rc = self.run_config
         return Planner(self.spark, config, self.resources, rc.buffer_size, rc.calls, rc.remote, total)
@@ -301,6 +347,8 @@ class Engine:
         config, folder, rc = self.validate(builder), Folder(self.spark, path), self.run_config
         if rc.check_models and (faults := {k: v for k, v in self.check_models().items() if v}):
             raise RunError(f"models can't be reached: {faults}")
+        if rc.check_models and (faults := {k: v for k, v in self.check_tools(config).items() if v}):
+            raise RunError(f"tools aren't there: {faults}")
         acts = any(p.acts("after_generation") for p in self.processors(config))
         groups = -(-count // rc.buffer_size)
         meta: dict[str, Any] = {"target": count, "buffer_size": rc.buffer_size, "fingerprint": config.fingerprint(), "preserve_dropped": rc.preserve_dropped, "groups_of_block": -(-groups // MOST_BLOCKS) or 1, "empty": [], "incomplete": [], "dropped": {}}

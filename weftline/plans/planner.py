@@ -11,7 +11,8 @@ go through it beside the others, and its function never sees them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from threading import Thread
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -239,7 +240,21 @@ class Planner:
         if c.kind == "custom":
             return custom(df, c, r.functions[c.name], instead)
         parameters = next((m.parameters for m in self.config.models if m.alias == c.model_alias), {})
-        return generate_model_column(df, c, r.models[c.model_alias], self.config.seed, self.rules, parameters, r.tools, OFF, instead, self.gate(str(c.model_alias)), self.media)
+        c, rules, tools = self.with_tools(c)
+        return generate_model_column(df, c, r.models[c.model_alias], self.config.seed, rules, parameters, tools, OFF, instead, self.gate(str(c.model_alias)), self.media)
+
+    def with_tools(self, c: ColumnConfig) -> tuple[ColumnConfig, CallRules, dict[str, Callable]]:
+        """A column that names a tool config as one that names its tools, with the config's rules."""
+        alias = c.params.get("tool_alias")
+        if alias is None:
+            return c, self.rules, self.resources.tools
+        told = tools_of(self.config, alias)
+        names, limit = told.get("allow_tools"), told.get("timeout_sec")
+        tools = {n: timed(f, limit) if limit else f for n, f in self.resources.tools.items() if names is None or n in names}
+        if lacking := [n for n in names or [] if n not in tools]:
+            raise ConfigError(f"column {c.name!r} needs the tool {lacking[0]!r}, which nobody brings")
+        params = {k: v for k, v in c.params.items() if k != "tool_alias"} | {"tools": list(tools)}
+        return replace(c, params=params), replace(self.rules, tool_budget=told.get("max_tool_call_turns", self.rules.tool_budget)), tools
 
     def gate(self, alias: str) -> Address:
         """The gate of a model's calls. It stays open as long as the plan may be run; ``close`` ends it."""
@@ -255,6 +270,38 @@ class Planner:
         self.gates = {}
 
 
+def tools_of(config: Config, alias: str) -> dict[str, Any]:
+    for t in config.tools:
+        if t["tool_alias"] == alias:
+            return t
+    raise ConfigError(f"no tools have the alias {alias!r}")
+
+
+def timed(tool: Callable, seconds: float) -> Callable:
+    """The tool, or that it took too long. Its thread isn't stopped, but nobody waits for it."""
+
+    def run(**arguments: Any) -> Any:
+        said: list = []
+
+        def work() -> None:
+            try:
+                said.append((True, tool(**arguments)))
+            except Exception as e:  # the caller raises it
+                said.append((False, e))
+
+        thread = Thread(target=work, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        if not said:
+            return f"the tool took more than {seconds:g} seconds"
+        good, value = said[0]
+        if not good:
+            raise value
+        return value
+
+    return run
+
+
 #: The column that tells which rows a function is not to see.
 OFF = "_off"
 

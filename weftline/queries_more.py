@@ -553,6 +553,33 @@ def model_tools(spark, d):
     return modelled(spark, d, {"name": "t", "kind": "llm-text", "prompt": "{{ n_name }}", "params": {"tools": ["length"]}}, client=asking, tools={"length": lambda text: len(text)}).select("n_nationkey", "t")
 
 
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'it says ' || length(s_name) ELSE 'it says the tool ''length'' isn''t allowed' END AS t, CASE WHEN s_suppkey % 2 = 0 THEN 'it says ' || length(s_name) END AS again FROM supplier")
+def model_tool_config(spark, d):
+    """Columns that name configs of tools: one allows the tool that the model asks for, the other doesn't."""
+    rows = table(spark, d, "supplier").withColumns({ROW: F.col("s_suppkey").cast("long"), GROUP: F.lit(0).cast("long")})
+    b = Builder(SEED).add_model("m", "any").add_tool("all", timeout_sec=60).add_tool("other", ["upper"])
+    b.add_column(name="a", kind="llm-text", model_alias="m", prompt="{{ s_name }}", params={"tool_alias": "all"}, skip=Skip("s_suppkey % 2 == 1"))
+    b.add_column(name="b", kind="llm-text", model_alias="m", prompt="{{ s_name }}", params={"tool_alias": "other"}, skip=Skip("s_suppkey % 2 == 0"))
+    made = Planner(spark, b.build(), Resources(models={"m": asking}, tools={"length": lambda text: len(text), "upper": lambda text: text.upper()})).marked(rows)
+    return made.select("s_suppkey", F.coalesce("a", "b").alias("t"), F.col("a").alias("again"))
+
+
+# The stand-in answers a judge's n-th score by the n-th byte of the prompt's digest.
+_JUDGED = " UNION ALL ".join(f"SELECT '{name}' AS name, CAST(CAST('0x' || substr(sha256('judge ' || s_name), {2 * k + 1}, 2) AS BIGINT) % 3 AS VARCHAR) AS score FROM supplier" for k, name in enumerate(("clear", "short")))
+
+
+@query(f"SELECT name, score, count(*) AS n, true AS is_numerical, 'Sum up what these scores of ' || name || ' have in common.' AS asked FROM ({_JUDGED}) GROUP BY name, score")
+def judge_profile(spark, d):
+    """A dataset with a judge column, analyzed by the config's profiler: scores by name, and what the summaries' model was asked."""
+    b = Builder(SEED).add_model("m", "any").add_model("sum", "any").with_seed(table(spark, d, "supplier").select("s_name"))
+    b.add_column(name="j", kind="llm-judge", model_alias="m", prompt="judge {{ s_name }}", scores=[{"name": n, "options": {0: "no", 1: "some", 2: "yes"}} for n in ("clear", "short")])
+    b.add_profiler("judge_scores", model_alias="sum")
+    first_line = lambda kind, messages, parameters: {"content": messages[-1]["content"].split("\n")[0]}
+    engine = Engine(spark, Resources(models={"m": EchoClient(), "sum": first_line}))
+    told = engine.analyze(engine.create(b, table(spark, d, "supplier").count(), folder(spark, "judged")))
+    return told["judge_scores:j"].join(told["judge_summaries:j"].withColumnRenamed("summary", "asked"), "name").select("name", "score", "n", "is_numerical", "asked")
+
+
 @query("SELECT n_nationkey, CAST(5 AS BIGINT) AS k FROM nation")
 def model_corrections(spark, d):
     df = modelled(spark, d, {"name": "s", "kind": "llm-structured", "prompt": "{{ n_name }}", "output_format": {"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"]}, "params": {"max_correction_steps": 1}}, client=faulty)
