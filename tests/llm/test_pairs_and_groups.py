@@ -291,6 +291,25 @@ def test_spelling_equals_brute_force(spark, monkeypatch, limits):
     assert grouped(spelling.group_spellings(documents(spark, rows).repartition(3))) == want
 
 
+@pytest.mark.parametrize("limits", [{}, {"SHARD_WORDS": 20, "PASS_LETTERS": 900}])
+def test_spelling_of_words_in_many_files(spark, monkeypatch, limits):
+    """Spark reads larger files first and several in a task, so files of sorted words don't come in order."""
+    for name, value in limits.items():
+        monkeypatch.setattr(spelling, name, value)
+    r, rows = random.Random(5), []
+    for k in range(14):  # ever longer words towards the end of the alphabet, and ties between first letters
+        stem = "".join(r.choice("aeiouÿ") for _ in range(7 + 3 * k))
+        rows += [(100 * k + i, " ".join([c + stem] * times)) for i, (c, times) in enumerate([("b", 30), ("n", 30), ("z", 30), ("é", 30), ("m", 2), ("p", 3)])]
+        rows.append((100 * k + 50, " ".join([chr(98 + k) + stem + "xy"[i % 2] for i in range(8)])))
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = grouped(spelling.group_spellings(documents(spark, rows)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert got == spelling_brute(rows)
+
+
 def test_spelling_chain_of_forms(spark):
     text = " ".join(["chainaaa"] * 2 + ["chainaab"] * 20 + ["chainabb"] * 200 + ["chainbbb"] * 2000)
     rows = [(next(i for i in range(99) if all(zlib.crc32(f"{i}:{w}".encode()) % 31 for w in set(text.split()))), text)]

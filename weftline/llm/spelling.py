@@ -178,7 +178,8 @@ def shards(words: DataFrame) -> DataFrame:
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, n_near, form, form_n) of the words that have a neighbour; ``form`` is the neighbour of the largest count."""
     spark = words.sparkSession
-    cut = materialize(shards(words), "shards")
+    # Files of a table are read the largest first, several in a task, so the order that shards need is made in the same stage.
+    cut = materialize(shards(words.repartitionByRange(partitions(spark), "word").sortWithinPartitions("word")), "shards")
     passes, held = [[]], 0
     for r in cut.select("shard", "size").orderBy("shard").toLocalIterator():  # a row for each 131,072 words
         if passes[-1] and held + r["size"] > PASS_LETTERS:
