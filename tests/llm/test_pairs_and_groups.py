@@ -234,6 +234,27 @@ def test_vectors_of_odd_tables(spark):
     assert found(vectors.near_vectors(clash)) == [(1, 1, 1, True), (2, 1, 1, False)]
 
 
+def test_parity_rounds_take_few_tasks(spark):
+    """Rounds move little where few sets share blocks; with many shuffle partitions each step took as many tasks."""
+    r, said = random.Random(3), [f"w{i}" for i in range(400)]
+    texts = [[r.choice(said) for _ in range(60)] for _ in range(40)]
+    rows = [(100 * i + k, " ".join(x[: 60 - k])) for i, x in enumerate(texts) for k in range(3)]
+    had, tracker = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("parity-rounds", "parity")
+    try:
+        got = {x.doc_id: x.component_id for x in parity.near_duplicates(documents(spark, rows)).collect()}
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("parity-rounds")]
+        stages = [tracker.getStageInfo(k) for k in {k for j in jobs if j for k in j.stageIds}]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: i // 100 * 100 for i in got} and len(got) == 120
+    assert sum(x.numCompletedTasks for x in stages if x) < 640  # 743 where each shuffle has 48
+
+
 # ---- spelling
 
 

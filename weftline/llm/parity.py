@@ -66,6 +66,8 @@ MOST_AT_ONCE = 1 << 22
 PROPOSED = 3  # rounds in which nodes are held against a few others
 WAVE = 16  # one block in so many is compared in full before all are
 EACH = 3  # pairs of a node in a round
+LIGHT = 100_000  # rows of a few numbers for each task of a round's shuffles, at least
+HEAVY = 8 << 20  # bytes of elements
 KEY = "key long, n_shingles long, sid long"
 
 
@@ -286,8 +288,18 @@ def exact_sets(docs: DataFrame, keys: DataFrame, wanted: DataFrame, key: str, te
     return rows.mapInArrow(run, "sid long, n long, sketch binary, short binary, elements binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: those whose sketches allow it, by exact intersection."""
+def few(df: DataFrame, light: int, heavy: int = 0) -> DataFrame:
+    """``df`` in fewer tasks, where its rows are few for the shuffle's partitions; rounds have many small shuffles."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, light // LIGHT + heavy // HEAVY + 1)
+    return df.coalesce(tasks) if tasks < partitions(spark) else df
+
+
+def linked(pairs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: those whose sketches allow it, by exact intersection.
+
+    ``size`` is about how many bytes the elements of all pairs and sets take.
+    """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +313,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     short = sets.select("sid", "n", "sketch")
     for name, side in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(short.select(F.col("sid").alias(name), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), name)
+        pairs = few(pairs.join(short.select(F.col("sid").alias(name), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), name), 0, size)
     pairs = pairs.select("a", "b", "x_n", "y_n", "x_sketch", "y_sketch").mapInArrow(near, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +330,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * shared >= 80 * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    held = pairs.join(sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b")
-    return held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    held = few(pairs.join(sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a"), 0, size)
+    held = few(held.join(sets.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b"), 0, size)
+    return held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -332,13 +345,14 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     if start is not None:
         known = start.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         both = both.unionByName(known).unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.distinct(), "edges")
-    before = labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    n = both.count()
+    both = materialize(few(both.distinct(), n), "edges")
+    before = labels = materialize(few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), n), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("c")), "b").groupBy("a").agg(F.min("c").alias("m"))
-        fallen = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        near = few(both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("c")), "b"), n).groupBy("a").agg(F.min("c").alias("m"))
+        fallen = few(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root")), n)
         above = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = materialize(fallen.join(above, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
+        new = materialize(few(fallen.join(above, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")), n), "labels")
         settled = new.where("old <> root").isEmpty()
         release(before)
         before, labels = new, new.select("node", "root")
@@ -347,15 +361,17 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def proposals(held: DataFrame, turn: int) -> DataFrame:
+def proposals(held: DataFrame, turn: int, n: int) -> DataFrame:
     """Pairs (a, b) for a round, at most ``EACH`` for each node: in each block all nodes are held against the node that
-    comes first in the round's own order, and those of its component against the first node of another one."""
+    comes first in the round's own order, and those of its component against the first node of another one. ``n`` is about
+    how many rows there are."""
     firsts = held.groupBy("block", "root").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("at"), "sid")).alias("first"))
+    firsts = few(firsts, n)
     best = firsts.groupBy("block").agg(F.min(F.struct("first", "root")).alias("best"))
     second = firsts.join(best, "block").where(F.col("root") != F.col("best.root")).groupBy("block").agg(F.min("best").alias("best"), F.min("first").alias("second"))
     pivot = F.when(F.col("root") == F.col("best.root"), F.col("second")).otherwise(F.col("best.first"))
-    few = held.join(second, "block").select("sid", pivot.alias("pivot")).groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("pivot")), 1, EACH).alias("pivots"))
-    pairs = few.select("sid", F.explode("pivots").alias("pivot")).select(F.greatest("sid", "pivot.sid").alias("a"), F.least("sid", "pivot.sid").alias("b"))
+    some = few(held.join(second, "block").select("sid", pivot.alias("pivot")), n).groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("pivot")), 1, EACH).alias("pivots"))
+    pairs = few(some, n).select("sid", F.explode("pivots").alias("pivot")).select(F.greatest("sid", "pivot.sid").alias("a"), F.least("sid", "pivot.sid").alias("b"))
     return pairs.distinct()
 
 
@@ -416,15 +432,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = groups.select("sid").distinct()
     sets = materialize(exact_sets(docs, keys, nodes, key, text), "sets")
 
+    shared = groups.count()
+    told = sets.agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.avg("n"), F.lit(0)) * 8).alias("bytes")).first()
     labels, tested, blocks, written, turn = None, None, groups, [], 0
     while True:
         held = groups
         if labels is not None:
-            held = held.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left")
+            held = few(held.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left"), shared)
         held = held.withColumn("root", F.coalesce("root", "sid") if labels is not None else F.col("sid"))
         if labels is not None:  # blocks within one component are done with
             mixed = held.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
-            held, done = materialize(held.join(mixed, "block", "left_semi"), "blocks"), blocks
+            held, done = materialize(few(held.join(mixed, "block", "left_semi"), shared), "blocks"), blocks
             release(done)
             blocks, groups = held, held.drop("root")
             if held.isEmpty():
@@ -432,13 +450,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if turn == 0:  # against the least node of a block
             pairs = groups.where("sid <> least").groupBy("sid").agg(F.min("least").alias("b")).select(F.col("sid").alias("a"), "b")
         elif turn <= PROPOSED:  # against a few nodes of other components
-            pairs = proposals(held, turn)
+            pairs = proposals(held, turn, shared)
         elif turn == PROPOSED + 1:  # in full, in some blocks; what is linked there isn't told again by the others
             pairs = across(held.where(F.pmod(F.xxhash64("block"), F.lit(WAVE)) == 0), sets)
         else:
             pairs = across(held, sets)
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        more = materialize(linked(pairs, sets), "links")
+        pairs = pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs
+        pairs = materialize(few(pairs, shared) if turn <= PROPOSED else pairs, "pairs")
+        more = materialize(linked(pairs, sets, int((pairs.count() + told["n"]) * told["bytes"])), "links")
         tested = tested.unionByName(pairs) if tested is not None else pairs
         written += [pairs, more]
         if turn == PROPOSED + 2:
