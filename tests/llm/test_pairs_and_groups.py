@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftline.llm import align, bpe, decontaminate, hmm, parity, spelling, sstable, vectors, words
@@ -234,6 +235,19 @@ def test_vectors_of_odd_tables(spark):
     assert found(vectors.near_vectors(clash)) == [(1, 1, 1, True), (2, 1, 1, False)]
 
 
+def test_alignment_encodes_each_text_once(spark):
+    rows = [(i, f"some words and {'x' * (i % 7)}{i}\u2581" if i % 5 == 0 else f"more words, {i * i} of them") for i in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = documents(spark, rows).withColumn("text", F.udf(read)("text"))
+    assert aligned(align.align_tokens(docs, BYTES, PIECES)) == align_brute(rows)
+    assert seen.value == len(rows)
+
+
 def test_parity_rounds_take_few_tasks(spark):
     """Rounds move little where few sets share blocks; with many shuffle partitions each step took as many tasks."""
     r, said = random.Random(3), [f"w{i}" for i in range(400)]

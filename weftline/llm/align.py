@@ -8,14 +8,14 @@ between two offsets where tokens of both sides end. A component's members expand
 its links. Then, over all documents, each pair of ids is counted by the documents
 that hold it linked.
 
-Counting is distributed: tasks reduce the pairs of their documents and a shuffle
-adds them up. The counts are brought back to the documents without shuffling
-links: pairs of the highest counts, at most ``TABLE`` of them, are sent to all
-tasks, and what each id of A has at most is an array as long as its vocabulary.
-Where the table holds every pair of two or more documents, others have a count
-of one; else the links that it doesn't tell are joined by a shuffle. Texts are
-encoded once for the counts and once for the documents, so no list of links is
-ever written or held beyond a slice of texts.
+Texts are encoded once; what is written of each document is its distinct linked
+pairs, four bytes a pair, and how often it has them. Counting is distributed:
+tasks reduce the pairs of their documents and a shuffle adds them up. The counts
+are brought back to the documents without shuffling links: pairs of the highest
+counts, at most ``TABLE`` of them, are sent to all tasks, and what each id of A
+has at most is an array as long as its vocabulary. Where the table holds every
+pair of two or more documents, others have a count of one; else the links that it
+doesn't tell are joined by a shuffle.
 
 Chunks that neither tokenizer merges across (runs that begin with their spaces)
 are encoded once and looked up after that. B's pieces never hold a space after
@@ -137,12 +137,13 @@ class Aligner:
         counts[0][rows], counts[1][rows] = a_sizes, b_sizes
         # Every stretch between two ends of tokens lies in one token of each side, and is their link.
         a_ends, b_ends = np.cumsum(self.pool.lengths[a]), np.cumsum(self.b.pool.lengths[b])
-        is_end = np.zeros(int(a_ends[-1]) + 1 if len(a) else 1, bool)
-        is_end[a_ends] = True
-        is_end[b_ends] = True
-        is_end[0] = False
-        ends = np.flatnonzero(is_end)
-        i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        side = np.zeros(int(a_ends[-1]) + 1 if len(a) else 1, np.uint8)
+        side[a_ends] = 1
+        side[b_ends] |= 2
+        side[0] = 0
+        side = side[side > 0]
+        i, j = (np.cumsum(x) - x for x in (side & 1, side >> 1))  # ends of each side that lie before a stretch's end
+        i, j = i.astype(np.int64), j.astype(np.int64)
         parent = np.arange(len(a) + len(b))
         unite(parent, i, len(a) + j)
         text = np.repeat(rows, a_sizes)
@@ -213,11 +214,34 @@ class Counts:
         return np.where(found, self.counts[at] if len(self.pairs) else 0, 1 if self.complete else 0)
 
 
-def pair_counts(docs: DataFrame, spec: Broadcast, model: Broadcast) -> DataFrame:
-    """(pair, n): of each pair of ids, how many documents hold it linked. ``docs`` is one text column."""
+def linked_pairs(rows: DataFrame, spec: Broadcast, model: Broadcast, kind: np.dtype) -> DataFrame:
+    """Each row's key, counts of tokens, groups and links, its groups' digest, its distinct linked pairs (as ``kind``) and how often it has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, pairs, counts, size = aligner(spec, model), [], [], 0
+        align = aligner(spec, model)
+        for batch in batches:
+            for part in bounded_slices(batch, "text", SLICE_BYTES):
+                told = align(part.column("text"))
+                row, pair, times = by_text(told.text, told.pair)
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
+                some = [pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((cuts * t.itemsize).astype(np.int32)), pa.py_buffer(x.astype(t))]) for x, t in ((pair, kind), (times, np.dtype("<u4")))]
+                out = [told.n_a, told.n_b, told.n_groups, told.n_links]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *map(pa.array, out), pa.array(told.groups, pa.string()), *some], ["key", *COLUMNS[:4], "groups_sha256", "pairs", "times"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {', '.join(f'{c} long' for c in COLUMNS[:4])}, groups_sha256 string, pairs binary, times binary")
+
+
+def numbers_of(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """What binary cells hold as numbers, on end, and how many each row has."""
+    held, at = raw_text(column)
+    return held.view(kind).astype(np.int64), np.diff(at) // kind.itemsize
+
+
+def pair_counts(linked: DataFrame, kind: np.dtype) -> DataFrame:
+    """(pair, n): of each pair of ids, how many documents hold it linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counts, size = [], [], 0
 
         def reduced() -> tuple[np.ndarray, np.ndarray]:
             every, n = np.concatenate([*pairs, np.zeros(0, np.int64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
@@ -231,10 +255,8 @@ def pair_counts(docs: DataFrame, spec: Broadcast, model: Broadcast) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(pair[at : at + 65536]), pa.array(n[at : at + 65536])], ["pair", "n"])
 
         for batch in batches:
-            for part in bounded_slices(batch, "text", SLICE_BYTES):
-                told = align(part.column("text"), digests=False)
-                _, pair, _ = by_text(told.text, told.pair)
-                pair, n = np.unique(pair, return_counts=True)
+            for part in bounded_slices(batch, "pairs", SLICE_BYTES):
+                pair, n = np.unique(numbers_of(part.column("pairs"), kind)[0], return_counts=True)
                 pairs.append(pair)
                 counts.append(n)
                 size += len(pair)
@@ -246,12 +268,12 @@ def pair_counts(docs: DataFrame, spec: Broadcast, model: Broadcast) -> DataFrame
                     pairs, counts, size = [pair], [n], len(pair)
         yield from given(*reduced())
 
-    return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return linked.select("pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def counted(docs: DataFrame, spec: Broadcast, model: Broadcast, wide: int, vocabulary: int, table: int) -> tuple[DataFrame, Counts]:
+def counted(linked: DataFrame, kind: np.dtype, wide: int, vocabulary: int, table: int) -> tuple[DataFrame, Counts]:
     """All pairs' counts as a table, and the part of them that is sent to all tasks."""
-    pairs = materialize(pair_counts(docs, spec, model), "pairs")
+    pairs = materialize(pair_counts(linked, kind), "pairs")
     best = np.zeros(vocabulary, np.int64)
     for r in pairs.groupBy(F.expr(f"pair div {wide}").cast("int").alias("a")).agg(F.max("n").alias("n")).toLocalIterator():  # as many rows as ids at most
         best[r["a"]] = r["n"]
@@ -280,15 +302,18 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id",
     if wide * vocabulary >= 1 << 44:
         raise ValueError("the vocabularies are too large for pairs of 44 bits")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    pairs, counts = counted(rows.select("text"), spec, model, wide, vocabulary, table)
+    kind = np.dtype("<u4" if wide * vocabulary <= 1 << 32 else "<i8")
+    linked = materialize(linked_pairs(rows, spec, model, kind), "linked")
+    pairs, counts = counted(linked, kind, wide, vocabulary, table)
     sent = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, known = aligner(spec, model), sent.value
+        known = sent.value
         for batch in batches:
-            for part in bounded_slices(batch, "text", SLICE_BYTES):
-                told, n = align(part.column("text")), part.num_rows
-                row, pair, times = by_text(told.text, told.pair)
+            for part in bounded_slices(batch, "pairs", SLICE_BYTES):
+                n = part.num_rows
+                pair, sizes = numbers_of(part.column("pairs"), kind)
+                times, row = numbers_of(part.column("times"), np.dtype("<u4"))[0], np.repeat(np.arange(n), sizes)
                 count = known.of(pair)
                 best = np.bincount(row, weights=times * ((count > 0) & (count == known.best[pair // wide])), minlength=n).astype(np.int64)
                 total = np.zeros(n, np.int64)
@@ -296,11 +321,10 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id",
                 left = count == 0
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[left], minlength=n))]).astype(np.int32)
                 rest = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(pair[left]), pa.array(times[left].astype(np.int64))], ["pair", "times"]))
-                out = [told.n_a, told.n_b, told.n_groups, told.n_links, best, total]
-                yield pa.RecordBatch.from_arrays([part.column("key"), *map(pa.array, out), pa.array(told.groups, pa.string()), rest], ["key", *COLUMNS, "groups_sha256", "rest"])
+                told = [part.column(c) for c in ("key", *COLUMNS[:4])]
+                yield pa.RecordBatch.from_arrays([*told, pa.array(best), pa.array(total), part.column("groups_sha256"), rest], ["key", *COLUMNS, "groups_sha256", "rest"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    out = rows.mapInArrow(run, f"key {kind}, {', '.join(f'{c} long' for c in COLUMNS)}, groups_sha256 string, rest array<struct<pair: long, times: long>>")
+    out = linked.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {', '.join(f'{c} long' for c in COLUMNS)}, groups_sha256 string, rest array<struct<pair: long, times: long>>")
     if counts.complete:  # every count is told; nothing is left to join
         release_later(pairs)
         return out.drop("rest").withColumnRenamed("key", key)
