@@ -133,3 +133,35 @@ def test_no_python_in_the_plan(spark):
     df = spark.range(3).selectExpr("to_json(named_struct('a', array(id, id + 1))) AS j")
     plan = df.select(Compiler(df.schema).render("{{ j|jsonpath('$..a[?@ > 1]') }}"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow", plan)
+
+
+def test_documents_are_parsed_once(spark):
+    from weftline.queries import templated
+
+    df = spark.createDataFrame([(1, '{"a": [{"b": 1, "c": "x"}, {"b": 2}]}'), (2, "text")], "i int, j string")
+    made = templated(df, ["i"], {"b": "{{ j|jsonpath('$.a[*].b') }}", "c": "{{ j|jsonpath('$.a[?@.b > 1].b') }}", "n": "{{ j|jsonpath('$..b')|length }}"})
+    assert made._jdf.queryExecution().analyzed().toString().count("parse_json(") == 1
+    assert made.orderBy("i").collect() == [(1, "[1, 2]", "[2]", "2"), (2, None, None, None)]
+
+
+def test_members_of_whatever_kind(spark):
+    rows = [{"a": {"b": 1}, "n": 1}, {"a": {"b": None}, "n": None}, {"a": 2, "n": "y,z"}, 7, [{"n": 8}], None, {"a": {"b": "1"}, "n": {"m": 3}}, {"a": {"b": True}, "n": -4.5}, {"A": 1, "n": 6}]
+    held = lambda x, *names: held(x[names[0]], *names[1:]) if names and isinstance(x, dict) and names[0] in x else [] if names else [x]
+    paths = {
+        "$.x[*].a.b": lambda k: [y for x in k for y in held(x, "a", "b")],
+        "$.x[?@.a.b == 1].n": lambda k: [x["n"] for x in k if held(x, "a", "b") == [1] and x["a"]["b"] is not True],
+        "$.x[?@.a.b == true].n": lambda k: [x["n"] for x in k if held(x, "a", "b")[:1] == [True] and x["a"]["b"] is True],
+        "$.x[?@.a.b != 1].n": lambda k: [y for x in k if held(x, "a", "b") != [1] or x["a"]["b"] is True for y in held(x, "n")],
+        "$.x[?@.a].n": lambda k: [y for x in k if held(x, "a") for y in held(x, "n")],
+        "$.x[?@.a && @.a.b].n": lambda k: [y for x in k if held(x, "a", "b") for y in held(x, "n")],
+        "$.x[?!(@.a.b)].n": lambda k: [y for x in k if not held(x, "a", "b") for y in held(x, "n")],
+        "$.x[?@.a && @.A].n": lambda k: [],
+        "$.x[?@.A].n": lambda k: [6],
+    }
+    only = {"$.x[:3].n": lambda k: [y for x in k[:3] for y in held(x, "n")], "$.x[::-2].n": lambda k: [y for x in k[::-2] for y in held(x, "n")], "$.x[-3].n.m": lambda k: [3], "$.x[-1,0,2].n": lambda k: [6, 1, "y,z"]}
+    df = spark.createDataFrame([(json.dumps({"x": rows}),), (json.dumps({"x": {f"k{i}": x for i, x in enumerate(rows)}}),), ('{"x": 3}',)], "j string")
+    got = df.select(*(F.transform(jsonpath.matches(F.try_parse_json("j"), jsonpath.parse(p)), lambda x: F.to_json(x)).alias(f"p{k}") for k, p in enumerate(paths | only))).collect()
+    for k, (path, want) in enumerate((paths | only).items()):
+        assert [json.loads(x) for x in got[0][k]] == want(rows), path
+        assert [json.loads(x) for x in got[1][k]] == (want(rows) if path in paths else []), path
+        assert got[2][k] == [], path

@@ -4,7 +4,8 @@ A path is a row of segments after ``$``, each with one or more selectors: names,
 places, slices, wildcards and filters, and ``..`` before a segment looks at all
 descendants too. It compiles to one Column that holds the matches of a document
 as an array of variants: names and places in a row are one ``variant_get``; every
-other segment is a ``transform`` over the nodes so far. Nothing leaves the JVM.
+other segment is a ``transform`` over the nodes so far, and takes the names and
+places after it along. Nothing leaves the JVM.
 
 Descendants come in document order, each before its own. The expression reaches
 ``DEEPEST`` levels; a document that goes deeper gives null, as a cell that fails
@@ -37,11 +38,14 @@ class PathError(ValueError):
     """A path that can't be read."""
 
 
+Names = tuple[tuple[str, Any], ...]  #: selectors, where they stand in a row mostly of names and places
+
+
 @dataclass(frozen=True)
 class Segment:
     """Selectors of nodes: (kind, value) pairs, of the nodes themselves or, if ``deep``, of all their descendants too."""
 
-    selectors: tuple[tuple[str, Any], ...]
+    selectors: Names
     deep: bool = False
 
     @property
@@ -99,7 +103,7 @@ class Reader:
                 out.append(Segment((("name", self.next("name")[1]),), deep))
         return tuple(out)
 
-    def bracket(self) -> tuple[tuple[str, Any], ...]:
+    def bracket(self) -> Names:
         out = [self.selector()]
         while self.take(","):
             out.append(self.selector())
@@ -205,366 +209,206 @@ def present(values: Column) -> Column:
     return F.filter(values, lambda x: x.isNotNull())
 
 
-def elements(v: Column) -> Column:
-    """An array's elements; of anything else none."""
-    return F.coalesce(got(v, "$", "array<variant>"), nothing())
-
-
-def children(v: Column) -> Column:
-    """Elements of an array, values of an object by name."""
-    return F.coalesce(got(v, "$", "array<variant>"), F.map_values(got(v, "$", "map<string,variant>")), nothing())
-
-
-def spread(nodes: Column, each: Callable[[Column], Column]) -> Column:
-    return F.flatten(F.transform(nodes, each))
-
-
-def below(v: Column, levels: int = DEEPEST) -> Column:
-    """A node and all its descendants, each before its own; null where they go deeper than ``levels``."""
-    if levels == 0:
-        return F.when(F.size(children(v)) == 0, F.array(v))
-    return F.concat(F.array(v), spread(children(v), lambda c: below(c, levels - 1)))
-
-
-def member(v: Column, name: str) -> Column:
-    if "'" not in name and "\\" not in name:
-        return got(v, f"$['{name}']")
-    return F.try_element_at(got(v, "$", "map<string,variant>"), F.lit(name))
-
-
-def sliced(v: Column, start: int | None, stop: int | None, step: int | None) -> Column:
-    """A slice as Python takes it."""
-    step = 1 if step is None else step
-    held = elements(v)
-    n = F.size(held)
-    place = lambda p, least, most: F.least(F.greatest(n + p if p < 0 else F.lit(p), least), most)
-    if step > 0:
-        a = place(start, F.lit(0), n) if start is not None else F.lit(0)
-        b = place(stop, F.lit(0), n) if stop is not None else n
-        return F.filter(held, lambda x, i: (i >= a) & (i < b) & ((i - a) % step == 0))
-    a = place(start, F.lit(-1), n - 1) if start is not None else n - 1
-    b = place(stop, F.lit(-1), n - 1) if stop is not None else F.lit(-1)
-    return F.reverse(F.filter(held, lambda x, i: (i <= a) & (i > b) & ((a - i) % -step == 0)))
-
-
-def chosen(v: Column, selector: tuple[str, Any], root: Column) -> Column:
-    kind, value = selector
-    if kind == "name":
-        return present(F.array(member(v, value)))
-    if kind == "index":
-        return present(F.array(got(v, f"$[{value}]") if value >= 0 else F.try_element_at(elements(v), F.lit(value))))
-    if kind == "slice":
-        return sliced(v, *value)
-    if kind == "wild":
-        return children(v)
-    return F.filter(children(v), lambda x: holds(value, x, root))
-
-
-def step(nodes: Column, segment: Segment, root: Column) -> Column:
-    def each(v: Column) -> Column:
-        parts = [chosen(v, s, root) for s in segment.selectors]
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-    return spread(spread(nodes, lambda v: below(v)) if segment.deep else nodes, each)
-
-
-def matches(v: Column, segments: tuple[Segment, ...], root: Column | None = None) -> Column:
-    """All matches of a path from a node, as an array of variants."""
-    root = v if root is None else root
-    n = 0
-    while n < len(segments) and segments[n].single:
-        kind, value = segments[n].selectors[0]
-        v = member(v, value) if kind == "name" else got(v, f"$[{value}]")
-        n += 1
-    nodes = present(F.array(v))
-    for segment in segments[n:]:
-        nodes = step(nodes, segment, root)
-    return nodes
-
-
-# ---- filters
-
-
-def number_of(text: Column) -> Column:
-    """A number from a value's JSON; null if it is no number."""
-    return F.when(text.rlike("^[-0-9]"), text.try_cast("double"))
-
-
-def operand(self) -> tuple:
-        if root := self.take("@", "$"):
-            return "path", root, self.segments()
-        kind, text = self.next("text", "number", "name")
-        if kind == "text":
-            return "literal", unquoted(text)
-        if kind == "number":
-            return "literal", float(text) if re.search(r"[.eE]", text) else int(text)
-        if text in ("true", "false", "null"):
-            return "literal", {"true": True, "false": False, "null": None}[text]
-        if text in ("length", "match", "search"):
-            self.need("(")
-            parts = [self.operand()]
-            while self.take(","):
-                parts.append(self.operand())
-            self.need(")")
-            if len(parts) != (1 if text == "length" else 2):
-                raise PathError(f"{text!r} takes other arguments")
-            return text, *parts
-        raise PathError(f"{self.path!r} has the unknown word {text!r}")
-
-
-def unquoted(text: str) -> str:
-    return re.sub(r"\\(u[0-9a-fA-F]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}.get(m[1], m[1]), text[1:-1])
-
-
-def parse(path: str) -> tuple[Segment, ...]:
-    return Reader(path).whole()
-
-
-# ---- compilation
-
-
-def got(v: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(v, F.lit(path), kind)
-
-
-def nothing() -> Column:
-    return F.array().cast("array<variant>")
+def reached(v: Column, at: Names, kind: str = "variant") -> Column:
+    """What a row of names and places leads to. Names go by a struct's fields, as Spark throws and catches an exception where a path isn't there."""
+    if any(k != "name" for k, _ in at):
+        return got(v, "$" + path_of(at), kind)
+    return led_in(got(v, "$", shape({at}, kind)), at)
 
 
-def present(values: Column) -> Column:
-    return F.filter(values, lambda x: x.isNotNull())
-
-
-def elements(v: Column) -> Column:
+def elements(v: Column, at: Names = ()) -> Column:
     """An array's elements; of anything else none."""
-    return F.coalesce(got(v, "$", "array<variant>"), nothing())
+    return F.coalesce(reached(v, at, "array<variant>"), nothing())
 
 
-def children(v: Column) -> Column:
+def children(v: Column, at: Names = ()) -> Column:
     """Elements of an array, values of an object by name."""
-    return F.coalesce(got(v, "$", "array<variant>"), F.map_values(got(v, "$", "map<string,variant>")), nothing())
+    return F.coalesce(reached(v, at, "array<variant>"), F.map_values(reached(v, at, "map<string,variant>")), nothing())
 
 
 def spread(nodes: Column, each: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(nodes, each))
 
 
-def below(v: Column, levels: int = DEEPEST) -> Column:
-    """A node and all its descendants, each before its own; null where they go deeper than ``levels``."""
-    if levels == 0:
-        return F.when(F.size(children(v)) == 0, F.array(v))
-    return F.concat(F.array(v), spread(children(v), lambda c: below(c, levels - 1)))
-
+def joined(parts: list[Column]) -> Column:
+    return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
 
-def member(v: Column, name: str) -> Column:
-    if "'" not in name and "\\" not in name:
-        return got(v, f"$['{name}']")
-    return F.try_element_at(got(v, "$", "map<string,variant>"), F.lit(name))
 
+def container(v: Column) -> Column:
+    return got(v, "$", "struct<>").isNotNull() | got(v, "$", "array<struct<>>").isNotNull()
 
-def sliced(v: Column, start: int | None, stop: int | None, step: int | None) -> Column:
-    """A slice as Python takes it."""
-    step = 1 if step is None else step
-    held = elements(v)
-    n = F.size(held)
-    place = lambda p, least, most: F.least(F.greatest(n + p if p < 0 else F.lit(p), least), most)
-    if step > 0:
-        a = place(start, F.lit(0), n) if start is not None else F.lit(0)
-        b = place(stop, F.lit(0), n) if stop is not None else n
-        return F.filter(held, lambda x, i: (i >= a) & (i < b) & ((i - a) % step == 0))
-    a = place(start, F.lit(-1), n - 1) if start is not None else n - 1
-    b = place(stop, F.lit(-1), n - 1) if stop is not None else F.lit(-1)
-    return F.reverse(F.filter(held, lambda x, i: (i <= a) & (i > b) & ((a - i) % -step == 0)))
-
-
-def chosen(v: Column, selector: tuple[str, Any], root: Column) -> Column:
-    kind, value = selector
-    if kind == "name":
-        return present(F.array(member(v, value)))
-    if kind == "index":
-        return present(F.array(got(v, f"$[{value}]") if value >= 0 else F.try_element_at(elements(v), F.lit(value))))
-    if kind == "slice":
-        return sliced(v, *value)
-    if kind == "wild":
-        return children(v)
-    return F.filter(children(v), lambda x: holds(value, x, root))
 
+def descended(v: Column, each: Callable[[Column], Column], levels: int = DEEPEST) -> Column:
+    """What ``each`` gives of a node and of all its descendants, each before its own; null where they go deeper than ``levels``.
+    Only arrays and objects are walked to, as nothing is chosen from other values."""
+    if levels == 0:
+        return F.when(F.size(children(v)) == 0, each(v))
+    within = spread(children(v), lambda c: F.when(container(c), descended(c, each, levels - 1)).otherwise(nothing()))
+    return joined([each(v), within])
 
-def step(nodes: Column, segment: Segment, root: Column) -> Column:
-    def each(v: Column) -> Column:
-        parts = [chosen(v, s, root) for s in segment.selectors]
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    return spread(spread(nodes, lambda v: below(v)) if segment.deep else nodes, each)
+def place(selector: tuple[str, Any]) -> str | None:
+    """A name or place as a path's step; None for other selectors and names that paths can't hold."""
+    kind, value = selector
+    if kind == "index" and value >= 0:
+        return f"[{value}]"
+    return f"['{value}']" if kind == "name" and "'" not in value and "\\" not in value else None
 
 
-def matches(v: Column, segments: tuple[Segment, ...], root: Column | None = None) -> Column:
-    """All matches of a path from a node, as an array of variants."""
-    root = v if root is None else root
+def led(segments: tuple[Segment, ...]) -> tuple[Names, tuple[Segment, ...]]:
+    """The names and places that a path begins with, and the segments after them."""
     n = 0
-    while n < len(segments) and segments[n].single:
-        kind, value = segments[n].selectors[0]
-        v = member(v, value) if kind == "name" else got(v, f"$[{value}]")
+    while n < len(segments) and segments[n].single and place(segments[n].selectors[0]):
         n += 1
-    nodes = present(F.array(v))
-    for segment in segments[n:]:
-        nodes = step(nodes, segment, root)
-    return nodes
-
-
-# ---- filters
+    return tuple(s.selectors[0] for s in segments[:n]), segments[n:]
 
 
-def number_of(text: Column) -> Column:
-    """A number from a value's JSON; null if it is no number."""
-    return F.when(text.rlike("^[-0-9]"), text.try_cast("double"))
-
-
-def bound(of: Column, then: Callable[[Column], Column]) -> Column:
-    """An expression over a value that is worked out once; within lambdas nothing else keeps it from being worked out at each use."""
-    return F.get(F.transform(F.array(of), lambda x: then(x)), F.lit(0))
-
-
-def operand(self) -> tuple:
-        if root := self.take("@", "$"):
-            return "path", root, self.segments()
-        kind, text = self.next("text", "number", "name")
-        if kind == "text":
-            return "literal", unquoted(text)
-        if kind == "number":
-            return "literal", float(text) if re.search(r"[.eE]", text) else int(text)
-        if text in ("true", "false", "null"):
-            return "literal", {"true": True, "false": False, "null": None}[text]
-        if text in ("length", "match", "search"):
-            self.need("(")
-            parts = [self.operand()]
-            while self.take(","):
-                parts.append(self.operand())
-            self.need(")")
-            if len(parts) != (1 if text == "length" else 2):
-                raise PathError(f"{text!r} takes other arguments")
-            return text, *parts
-        raise PathError(f"{self.path!r} has the unknown word {text!r}")
-
+def path_of(selectors: Names) -> str:
+    return "".join(map(place, selectors))
 
-def unquoted(text: str) -> str:
-    return re.sub(r"\\(u[0-9a-fA-F]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}.get(m[1], m[1]), text[1:-1])
 
+def after(nodes: Column, tail: Names) -> Column:
+    """What a row of names and places leads to from each node."""
+    return present(F.transform(nodes, lambda x: reached(x, tail))) if tail else nodes
 
-def parse(path: str) -> tuple[Segment, ...]:
-    return Reader(path).whole()
 
 
-# ---- compilation
 
+def shape(rows: set[Names], kind: str = "variant") -> str | None:
+    """A struct's type that holds what rows of names lead to; None where one leads into what another asks for whole."""
+    if () in rows:
+        return kind if len(rows) == 1 else None
+    first = sorted({r[0][1] for r in rows})
+    inner = [shape({r[1:] for r in rows if r[0][1] == name}, kind) for name in first]
+    if None in inner or len({n.lower() for n in first}) < len(first):
+        return None
+    return f"struct<{', '.join(f'`{n.replace('`', '``')}`:{t}' for n, t in zip(first, inner, strict=True))}>"
 
-def got(v: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(v, F.lit(path), kind)
 
+def led_in(v: Column, names: Names) -> Column:
+    for _, name in names:
+        v = v.getField(name)
+    return v
 
-def nothing() -> Column:
-    return F.array().cast("array<variant>")
 
+def fields(v: Column, at: Names, names: Names) -> Column:
+    """What a row of names leads to from each element of an array, null where nothing is there; null where there is no array."""
+    return led_in(reached(v, at, f"array<{shape({names})}>"), names)
 
-def present(values: Column) -> Column:
-    return F.filter(values, lambda x: x.isNotNull())
 
+@dataclass(frozen=True)
+class Shaped:
+    """An element of which only some members are taken."""
 
-def elements(v: Column) -> Column:
-    """An array's elements; of anything else none."""
-    return F.coalesce(got(v, "$", "array<variant>"), nothing())
+    held: Column
 
 
-def children(v: Column) -> Column:
-    """Elements of an array, values of an object by name."""
-    return F.coalesce(got(v, "$", "array<variant>"), F.map_values(got(v, "$", "map<string,variant>")), nothing())
+def asked(tree: Any) -> set[Names] | None:
+    """The rows of names that a filter asks of an element; None if it asks for anything else."""
+    if not isinstance(tree, tuple) or tree[:1] == ("literal",):
+        return set()
+    if tree[0] == "path":
+        names, rest = led(tree[2])
+        return set() if tree[1] == "$" else {names} if names and not rest and all(k == "name" for k, _ in names) else None
+    parts = [asked(t) for t in tree[1:]]
+    return None if None in parts else set().union(*parts)
 
 
-def spread(nodes: Column, each: Callable[[Column], Column]) -> Column:
-    return F.flatten(F.transform(nodes, each))
+def filtered(v: Column, at: Names, test: tuple, tail: Names, root: Column) -> Column:
+    """Children that pass a test, and what the tail leads to from them. Where only names are asked of them, no more than those members is taken."""
+    rows = asked(test)
+    kind = shape({*rows, tail}) if rows is not None and tail and all(k == "name" for k, _ in tail) else None
+    if not kind:
+        return after(F.filter(children(v, at), lambda x: holds(test, x, root)), tail)
+    members = F.coalesce(reached(v, at, f"array<{kind}>"), F.map_values(reached(v, at, f"map<string,{kind}>")))
+    kept = F.filter(members, lambda x: led_in(x, tail).isNotNull() & holds(test, Shaped(x), root))
+    return F.coalesce(led_in(kept, tail), nothing())
 
 
-def below(v: Column, levels: int = DEEPEST) -> Column:
-    """A node and all its descendants, each before its own; null where they go deeper than ``levels``."""
-    if levels == 0:
-        return F.when(F.size(children(v)) == 0, F.array(v))
-    return F.concat(F.array(v), spread(children(v), lambda c: below(c, levels - 1)))
+def sliced(held: Column, start: int | None, stop: int | None, step: int | None) -> Column:
+    """A slice of an array as Python takes it."""
+    step = 1 if step is None else step
 
+    def taken(held: Column) -> Column:
+        n = F.size(held)
+        at = lambda p, least, most: F.least(F.greatest(n + p if p < 0 else F.lit(p), least), most)
+        if step > 0:
+            a = at(start, F.lit(0), n) if start is not None else F.lit(0)
+            b = at(stop, F.lit(0), n) if stop is not None else n
+            if step == 1:
+                return F.slice(held, a + 1, F.greatest(b - a, F.lit(0)))
+            return F.filter(held, lambda x, i: (i >= a) & (i < b) & ((i - a) % step == 0))
+        a = at(start, F.lit(-1), n - 1) if start is not None else n - 1
+        b = at(stop, F.lit(-1), n - 1) if stop is not None else F.lit(-1)
+        return F.reverse(F.filter(held, lambda x, i: (i <= a) & (i > b) & ((a - i) % -step == 0)))
 
-def member(v: Column, name: str) -> Column:
-    if "'" not in name and "\\" not in name:
-        return got(v, f"$['{name}']")
-    return F.try_element_at(got(v, "$", "map<string,variant>"), F.lit(name))
+    return bound(held, taken)
 
 
-def sliced(v: Column, start: int | None, stop: int | None, step: int | None) -> Column:
-    """A slice as Python takes it."""
-    step = 1 if step is None else step
-    held = elements(v)
-    n = F.size(held)
-    place = lambda p, least, most: F.least(F.greatest(n + p if p < 0 else F.lit(p), least), most)
-    if step > 0:
-        a = place(start, F.lit(0), n) if start is not None else F.lit(0)
-        b = place(stop, F.lit(0), n) if stop is not None else n
-        return F.filter(held, lambda x, i: (i >= a) & (i < b) & ((i - a) % step == 0))
-    a = place(start, F.lit(-1), n - 1) if start is not None else n - 1
-    b = place(stop, F.lit(-1), n - 1) if stop is not None else F.lit(-1)
-    return F.reverse(F.filter(held, lambda x, i: (i <= a) & (i > b) & ((a - i) % -step == 0)))
-
-
-def chosen(v: Column, selector: tuple[str, Any], root: Column) -> Column:
+def chosen(v: Column, at: Names, selector: tuple[str, Any], tail: Names, root: Column) -> Column:
+    """A selector's matches at a path from a node, and what the tail leads to from them."""
     kind, value = selector
+    by_name = tail and all(k == "name" for k, _ in tail)
     if kind == "name":
-        return present(F.array(member(v, value)))
+        return after(present(F.array(F.try_element_at(reached(v, at, "map<string,variant>"), F.lit(value)))), tail)
     if kind == "index":
-        return present(F.array(got(v, f"$[{value}]") if value >= 0 else F.try_element_at(elements(v), F.lit(value))))
+        held = fields(v, at, tail) if by_name else elements(v, at)
+        one = present(F.array(F.try_element_at(held, F.lit(value if value < 0 else value + 1))))
+        return one if by_name else after(one, tail)
     if kind == "slice":
-        return sliced(v, *value)
+        return present(sliced(F.coalesce(fields(v, at, tail), nothing()), *value)) if by_name else after(sliced(elements(v, at), *value), tail)
     if kind == "wild":
-        return children(v)
-    return F.filter(children(v), lambda x: holds(value, x, root))
-
+        return F.coalesce(present(fields(v, at, tail)), after(F.map_values(reached(v, at, "map<string,variant>")), tail), nothing()) if by_name else after(children(v, at), tail)
+    return filtered(v, at, value, tail, root)
 
-def step(nodes: Column, segment: Segment, root: Column) -> Column:
-    def each(v: Column) -> Column:
-        parts = [chosen(v, s, root) for s in segment.selectors]
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    return spread(spread(nodes, lambda v: below(v)) if segment.deep else nodes, each)
+def located(v: Column, at: Names, selectors: Names, tail: Names, root: Column) -> Column:
+    """Matches of a segment's selectors at a path from a node, and what the tail leads to from them."""
+    parts = [present(F.array(reached(v, (*at, s, *tail)))) if place(s) and (s[0] == "name" or not tail) else chosen(v, at, s, tail, root) for s in selectors]
+    return joined(parts)
 
 
 def matches(v: Column, segments: tuple[Segment, ...], root: Column | None = None) -> Column:
-    """All matches of a path from a node, as an array of variants."""
+    """All matches of a path from a node, as an array of variants. Names and places in a row are one step, with the segment before them."""
     root = v if root is None else root
-    n = 0
-    while n < len(segments) and segments[n].single:
-        kind, value = segments[n].selectors[0]
-        v = member(v, value) if kind == "name" else got(v, f"$[{value}]")
-        n += 1
-    nodes = present(F.array(v))
-    for segment in segments[n:]:
-        nodes = step(nodes, segment, root)
+    first, rest = led(segments)
+    nodes = None
+    if not rest:
+        return present(F.array(reached(v, first)))
+    while rest:
+        segment, (tail, rest) = rest[0], led(rest[1:])
+
+        def each(x: Column, at: Names, segment: Segment = segment, tail: Names = tail) -> Column:
+            if segment.deep:
+                return descended(reached(x, at), lambda y: located(y, (), segment.selectors, tail, root))
+            return located(x, at, segment.selectors, tail, root)
+
+        nodes = each(v, first) if nodes is None else spread(nodes, lambda x: each(x, ()))  # noqa: B023
     return nodes
 
 
-# ---- filters
+def single_match(v: Column | Shaped, segments: tuple[Segment, ...], root: Column) -> Column:
+    """A path's first match; null if there is none."""
+    first, rest = led(segments)
+    if isinstance(v, Shaped):
+        return led_in(v.held, first)
+    return F.try_element_at(matches(v, segments, root), F.lit(1)) if rest else reached(v, first)
 
 
-def kind_of(v: Column) -> Column:
-    """What a variant holds, by its JSON's first character: a quote, a brace, a bracket, t, f, n, else a number."""
-    return F.substring(F.to_json(v), 1, 1)
+# ---- filters
 
 
-def is_number(v: Column) -> Column:
-    return F.coalesce(~kind_of(v).isin('"', "{", "[", "t", "f", "n"), F.lit(False))
+def number_of(text: Column) -> Column:
+    """A number from a value's JSON, which begins with a digit or a minus; null if it is no number."""
+    return F.when((text >= "-") & (text < ":"), text.try_cast("double"))
 
 
-def operand(tree: tuple, v: Column, root: Column) -> Column:
+def operand(tree: tuple, v: Column | Shaped, root: Column) -> Column:
     """A comparable value as a variant; null where it is missing."""
     if tree[0] == "literal":
         return F.try_parse_json(F.lit(json.dumps(tree[1])))
     if tree[0] == "path":
-        return F.try_element_at(matches(v if tree[1] == "@" else root, tree[2], root), F.lit(1))
+        return single_match(v if tree[1] == "@" else root, tree[2], root)
     if tree[0] == "length":
         inner = operand(tree[1], v, root)
         known = F.to_json(inner)
@@ -573,7 +417,7 @@ def operand(tree: tuple, v: Column, root: Column) -> Column:
     raise PathError(f"{tree[0]!r} gives no value")
 
 
-def holds(tree: tuple, v: Column, root: Column) -> Column:
+def holds(tree: tuple, v: Column | Shaped, root: Column) -> Column:
     kind = tree[0]
     if kind in ("and", "or"):
         a, b = holds(tree[1], v, root), holds(tree[2], v, root)
@@ -582,6 +426,8 @@ def holds(tree: tuple, v: Column, root: Column) -> Column:
         return ~holds(tree[1], v, root)
     if kind == "holds":
         if tree[1][0] == "path":
+            if isinstance(v, Shaped) and tree[1][1] == "@":
+                return single_match(v, tree[1][2], root).isNotNull()
             return F.size(matches(v if tree[1][1] == "@" else root, tree[1][2], root)) > 0
         name, of, pattern = tree[1]
         if pattern[0] != "literal" or not isinstance(pattern[1], str):
@@ -594,9 +440,14 @@ def holds(tree: tuple, v: Column, root: Column) -> Column:
         op, left, right = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op), right, left
     a, b = operand(left, v, root), operand(right, v, root)
     fixed = json.dumps(right[1]) if right[0] == "literal" and (not isinstance(right[1], str) or right[1].isascii() and right[1].isprintable()) else None
-    if op in ("==", "!=") and fixed is not None and not isinstance(right[1], (int, float)):
+    numeric = fixed is not None and isinstance(right[1], (int, float)) and not isinstance(right[1], bool)
+    if op in ("==", "!=") and fixed is not None and not numeric:
         same = F.coalesce(F.to_json(a) == F.lit(fixed), F.lit(False))
         return same if op == "==" else ~same
+    if numeric:  # only numbers compare with a number
+        y = F.lit(float(right[1]))
+        held = {"==": lambda x: x == y, "!=": lambda x: x != y, "<": lambda x: x < y, ">": lambda x: x > y, "<=": lambda x: x <= y, ">=": lambda x: x >= y}[op]
+        return F.coalesce(bound(F.to_json(a), lambda t: held(number_of(t))), F.lit(op == "!="))
     both = F.struct(F.to_json(a).alias("x"), (F.lit(fixed) if fixed is not None else F.to_json(b)).alias("y"))
 
     def told(s: Column) -> Column:
@@ -613,11 +464,6 @@ def holds(tree: tuple, v: Column, root: Column) -> Column:
 # ---- what templates show
 
 
-def texts_of(values: Column) -> Column:
-    """Matches as JSON texts, which ``plain`` and ``shown`` take."""
-    return F.transform(values, lambda v: F.to_json(v))
-
-
 def unescaped(t: Column) -> Column:
     """What a JSON string holds."""
     easy = F.substring(t, F.lit(2), F.length(t) - 2)
@@ -652,3 +498,14 @@ def shown(t: Column) -> Column:
     """A match as Python shows the value within a list."""
     parts = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(TOKENS), F.lit(0)), lambda x: word(x)), "")
     return F.when(t.rlike(r"^[\[{]"), parts).otherwise(word(t))
+
+
+#: A JSON list of numbers and of texts without commas, quotes and escapes, which Python shows with other quotes and spaces alone.
+EASY = r"^\[(?:(?:\"[^\"\\',]*+\"|-?+[0-9.]++),?+)*+\]$"
+
+
+def listed(found: Column) -> Column:
+    """Matches as Python shows a list of them."""
+    easy = lambda t: F.replace(F.replace(t, F.lit('"'), F.lit("'")), F.lit(","), F.lit(", "))
+    hard = lambda f: F.concat(F.lit("["), F.array_join(F.transform(f, lambda v: bound(F.to_json(v), shown)), ", "), F.lit("]"))
+    return bound(found, lambda f: bound(F.to_json(f), lambda t: F.when(t.rlike(EASY), easy(t)).otherwise(hard(f))))

@@ -16,19 +16,20 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import jsonpath
-from weftline.functions.draws import index, uniform
+from weftline.functions.draws import bound, index, uniform
 
 MAX_NODES = 600
 MAX_DEPTH = 10
 MAX_CHARS = 512_000
+DOCUMENT = "_document_"  # begins the names of columns that hold what others' texts parse to
 FORBIDDEN = {"import", "from", "macro", "set", "extends", "block", "include", "call"}
 
 
@@ -335,6 +336,8 @@ class Value:
     plain: bool = False
     type: T.DataType | None = None
     shown: Column | None = None  # a list's text, where its elements don't tell it
+    found: Column | None = None  # what a list's elements are made of, as many as they
+    document: Column | None = None  # a text as JSON, where it is parsed already
 
 
 def kind_of(t: T.DataType) -> str:
@@ -416,7 +419,8 @@ class Compiler:
     def render(self, template: str) -> Column:
         tree = parse(template)
         out = self.body(tree)
-        return F.when(F.length(out) <= MAX_CHARS, out)
+        limited = lambda x: F.when(F.length(x) <= MAX_CHARS, x)
+        return bound(out, limited) if any(n.kind == "filter" and n.value == "jsonpath" for n in walk(tree)) else limited(out)
 
     def body(self, node: Node) -> Column:
         parts = [self.part(p) for p in node.parts]
@@ -472,7 +476,8 @@ class Compiler:
             return self.bound[n.value]
         if n.value not in self.fields:
             raise TemplateError(f"no column is named {n.value!r}")
-        return value_of(F.col(f"`{n.value}`"), self.fields[n.value], plain=True)
+        v = value_of(F.col(f"`{n.value}`"), self.fields[n.value], plain=True)
+        return replace(v, document=F.col(f"`{DOCUMENT}{n.value}`")) if f"{DOCUMENT}{n.value}" in self.fields else v
 
     def on_item(self, n: Node) -> Value:
         over, key = self.value(n.parts[0]), n.parts[1]
@@ -675,7 +680,7 @@ class Compiler:
         return Value(F.map_entries(v.column), "list", "struct")
 
     def f_length(self, v: Value, a: list, k: dict) -> Value:
-        return Value((F.size(v.column) if v.kind in ("list", "map") else F.length(text(v))).cast("long"), "int")
+        return Value((F.size(v.column if v.found is None else v.found) if v.kind in ("list", "map") else F.length(text(v))).cast("long"), "int")
 
     f_count = f_length
 
@@ -774,15 +779,22 @@ class Compiler:
         except jsonpath.PathError as e:
             raise TemplateError(str(e)) from None
         held = F.to_json(v.column) if v.kind in ("struct", "map") else v.column.cast("string")
-        found = jsonpath.texts_of(F.when(F.startswith(F.ltrim(held), F.lit("{")), jsonpath.matches(F.try_parse_json(held), segments)))
-        shown = F.concat(F.lit("["), F.array_join(F.transform(found, lambda t: jsonpath.shown(t)), ", "), F.lit("]"))
-        return Value(F.transform(found, lambda t: jsonpath.plain(t)), "list", "json", shown=shown)
+        within = jsonpath.matches(v.document, segments) if v.document is not None else bound(F.try_parse_json(held), lambda x: jsonpath.matches(x, segments))
+        found = F.when(F.startswith(F.ltrim(held), F.lit("{")), within)
+        return Value(F.transform(found, lambda x: bound(F.to_json(x), jsonpath.plain)), "list", "json", shown=jsonpath.listed(found), found=found)
 
 
 def render(template: str, schema: T.StructType, seed: int = 0, row: Column | None = None) -> Column:
     return Compiler(schema, seed, row).render(template)
 
 
+def with_documents(df: DataFrame, templates: list[str]) -> DataFrame:
+    """``df`` with texts parsed beside them where several JSON paths look into them, so that a document is parsed once."""
+    looked = [n.parts[0].value for t in templates for n in walk(parse(t)) if n.kind == "filter" and n.value == "jsonpath" and n.parts[0].kind == "name"]
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and looked.count(f.name) > 1]
+    return df.select("*", *(F.try_parse_json(F.col(f"`{c}`")).alias(f"{DOCUMENT}{c}") for c in names)) if names else df
+
+
 def json_escaped(c: Column) -> Column:
     """Text as it stands inside a JSON string."""
     return F.regexp_replace(F.regexp_replace(F.to_json(F.struct(c.alias("v"))), '^\\{"v":"', ""), '"\\}$', "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.draws import MODULUS, salts
 from weftline.functions.laws import tables
-from weftline.functions.template import Compiler
+from weftline.functions.template import Compiler, with_documents
 from weftline.operators import expressions as ex
 from weftline.operators import profile as pr
 from weftline.operators import samplers as sm
@@ -297,6 +297,7 @@ def frames_side_by_side(spark, d):
 
 
 def templated(df: DataFrame, keys: list[str], templates: dict[str, str]) -> DataFrame:
+    df = with_documents(df, list(templates.values()))
     compiler = Compiler(df.schema, SEED, F.col(keys[0]))
     return df.select(*keys, *(compiler.render(t).alias(n) for n, t in templates.items()))
 
