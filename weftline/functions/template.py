@@ -362,6 +362,26 @@ def value_of(column: Column, t: T.DataType, plain: bool = False) -> Value:
     return Value(column, kind_of(t), kind_of(t.elementType) if isinstance(t, T.ArrayType) else "str", plain, t)
 
 
+def float_text(c: Column) -> Column:
+    """A number as Python shows a float: with an exponent below 1e-4 and from 1e16 on. The digits are Java's, which before
+    Java 19 are too many for a few numbers (-1.25e22)."""
+
+    def written(s: Column) -> Column:
+        sign, digits = F.regexp_extract(s, "^-?", 0), F.regexp_replace(F.regexp_replace(s, "E.*|[-.]", ""), "(?<=.)0+$", "")
+        power, n = F.regexp_extract(s, "E(.*)$", 1).cast("int"), F.length(digits)
+        rest = lambda at, none: F.when(n > at, F.concat(F.lit("."), F.substring(digits, at + 1, n))).otherwise(none)
+        large = F.concat(F.substring(F.rpad(digits, F.greatest(power + 1, n), "0"), F.lit(1), power + 1), rest(power + 1, ".0"))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        exponent = F.concat(F.when(power > 0, "e+").otherwise("e-"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+        return F.concat(sign, F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(F.concat(F.substring(digits, 1, 1), rest(F.lit(1), ""), exponent)))
+
+    # Java writes an exponent below 1e-3 and from 1e7 on.
+    s = c.cast("string")
+    out = F.when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16) & (c % 1 == 0), F.concat(c.cast("long").cast("string"), F.lit(".0")))
+    out = out.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+    return out.when(F.contains(s, F.lit("E")), bound(s, written)).otherwise(s)
+
+
 def text(v: Value) -> Column:
     """As Python's str() shows it; null stays null but for plain columns."""
     c = v.column
@@ -376,6 +396,8 @@ def text(v: Value) -> Column:
     elif v.kind == "list":
         shown = F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'")) if v.of == "str" else text(Value(x, v.of)))
         out = F.concat(F.lit("["), F.array_join(shown, ", ", "None"), F.lit("]"))
+    elif v.kind == "float":
+        out = float_text(c)
     elif v.kind == "str" and v.plain:
         out = F.when(c == "true", "True").when(c == "false", "False").when(c == "null", "None").otherwise(c)
     else:
@@ -383,6 +405,11 @@ def text(v: Value) -> Column:
     return F.coalesce(out, F.lit("None")) if v.plain else out
 
 
+def texts(v: Value) -> Column:
+    """A list's elements as texts."""
+    return F.transform(v.column, float_text) if v.of == "float" else v.column.cast("array<string>")
+
+
 def number(v: Value) -> Column:
     if v.kind in ("int", "float"):
         return v.column
@@ -623,7 +650,7 @@ class Compiler:
             "title": lambda: Value(F.initcap(F.lower(s)), "str"), "capitalize": lambda: self.f_capitalize(v, [], {}),
             "startswith": lambda: Value(F.startswith(s, one), "bool"), "endswith": lambda: Value(F.endswith(s, one), "bool"),
             "replace": lambda: Value(F.replace(s, one, args[1].column), "str"), "split": lambda: Value(F.split(s, F.concat(F.lit("\\Q"), one, F.lit("\\E"))) if args else F.filter(F.split(s, "\\s+"), lambda x: x != ""), "list", "str"),
-            "join": lambda: Value(F.array_join(args[0].column.cast("array<string>"), s), "str"), "get": lambda: self.on_item(Node("item", None, (n.parts[0], n.parts[1]))),
+            "join": lambda: Value(F.array_join(texts(args[0]), s), "str"), "get": lambda: self.on_item(Node("item", None, (n.parts[0], n.parts[1]))),
         }
         if n.value not in methods:
             raise TemplateError(f"the method {n.value!r} isn't allowed")
@@ -767,7 +794,7 @@ class Compiler:
         return self._chosen(v.column.isNotNull(), v, self.value(a[0]) if a else Value(F.lit(""), "str"))
 
     def f_join(self, v: Value, a: list, k: dict) -> Value:
-        return Value(F.array_join(v.column.cast("array<string>"), self._fixed(a, k, 0, "d", "")), "str")
+        return Value(F.array_join(texts(v), self._fixed(a, k, 0, "d", "")), "str")
 
     def f_tojson(self, v: Value, a: list, k: dict) -> Value:
         return Value(F.to_json(v.column) if v.kind in ("list", "map", "struct") else text(v), "str")
