@@ -418,6 +418,22 @@ def number(v: Value) -> Column:
     return v.column.try_cast("double")
 
 
+def whole_power(x: Column, y: Column) -> Column:
+    """A power of whole numbers without going through doubles, which hold 53 bits; null beyond 64 bits, as products are, and for exponents below 0."""
+    # Beyond 64 only powers of -1, 0 and 1 fit, which go by the exponent's last bit.
+    times = F.when(y <= 64, y).when(y > 64, 64 + F.pmod(y, F.lit(2)))
+    return F.when(y >= 0, F.aggregate(F.array_repeat(x, times.cast("int")), F.lit(1).cast("long"), F.try_multiply))
+
+
+def whole_division(x: Column, y: Column) -> dict[str, Column]:
+    """Quotient and remainder of whole numbers, down for negative ones as in Python, without going through doubles; null for a divisor of 0."""
+    y = F.nullif(y, F.lit(0).cast("long"))
+    least = F.try_subtract(F.lit(0).cast("long"), x)  # -2^63 by -1 has no quotient
+    cut, left = F.when(y == -1, least).otherwise(F.call_function("div", x, y)), F.when(y == -1, F.lit(0).cast("long")).otherwise(x % y)
+    down = (left != 0) & ((left < 0) != (y < 0))
+    return {"//": F.when(down, cut - 1).otherwise(cut), "%": F.when(down, left + y).otherwise(left)}
+
+
 def truth(v: Value) -> Column:
     c = v.column
     if v.kind == "bool":
@@ -567,15 +583,16 @@ class Compiler:
         x, y = number(a), number(b)
         if op == "/":
             return Value(F.try_divide(x.cast("double"), y.cast("double")), "float")
+        if op in ("//", "%") and whole:
+            return Value(whole_division(x.cast("long"), y.cast("long"))[op], "int")
         if op == "//":
             q = F.floor(F.try_divide(x.cast("double"), y.cast("double")))
-            return Value(q.cast("long") if whole else q.cast("double"), "int" if whole else "float")
+            return Value(q.cast("double"), "float")
         if op == "%":
             r = x - y * F.floor(F.try_divide(x.cast("double"), y.cast("double")))
-            return Value(r.cast("long") if whole else r, "int" if whole else "float")
+            return Value(r, "float")
         if op == "**":
-            p = F.pow(x, y)
-            return Value(F.when(y >= 0, p.cast("long")) if whole else p, "int" if whole else "float")
+            return Value(whole_power(x.cast("long"), y.cast("long")) if whole else F.pow(x, y), "int" if whole else "float")
         out = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x if whole else x.cast("double"), y if whole else y.cast("double"))
         return Value(out, "int" if whole else "float")
 
